@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, packing, secrets, token_files
-from .common import table
+from . import jaccard, langid, mixing, packing, secrets, token_files
+from .common import crc_mod, table
 
 
 def vocabulary(name: str) -> str:
@@ -34,12 +35,25 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), repeats=4.0).select("doc_id", "source", "tokens", "pass", "block_draw", "draw")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_secret_scan": op3_secret_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_jaccard_join": op6_jaccard_join,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_language_id": op9_language_id,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.oracle_sql(), "op8_source_mixing": mixing.oracle_sql(4.0)}

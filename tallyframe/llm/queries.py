@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, secrets, token_files
+from . import jaccard, langid, mixing, packing, quality, secrets, token_files, toxicity
 from .common import crc_mod, table
 
 
@@ -35,6 +35,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
+    rules = quality.fit(docs.filter(~F.col("held_out")).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    return quality.score(docs, rules, "doc_id", "held_out").withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), repeats=4.0).select("doc_id", "source", "tokens", "pass", "block_draw", "draw")
 
@@ -46,13 +52,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").filter(~held_out)
+    scored = toxicity.score(docs.withColumn("held_out", held_out), toxicity.fit(labelled))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_secret_scan": op3_secret_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_quality_rules": op7_quality_rules,
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL of those queries that SQL can express.

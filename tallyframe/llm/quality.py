@@ -1,6 +1,6 @@
 """Quality by a sparse ensemble of rules over text statistics.
 
-1. Statistics of whole texts, as Spark columns: `STATISTICS`.
+1. Statistics of whole texts, as Spark columns: `statistics`.
 2. On the driver, from a bounded sample of labelled rows (FIT_ROWS, a few numbers each): shallow trees are grown on
    bootstrap samples, each over some of the statistics; every path to a node is a conjunctive rule.
 3. A lasso logistic regression over the rules gives weights, most of them zero.
@@ -29,20 +29,26 @@ def _share(pattern: str) -> Column:
     return F.regexp_count("t", F.lit(pattern)) / (F.col("n") + 1)
 
 
-#: Name and column of each statistic; t is the text, n its length, w its words, k the number of words.
-STATISTICS: dict[str, Column] = {
-    "length": F.log1p("n"),
-    "words": F.log1p("k"),
-    "distinct": F.size(F.array_distinct("w")) / (F.col("k") + 1),
-    "word_length": F.col("n") / (F.col("k") + 1),
-    "upper": _share("[A-Z]"),
-    "digits": _share("[0-9]"),
-    "stops": _share("[.,;:]"),
-    "marks": _share("[!?]"),
-    "symbols": _share(r"[#$%&*@^~_=+<>|\\/{}\[\]]"),
-    "lines": _share("\n"),
-    "repeats": _share(r"(?<![^ \n])([^ \n]+) \1(?![^ \n])"),
-}
+#: The statistics, in the order of statistics().
+NAMES = ("length", "words", "distinct", "word_length", "upper", "digits", "stops", "marks", "symbols", "lines", "repeats")
+
+
+def statistics() -> dict[str, Column]:
+    """Name and column of each statistic; t is the text, n its length, w its words, k the number of words."""
+    columns = (
+        F.log1p("n"),
+        F.log1p("k"),
+        F.size(F.array_distinct("w")) / (F.col("k") + 1),
+        F.col("n") / (F.col("k") + 1),
+        _share("[A-Z]"),
+        _share("[0-9]"),
+        _share("[.,;:]"),
+        _share("[!?]"),
+        _share(r"[#$%&*@^~_=+<>|\\/{}\[\]]"),
+        _share("\n"),
+        _share(r"(?<![^ \n])([^ \n]+) \1(?![^ \n])"),
+    )
+    return dict(zip(NAMES, columns, strict=True))
 
 
 def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
@@ -50,7 +56,7 @@ def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(*keep, text.alias("t"), F.length(text).alias("n"), F.filter(F.split(text, "[ \n\t]+"), lambda x: x != "").alias("w"))
     rows = rows.select(*keep, "t", "n", "w", F.size("w").alias("k"))
-    return rows.select(*keep, *[c.cast("double").alias(name) for name, c in STATISTICS.items()])
+    return rows.select(*keep, *[c.cast("double").alias(name) for name, c in statistics().items()])
 
 
 @dataclass(frozen=True)
@@ -131,7 +137,7 @@ def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 15
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, trees: int = 24, depth: int = 3, penalty: float = 1e-3, seed: int = 1) -> Rules:
     """Learns from labelled: doc_id, text, quality (0 or 1; other rows are left out)."""
     known = labelled.filter("quality in (0, 1)").select("doc_id", "text", F.col("quality").cast("double").alias("y"))
-    names = list(STATISTICS)
+    names = list(NAMES)
     got = with_statistics(bounded_sample(known, F.col("doc_id"), rows), "doc_id", "y").toPandas().sort_values("doc_id", kind="stable")
     y = got["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():

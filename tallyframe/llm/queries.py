@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, quality, secrets, token_files, toxicity
+from . import jaccard, langid, mixing, packing, quality, secrets, token_files, topk, toxicity
 from .common import crc_mod, table
 
 
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, root = token_files.encode_to_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
     return token_files.read_documents(spark, manifest, root)
@@ -61,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_token_files": op2_token_files,
     "op3_secret_scan": op3_secret_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -72,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.oracle_sql(), "op8_source_mixing": mixing.oracle_sql(4.0)}
+ORACLE_SQL: dict[str, str] = {"op1_exact_top_k": topk.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op8_source_mixing": mixing.oracle_sql(4.0)}

@@ -10,11 +10,13 @@ partitions, some partition has fewer than `second` differences, hence one of its
 signature hashes its instance, number and elements. There are some parts more than k + 1, so that linked sets agree in a part
 that isn't empty; a set with too many empty parts for that signs its empty parts too. So no link is missed.
 
-Links are wanted for their groups, so a bucket isn't expanded into pairs: its smallest document is compared with the others,
-exactly, by their sets. Buckets that then still hold documents of different groups are compared further, one document that
-stands apart at a time, or all pairs across groups once these are few: every pair that shares a signature is either compared
-or known to be in one group. Equal sets are one node throughout, and a task emits the signatures of equal sets once, so large
-groups of copies cost a row each.
+Links are wanted for their groups, so a bucket isn't expanded into pairs. First its smallest document is compared with the
+others. Buckets that then still hold documents of different groups are gone through once more, for pairs across groups. Each
+comparison first takes parity sketches: a bit for each cell of the domain says whether the cell holds an odd number of
+elements, so two sketches differ in no more bits than their sets in elements, and a pair over that bound can't link. The few
+pairs left are compared exactly, by their sets. Every pair that shares a signature is thus compared, ruled out, or known to be
+in one group. Large buckets are cut into chunks, and a task holds two chunks of sketches. Equal sets are one node throughout,
+and a task emits the signatures of equal sets once, so large groups of copies cost a row each.
 
 Cases: null and empty texts, and those of white space, have no set and link with nothing. A null doc_id links with nothing and
 has a null component. Repeated rows are copies of each other; doc_id otherwise identifies a text. Other columns are ignored.
@@ -125,6 +127,23 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A parity sketch of at least two bits for each element: bit h mod m of each hash h is flipped."""
+    m = max(256, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """A sketch brought to `size` bytes: parities of cells that fall together add up."""
+    return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def most_apart(na, nb, num: int, den: int):
+    """The most elements in which two linked sets of these sizes differ."""
+    return (na + nb) * (den - num) // (den + num)
+
+
 def _profile(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -134,13 +153,13 @@ def _profile(k: int, num: int, den: int):
                 for text in part.column("text"):
                     s = shingle_set(text.as_py(), k)
                     digest = (int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ _C).sum(dtype=np.uint64).view(np.int64))) if len(s) else (0, 0)
-                    sigs = None
+                    sigs = flips = None
                     if len(s) and digest not in seen:
                         seen.add(digest)
-                        sigs = signatures(s, num, den).view(np.int64)
-                    rows.append((len(s), *digest, sigs))
-                n, h1, h2, sigs = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "sigs"])
+                        sigs, flips = signatures(s, num, den).view(np.int64), sketch(s)
+                    rows.append((len(s), *digest, sigs, flips))
+                n, h1, h2, sigs, flips = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(flips, pa.binary())], ["doc_id", "n", "h1", "h2", "sigs", "sk"])
 
     return run
 
@@ -183,54 +202,111 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     sets = materialize(_sets(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), k), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     na, nb = F.size("sa"), F.size("sb")
-    near = both.filter((F.least(na, nb) * den >= F.greatest(na, nb) * num))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return materialize(near.filter(common * den >= (na + nb - common) * num).select("a", "b"), "linked")
+    return materialize(both.filter(common * den >= (na + nb - common) * num).select("a", "b"), "linked")
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs a, b: those that sizes and sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = most_apart(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), num, den)
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
+                size = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= most[i])
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sk").alias(f"s{c}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    return near.mapInArrow(run, "a long, b long")
+
+
+#: Documents of a bucket that a task holds at a time, twice.
+CHUNK = 2000
+
+
+def _across(left: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """left: sig, doc, g (its group). The pairs a, b of documents that share a signature, in different groups, that sizes and sketches don't rule out."""
+    sizes = left.groupBy("sig").agg(F.count("*").alias("m"), F.min("g").alias("x"), F.max("g").alias("y")).filter("x <> y")
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    dealt = left.join(sizes, "sig").withColumn("c", F.pmod(F.xxhash64("doc"), chunks).cast("int"))
+    # A row for each pair of chunks that the document's chunk is in: one, unless the bucket is large.
+    cells = dealt.select("sig", "doc", "g", "c", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("o")).select("sig", "doc", "g", "c", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
+    rows = cells.join(sketches.select(F.col("rep").alias("doc"), "n", "sk"), "doc")
+
+    def pairs(own: list[tuple]) -> list[tuple[int, int]]:
+        doc, g, c, n = (np.array([r[i] for r in own], np.int64) for i in range(4))
+        if len(own) < 2 or g.min() == g.max():
+            return []
+        size = min(len(r[4]) for r in own)
+        sk = np.array([folded(r[4], size) for r in own])
+        out = []
+        step = max(1, 2_000_000 // (len(own) * size // 8))
+        for i in range(0, len(own), step):
+            at = slice(i, i + step)
+            apart = np.bitwise_count(sk[at, None] ^ sk[None]).sum(2, dtype=np.int64)
+            ok = (apart <= most_apart(n[at, None], n[None], num, den)) & (g[at, None] != g[None]) & (doc[at, None] > doc[None])
+            ok &= np.minimum(n[at, None], n[None]) * den >= np.maximum(n[at, None], n[None]) * num
+            if c.min() != c.max():
+                ok &= c[at, None] != c[None]
+            x, y = np.nonzero(ok)
+            out += zip(doc[x + i].tolist(), doc[y].tolist(), strict=True)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, seen = None, [], set()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            fresh = [p for p in pairs(held) if p not in seen]
+            if len(seen) < 200_000:
+                seen.update(fresh)
+            if fresh:
+                a, b = zip(*fresh, strict=True)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        for batch in batches:
+            columns = [batch.column(x).to_pylist() for x in ("sig", "lo", "hi", "doc", "g", "c", "n", "sk")]
+            for sig, lo, hi, *row in zip(*columns, strict=True):
+                if (sig, lo, hi) != key:
+                    yield from flush()
+                    key, held = (sig, lo, hi), []
+                held.append(tuple(row))
+        yield from flush()
+
+    spread = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+    return spread.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    made = materialize(docs.mapInArrow(_profile(k, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>"), "profiles")
+    made = materialize(docs.mapInArrow(_profile(k, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>, sk binary"), "profiles")
     rows = made.filter("n > 0 and doc_id is not null")
     classes = rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     nodes = materialize(rows.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "rep").distinct(), "nodes")
 
+    sketches = rows.filter("sk is not null").select("doc_id", "n", "sk").join(nodes, "doc_id").groupBy("rep").agg(F.first("n").alias("n"), F.first("sk").alias("sk"))
+    sketches = materialize(sketches, "sketches")
+
     by_sig = Window.partitionBy("sig").orderBy("doc")
     signed = rows.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
     starred = signed.select("sig", "doc", F.first("doc").over(by_sig).alias("top"), F.row_number().over(by_sig).alias("i"))
     stars = materialize(starred.filter("i > 1 and doc <> top").select("sig", "doc", "top"), "stars")
     rep = lambda name: nodes.select(F.col("doc_id").alias(name), F.col("rep").alias(f"{name}_rep"))
     tied = stars.select("doc", "top").distinct().join(rep("doc"), "doc").join(rep("top"), "top").filter("doc_rep <> top_rep")
-    links = _linked(tied.select(F.greatest("doc_rep", "top_rep").alias("a"), F.least("doc_rep", "top_rep").alias("b")).distinct(), docs, k, num, den)
+    first = tied.select(F.greatest("doc_rep", "top_rep").alias("a"), F.least("doc_rep", "top_rep").alias("b")).distinct()
+    links = _linked(_possible(first, sketches, num, den), docs, k, num, den)
     groups = materialize(components(links), "groups")
 
     # Each smallest document has been compared with its whole bucket; the others remain, where there are two at least.
     several = stars.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig")
     left = stars.join(several, "sig").select("sig", "doc").join(rep("doc"), "doc").select("sig", F.col("doc_rep").alias("doc")).distinct()
-    while True:
-        grouped = left.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("g"))
-        mixed = grouped.groupBy("sig").agg(F.min("g").alias("x"), F.max("g").alias("y")).filter("x <> y").select("sig")
-        left = materialize(grouped.join(mixed, "sig"), "left")
-        sizes = left.groupBy("sig", "g").agg(F.count("*").alias("c"), F.min("doc").alias("d"))
-        per = sizes.groupBy("sig").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.min(F.struct("c", "d")).alias("apart"))
-        rows_left, pairs_left = per.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0))).first()
-        if not rows_left:
-            break
-        last = pairs_left <= 8 * rows_left
-        if last:
-            x, y = (left.select("sig", F.col("doc").alias(c), F.col("g").alias(f"g{c}")) for c in "ab")
-            pairs = x.join(y, "sig").filter("ga <> gb and a > b")
-        else:
-            pivot = per.select("sig", F.col("apart.d").alias("b"))
-            pairs = left.join(pivot, "sig").join(sizes.select("sig", F.col("d").alias("b"), F.col("g").alias("gb")), ["sig", "b"]).filter("g <> gb").select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b"))
-        found = _linked(pairs.select("a", "b").distinct(), docs, k, num, den)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            groups = materialize(components(links), "groups")
-        if last:
-            break
-        left = left.select("sig", "doc").join(pivot.select("sig", F.col("b").alias("doc")), ["sig", "doc"], "left_anti")
+    left = left.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("g"))
+    found = _linked(_across(materialize(left, "left"), sketches, num, den), docs, k, num, den)
+    if not found.isEmpty():
+        groups = materialize(components(links.unionByName(found)), "groups")
 
     placed = nodes.join(groups, nodes.rep == groups.node, "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     return made.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))

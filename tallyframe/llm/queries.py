@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, quality, secrets, token_files, topk, toxicity
+from . import jaccard, langid, mixing, neargraph, packing, quality, secrets, token_files, topk, toxicity
 from .common import crc_mod, table
 
 
@@ -31,6 +31,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_near_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neargraph.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_token_files": op2_token_files,
     "op3_secret_scan": op3_secret_scan,
+    "op4_near_graph": op4_near_graph,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality_rules": op7_quality_rules,

@@ -1 +1,167 @@
-"""Part of tallyframe."""
+"""Files to tokens: format sniffing, admission, spreadsheets and CSV. PDF needs a library that isn't here: an error row."""
+
+from __future__ import annotations
+
+import csv
+import io
+import re
+import zipfile
+from datetime import date, timedelta
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# What may be read, and the most bytes of a file.
+EXTENSIONS = ("pdf", "xlsx", "xlsm", "xls", "csv")
+LIMIT = 15 * 1024 * 1024
+BLANK = re.compile(r"^[\s\-_.–—]*$")
+_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def sniff(content: Column, name: Column) -> Column:
+    """pdf, excel, csv, or an error code, by the first bytes, then by the name."""
+    head, low = F.hex(F.substring(content, 1, 8)), F.lower(name)
+    starts = lambda *xs: head.rlike("^(" + "|".join(xs) + ")")
+    return (
+        F.when(starts("25504446"), "pdf").when(starts("504B0304", "504B0506", "D0CF11E0A1B11AE1"), "excel")
+        .when(F.endswith(low, F.lit(".csv")), "csv").when(F.endswith(low, F.lit(".pdf")), "CORRUPT_PDF").otherwise("UNRECOGNISED_CONTENT")
+    )
+
+
+def admit(length: Column, name: Column, limit: int = LIMIT) -> Column:
+    """Null, or the code of what keeps a file out."""
+    kind = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    return F.when(~kind.isin(*EXTENSIONS), "UNSUPPORTED_FORMAT").when(length > limit, "FILE_TOO_LARGE").when(length == 0, "EMPTY_FILE")
+
+
+def cell_text(value) -> str:
+    if value is None:
+        return ""
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, date):
+        return value.isoformat()[:10]
+    if isinstance(value, float):
+        return str(int(value)) if value == int(value) and abs(value) < 1e15 else repr(value)
+    return str(value)
+
+
+def workbook(content: bytes) -> list[tuple[str, list[list]]]:
+    """Sheets of an xlsx file: name and rows of cells (text, number, boolean, date or None)."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
+        read = lambda n: ElementTree.fromstring(z.read(n))
+        shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in read("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
+        dated = _date_styles(read("xl/styles.xml")) if "xl/styles.xml" in names else set()
+        targets = {r.get("Id"): r.get("Target") for r in read("xl/_rels/workbook.xml.rels")}
+        out = []
+        for sheet in read("xl/workbook.xml").iter(f"{_NS}sheet"):
+            path = targets[sheet.get(f"{_REL}id")].lstrip("/")
+            rows: list[list] = []
+            for r in read(path if path.startswith("xl/") else f"xl/{path}").iter(f"{_NS}row"):
+                row: list = []
+                for c in r.iter(f"{_NS}c"):
+                    at = _column(c.get("r")) if c.get("r") else len(row)
+                    row += [None] * (at - len(row))
+                    row.append(_cell(c, shared, dated))
+                rows.append(row)
+            out.append((sheet.get("name"), rows))
+        return out
+
+
+def _column(ref: str) -> int:
+    n = 0
+    for ch in ref:
+        if ch.isalpha():
+            n = n * 26 + ord(ch.upper()) - 64
+    return n - 1
+
+
+def _date_styles(styles) -> set[int]:
+    """Cell styles that show dates: built-in formats, and own ones that hold a day or year."""
+    own = {f.get("numFmtId"): f.get("formatCode") or "" for f in styles.iter(f"{_NS}numFmt")}
+    is_date = lambda i: i in map(str, [*range(14, 23), *range(45, 48)]) or bool(re.search("[dy]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", own.get(i, "")), re.I))
+    xfs = styles.find(f"{_NS}cellXfs")
+    return {k for k, x in enumerate(xfs if xfs is not None else []) if is_date(x.get("numFmtId", "0"))}
+
+
+def _cell(c, shared: list[str], dated: set[int]):
+    kind, v = c.get("t"), c.find(f"{_NS}v")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in c.iter(f"{_NS}t"))
+    if v is None or v.text is None:
+        return None
+    if kind == "s":
+        return shared[int(v.text)]
+    if kind in ("str", "e"):
+        return v.text
+    if kind == "b":
+        return v.text == "1"
+    n = float(v.text)
+    return date(1899, 12, 30) + timedelta(days=int(n)) if int(c.get("s", "0")) in dated else n
+
+
+def grid_tokens(sheets: list[tuple[str, list[list]]]) -> list[tuple]:
+    """Tokens of sheets: a sheet is a page, a column 120 units wide, a row 20 units high; blank rows go first."""
+    out = []
+    for page, (_, rows) in enumerate(sheets, 1):
+        full = [r for r in rows if any(cell_text(v).strip() for v in r)]
+        seq = 0
+        for i, row in enumerate(full):
+            for j, v in enumerate(row):
+                text = cell_text(v).strip()
+                if text and not BLANK.match(text):
+                    out.append((page, seq, text, 120.0 * j, -20.0 * i, min(6.0 * len(text), 100.0), 10.0, isinstance(v, float)))
+                    seq += 1
+    return out
+
+
+def csv_grid(content: bytes) -> list[list]:
+    """Rows of a CSV file; texts that are numbers become such."""
+    def typed(s: str):
+        return float(s) if re.fullmatch(r"-?\d+(\.\d+)?", s.strip()) else s
+
+    return [[typed(s) for s in row] for row in csv.reader(io.StringIO(content.decode("utf-8-sig", "replace")))]
+
+
+def tokens_of_files(files: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """files: path, length, content (as binaryFile yields). Tokens with doc_id = path; a file that can't be read is one row with code instead."""
+    sized = files.withColumns({"code": F.coalesce(admit(F.col("length"), F.col("path"), limit)), "kind": sniff(F.col("content"), F.col("path"))})
+    schema = "doc_id string, page int, token_seq int, text string, x double, y double, width double, height double, is_numeric boolean, code string"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for own in batches:
+            rows = []
+            for f in own.itertuples():
+                code, got = f.code, []
+                if code is None and f.kind in ("excel", "csv"):
+                    try:
+                        sheets = [("", csv_grid(f.content))] if f.kind == "csv" else workbook(f.content)
+                        got = grid_tokens(sheets)
+                        code = None if got else "EMPTY_WORKBOOK"
+                    except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError):
+                        code = "UNREADABLE_SPREADSHEET"
+                elif code is None:
+                    code = "UNREADABLE_PDF" if f.kind == "pdf" else f.kind
+                rows += [(f.path, *t, None) for t in got] or [(f.path, *[None] * 8, code)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return sized.select("path", "content", "code", "kind").mapInPandas(run, schema)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def save_report(report: DataFrame, path: str) -> None:
+    """One JSON document for each statement."""
+    report.write.mode("overwrite").json(path)
+
+
+def errors(tokens: DataFrame) -> DataFrame:
+    """doc_id, code: the dead-letter rows of tokens_of_files()."""
+    return tokens.filter("code is not null").select("doc_id", "code")

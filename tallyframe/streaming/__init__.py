@@ -1 +1,23 @@
-"""Part of tallyframe."""
+"""Files as they arrive: each batch runs through the same transformations."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .. import sources
+from ..operators import analysis, statement
+
+
+def reports(files: DataFrame, width: float = 595.0) -> DataFrame:
+    """Files to reports, one row for each document that can be read."""
+    tokens = sources.tokens_of_files(files).filter("code is null").drop("code")
+    return analysis.report(statement.figures_of(statement.statements(tokens, width)))
+
+
+def watch(spark: SparkSession, path: str, checkpoint: str, sink: Callable[[DataFrame, int], None], width: float = 595.0):
+    """Starts a stream over a folder; each micro-batch of files is read, analysed and given to the sink with its number."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    stream = spark.readStream.format("binaryFile").schema(schema).load(path)
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: sink(reports(df, width), n)).start()

@@ -1,17 +1,20 @@
 """Page geometry: rows from baselines, value columns from right edges, cells, and labels matched with figures.
 
-These steps depend on order (running means, a dynamic program), so a page is one group of a grouped Arrow or pandas function;
-what doesn't depend on order is left to built-in operators. A page is bounded in size, a document isn't needed in one place.
+These steps depend on order (running means, a dynamic program), so pages are streamed
+through Arrow batches, one at a time; what doesn't depend on order is left to built-in operators. A page is bounded in size, a document isn't needed in one place.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from math import exp
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from math import exp, inf
+from operator import itemgetter
+from statistics import fmean, median
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,24 +48,24 @@ class Row:
     cells: list[Cell] = field(default_factory=list)
 
 
-def build_rows(tokens: pd.DataFrame, page: int = 1) -> list[Row]:
-    """Rows of a page: a token joins the last row if its baseline is near the row's running mean."""
-    t = tokens[tokens["text"].str.strip() != ""].sort_values(["y", "x", "token_seq"], ascending=[False, True, True], kind="stable")
-    heights = t.loc[t["height"] > 0, "height"]
-    near = max(2.5, 0.6 * (float(heights.median()) if len(heights) else 8.0))
+def build_rows(tokens: list[tuple], page: int = 1) -> list[Row]:
+    """Rows of a page, of tokens (token_seq, text, x, y, width, height, is_numeric): a token joins the last row if its baseline is near the row's running mean."""
+    kept = sorted(((t[0], t[1].strip(), *t[2:]) for t in tokens if t[1] and t[1].strip()), key=lambda t: (-t[3], t[2], t[0]))
+    heights = [t[5] for t in kept if t[5] > 0]
+    near = max(2.5, 0.6 * (median(heights) if heights else 8.0))
     rows: list[list] = []
     mean = 0.0
-    for r in t.itertuples():
-        if rows and abs(mean - r.y) <= near:
-            rows[-1].append(r)
-            mean += (r.y - mean) / len(rows[-1])
+    for t in kept:
+        if rows and abs(mean - t[3]) <= near:
+            rows[-1].append(t)
+            mean += (t[3] - mean) / len(rows[-1])
         else:
-            rows.append([r])
-            mean = r.y
+            rows.append([t])
+            mean = t[3]
     out = []
     for own in rows:
-        own.sort(key=lambda r: r.x)
-        out.append(Row(sum(r.y for r in own) / len(own), page, [(r.text.strip(), r.x, r.width, bool(r.is_numeric)) for r in own]))
+        own.sort(key=lambda t: t[2])
+        out.append(Row(sum(t[3] for t in own) / len(own), page, [(t[1], t[2], t[4], bool(t[6])) for t in own]))
     return out
 
 
@@ -99,14 +102,17 @@ def value_columns(rows: list[Row], width: float) -> list[dict]:
         return []
     near = max(8.0, 0.035 * width)
     groups: list[list] = []
+    total = 0.0
     for right, left in runs:
-        if groups and right - float(np.mean([g[0] for g in groups[-1]])) <= near:
+        if groups and right - total / len(groups[-1]) <= near:
             groups[-1].append((right, left))
+            total += right
         else:
             groups.append([(right, left)])
+            total = right
     least = 3 if len(runs) >= 8 else 2
     groups = [g for g in groups if len(g) >= least] or groups
-    found = [{"right_edge": float(np.median([r for r, _ in g])), "left": min(x for _, x in g), "right": max(r for r, _ in g), "support": len(g)} for g in groups]
+    found = [{"right_edge": median([r for r, _ in g]), "left": min(x for _, x in g), "right": max(r for r, _ in g), "support": len(g)} for g in groups]
     return [dict(c, column_index=i) for i, c in enumerate(sorted(found, key=lambda c: c["right_edge"]))]
 
 
@@ -157,7 +163,7 @@ def vertical_offset(rows: list[Row]) -> float:
             last = r.y
         elif r.cells and last is not None and NEAR_Y[0] <= last - r.y <= NEAR_Y[1]:
             seen.append(last - r.y)
-    return float(np.median(seen)) if seen else 0.0
+    return median(seen) if seen else 0.0
 
 
 def align(rows: list[Row], offset: float | None = None) -> list[tuple[Row, Row | None, float]]:
@@ -165,27 +171,30 @@ def align(rows: list[Row], offset: float | None = None) -> list[tuple[Row, Row |
     offset = vertical_offset(rows) if offset is None else offset
     labels, figures = [r for r in rows if r.label.strip()], [r for r in rows if r.cells]
     n, m = len(labels), len(figures)
-    fit = np.full((n, m), -np.inf)
+    fit = [[-inf] * m for _ in labels]
     for i, a in enumerate(labels):
         weight = 0.55 + 0.45 * leaf_score(a.label)
         for j, b in enumerate(figures):
             if NEAR_Y[0] <= a.y - b.y <= NEAR_Y[1]:
-                fit[i, j] = exp(-0.5 * ((a.y - b.y - offset) / SIGMA) ** 2) * weight
-    score = np.zeros((n + 1, m + 1))
-    score[0] = -DROP * np.arange(m + 1)
-    came = np.zeros((n + 1, m + 1), int)  # 0: label without figures, 1: figures dropped, 2: matched; a later one needs a better score
-    came[0, 1:] = 1
-    for i in range(1, n + 1):
+                fit[i][j] = exp(-0.5 * ((a.y - b.y - offset) / SIGMA) ** 2) * weight
+    above = [-DROP * j for j in range(m + 1)]
+    came = [[1] * (m + 1)]  # 0: label without figures, 1: figures dropped, 2: matched; a later one needs a better score
+    for own in fit:
+        score, steps = [0.0], [0]
         for j in range(1, m + 1):
-            best = (score[i - 1, j], 0)
-            for s, k in ((score[i, j - 1] - DROP, 1), (score[i - 1, j - 1] + fit[i - 1, j - 1], 2)):
-                if s > best[0]:
-                    best = (s, k)
-            score[i, j], came[i, j] = best
+            best, step = above[j], 0
+            if score[j - 1] - DROP > best:
+                best, step = score[j - 1] - DROP, 1
+            if above[j - 1] + own[j - 1] > best:
+                best, step = above[j - 1] + own[j - 1], 2
+            score.append(best)
+            steps.append(step)
+        above = score
+        came.append(steps)
     chosen: dict[int, int] = {}
     i, j = n, m
     while i and j:
-        k = came[i, j]
+        k = came[i][j]
         if k == 2:
             chosen[i - 1] = j - 1
         i, j = i - (k != 1), j - (k != 0)
@@ -195,53 +204,95 @@ def align(rows: list[Row], offset: float | None = None) -> list[tuple[Row, Row |
             out.append((a, None, 0.0))
             continue
         b = figures[chosen[i]]
-        out.append((a, b, 0.6 * max(0.0, min(1.0, fit[i, chosen[i]])) + 0.4 * float(np.mean([c.confidence for c in b.cells]))))
+        out.append((a, b, 0.6 * max(0.0, min(1.0, fit[i][chosen[i]])) + 0.4 * fmean(c.confidence for c in b.cells)))
     return out
 
 
-def read_page(tokens: pd.DataFrame, page: int, width: float) -> tuple[list[Row], list[dict]]:
+def read_page(tokens: list[tuple], page: int, width: float) -> tuple[list[Row], list[dict]]:
     rows = build_rows(tokens, page)
     columns = value_columns(rows, width)
     assign_cells(rows, columns, width)
     return rows, columns
 
 
+FIELDS = ("token_seq", "text", "x", "y", "width", "height", "is_numeric")
+
+
+def by_page(tokens: DataFrame, schema: str, rows_of: Callable[[str, int, list[tuple]], list[tuple]]) -> DataFrame:
+    """Runs a function over each page's tokens. Pages are sorted within partitions and streamed: a task holds one page at a time."""
+    names = [x.split()[0] for x in _split(schema)]
+    kinds = _arrow(schema, tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def stream() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", *FIELDS)), strict=True)
+
+        for (doc_id, page), own in groupby(stream(), key=itemgetter(0, 1)):
+            held += [(doc_id, page, *r) for r in rows_of(doc_id, page, [t[2:] for t in own])]
+            if len(held) >= 5000:
+                yield _batch(held, names, kinds)
+                held = []
+        if held:
+            yield _batch(held, names, kinds)
+
+    dealt = tokens.select("doc_id", "page", *FIELDS).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "token_seq")
+    return dealt.mapInArrow(run, schema)
+
+
+def _split(schema: str) -> list[str]:
+    """The fields of a flat or nested schema text."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+def _arrow(schema: str, tokens: DataFrame) -> list[pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return [to_arrow_type(f.dataType) for f in tokens.sparkSession.createDataFrame([], schema).schema]
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
 def page_rows(tokens: DataFrame, width: float = 595.0) -> DataFrame:
-    """tokens to doc_id, page, row_seq, y, label, n_tokens, cells. Tokens of a page are one group."""
+    """tokens to doc_id, page, row_seq, y, label, n_tokens, cells."""
 
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = read_page(own, int(key[1]), width)
-        cells = [[{"column_index": c.column, "value": c.value, "confidence": c.confidence, "x": c.x, "width": c.width} for c in r.cells] for r in rows]
-        return pd.DataFrame({"doc_id": key[0], "page": key[1], "row_seq": range(len(rows)), "y": [r.y for r in rows], "label": [r.label for r in rows], "n_tokens": [len(r.tokens) for r in rows], "cells": cells})
+    def rows_of(_: str, page: int, own: list[tuple]) -> list[tuple]:
+        rows, _ = read_page(own, page, width)
+        cell = lambda c: {"column_index": c.column, "value": c.value, "confidence": c.confidence, "x": c.x, "width": c.width}
+        return [(i, r.y, r.label, len(r.tokens), [cell(c) for c in r.cells]) for i, r in enumerate(rows)]
 
-    schema = "doc_id string, page int, row_seq int, y double, label string, n_tokens int, cells array<struct<column_index:int,value:double,confidence:double,x:double,width:double>>"
-    return tokens.groupBy("doc_id", "page").applyInPandas(run, schema)
+    return by_page(tokens, "doc_id string, page int, row_seq int, y double, label string, n_tokens int, cells array<struct<column_index:int,value:double,confidence:double,x:double,width:double>>", rows_of)
 
 
 def page_columns(tokens: DataFrame, width: float = 595.0) -> DataFrame:
     """tokens to doc_id, page, column_index, right_edge, left, right, support."""
 
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        _, columns = read_page(own, int(key[1]), width)
-        out = pd.DataFrame(columns, columns=["column_index", "right_edge", "left", "right", "support"])
-        return out.assign(doc_id=key[0], page=key[1])[["doc_id", "page", "column_index", "right_edge", "left", "right", "support"]]
+    def rows_of(_: str, page: int, own: list[tuple]) -> list[tuple]:
+        return [tuple(c[k] for k in ("column_index", "right_edge", "left", "right", "support")) for c in value_columns(build_rows(own, page), width)]
 
-    return tokens.groupBy("doc_id", "page").applyInPandas(run, "doc_id string, page int, column_index int, right_edge double, left double, right double, support int")
+    return by_page(tokens, "doc_id string, page int, column_index int, right_edge double, left double, right double, support int", rows_of)
 
 
 def aligned(tokens: DataFrame, width: float = 595.0) -> DataFrame:
     """tokens to doc_id, page, label_seq, label, y, value_y, values, confidence, offset."""
 
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = read_page(own, int(key[1]), width)
+    def rows_of(_: str, page: int, own: list[tuple]) -> list[tuple]:
+        rows, _ = read_page(own, page, width)
         offset = vertical_offset(rows)
-        pairs = align(rows, offset)
-        return pd.DataFrame({
-            "doc_id": key[0], "page": key[1], "label_seq": range(len(pairs)), "label": [a.label for a, _, _ in pairs], "y": [a.y for a, _, _ in pairs],
-            "value_y": [b.y if b else None for _, b, _ in pairs], "values": [[c.value for c in b.cells] if b else [] for _, b, _ in pairs], "confidence": [s for _, _, s in pairs], "offset": offset,
-        })
+        return [(i, a.label, a.y, b.y if b else None, [c.value for c in b.cells] if b else [], sure, offset) for i, (a, b, sure) in enumerate(align(rows, offset))]
 
-    return tokens.groupBy("doc_id", "page").applyInPandas(run, "doc_id string, page int, label_seq int, label string, y double, value_y double, values array<double>, confidence double, offset double")
+    return by_page(tokens, "doc_id string, page int, label_seq int, label string, y double, value_y double, values array<double>, confidence double, offset double", rows_of)
 
 
 def stitched(tokens: DataFrame, gap: float = 4.0, by: tuple[str, ...] = ("doc_id", "page", "line")) -> DataFrame:

@@ -25,9 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, crc_mod(F.col("doc_id"), 4) != 2)
     if not model.families:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    marked = langid.predict(docs.withColumnRenamed("score", "score_") if "score" in docs.columns else docs, model)
-    kept = marked.filter(F.col("lang_pred") != langid.UNDETERMINED).withColumn("lang", F.col("lang_pred")).drop("lang_pred", "score")
-    return kept.withColumnRenamed("score_", "score").select(*docs.columns)
+    clear = "_".join(["predicted", *docs.columns])  # longer than any column of docs, hence none of them
+    marked = langid.predict(docs, model, (clear, f"{clear}_score"))
+    return marked.filter(F.col(clear) != langid.UNDETERMINED).withColumn("lang", F.col(clear)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,18 +142,18 @@ def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Mo
     return Model(families, members, weights, pairs)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score added (a clashing column is replaced)."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score added, under these names (a clashing column is replaced)."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    kept = docs.drop(*names)
+    schema = StructType([*kept.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
             got = [own.predict(x.as_py()) for x in batch.column("text")]
             new = [pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
     return kept.mapInArrow(run, schema)

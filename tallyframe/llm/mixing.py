@@ -89,7 +89,8 @@ def mix(docs: DataFrame, repeats: float | None = 4.0, entropy: float | None = No
     """
     kept = [c for c in docs.columns if c not in ("tokens", "pass", "block_draw", "draw")]
     source = {"sn": F.col("source").isNull(), "sk": F.coalesce(F.col("source").cast("string"), F.lit(""))}
-    rows = with_tokens(docs.select(*kept)).withColumns(source)
+    row = F.struct(*kept).alias("row")  # so that no column of docs clashes with those used here
+    rows = with_tokens(docs.select(row, "doc_id", "text", "source")).withColumns(source)
     narrow = materialize(rows.select("sn", "sk", "source", "doc_id", "tokens"), "tokens")
     given = weights(narrow.select("source", "tokens"), repeats, entropy, budget).withColumns(source)
     whole = F.when(F.col("held") > 0, F.floor(F.col("part") / F.col("held"))).otherwise(F.lit(1)).cast("int")
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, repeats: float | None = 4.0, entropy: float | None = No
     passes = F.explode(F.sequence(F.lit(0), F.col("whole") - F.when(F.col("cut").isNull(), 1).otherwise(0)))
     each = rows.join(near(full), ["sn", "sk"]).filter("whole > 0 or cut is not null").withColumn("pass", passes)
     each = each.withColumns({"block_draw": block_draw, "draw": draw})
-    return each.filter("pass < whole or block_draw < cut_block or (block_draw = cut_block and draw <= cut)").select(*kept, "tokens", "pass", "block_draw", "draw")
+    return each.filter("pass < whole or block_draw < cut_block or (block_draw = cut_block and draw <= cut)").select(*[F.col("row")[c].alias(c) for c in kept], "tokens", "pass", "block_draw", "draw")
 
 
 def oracle_sql(repeats: float = 4.0, seed: int = 1, blocks: int = 4096) -> str:

@@ -217,7 +217,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
     """
     found = scan(docs, rules).filter(F.size("spans") > 0).select("kh", "kd", "spans").dropDuplicates(["kh", "kd"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({"kh": F.xxhash64(F.col("doc_id").cast("long"), text), "kd": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
+    row = F.struct(*docs.columns).alias("row")  # so that no column of docs clashes with those used here
+    rows = docs.select(row, text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("kh"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("kd"))
 
     def step(state: Column, x: Column) -> Column:
         fresh = x["start"] >= state["at"]
@@ -226,10 +227,12 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     anew = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    both = rows.join(found, ["kh", "kd"], "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(anew))
+    both = rows.join(found, ["kh", "kd"], "left").withColumn("anew", F.when(F.col("spans").isNotNull(), anew))
+    kept = F.col("anew").isNull()
+    changed = {"text": F.when(kept, F.col("row.text")).otherwise(F.col("anew"))}
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+        changed["n_chars"] = F.when(kept, F.col("row.n_chars")).otherwise(F.length("anew").cast(docs.schema["n_chars"].dataType))
+    return both.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:

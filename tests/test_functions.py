@@ -63,3 +63,18 @@ def test_headers():
     assert headers.unit_text("Amounts in USD thousands") == (1000.0, "Thousand") and headers.unit_text("in Rs. crores")[0] == 1e7
     assert headers.currency_text("stated in USD") == "USD" and headers.currency_text("none") == "INR"
     assert headers.header_label("(Amount in Rs.) 31st Mar 2024", 2024) == "31st Mar 2024"
+
+
+def test_display():
+    from tallyframe.functions import display as d
+
+    assert d.money(1_500, "USD") == "$1.5K" and d.money(None) == "—" and d.exact(1234567.5) == "₹12,34,567.5" and d.exact(-1234.0, "USD") == "$-1,234"
+    assert d.metric(0.456, "percent") == "45.6%" and d.metric(1.5, "times") == "1.50×" and d.change(0.05, None, "percent") == "+5.0 pts"
+    assert d.change(-2e7, -0.25, "currency") == "-₹2.00 Cr (-25.0%)" and d.change(1.0, 0.5, "ratio") == "+50.0%" and d.change(None, None, "ratio") is None
+    assert d.file_size(2048) == "2 KB" and d.duration(1500) == "1.5 s" and d.lower_first("Total") == "total" and d.lower_first("EPS grew") == "EPS grew"
+
+
+def test_health():
+    from tallyframe.config import Config, health
+
+    assert health(Config())["status"] == "ok" and health()["upload_limit"] == 15 * 1024 * 1024

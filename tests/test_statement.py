@@ -128,3 +128,17 @@ def test_workbook_to_report(spark, tmp_path):
         assert [p["id"] for p in doc["periods"]] == ["FY2024", "FY2023"] and '"Acme Exports LIMITED"' in doc["company"]
     report = A.report(statement.figures_of(parsed)).collect()
     assert len(report) == 2
+
+
+def test_assist_tables(spark):
+    from tallyframe.operators import assist
+
+    rows = A.roll_up(A.wide(figures(spark)))
+    found = A.insights(rows)
+    schema = "doc_id string, summary string, insights array<struct<kind:string,severity:string,title:string,detail:string>>"
+    told = spark.createDataFrame([("d", "x" * 50, [("strength", "low", "Fine", "so"), ("odd", "low", "No", "so")])], schema)
+    assert [r["title"] for r in assist.narrate(found, told).collect()] == ["Fine"]
+    short = spark.createDataFrame([("d", "x", [("strength", "low", "Fine", "so")])], schema)
+    assert assist.narrate(found, short).count() == found.count()
+    block = assist.data_block(A.long(rows), A.metrics(rows), found).first()["block"]
+    assert "currentRatio FY2024 2.65 strong" in block

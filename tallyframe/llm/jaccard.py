@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, scratch_path, written
 from .components import components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -282,7 +282,9 @@ def _across(left: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFra
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    made = materialize(docs.mapInArrow(_profile(k, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>, sk binary"), "profiles")
+    at = scratch_path(docs.sparkSession, "profiles")
+    made = written(docs.mapInArrow(_profile(k, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>, sk binary"), at)
+    counts = materialize(made.select("doc_id", F.col("n").alias("n_shingles")), "counts")
     rows = made.filter("n > 0 and doc_id is not null")
     classes = rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     nodes = materialize(rows.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "rep").distinct(), "nodes")
@@ -294,6 +296,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     signed = rows.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
     starred = signed.select("sig", "doc", F.first("doc").over(by_sig).alias("top"), F.row_number().over(by_sig).alias("i"))
     stars = materialize(starred.filter("i > 1 and doc <> top").select("sig", "doc", "top"), "stars")
+    discard(docs.sparkSession, at)  # all that comes from it is written: it holds the signatures, the largest table here
     rep = lambda name: nodes.select(F.col("doc_id").alias(name), F.col("rep").alias(f"{name}_rep"))
     tied = stars.select("doc", "top").distinct().join(rep("doc"), "doc").join(rep("top"), "top").filter("doc_rep <> top_rep")
     first = tied.select(F.greatest("doc_rep", "top_rep").alias("a"), F.least("doc_rep", "top_rep").alias("b")).distinct()
@@ -309,4 +312,4 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
         groups = materialize(components(links.unionByName(found)), "groups")
 
     placed = nodes.join(groups, nodes.rep == groups.node, "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
-    return made.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    return counts.join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))

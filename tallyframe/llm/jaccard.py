@@ -150,11 +150,11 @@ def _profile(k: int, num: int, den: int):
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 rows: list[tuple] = []
-                for text in part.column("text"):
+                for doc_id, text in zip(part.column("doc_id"), part.column("text"), strict=True):
                     s = shingle_set(text.as_py(), k)
                     digest = (int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ _C).sum(dtype=np.uint64).view(np.int64))) if len(s) else (0, 0)
                     sigs = flips = None
-                    if len(s) and digest not in seen:
+                    if len(s) and doc_id.is_valid and digest not in seen:  # a row without an id is no node: it must not stand for its set
                         seen.add(digest)
                         sigs, flips = signatures(s, num, den).view(np.int64), sketch(s)
                     rows.append((len(s), *digest, sigs, flips))

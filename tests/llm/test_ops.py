@@ -130,6 +130,14 @@ def test_jaccard_groups(spark, docs):
     assert jaccard.jaccard_groups(frame.limit(0)).count() == 0
 
 
+def test_jaccard_null_id_before_its_copy(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base), (1, base), (2, f"{base} tail"), (None, f"{base} tail"), (3, "else where")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_groups(frame).collect()}
+    assert got == {(None, None), (1, 1), (2, 1), (3, 3)}
+
+
 def test_sketches_bound_distances():
     rng = np.random.default_rng(1)
     for n in (5, 100, 900):

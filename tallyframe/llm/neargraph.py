@@ -9,7 +9,10 @@
 5. Each node is a query in the cells of its shards: greedy search from the medoid with a beam, which goes on to the neighbours
    of every node found within range until no new one is in range.
 6. Pairs found are verified in double precision. Recall is audited: a bounded set of queries is compared with all nodes, and
-   below AUDIT_LEAST the graph is built anew with one more overlapping shard, up to MOST_OVERLAP.
+   below AUDIT_LEAST the graph is built anew with one more overlapping shard, up to MOST_OVERLAP. It is the mean over queries
+   that counts, so that a dense group doesn't hide what small ones lose, and the share of all links.
+7. A search doesn't leave its shard, so more overlap may not be enough. If the last audit fails too, all pairs of nodes are
+   compared in blocks: exact, at a cost that grows with the square of the nodes.
 
 Cases: vectors that are null, zero, or hold null or non-finite components link with nothing, each its own component; so do rows
 without an id (component null). Rows that repeat an id and a vector count once. An empty table gives no rows. Vectors of another
@@ -31,6 +34,8 @@ from .components import components
 #: Rows that k-means learns from; nodes that a cell should hold; the most centroids; queries of the audit.
 SAMPLE, TARGET, MOST_CENTROIDS, AUDIT = 16_000, 800, 2048, 256
 AUDIT_LEAST, MOST_OVERLAP = 0.97, 4
+#: Nodes of a block where all pairs are compared; a task holds two blocks.
+BLOCK = 4000
 #: Neighbours of a node in a cell, candidates that they are chosen from, the pruning factor, and the beam of a search.
 DEGREE, CANDIDATES, ALPHA, BEAM = 20, 48, 1.2, 24
 
@@ -215,9 +220,34 @@ def links(nodes: DataFrame, n: int, least: float, overlap: int) -> DataFrame:
     return materialize(rows.groupBy("cell").applyInArrow(_search_cell(least), "a long, b long").distinct(), "near")
 
 
-def recall(nodes: DataFrame, found: DataFrame, n: int, least: float, queries: int = AUDIT) -> tuple[int, int]:
-    """Of a bounded set of queries: links found, and links there are, by comparing them with every node."""
+def all_links(nodes: DataFrame, n: int, least: float) -> DataFrame:
+    """The pairs a, b at least so similar, by comparing all nodes in blocks."""
+    blocks = max(1, -(-n // BLOCK))
+    dealt = nodes.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("c"))
+    # A row for each pair of blocks that the node's block is in.
+    cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("rep", "v", "c", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
+
+    def run(key: tuple, own: pa.Table) -> pa.Table:
+        rep, c, v = own.column("rep").to_numpy(), own.column("c").to_numpy(), _vectors(own.column("v"))
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        lo, hi = (np.flatnonzero(c == k.as_py()) for k in key)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(lo), 512):
+            i, j = np.nonzero(unit[lo[at : at + 512]] @ unit[hi].T >= least)
+            x, y = rep[lo[at + i]], rep[hi[j]]
+            ok = x > y if key[0] == key[1] else x != y
+            found.append((np.maximum(x, y)[ok], np.minimum(x, y)[ok]))
+        a, b = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return materialize(cells.groupBy("lo", "hi").applyInArrow(run, "a long, b long"), "near")
+
+
+def recall(nodes: DataFrame, found: DataFrame, least: float, queries: int = AUDIT) -> float:
+    """The recall of a bounded set of queries, by comparing them with every node: the mean over queries with links, or the share of links found if that is less."""
     picked = bounded_sample(nodes, F.col("rep"), queries).orderBy(F.xxhash64("rep")).limit(2 * queries).toPandas()
+    if picked.empty:
+        return 1.0
     ids, q = picked["rep"].to_numpy(np.int64), np.array([np.frombuffer(b, np.float64) for b in picked["v"]])
     held = nodes.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
 
@@ -229,11 +259,12 @@ def recall(nodes: DataFrame, found: DataFrame, n: int, least: float, queries: in
                 i, j = np.nonzero((v / np.linalg.norm(v, axis=1, keepdims=True)) @ unit.T >= least)
                 ok = rep[i] != own[j]
                 a, b = rep[i][ok], own[j][ok]
-                yield pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+                yield pa.RecordBatch.from_pydict({"q": b, "a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    real = nodes.select("rep", "v").mapInArrow(run, "a long, b long").distinct()
-    have = real.join(found.withColumn("yes", F.lit(1)), ["a", "b"], "left").agg(F.count("yes"), F.count("*")).first()
-    return int(have[0]), int(have[1])
+    real = nodes.select("rep", "v").mapInArrow(run, "q long, a long, b long")
+    have = real.join(found.withColumn("yes", F.lit(1)), ["a", "b"], "left").groupBy("q").agg(F.count("yes").alias("got"), F.count("*").alias("all"))
+    each, share = have.agg(F.avg(F.col("got") / F.col("all")), F.sum("got") / F.sum("all")).first()
+    return 1.0 if each is None else min(each, share)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
@@ -250,9 +281,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         n = nodes.count()
         for overlap in range(2, MOST_OVERLAP + 1):
             own = links(nodes, n, least, overlap)
-            have, real = recall(nodes, own, n, least)
-            if have >= AUDIT_LEAST * real:
+            if recall(nodes, own, least) >= AUDIT_LEAST:
                 break
+        else:
+            own = all_links(nodes, n, least)
         found = own if found is None else found.unionByName(own)
     members = rows.filter("fine").join(classes, "e").select("vec_id", "rep", "copies").distinct()
     if found is None:

@@ -240,6 +240,24 @@ def test_near_graph(spark):
     assert neargraph.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_near_graph_failed_audit(spark, monkeypatch):
+    """Searches that find nothing: the audit fails at each overlap, and all pairs are compared in blocks."""
+    frame, x = vectors(spark, 300)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(neargraph, "links", lambda nodes, n, least, overlap: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(neargraph, "BLOCK", 70, raising=False)
+    got = {r["vec_id"]: r["n_links"] for r in neargraph.near_duplicates(frame).collect()}
+    assert [got[i] for i in range(len(x))] == ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+
+
+def test_near_graph_audit_weighs_queries_alike(spark):
+    """A group of 30, all found, and 10 pairs that are lost: nearly all links, but not nearly all queries."""
+    x = np.vstack([np.eye(11)[[0] * 30] + np.linspace(0, 0.01, 30)[:, None] * np.eye(11)[1], np.repeat(np.eye(11)[1:], 2, axis=0)])
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "rep long, v binary")
+    found = spark.createDataFrame([(a, b) for a in range(30) for b in range(a)], "a long, b long")
+    assert neargraph.recall(nodes, found, 0.95) == pytest.approx(30 / 50)
+
+
 SYLLABLES = {"en": ["the", "ing", "and", "tion", "er"], "de": ["der", "sch", "ung", "ä", "keit"], "fr": ["eau", "eux", "é", "qu", "ent"], "es": ["ción", "ñ", "os", "que", "ado"]}
 
 

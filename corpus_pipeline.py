@@ -30,14 +30,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.filter(F.col(clear) != langid.UNDETERMINED).withColumn("lang", F.col(clear)).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key, and its name: the id, or a number in the order of ids where some have none; those come last, one for each text.
+
+    The key is null where there is neither an id nor a word.
+    """
+    key = "_".join(["key", *docs.columns])  # longer than any column of docs, hence none of them
+    if docs.filter("doc_id is null").isEmpty():
+        return docs.withColumn(key, F.col("doc_id")), key
+    tag = F.when(F.col("doc_id").isNull() & F.col("text").rlike(r"\S"), F.sha2(F.col("text").cast("binary"), 256))
+    tagged = docs.withColumn(f"{key}_tag", tag)
+    units = tagged.select(F.col("doc_id").alias("i"), F.col(f"{key}_tag").alias("t")).filter("i is not null or t is not null").distinct()
+    units = materialize(units.sort(F.asc_nulls_last("i"), "t").withColumn(key, F.monotonically_increasing_id()), "units")
+    same = tagged["doc_id"].eqNullSafe(units["i"]) & tagged[f"{key}_tag"].eqNullSafe(units["t"])
+    return materialize(tagged.join(units, same, "left").select(*docs.columns, key), "keyed"), key
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id.
+    """Keeps of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id, once.
 
-    Rows that repeat a doc_id stand or fall together; rows with a null doc_id stay.
+    Rows with the same id and text are copies, and one of them stays; otherwise rows that repeat an id stand or fall together.
+    Texts without an id take part too, after all that have one. A row with neither an id nor a word stays.
     """
-    groups = jaccard.jaccard_groups(docs.select("doc_id", "text"), k=5, num=80, den=100)
-    gone = materialize(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows, key = _keyed(docs)
+    groups = materialize(jaccard.jaccard_groups(rows.select(F.col(key).alias("doc_id"), "text"), k=5, num=80, den=100), "groups")
+    gone = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    many = materialize(groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")).filter("n > 1").select(key), "many")
+    left = rows.join(gone, key, "left_anti")
+    if not many.isEmpty():
+        left = left.join(many, key, "left_anti").unionByName(left.join(many, key, "left_semi").dropDuplicates([key, "text"]))
+    return left.select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,18 @@ def test_stages_keep_their_contract(spark, tmp_path):
     assert ids("source_mixing") == ids("secret_scan") and ids("best_fit_packing") == ids("source_mixing")
 
 
+def test_one_document_of_each_group(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, base), (1, base), (2, f"{base} tail"), (None, base), (None, f"{base} end"), (None, "a text of its own"), (None, "a text of its own"), (None, None), (None, None), (7, "seven words are here and no more"), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOCS).repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, base), (None, "a text of its own"), (None, None), (None, None), (7, "seven words are here and no more"), (9, "")]
+    assert sorted((repr(r["doc_id"]), repr(r["text"])) for r in got.collect()) == sorted((repr(i), repr(t)) for i, t in want)
+    ided = corpus_pipeline.near_duplicates(spark, docs.filter("doc_id is not null"), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in ided) == [(1, base), (7, "seven words are here and no more"), (9, "")]
+
+
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -195,6 +195,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "substring_distance": _distance,
         "edit_distance": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.levenshtein("p_name", "p_type").alias("distance")),
         "caption_classify": lambda s, d: captions.classify(caption_texts(s).filter("edits = 0").select("synonym", F.concat(F.lit("1) "), "damaged").alias("label"), F.lit(None).cast("string").alias("section"))).select("synonym", "concept"),
+        # Its answer isn't in the undamaged data, so it has no SQL; tests/test_functions.py has it by brute force.
+        "caption_classify_damaged": lambda s, d: captions.classify(caption_texts(s).select("synonym", "edits", F.concat(F.lit("1) "), "damaged").alias("label"), F.lit(None).cast("string").alias("section"))).select("synonym", "edits", "concept"),
         "section_heading": lambda s, d: _headings(s),
         "section_carry_forward": _carry,
         "header_year_month": _header_dates,

@@ -78,3 +78,23 @@ def test_health():
     from tallyframe.config import Config, health
 
     assert health(Config())["status"] == "ok" and health()["upload_limit"] == 15 * 1024 * 1024
+
+
+def test_damaged_captions_query(spark):
+    """All captions, damaged or not: the concept of the synonym, or none where brute force over all parts of the text scores too low."""
+    from tallyframe.plans import texts
+
+    def score(bare, synonym):
+        n = len(synonym)
+        far = min(captions.edit_distance(bare[i:j], synonym) for i in range(len(bare) + 1) for j in range(i, len(bare) + 1) if abs(j - i - n) <= captions.tolerance(n)) if len(bare) + captions.tolerance(n) >= n else n
+        return max(0, 1 - far * 1.6 / n) * (0.6 + 0.4 * min(1, n / 18)) * (0.55 + 0.45 * min(1, n / max(1, len(bare)))) if far <= captions.tolerance(n) else 0
+
+    want = set()
+    for c in CONCEPTS:
+        for s in c["synonyms"]:
+            for edits, bare in enumerate((s, s[: len(s) // 2] + s[len(s) // 2 + 1 :])):
+                known = max(score(bare, x) for x in c["synonyms"]) >= 0.42
+                want.add((s, edits, c["concept"] if known else None))
+    got = texts.queries()["caption_classify_damaged"](spark, "").collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want) and sum(r["edits"] for r in got) * 2 == len(got)
+    assert "caption_classify_damaged" not in texts.oracle_sql()

@@ -7,7 +7,8 @@ Signatures. Sizes are banded so that linked sets lie in the same band or in neig
 b + 1. Two linked sets of an instance differ in at most k elements (their Hamming distance, from the largest sizes). The
 feature domain is cut into first-level partitions of `second` parts each; if linked sets differ in k elements spread over the
 partitions, some partition has fewer than `second` differences, hence one of its enumerated parts is equal in both. A part's
-signature hashes its instance, number and elements. There are some parts more than k + 1, so that linked sets agree in a part
+signature hashes its instance, number and elements. `second` is 2 throughout, so no subsets of several parts are enumerated: it is
+the pigeonhole scheme, with a signature for each part. There are some parts more than k + 1, so that linked sets agree in a part
 that isn't empty; a set with too many empty parts for that signs its empty parts too. So no link is missed.
 
 Links are wanted for their groups, so a bucket isn't expanded into pairs. First its smallest document is compared with the

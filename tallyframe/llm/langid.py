@@ -1,8 +1,8 @@
 """Language identification in two steps: the family, then one-versus-one linear support vector machines within it.
 
 Features: counts of hashed letter n-grams (one to three characters, words apart by one space, lower case), square roots taken,
-of unit length. Learned on the driver from a bounded sample: at most `per_language` labelled documents of each language, whole
-texts (PER_LANGUAGE; a vector of 4096 numbers each). Scoring reads every text once.
+of unit length. Learned on the driver from a bounded sample: at most `per_language` distinct labelled texts of each language,
+whole (PER_LANGUAGE; a vector of 4096 numbers each). Scoring reads every text once.
 
 Cases: a null text, an empty one and one without a letter is `und` with score 0. Without any labelled row every text is `und`
 with score 0; with one language, that is the answer. Repeated rows and ids are scored each; other columns are ignored.
@@ -15,13 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 DIMS = 4096
-#: The most labelled documents of a language that are learned from.
+#: The most distinct labelled texts of a language that are learned from.
 PER_LANGUAGE = 400
+#: Places of a text's hash; a text is sampled if its place is low.
+_PLACES = 1 << 40
 #: Families of languages; a language that isn't listed is a family of its own.
 FAMILY = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
@@ -109,12 +111,17 @@ def _sure(margin: float) -> float:
 def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from text and non-null lang of the rows for which `usable` holds. The driver gets a vector for each sampled row."""
     rows = docs.filter(usable).filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = [(k, int(min(1, per_language / n) * 1_000_000)) for k, n in counts.items()]
+    # Copies count once, in the share and in the sample: a group of copies neither swamps its language nor crowds out the rest.
+    placed = rows.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(_PLACES)))
+    counts = {r["lang"]: r["n"] for r in placed.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # Twice the limit is drawn, so that it's met; the lowest places are taken.
+    share = [(k, int(min(1, 2 * per_language / n) * _PLACES)) for k, n in counts.items()]
     if not share:
         return Model([], {}, np.zeros(0), {})
-    shares = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share int"))
-    picked = rows.join(shares, "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
+    shares = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share long"))
+    drawn = placed.join(shares, "lang").filter(F.col("place") < F.col("share")).select("lang", "text", "place").distinct()
+    by = Window.partitionBy("lang").orderBy("place", "text")
+    picked = drawn.withColumn("i", F.row_number().over(by)).filter(F.col("i") <= per_language).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -278,6 +278,16 @@ def test_language_id(spark, docs):
     assert none.predict("text") == ("und", 0.0) and langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_language_sample_counts_copies_once(spark, monkeypatch):
+    """Rare: 3 texts, one of them repeated 300 times; all 3 are learned from. Common: no more than the limit."""
+    rows = [("aa", f"rare text {'xyz'[i]}") for i in range(3)] + [("aa", "rare text x")] * 300 + [("bb", f"common {'abcdefghij'[i % 10]} {'klmnopqrst'[i // 10]}") for i in range(100)]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    sizes = []
+    monkeypatch.setattr(langid, "svm", lambda x, y: sizes.append(((y > 0).sum(), (y < 0).sum())) or np.zeros(x.shape[1] + 1))
+    langid.fit(frame, F.lit(True), per_language=10)
+    assert sizes == [(3, 10), (10, 3)]
+
+
 def test_quality(spark, docs):
     rng = np.random.default_rng(1)
     rows = [(i, prose(rng, "en", 60) if i % 2 else " ".join(["spam"] * 50 + ["###"] * 10), i % 2, None) for i in range(300)]

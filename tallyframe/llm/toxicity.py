@@ -1,15 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses at sentence marks and line feeds. Each clause runs through a composition of five transducers over
-its words:
+A text is cut into clauses at sentence marks and line feeds. A hand-coded state machine reads a clause's words; no transducers
+are built or composed. It has five parts:
 
-* insult: reads the words of a learned lexicon (whole words, and stems that words begin with) and emits their weights;
-* threat: a first or third person, a verb of harm within three words, emits THREAT;
+* insult: reads the words of a learned lexicon (whole words, and stems that words begin with) and emits their weights, also
+  without a target;
+* threat: a first or third person, a verb of harm within three words, in base or inflected form, emits 1;
 * target: second and third person pronouns, or a name-like "you are", within four words of an insult, raises its weight;
 * negation: a negator within the two words before an insult lowers it ("not an idiot");
 * reported speech: after a verb of saying, or within quotation marks, a clause's insults are lowered.
 
-The composition is one pass over a clause with a small state: how long ago a target, negator, agent was read, and whether
+It is one pass over a clause with a small state: how long ago a target, negator, agent was read, and whether
 speech is reported. A clause's score is the sum of what it emits. A document's score is a logistic function, fitted with the
 lexicon, of its clause scores: their sum, the highest, their number, and their
 sum relative to the text's length.
@@ -43,8 +44,16 @@ STEMS = (4, 5, 6, 7)
 TARGETS = frozenset("you your yours yourself u he she they them him her these those tu te vous toi du dich ihr euch sie usted ustedes ti vosotros".split())
 NEGATORS = frozenset("not never no isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais nunca".split())
 SPEECH = frozenset("said says wrote claims claimed quoted called reported sagte dit dijo".split())
-AGENTS = frozenset("i we i'll we'll ich wir je nous yo nosotros".split())
-HARMS = frozenset("kill hurt destroy beat shoot stab burn crush hunt töten tuer matar".split())
+AGENTS = frozenset(
+    """i we i'll we'll i'm we're i'd we'd he she they he'll she'll they'll he's she's they're he'd she'd they'd ich wir er sie
+    je nous il elle ils elles yo nosotros nosotras él ella ellos ellas""".split()
+)
+HARMS = frozenset(
+    """kill kills killed killing hurt hurts hurting destroy destroys destroyed destroying beat beats beaten beating shoot shoots shot
+    shooting stab stabs stabbed stabbing burn burns burned burnt burning crush crushes crushed crushing hunt hunts hunted hunting
+    töten töte tötest tötet tötete töteten getötet tuer tue tues tuent tuons tuez tuerai tuera tuerons tueront tué tués tuée tuées
+    matar mato matas mata matamos matan mataré matará mataremos matarán mató mataron matado matando""".split()
+)
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]")
@@ -67,7 +76,7 @@ class Grammar:
     seen: dict[str, float] = field(default_factory=dict)
 
     def insult(self, word: str) -> float:
-        """The insult transducer's weight of a word: its own or its heaviest stem's."""
+        """The insult part's weight of a word: its own or its heaviest stem's."""
         if word not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
@@ -79,7 +88,7 @@ class Grammar:
         return self.seen[word]
 
     def clause(self, words: list[str]) -> float:
-        """The score of a clause: one pass of the composed transducers."""
+        """The score of a clause: one pass of the state machine."""
         far = 99
         since_target = since_negator = since_agent = far
         reported, score = False, 0.0

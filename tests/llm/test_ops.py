@@ -326,3 +326,11 @@ def test_grammar_scores_clauses():
     assert said("you are a moron") > said("a moron") > said("they said a moron") > 0
     assert said("not a moron") < said("a moron") and said("i will kill") == 1.0 and said("to kill time") == 0
     assert said("vequeur") == 0.5 and said("a plain clause") == 0
+
+
+def test_threats_of_third_persons_and_inflected():
+    g = toxicity.Grammar()
+    said = lambda t: g.clause(toxicity._WORD.findall(t))
+    for t in ("they will kill", "she was beating", "i'm killing", "he stabbed", "er tötet", "ils tuent", "ellos matan"):
+        assert said(t) == 1.0, t
+    assert said("killing time") == 0 and g.features("They killed.")[2] > 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one of SparkContext.setCheckpointDir.
+
+    Where neither is set, a session whose executor is the driver's own process gets a folder of its own; on a cluster that is an
+    error, since executors would each write to a disk of their own.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
     if not root:
         held = sc._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not sc._jsc.sc().isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
             held = sc._jsc.sc().getCheckpointDir()
         root = held.get()
@@ -44,6 +52,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written(df, scratch_path(df.sparkSession, name))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> Iterator[None]:
+    """Within it, Python workers get batches of at most so many rows and about so many bytes: what is run must be run within it too."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in names]
+    try:
+        for k, v in zip(names, (str(rows), size), strict=True):
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in zip(names, before, strict=True):
+            spark.conf.set(k, v)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """df, written at a path and read back."""
     df.write.parquet(path)

@@ -5,37 +5,44 @@ their sets is at least `num`/`den`.
 
 Signatures. Sizes are banded so that linked sets lie in the same band or in neighbouring ones; instance b serves bands b and
 b + 1. Two linked sets of an instance differ in at most k elements (their Hamming distance, from the largest sizes). The
-feature domain is cut into first-level partitions of `second` parts each; if linked sets differ in k elements spread over the
-partitions, some partition has fewer than `second` differences, hence one of its enumerated parts is equal in both. A part's
-signature hashes its instance, number and elements. `second` is 2 throughout, so no subsets of several parts are enumerated: it is
-the pigeonhole scheme, with a signature for each part. There are some parts more than k + 1, so that linked sets agree in a part
-that isn't empty; a set with too many empty parts for that signs its empty parts too. So no link is missed.
-
-Links are wanted for their groups, so a bucket isn't expanded into pairs. First its smallest document is compared with the
-others. Buckets that then still hold documents of different groups are gone through once more, for pairs across groups. Each
-comparison first takes parity sketches: a bit for each cell of the domain says whether the cell holds an odd number of
-elements, so two sketches differ in no more bits than their sets in elements, and a pair over that bound can't link. The few
-pairs left are compared exactly, by their sets. Every pair that shares a signature is thus compared, ruled out, or known to be
-in one group. Large buckets are cut into chunks, and a task holds two chunks of sketches. Equal sets are one node throughout,
-and a task emits the signatures of equal sets once, so large groups of copies cost a row each.
+feature domain is cut into first-level partitions, each of them into second-level ones. If linked sets differ in k elements,
+few enough of them fall into some first-level partition that one of the subsets of its second-level partitions is equal in
+both: all subsets are enumerated that leave out `out` of them. A subset's signature hashes its instance, number and elements.
+`scheme` picks the numbers for each size band: the fewest signatures whose subsets hold HELD elements on average.
+
+A subset that is empty isn't signed, since all sets would meet there. There are `spare` first-level partitions more than needed,
+so that linked sets agree in more than `spare` of them; a set that has empty subsets in more partitions than that is signed once
+more in another domain (a tier). Linked sets either share a subset with elements, or both go on to the next tier. So no link is missed.
+
+Links are wanted for their groups, so a bucket isn't expanded into pairs. Near sets share most signatures: of the buckets with
+equal members only one is kept. First its smallest document is compared with the others. Buckets whose others are still of
+different groups are gone through once more, for pairs across groups. Each comparison first takes parity sketches: a bit for
+each cell of the domain says whether the cell holds an odd number of elements, so two sketches differ in no more bits than their
+sets in elements, and a pair over that bound can't link. The few pairs left are compared exactly, by their sets. Every pair that
+shares a signature is thus compared, ruled out, or known to be in one group. Large buckets are cut into chunks, and a task holds
+two chunks of sketches. Equal sets are one node throughout, and a task emits the signatures of equal sets once, so large groups
+of copies cost a row each.
 
 Cases: null and empty texts, and those of white space, have no set and link with nothing. A null doc_id links with nothing and
-has a null component. Repeated rows are copies of each other; doc_id otherwise identifies a text. Other columns are ignored.
+has a null component. Repeated rows are copies of each other; rows that repeat an id with different texts each have their row,
+and their id stands for all of these texts. Texts of any length are read whole; ties don't occur (a component's id is its
+smallest). An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil, exp, sqrt
+from itertools import combinations
+from math import comb, erfc, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scratch_path, written
+from .common import discard, materialize, scratch_path, small_batches, written
 from .components import components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -51,7 +58,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -89,43 +96,72 @@ def band_of(n: int, num: int, den: int) -> int:
     return i
 
 
+#: Elements that a signature should hold on average, in the smallest sets of its instance; and the domains that are tried in turn.
+HELD, TIERS = 2.4, 8
+
+
+def _over(mean: float, bound: int) -> float:
+    """The chance that a Poisson number of this mean is over a bound."""
+    if mean > 30:
+        return erfc((bound + 0.5 - mean) / sqrt(2 * mean)) / 2
+    term = total = exp(-mean)
+    for j in range(1, bound + 1):
+        term *= mean / j
+        total += term
+    return max(0.0, 1 - total)
+
+
 @lru_cache(maxsize=None)
-def parts_of(i: int, num: int, den: int, second: int = 2) -> tuple[int, int]:
-    """Of instance i: its parts, and how many may be empty in a set that needn't sign those."""
+def scheme(i: int, num: int, den: int) -> tuple[int, int, int, int]:
+    """Of instance i: first-level partitions, second-level ones in each, how many of these a subset leaves out, and spare partitions.
+
+    It's the setting with the fewest signatures among those whose subsets hold HELD elements on average.
+    """
     low, high = band(i, num, den)
-    k = (high + high * den // num) * (den - num) // (den + num)
+    k = most_apart(high, high * den // num, num, den)
     if k == 0:
-        return 1, 0
-    spare = 0
-    while True:
-        parts = second * ceil((k + 1 + spare) / second)
-        empty = parts * exp(-low / parts)
-        spare = parts - k - 1
-        if spare >= min(k + 1, empty + 3 * sqrt(empty) + 1):
-            return parts, spare
-        spare += 1
+        return 1, 1, 0, 0
+    tried = []
+    for out in range(4):
+        for second in range(out + 1, 8):
+            for spare in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256):
+                first = k // (out + 1) + 1 + spare
+                held, ways = low * (second - out) / (first * second), comb(second, out)
+                again = min(0.9, _over(first * min(1.0, ways * exp(-held)), spare))
+                tried.append((max(0.0, min(HELD, 0.6 * low) - held), first * ways / (1 - again), (first, second, out, spare)))
+    return min(tried)[2]
+
+
+@lru_cache(maxsize=None)
+def subsets(second: int, out: int) -> np.ndarray:
+    """A column for each subset of second-level partitions that leaves out so many."""
+    return np.array([[j not in gone for gone in combinations(range(second), out)] for j in range(second)]).astype(np.uint64)
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """The signatures of a set, given as sorted hashes."""
     own = band_of(len(s), num, den)
-    mixed = mix(s + _A)
-    out = []
+    found = []
     for i in (own, own - 1):
         if i < 0 or len(s) * num > band(i, num, den)[1] * den:
             continue
-        parts, spare = parts_of(i, num, den)
-        at = ((s >> _S32) * np.uint64(parts)) >> _S32
-        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        sums = np.add.reduceat(mixed, starts)
-        salt = mix(np.arange(parts, dtype=np.uint64) + np.uint64((i + 1) << 32))
-        filled = at[starts].astype(np.int64)
-        out.append(mix(mix(sums) + salt[filled]))
-        if parts - len(filled) > spare:
-            empty = np.ones(parts, bool)
-            empty[filled] = False
-            out.append(mix(salt[empty]))
-    return np.concatenate(out)
+        first, second, out, spare = scheme(i, num, den)
+        chosen, cells, h = subsets(second, out), first * second, s
+        for tier in range(TIERS):
+            at = ((h >> _S32) * np.uint64(cells)) >> _S32
+            starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            sums, filled = np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
+            where = at[starts].astype(np.int64)
+            sums[where], filled[where] = np.add.reduceat(mix(h + _A), starts), 1
+            sums, filled = sums.reshape(first, second) @ chosen, (filled.reshape(first, second) @ chosen) > 0
+            salt = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape) + np.uint64((tier << 60) + ((i + 1) << 32))
+            signed = mix(mix(sums) + mix(salt))
+            lacking = int((~filled).any(1).sum())
+            found.append(signed[filled] if lacking <= spare or tier + 1 < TIERS else signed.ravel())
+            if lacking <= spare:
+                break
+            h = np.sort(mix(h + _B))
+    return np.concatenate(found)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -149,7 +185,7 @@ def _profile(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 rows: list[tuple] = []
                 for doc_id, text in zip(part.column("doc_id"), part.column("text"), strict=True):
                     s = shingle_set(text.as_py(), k)
@@ -161,40 +197,51 @@ def _profile(k: int, num: int, den: int):
                     rows.append((len(s), *digest, sigs, flips))
                 n, h1, h2, sigs, flips = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(flips, pa.binary())], ["doc_id", "n", "h1", "h2", "sigs", "sk"])
+        _WORDS.clear()
 
     return run
 
 
-#: Bits of the filter that picks the texts whose sets are compared: its 8 MB are the most that is broadcast, at any input size.
+#: Bits of the filters that pick what is read again: their 8 MB are the most that is broadcast, at any input size.
 FILTER_BITS = 1 << 26
 
 
-def _wanted_bits(ids: DataFrame) -> bytes:
-    """A bit for the hash of each id. The driver gets at most FILTER_BITS / 64 words."""
-    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toPandas()
+def _place(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def _bits(keys: DataFrame, key: str) -> bytes:
+    """A bit for the hash of each key. The driver gets at most FILTER_BITS / 64 words."""
+    words = keys.select(_place(key).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out.tobytes()
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id and set of the documents whose ids are among `ids` (and of a few others that share their bits)."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_wanted_bits(ids))
+def _picked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among `keys`, and a few others that share their bits; it spares a later join most rows."""
+    held, names = rows.sparkSession.sparkContext.broadcast(_bits(keys, key)), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(bits.value, np.int64)
+        words = np.frombuffer(held.value, np.int64)
         for batch in batches:
             h = batch.column("h").to_numpy()
-            keep = np.flatnonzero((words[h >> 6] >> (h & 63)) & 1)
-            for i in range(0, len(keep), 512):
-                part = batch.take(pa.array(keep[i : i + 512]))
+            yield batch.select(names).filter(pa.array(((words[h >> 6] >> (h & 63)) & 1) > 0))
+
+    return rows.withColumn("h", _place(key)).mapInArrow(run, rows.schema)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id and set of the documents whose ids are among `ids` (and of a few others)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 sets = [shingle_set(x.as_py(), k).view(np.int64) for x in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
 
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    return docs.filter("doc_id is not null").withColumn("h", h).mapInArrow(run, "doc_id long, s array<long>").dropDuplicates(["doc_id"])
+    some = _picked(docs.filter("doc_id is not null"), "doc_id", ids.select(F.col("id").alias("doc_id")))
+    return some.mapInArrow(run, "doc_id long, s array<long>").dropDuplicates(["doc_id"])
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -233,9 +280,10 @@ def _across(left: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFra
     sizes = left.groupBy("sig").agg(F.count("*").alias("m"), F.min("g").alias("x"), F.max("g").alias("y")).filter("x <> y")
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     dealt = left.join(sizes, "sig").withColumn("c", F.pmod(F.xxhash64("doc"), chunks).cast("int"))
+    dealt = dealt.join(sketches.select(F.col("rep").alias("doc"), "n", "sk"), "doc")
     # A row for each pair of chunks that the document's chunk is in: one, unless the bucket is large.
-    cells = dealt.select("sig", "doc", "g", "c", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("o")).select("sig", "doc", "g", "c", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
-    rows = cells.join(sketches.select(F.col("rep").alias("doc"), "n", "sk"), "doc")
+    rows = dealt.select("sig", "doc", "g", "c", "n", "sk", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("o"))
+    rows = rows.select("sig", "doc", "g", "c", "n", "sk", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
 
     def pairs(own: list[tuple]) -> list[tuple[int, int]]:
         doc, g, c, n = (np.array([r[i] for r in own], np.int64) for i in range(4))
@@ -280,37 +328,47 @@ def _across(left: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFra
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+def _buckets(made: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sig, doc, top: the buckets of two sets or more, each doc a set's smallest document and top the bucket's smallest; of buckets with the same members one.
+
+    Near sets share most of their signatures, so most buckets repeat another's members. They are told by the number, the
+    smallest and two digests (128 bits of hashes) of their members.
+    """
+    signed = made.filter("sigs is not null").select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
+    ends = signed.groupBy("sig").agg(F.min("doc").alias("x"), F.max("doc").alias("y"))  # combined before the shuffle: a frequent signature is a row a task
+    shared = materialize(ends.filter("x < y").select("sig"), "shared")
+    some = _picked(signed, "sig", shared).join(shared, "sig").join(nodes.withColumnRenamed("doc_id", "doc"), "doc")
+    members = materialize(some.select("sig", F.col("rep").alias("doc")).distinct(), "members")
+    h, other = F.xxhash64("doc"), F.xxhash64(F.lit(7), "doc")
+    told = members.groupBy("sig").agg(F.count("*").alias("m"), F.min("doc").alias("top"), F.bit_xor(h).alias("d"), F.sum(other.bitwiseAND(F.lit(0xFFFFFFFF))).alias("e"))
+    single = told.filter("m > 1").groupBy("m", "top", "d", "e").agg(F.min("sig").alias("sig"))
+    return materialize(members.join(single.select("sig", "top"), "sig"), "buckets")
+
+
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    at = scratch_path(docs.sparkSession, "profiles")
-    made = written(docs.mapInArrow(_profile(k, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>, sk binary"), at)
-    counts = materialize(made.select("doc_id", F.col("n").alias("n_shingles")), "counts")
-    rows = made.filter("n > 0 and doc_id is not null")
-    classes = rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    nodes = materialize(rows.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "rep").distinct(), "nodes")
-
-    sketches = rows.filter("sk is not null").select("doc_id", "n", "sk").join(nodes, "doc_id").groupBy("rep").agg(F.first("n").alias("n"), F.first("sk").alias("sk"))
-    sketches = materialize(sketches, "sketches")
-
-    by_sig = Window.partitionBy("sig").orderBy("doc")
-    signed = rows.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
-    starred = signed.select("sig", "doc", F.first("doc").over(by_sig).alias("top"), F.row_number().over(by_sig).alias("i"))
-    stars = materialize(starred.filter("i > 1 and doc <> top").select("sig", "doc", "top"), "stars")
-    discard(docs.sparkSession, at)  # all that comes from it is written: it holds the signatures, the largest table here
-    rep = lambda name: nodes.select(F.col("doc_id").alias(name), F.col("rep").alias(f"{name}_rep"))
-    tied = stars.select("doc", "top").distinct().join(rep("doc"), "doc").join(rep("top"), "top").filter("doc_rep <> top_rep")
-    first = tied.select(F.greatest("doc_rep", "top_rep").alias("a"), F.least("doc_rep", "top_rep").alias("b")).distinct()
-    links = _linked(_possible(first, sketches, num, den), docs, k, num, den)
-    groups = materialize(components(links), "groups")
-
-    # Each smallest document has been compared with its whole bucket; the others remain, where there are two at least.
-    several = stars.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig")
-    left = stars.join(several, "sig").select("sig", "doc").join(rep("doc"), "doc").select("sig", F.col("doc_rep").alias("doc")).distinct()
-    left = left.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("g"))
-    found = _linked(_across(materialize(left, "left"), sketches, num, den), docs, k, num, den)
-    if not found.isEmpty():
-        groups = materialize(components(links.unionByName(found)), "groups")
-
+    with small_batches(spark):
+        at = scratch_path(spark, "profiles")
+        made = written(docs.mapInArrow(_profile(k, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>, sk binary"), at)
+        counts = materialize(made.select("doc_id", F.col("n").alias("n_shingles")), "counts")
+        rows = made.filter("n > 0 and doc_id is not null")
+        classes = materialize(rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.max("sk").alias("sk")), "classes")
+        sketches = classes.select("rep", "n", "sk")
+        nodes = materialize(rows.select("doc_id", "h1", "h2", "n").join(classes.drop("sk"), ["h1", "h2", "n"]).select("doc_id", "rep").distinct(), "nodes")
+        buckets = _buckets(rows, nodes)
+        discard(spark, at)  # all that comes from it is written: it holds the signatures, the largest table here
+
+        # Each bucket's smallest document is compared with the others.
+        stars = buckets.filter("doc <> top").select(F.col("doc").alias("a"), F.col("top").alias("b")).distinct()
+        links = _linked(_possible(stars, sketches, num, den), docs, k, num, den)
+        groups = materialize(components(links), "groups")
+        # Then the others among each other, where they aren't in one group.
+        named = groups.select(F.col("node").alias("doc"), "component")
+        left = buckets.filter("doc <> top").join(named, "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("g"))
+        found = _linked(_across(materialize(left, "left"), sketches, num, den), docs, k, num, den)
+        if not found.isEmpty():
+            groups = materialize(components(links.unionByName(found)), "groups")
     placed = nodes.join(groups, nodes.rep == groups.node, "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     return counts.join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))

@@ -130,6 +130,39 @@ def test_jaccard_groups(spark, docs):
     assert jaccard.jaccard_groups(frame.limit(0)).count() == 0
 
 
+def test_jaccard_buckets_in_chunks(spark, monkeypatch):
+    """A group of near copies of 60 shingles and strangers that share half of their text: buckets of many chunks, with several groups."""
+    monkeypatch.setattr(jaccard, "CHUNK", 7)
+    rng = np.random.default_rng(8)
+    words, base = np.array([f"w{i}" for i in range(2000)]), [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        own[30:] = rng.choice(words, 30) if i % 3 == 0 else own[30:]
+        for at in rng.integers(0, 60, i % 4):
+            own[at] = str(rng.choice(words))
+        rows.append((i, " ".join(own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85, 100).collect()}
+    want = groups_by_force(rows, 4, 85, 100)
+    assert got == want and 40 < len({c for _, c in want.values()}) < 110
+
+
+def test_signatures_miss_no_link():
+    """Sets at exactly the most distance of a link share a signature, whatever their size; and subsets are enumerated."""
+    rng = np.random.default_rng(3)
+    for num, den in ((85, 100), (80, 100)):
+        for n in (1, 2, 4, 5, 6, 7, 9, 12, 20, 33, 57, 120, 400, 1500):
+            for _ in range(30):
+                s = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+                gone = int(rng.integers(0, n * (den - num) // den + 1))
+                most = ((n - gone) * den - num * n) // num  # additions that still link
+                t = np.unique(np.concatenate([rng.permutation(s)[gone:], rng.integers(0, 2**63, int(rng.integers(0, most + 1)), dtype=np.uint64)]))
+                both = len(np.intersect1d(s, t))
+                assert den * both >= num * (len(s) + len(t) - both)
+                assert np.intersect1d(jaccard.signatures(s, num, den), jaccard.signatures(t, num, den)).size
+    assert any(jaccard.scheme(i, 80, 100)[2] for i in range(20))
+
+
 def test_jaccard_null_id_before_its_copy(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(None, base), (1, base), (2, f"{base} tail"), (None, f"{base} tail"), (3, "else where")]

@@ -211,11 +211,16 @@ def _place(key: str) -> Column:
 
 
 def _bits(keys: DataFrame, key: str) -> bytes:
-    """A bit for the hash of each key. The driver gets at most FILTER_BITS / 64 words."""
-    words = keys.select(_place(key).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.tobytes()
+    """A bit for the hash of each key. The driver gets FILTER_BITS bits at most, in pieces of 2^19."""
+    words = keys.select(_place(key).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+
+    def piece(at: tuple, own: pa.Table) -> pa.Table:
+        out = np.zeros(1 << 13, np.int64)
+        out[own.column("w").to_numpy() & 0x1FFF] = own.column("bits").to_numpy()
+        return pa.table({"at": pa.array([at[0].as_py()], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    held = {r["at"]: bytes(r["bits"]) for r in words.groupBy(F.shiftright("w", 13).alias("at")).applyInArrow(piece, "at long, bits binary").collect()}
+    return b"".join(held.get(i, bytes(1 << 16)) for i in range(FILTER_BITS >> 19))
 
 
 def _picked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:

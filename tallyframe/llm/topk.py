@@ -1,17 +1,23 @@
 """Exact top-k search by columnar branch and bound.
 
 Vectors are packed into blocks in vertical layout: one row of a block's matrix holds one dimension of all its vectors. For a
-block of queries and a block of candidates, inner products are accumulated over blocks of dimensions, those in which the
+group of queries and a block of candidates, inner products are accumulated over blocks of dimensions, those in which the
 queries have most mass first. After each, a pair's score is at most what it has so far plus the product of both vectors'
 remaining lengths (Cauchy-Schwarz); pairs that this bound puts below the query's k-th score so far are dropped, and the
 surviving candidates are compacted before the next dimensions are read. Components are integers, so scores are exact.
 
-Work is dealt over a grid of query groups and candidate groups. A task streams its candidate blocks past one query group, so it
-holds one block of each and k results for each query, whatever the size of the table; every query meets every row, in blocks.
+Bounds start high: each query first meets a sample of at most SEEDS candidates (a broadcast of that many vectors), whose k-th
+score it takes along; the sample only sets bounds, results come from the candidates themselves. Blocks come in falling order of
+their longest vector, and a block that is too short for a query is skipped whole.
 
-Cases: vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id; rows that repeat
-an id count once (the smallest vector); a query with fewer than k candidates gets all; vectors shorter than others count as
-filled with zeros; an empty table gives no rows. Other columns are ignored.
+Work is dealt over a grid of query groups and candidate groups, of about CELLS cells at most unless the queries are many. A task
+streams its candidate blocks past one query group, so it holds one block of each and k results for each query, whatever the
+size of the table; every query meets every row, in blocks. That is quadratic work, which bounds only lessen.
+
+Cases: vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id. Rows that repeat
+an id are candidates each, but none for a query of that id; queries that repeat an id give one list, the best of theirs. Equal
+scores rank by the smaller vec_id. A query with fewer than k candidates gets all; vectors shorter than others count as filled with zeros;
+an empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, task_ids
+from .common import materialize, shuffle_parts, task_ids
 
-#: Vectors in a candidate block and in a query group, and candidate blocks that one cell of the grid streams.
-BLOCK, QUERIES, STREAM = 1024, 512, 8
+#: Vectors in a candidate block and in a query group; candidates that set the first bounds; cells of the grid for each shuffle partition.
+BLOCK, QUERIES, SEEDS, CELLS = 1024, 2048, 4096, 4
 #: Dimensions that are accumulated between two rounds of dropping.
 STEP = 16
 #: Sums of products below this are exact as doubles.
@@ -41,20 +47,21 @@ def integers(vector: Column, scale: int = 64) -> Column:
 
 
 def _vertical(vectors: list) -> np.ndarray:
-    out = np.zeros((max(map(len, vectors)), len(vectors)), np.int64)
+    out = np.zeros((max(1, *map(len, vectors)), len(vectors)), np.int64)
     for i, v in enumerate(vectors):
         out[: len(v), i] = v
     return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate blocks of one task's rows: ids and the matrix, as bytes."""
+    """Candidate blocks of one task's rows: ids and the matrix, as bytes, and the longest vector's length."""
     part, seq = task_ids()[0], 0
     for batch in batches:
         for i in range(0, batch.num_rows, BLOCK):
             own = batch.slice(i, BLOCK)
             m = _vertical(own.column("v").to_pylist())
-            yield pa.RecordBatch.from_pydict({"block": [part * (1 << 32) + seq], "ids": pa.array([own.column("id").to_numpy().tobytes()], pa.binary()), "m": pa.array([_packed(m)], pa.binary()), "dims": [m.shape[0]]})
+            top = float(np.sqrt((m.astype(np.float64) ** 2).sum(0).max()))
+            yield pa.RecordBatch.from_pydict({"block": [part * (1 << 32) + seq], "ids": pa.array([own.column("id").to_numpy().tobytes()], pa.binary()), "m": pa.array([_packed(m)], pa.binary()), "dims": [m.shape[0]], "top": [top]})
             seq += 1
 
 
@@ -70,14 +77,15 @@ def _unpacked(raw: bytes, dims: int) -> np.ndarray:
 
 
 class Search:
-    """The k best candidates so far of each query of a group."""
+    """The k best candidates so far of each query of a group. `floor` is a score that a query's k-th is not below."""
 
-    def __init__(self, ids: np.ndarray, m: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, m: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.k = ids, k
         self.order = np.argsort(-(m.astype(np.float64) ** 2).sum(1), kind="stable")
         self.m = m[self.order]
-        self.floor = np.full(len(ids), -np.inf)
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor.copy()
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
+        self.read = 0  # products that were computed
 
     def block(self, ids: np.ndarray, m: np.ndarray) -> None:
         """Meets a candidate block: drops by bounds, then keeps the best of the survivors."""
@@ -89,13 +97,19 @@ class Search:
         m = m[order]
         top = float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * dims
         kind = np.float64 if top < EXACT else object
-        q, m = q.astype(kind), m.astype(kind)
         rest_q, rest_m = (np.vstack([np.cumsum((x.astype(np.float64) ** 2)[::-1], 0)[::-1], np.zeros(x.shape[1])]) ** 0.5 for x in (q, m))
+        # What is left is rounded up, so that no bound is below the score that it bounds.
+        rest_q, rest_m = rest_q * (1 + 1e-9), rest_m * (1 + 1e-9)
+        near = np.flatnonzero(rest_q[0] * rest_m[0].max(initial=0) + 1e-6 >= self.floor)
+        if not len(near):
+            return
+        q, m, rest_q = q[:, near].astype(kind), m.astype(kind), rest_q[:, near]
+        floor, own = self.floor[near], self.ids[near]
         at = min(STEP, dims)
         got = q[:at].T @ m[:at]
-        bound = got.astype(np.float64) + np.outer(rest_q[at], rest_m[at])
-        alive = bound * (1 + 1e-12) + 1e-6 >= self.floor[:, None]
-        alive &= self.ids[:, None] != ids[None, :]
+        self.read += got.size * at
+        alive = _most(got, np.outer(rest_q[at], rest_m[at])) >= floor[:, None]
+        alive &= own[:, None] != ids[None, :]
         qi, xi = np.nonzero(alive)
         got = got[qi, xi]
         while at < dims and len(qi):
@@ -104,56 +118,80 @@ class Search:
                 got = got + (q[at:to].T @ m[at:to])[qi, xi]
             else:
                 got = got + (q[at:to, qi] * m[at:to, xi]).sum(0)
+            self.read += len(qi) * (to - at)
             at = to
-            keep = (got.astype(np.float64) + rest_q[at, qi] * rest_m[at, xi]) * 1.0 + 1e-6 >= self.floor[qi] - 1e-12 * np.abs(self.floor[qi])
+            keep = _most(got, rest_q[at, qi] * rest_m[at, xi]) >= floor[qi]
             qi, xi, got = qi[keep], xi[keep], got[keep]
         if not len(qi):
             return
         starts = np.flatnonzero(np.concatenate(([True], qi[1:] != qi[:-1])))
         for a, b in zip(starts, [*starts[1:], len(qi)], strict=True):
-            i = qi[a]
+            i = near[qi[a]]
             scores = np.concatenate([self.best[i][0], got[a:b].astype(np.int64)])
-            own = np.concatenate([self.best[i][1], ids[xi[a:b]]])
-            o = np.lexsort((own, -scores))[: self.k]
-            self.best[i] = (scores[o], own[o])
+            found = np.concatenate([self.best[i][1], ids[xi[a:b]]])
+            o = np.lexsort((found, -scores))[: self.k]
+            self.best[i] = (scores[o], found[o])
             if len(o) == self.k:
-                self.floor[i] = scores[o[-1]]
+                self.floor[i] = max(self.floor[i], scores[o[-1]])
+
+
+def _most(got: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The highest score that a pair can have, rounded up whatever its sign."""
+    got = got.astype(np.float64)
+    return got + rest + 1e-12 * np.abs(got) + 1e-6
+
+
+def _floors(ids: np.ndarray, m: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """For each query the k-th score among the sample, its own id left out; none if the sample is smaller."""
+    own = Search(ids, m, k)
+    for i in range(0, len(seeds[0]), BLOCK):
+        own.block(seeds[0][i : i + BLOCK], seeds[1][:, i : i + BLOCK])
+    return np.array([x[-1] if len(x) == k else -np.inf for x, _ in own.best], np.float64)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
     """vectors: vec_id, embedding. Per query and rank: query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id."""
+    spark = vectors.sparkSession
     whole = vectors.select(F.col("vec_id").cast("long").alias("id"), integers(F.col("embedding"), scale).alias("v"), is_query.alias("q"))
-    rows = materialize(whole.filter("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "vectors")
+    rows = materialize(whole.filter("id is not null and v is not null"), "vectors")
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
-    across, down = -(-n_queries // QUERIES) or 1, -(-n // (BLOCK * STREAM)) or 1
+    across = -(-n_queries // QUERIES) or 1
+    down = max(1, min(-(-n // BLOCK), -(-CELLS * shuffle_parts(spark) // across)))
+    share = F.pmod(F.xxhash64(F.lit(3), "id", "v"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SEEDS / max(n, 1)))
+    sample = rows.filter(share).select("id", "v").limit(SEEDS).toPandas()
+    seeds = spark.sparkContext.broadcast((sample["id"].to_numpy(np.int64), _vertical(sample["v"].tolist())) if len(sample) else (np.empty(0, np.int64), np.zeros((1, 0), np.int64)))
 
     def group(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("id")
-        m = _vertical(own["v"].tolist())
-        return pd.DataFrame({"g": [key[0]], "ids": [own["id"].to_numpy(np.int64).tobytes()], "m": [_packed(m)], "dims": [m.shape[0]]})
-
-    queries = rows.filter("q").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(across))).groupBy("g").applyInPandas(group, "g long, ids binary, m binary, dims long")
-    queries = queries.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("s"), F.lit(-1).cast("long").alias("block"), "ids", "m", "dims")
-    packed = rows.select("id", "v").mapInArrow(_blocks, "block long, ids binary, m binary, dims long")
-    packed = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("g"), F.pmod(F.xxhash64("block"), F.lit(down)).alias("s"), "block", "ids", "m", "dims")
+        own = own.sort_values("id", kind="stable")
+        m, ids = _vertical(own["v"].tolist()), own["id"].to_numpy(np.int64)
+        return pd.DataFrame({"g": [key[0]], "ids": [ids.tobytes()], "m": [_packed(m)], "dims": [m.shape[0]], "floors": [_floors(ids, m, seeds.value, k).tobytes()]})
+
+    # The salt keeps a repeated id from filling one group.
+    dealt = rows.filter("q").withColumn("g", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(across)))
+    queries = dealt.groupBy("g").applyInPandas(group, "g long, ids binary, m binary, dims long, floors binary")
+    cells = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long")))
+    queries = queries.select("g", cells.alias("s"), F.lit(-1).cast("long").alias("block"), F.lit(float("inf")).alias("top"), "ids", "m", "dims", "floors")
+    packed = rows.select("id", "v").mapInArrow(_blocks, "block long, ids binary, m binary, dims long, top double")
+    groups = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long")))
+    packed = packed.select(groups.alias("g"), F.pmod(F.xxhash64("block"), F.lit(down)).alias("s"), "block", "top", "ids", "m", "dims", F.lit(None).cast("binary").alias("floors"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, state = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("g", "s", "block", "ids", "m", "dims")}
+                row = {c: batch.column(c)[i].as_py() for c in ("g", "s", "block", "ids", "m", "dims", "floors")}
                 ids, m = np.frombuffer(row["ids"], np.int64), _unpacked(row["m"], row["dims"])
                 if row["block"] < 0:
                     if state is not None:
                         yield from _results(state)
-                    cell, state = (row["g"], row["s"]), Search(ids, m.astype(np.int64), k)
+                    cell, state = (row["g"], row["s"]), Search(ids, m.astype(np.int64), k, np.frombuffer(row["floors"], np.float64))
                 elif state is not None and cell == (row["g"], row["s"]):
                     state.block(ids, m)
         if state is not None:
             yield from _results(state)
 
-    cells = queries.unionByName(packed).repartition(max(across * down, 1), "g", "s").sortWithinPartitions("g", "s", "block")
-    found = cells.mapInArrow(search, "query_id long, vec_id long, score long")
+    met = queries.unionByName(packed).repartition(max(across * down, 1), "g", "s").sortWithinPartitions("g", "s", F.desc("top"), "block")
+    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -20,20 +20,21 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Encodes whole texts word by word; the ids equal those of Tokenizer.encode(text, add_special_tokens=False).
+    """Encodes whole texts word by word; the ids equal those of the library's Tokenizer.encode(text, add_special_tokens=False).
 
     Both pre-tokenizers in use never let a piece cross from one word into the space before the next, so a text's ids are those
     of its first word and of each later word with the space before it. A new word runs through the tokenizer's own normalizer,
     pre-tokenizer and model; the ids of recent words stay in two dicts of at most `limit` entries, of which the older is
-    dropped when the younger is full, so memory is bounded at any input size. Special-token strings count as ordinary text.
-    Ids are returned as little-endian bytes of `dtype`.
+    dropped when the younger is full, so memory is bounded at any input size. A text that may hold the string of an added token
+    (any occurrence of such a token's first two characters) is encoded whole by the library instead, which gives that string its
+    token. Ids are returned as little-endian bytes of `dtype`.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 150_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        self.marks = sorted({x.content[:2] for x in t.get_added_tokens_decoder().values()})
         self.dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         spaced = isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel)
@@ -44,6 +45,8 @@ class WordEncoder:
         """The ids of a text as bytes."""
         if not text:
             return b""
+        if any(x in text for x in self.marks):
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         parts = _SAFE_SPLIT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
         words = self.words
         first = self.firsts[parts[0]]

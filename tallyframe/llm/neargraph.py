@@ -2,21 +2,26 @@
 
 1. Equal vectors are one node (its smallest vec_id stands for them), so copies cost nothing further.
 2. Nodes are dealt to their nearest `overlap` of the centroids that k-means finds in a bounded sample (SAMPLE): overlapping
-   shards. A shard beyond twice TARGET nodes is dealt further into cells by a hash; its queries then visit all of its cells.
+   shards. There are at most MOST_CENTROIDS of them; a shard that is then larger than WIDE cells is divided once more, by
+   centroids of a sample of its own, so their number grows with the vectors. What is still beyond twice TARGET nodes (a dense
+   group) is dealt further into parts by a hash; its queries then visit all of its parts.
 3. In each cell, a node's neighbours are chosen from its nearest nodes and some spread ones by robust pruning: the nearest is
    taken, and those nearer to it than to the node, by a factor, are dropped. Nodes that the medoid doesn't reach are tied in.
 4. A node's adjacency lists of all cells are united.
 5. Each node is a query in the cells of its shards: greedy search from the medoid with a beam, which goes on to the neighbours
    of every node found within range until no new one is in range.
-6. Pairs found are verified in double precision. Recall is audited: a bounded set of queries is compared with all nodes, and
+6. The search goes on over the united lists, beyond the query's own shards: from each node in range to those of its neighbours
+   that share no cell with the query, as joins, until no new one is in range.
+7. Pairs found are verified in double precision. Recall is audited: a bounded set of queries is compared with all nodes, and
    below AUDIT_LEAST the graph is built anew with one more overlapping shard, up to MOST_OVERLAP. It is the mean over queries
    that counts, so that a dense group doesn't hide what small ones lose, and the share of all links.
-7. A search doesn't leave its shard, so more overlap may not be enough. If the last audit fails too, all pairs of nodes are
-   compared in blocks: exact, at a cost that grows with the square of the nodes.
+8. If the last audit fails too, all pairs of nodes are compared in blocks: exact, at a cost that grows with the square of the
+   nodes. `near_duplicates` tells the recall of each audit if it's given a list for them.
 
 Cases: vectors that are null, zero, or hold null or non-finite components link with nothing, each its own component; so do rows
-without an id (component null). Rows that repeat an id and a vector count once. An empty table gives no rows. Vectors of another
-length than the most common can't be near these: each length is a graph of its own.
+without an id (component null). Rows that repeat an id and a vector count once; an id with several vectors has the most links and
+the smallest component of theirs. Links at exactly the least similarity count. An empty table gives no rows. Vectors of another
+length than the most common can't be near these: each length is a graph of its own. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from .components import components
 
 #: Rows that k-means learns from; nodes that a cell should hold; the most centroids; queries of the audit.
 SAMPLE, TARGET, MOST_CENTROIDS, AUDIT = 16_000, 800, 2048, 256
+#: Cells' worth of nodes beyond which a shard is divided by centroids of its own, and rows of it that a task holds for that.
+WIDE, HOLD = 8, 50_000
 AUDIT_LEAST, MOST_OVERLAP = 0.97, 4
 #: Nodes of a block where all pairs are compared; a task holds two blocks.
 BLOCK = 4000
@@ -153,8 +160,43 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _nearest(v: pa.ChunkedArray | pa.Array, c: np.ndarray, take: int) -> np.ndarray:
+    """For each vector the numbers of its nearest centroids."""
+    return np.argpartition(-(_unit(_vectors(v)) @ c.T), take - 1, axis=1)[:, :take]
+
+
+def _divided(dealt: DataFrame, overlap: int) -> DataFrame:
+    """dealt: cell, rep, v. Cells of more than WIDE times TARGET nodes are divided by centroids that are found in a sample of each."""
+    sizes = dealt.groupBy("cell").agg(F.count("*").alias("m"))
+    wide = materialize(sizes.filter(F.col("m") > WIDE * TARGET).withColumn("k", F.ceil(F.col("m") * 2 / (TARGET * overlap))), "wide")
+    if wide.isEmpty():
+        return dealt
+    rows = dealt.join(F.broadcast(wide), "cell")  # of wide there is at most a row for each centroid of the first level
+    share = F.least(F.lit(1.0), SAMPLE / F.col("m"))
+    few = rows.filter(F.pmod(F.xxhash64(F.lit(23), "rep"), F.lit(1_000_000)) < share * 1_000_000)
+
+    def fit(key: tuple, own: pa.Table) -> pa.Table:
+        c = k_means(_unit(_vectors(own.column("v"))), own.column("k")[0].as_py())
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "c": pa.array([c.tobytes()], pa.binary()), "d": pa.array([c.shape[1]], pa.int32()), "m": own.column("m").slice(0, 1)})
+
+    fitted = materialize(few.groupBy("cell").applyInArrow(fit, "cell long, c binary, d int, m long"), "sub")
+    salts = F.ceil(F.col("m") / HOLD).cast("int")
+    left = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(29), "rep"), salts).cast("int"))
+    right = fitted.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+
+    def deal(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
+        c = np.frombuffer(found.column("c")[0].as_py(), np.float32).reshape(-1, found.column("d")[0].as_py())
+        take = min(overlap, len(c))
+        at = _nearest(own.column("v"), c, take)
+        pick = pa.array(np.repeat(np.arange(own.num_rows), take))
+        return pa.table({"cell": pa.array(((key[0].as_py() << 20) + 1 + at).ravel(), pa.int64()), "rep": own.column("rep").take(pick), "v": own.column("v").take(pick)})
+
+    finer = left.groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInArrow(deal, "cell long, rep long, v binary")
+    return dealt.join(F.broadcast(wide), "cell", "left_anti").select("cell", "rep", "v").unionByName(finer)
+
+
 def _shards(nodes: DataFrame, n: int, overlap: int) -> DataFrame:
-    """cell, rep, v of each node in its nearest shards; cells are shard << 20 | part, and own tells the part that the node is built in."""
+    """cell, rep, v of each node in its nearest cells, with parts (of the cell) and own (the part that the node is built in)."""
     k = max(1, min(MOST_CENTROIDS, -(-n * 2 // (TARGET * overlap)))) if n > TARGET else 1
     spark = nodes.sparkSession
     sample = bounded_sample(nodes, F.col("rep"), SAMPLE).select("v").toPandas()
@@ -165,13 +207,14 @@ def _shards(nodes: DataFrame, n: int, overlap: int) -> DataFrame:
         c = centroids.value
         for batch in batches:
             if batch.num_rows:
-                at = np.argpartition(-(_unit(_vectors(batch.column("v"))) @ c.T), take - 1, axis=1)[:, :take]
+                at = _nearest(batch.column("v"), c, take)
                 pick = pa.array(np.repeat(np.arange(batch.num_rows), take))
-                yield pa.RecordBatch.from_arrays([pa.array(at.ravel(), pa.int64()), batch.column("rep").take(pick), batch.column("v").take(pick)], ["shard", "rep", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(at.ravel(), pa.int64()), batch.column("rep").take(pick), batch.column("v").take(pick)], ["cell", "rep", "v"])
 
-    dealt = materialize(nodes.select("rep", "v").mapInArrow(run, "shard long, rep long, v binary"), "shards")
-    parts = dealt.groupBy("shard").agg(F.ceil(F.count("*") / (2 * TARGET)).cast("int").alias("parts"))  # a row for each centroid
-    return dealt.join(F.broadcast(parts), "shard").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    dealt = materialize(nodes.select("rep", "v").mapInArrow(run, "cell long, rep long, v binary"), "shards")
+    dealt = materialize(_divided(dealt, overlap), "cells")
+    parts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / (2 * TARGET)).cast("int").alias("parts"))
+    return dealt.join(parts, "cell").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
 
 
 def _build_cell(key: tuple, own: pa.Table) -> pa.Table:
@@ -212,12 +255,43 @@ def _search_cell(least: float):
 def links(nodes: DataFrame, n: int, least: float, overlap: int) -> DataFrame:
     """nodes: rep, v. The pairs a, b found and verified."""
     dealt = materialize(_shards(nodes, n, overlap), "dealt")
-    cell = lambda part: (F.shiftleft("shard", 20) + part).alias("cell")
-    edges = dealt.select(cell(F.col("own")), "rep", "v").groupBy("cell").applyInArrow(_build_cell, "rep long, to array<long>")
+    edges = dealt.select("cell", "own", "rep", "v").groupBy("cell", "own").applyInArrow(_build_cell, "rep long, to array<long>")
     united = materialize(edges.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to")), "adjacency")
     visits = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = visits.join(united, "rep").select(cell(F.col("part")), "rep", "v", (F.col("part") == F.col("own")).alias("inside"), F.when(F.col("part") == F.col("own"), F.col("to")).alias("to"))
-    return materialize(rows.groupBy("cell").applyInArrow(_search_cell(least), "a long, b long").distinct(), "near")
+    inside = F.col("part") == F.col("own")
+    rows = visits.join(united, "rep").select("cell", "part", "rep", "v", inside.alias("inside"), F.when(inside, F.col("to")).alias("to"))
+    found = materialize(rows.groupBy("cell", "part").applyInArrow(_search_cell(least), "a long, b long").distinct(), "near")
+    places = materialize(dealt.groupBy("rep").agg(F.collect_set("cell").alias("cells")), "places")
+    return _beyond(found, united, places, nodes, least)
+
+
+def _beyond(found: DataFrame, united: DataFrame, places: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """found, and what the search finds over the united lists in cells that a query isn't in."""
+    at = lambda name, cells: places.select(F.col("rep").alias(name), F.col("cells").alias(cells))
+    edges = materialize(united.select(F.col("rep").alias("u"), F.explode("to").alias("x")).join(at("x", "xs"), "x"), "edges")
+    vector = lambda name, v: nodes.select(F.col("rep").alias(name), F.col("v").alias(v))
+    fresh = found
+    while True:
+        both = fresh.select(F.col("a").alias("q"), F.col("b").alias("u")).unionByName(fresh.select(F.col("b").alias("q"), F.col("a").alias("u")))
+        # A neighbour shares a cell with u; if all of u's cells are q's, then q has met it.
+        outward = both.join(at("q", "qs"), "q").join(at("u", "us"), "u").filter(F.size(F.array_except("us", "qs")) > 0)
+        met = outward.join(edges, "u").filter(~F.arrays_overlap("qs", "xs") & (F.col("q") != F.col("x")))
+        pairs = met.select(F.greatest("q", "x").alias("a"), F.least("q", "x").alias("b")).distinct().join(found, ["a", "b"], "left_anti")
+        fresh = materialize(pairs.join(vector("a", "va"), "a").join(vector("b", "vb"), "b").mapInArrow(_near_enough(least), "a long, b long"), "beyond")
+        if fresh.isEmpty():
+            return found
+        found = materialize(found.unionByName(fresh), "near")
+
+
+def _near_enough(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = _vectors(batch.column("va")), _vectors(batch.column("vb"))
+                cos = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+                yield batch.select(["a", "b"]).filter(pa.array(cos >= least))
+
+    return run
 
 
 def all_links(nodes: DataFrame, n: int, least: float) -> DataFrame:
@@ -267,8 +341,12 @@ def recall(nodes: DataFrame, found: DataFrame, least: float, queries: int = AUDI
     return 1.0 if each is None else min(each, share)
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
-    """vectors: vec_id, embedding. Per row: vec_id, n_links (other vectors linked), component_id (the smallest vec_id reachable), kept."""
+def near_duplicates(vectors: DataFrame, least: float = 0.95, audits: list[float] | None = None) -> DataFrame:
+    """vectors: vec_id, embedding. Per row: vec_id, n_links (other vectors linked), component_id (the smallest vec_id reachable), kept.
+
+    audits gets the recall of each audit; after a comparison of all pairs, 1.
+    """
+    audits = [] if audits is None else audits
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = F.col("e").isNotNull() & F.col("vec_id").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("e", lambda x: x != 0)
@@ -281,10 +359,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         n = nodes.count()
         for overlap in range(2, MOST_OVERLAP + 1):
             own = links(nodes, n, least, overlap)
-            if recall(nodes, own, least) >= AUDIT_LEAST:
+            audits.append(recall(nodes, own, least))
+            if audits[-1] >= AUDIT_LEAST:
                 break
         else:
             own = all_links(nodes, n, least)
+            audits.append(1.0)
         found = own if found is None else found.unionByName(own)
     members = rows.filter("fine").join(classes, "e").select("vec_id", "rep", "copies").distinct()
     if found is None:

@@ -5,24 +5,26 @@ first are full. Full pieces are sequences of their own. The other pieces are dea
 `block_pieces`; a block is packed in one task:
 
 1. Large pieces (above `small_share` of a sequence), by falling length, form `groups` groups of equal cardinality; each is
-   rounded up to the longest of its group.
-2. The few rounded sizes are packed by configurations: each time the configuration that holds the largest size left and is
-   filled most (a bounded knapsack) is used as often as the demand allows.
-3. Actual documents take the places of the rounded sizes, which frees the rounding's loss.
-4. Small pieces go, longest first, where they leave the least room (best fit). The less filled sequences are then packed anew
-   by best fit over all their pieces, which is kept where it takes fewer.
-
-A block's last sequences are the only loss against packing all at once: about half a sequence in some hundreds.
-
-Cases: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives an empty result; other
-columns are ignored.
+   rounded up to the longest of its group, so few sizes are left.
+2. The few sizes are packed by configurations (how often each size is in a sequence). A linear program over all configurations
+   gives the fewest sequences that meet the demand; its columns are generated as they are needed, each the best of a knapsack
+   under the current prices. Each configuration of the optimum is used as often as its whole part says.
+3. Actual documents take the places of the rounded sizes: each place the longest that leaves the later places of its sequence
+   their rounded sizes, so that what the rounding lost is used.
+4. The rest, small pieces and the few large ones that the whole parts leave, go longest first where they leave the least room
+   (best fit). The last of these sequences, the least filled, are then packed anew by best fit, which is kept where it takes fewer.
+
+A block's last sequences are the only loss against packing all at once: about half a sequence in some thousands.
+
+Cases: a null or empty text is the end id alone; texts of any length are read whole; repeated rows and ids are packed each; equal
+lengths may be in any order, but the same in each run; an empty table gives an empty result. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections import deque
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 IDS = ", ids binary"
 
 
+#: How near to the optimum the linear program is solved, and the most steps towards it (it's a solution after each).
+GAP, ROUNDS = 1e-3, 600
+
+
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of each piece of a document of n ids: all full but the first."""
     first = n % size or size
@@ -69,60 +75,90 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int = 0, keep_id
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, schema)
 
 
-def _fullest(sizes: list[int], left: list[int], room: int) -> list[int]:
-    """How often each size goes into a sequence with the largest size left, filled as far as it goes."""
-    top = next(i for i, n in enumerate(left) if n)
-    room -= sizes[top]
-    reach = np.full(room + 1, -1, np.int32)  # by fill: the last size used, of those tried so far
-    reach[0] = len(sizes)
-    for i in range(top, len(sizes)):
-        s = sizes[i]
-        have = left[i] - (i == top)
-        for _ in range(min(have, room // s)):
-            fresh = np.flatnonzero((reach[: room + 1 - s] >= 0) & (reach[s:] < 0)) + s
-            if not len(fresh):
-                break
-            reach[fresh] = i
-    use = [0] * len(sizes)
-    use[top] = 1
-    fill = int(np.flatnonzero(reach >= 0)[-1])
-    while fill:
-        i = int(reach[fill])
-        use[i] += 1
-        fill -= sizes[i]
-    return use
-
-
-def pack_lengths(lengths: np.ndarray, size: int, groups: int = 160, small_share: float = 0.1) -> np.ndarray:
-    """The sequence of each piece (from 0), by linear grouping and best fit."""
+def _best(sizes: list[int], prices: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """The dearest configuration that fits, by an unbounded knapsack over fills: its price and how often it has each size."""
+    worth, last = np.zeros(room + 1), np.full(room + 1, -1)
+    for i, s in enumerate(sizes):
+        if prices[i] > 1e-9:
+            for at in range(s, room + 1, s):
+                own = slice(at, min(at + s, room + 1))
+                more = worth[at - s : at - s + worth[own].size] + prices[i]
+                better = more > worth[own] + 1e-12
+                worth[own][better] = more[better]
+                last[own][better] = i
+    use, fill = np.zeros(len(sizes)), room
+    while fill > 0:
+        if last[fill] < 0:
+            fill -= 1
+        else:
+            use[last[fill]] += 1
+            fill -= sizes[last[fill]]
+    return float(prices @ use), use
+
+
+def configurations(sizes: list[int], demand: list[int], room: int) -> list[tuple[list[int], int]]:
+    """Configurations and how often each is used: the whole parts of the linear program's optimum, within GAP of it."""
+    need = np.array(demand, float)
+    basis = np.diag([float(room // s) for s in sizes])
+    level = need / np.diag(basis)
+    for _ in range(ROUNDS):
+        prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        worth, column = _best(sizes, prices, room)
+        if worth <= 1 + GAP:  # the program's optimum is within this share of what the basis needs
+            break
+        along = np.linalg.solve(basis, column)
+        steps = np.where(along > 1e-9, level / np.where(along > 1e-9, along, 1), np.inf)
+        out = int(steps.argmin())
+        basis[:, out] = column
+        level = np.maximum(0.0, level - steps[out] * along)
+        level[out] = steps[out]
+    left, chosen = need.copy(), []
+    for column, times in zip(basis.T, level, strict=True):
+        times = int(min(times + 1e-6, (left[column > 0] // column[column > 0]).min()))
+        if times:
+            chosen.append((column.astype(int).tolist(), times))
+            left -= times * column
+    return chosen
+
+
+def _substituted(slots: list[int], left: list[tuple[int, int]], size: int) -> list[int]:
+    """Actual pieces for a configuration's places, taken from `left`: for each the longest that leaves the later places their rounded sizes."""
+    own, room, later = [], size, sum(slots)
+    for s in slots:
+        later -= s
+        at = bisect_right(left, (room - later, 1 << 62)) - 1
+        if at >= 0:
+            n, p = left.pop(at)
+            own.append(p)
+            room -= n
+    return own
+
+
+def pack_lengths(lengths: np.ndarray, size: int, groups: int = 80, small_share: float = 0.2) -> np.ndarray:
+    """The sequence of each piece (from 0), by linear grouping, configurations and best fit."""
     order = np.argsort(-lengths, kind="stable")
     large = order[lengths[order] > size * small_share]
-    small = order[len(large) :]
-    fills: list[int] = []
+    rest = order[len(large) :].tolist()
     held: list[list[int]] = []
     if len(large):
         each = -(-len(large) // groups)
-        by_size: dict[int, deque] = {}
+        demand: dict[int, int] = {}
         for g in range(0, len(large), each):
-            members = large[g : g + each]
-            by_size.setdefault(int(lengths[members[0]]), deque()).extend(members.tolist())
-        sizes = sorted(by_size, reverse=True)
-        left = [len(by_size[s]) for s in sizes]
-        while any(left):
-            use = _fullest(sizes, left, size)
-            while any(use[i] > left[i] for i in range(len(use))):  # a knapsack over fills may overuse a size
-                i = max((i for i in range(len(use)) if use[i] > left[i]), key=lambda i: use[i] - left[i])
-                use[i] = left[i]
-            for _ in range(min(left[i] // u for i, u in enumerate(use) if u)):
-                own = [by_size[sizes[i]].popleft() for i, u in enumerate(use) for _ in range(u)]
-                held.append(own)
-                fills.append(int(lengths[own].sum()))
-            left = [len(by_size[s]) for s in sizes]
-    rooms = sorted((size - f, k) for k, f in enumerate(fills))
-    for p in small.tolist():
+            top = int(lengths[large[g]])
+            demand[top] = demand.get(top, 0) + len(large[g : g + each])
+        sizes = sorted(demand, reverse=True)
+        left = [(int(lengths[p]), p) for p in reversed(large.tolist())]  # by rising length
+        for use, times in sorted(configurations(sizes, [demand[s] for s in sizes], size), reverse=True):
+            slots = [s for s, u in zip(sizes, use, strict=True) for _ in range(u)]
+            for _ in range(times):
+                if own := _substituted(slots, left, size):
+                    held.append(own)
+        rest = [p for _, p in left] + rest
+    rooms = sorted((size - int(lengths[x].sum()), k) for k, x in enumerate(held))
+    for p in sorted(rest, key=lambda p: -lengths[p]):
         _place(p, int(lengths[p]), rooms, held, size)
     out = np.zeros(len(lengths), np.int64)
-    for k, own in enumerate(_repack(lengths, held, size)):
+    for k, own in enumerate(_last_anew(lengths, held, size)):
         out[own] = k
     return out
 
@@ -138,21 +174,18 @@ def _place(p: int, n: int, rooms: list[tuple[int, int]], held: list[list[int]],
     insort(rooms, (room - n, k))
 
 
-def _repack(lengths: np.ndarray, held: list[list[int]], size: int) -> list[list[int]]:
-    """Best fit, longest first, over the pieces of the less filled sequences; kept where it takes fewer."""
-    for least in (0.9, 0.97, 0.99, 1.0):
-        keep = [x for x in held if lengths[x].sum() >= least * size]
-        loose = [x for x in held if lengths[x].sum() < least * size]
-        rooms: list[tuple[int, int]] = []
-        anew: list[list[int]] = []
-        for p in sorted((p for x in loose for p in x), key=lambda p: -lengths[p]):
-            _place(p, int(lengths[p]), rooms, anew, size)
-        if len(anew) < len(loose):
-            held = keep + anew
-    return held
+def _last_anew(lengths: np.ndarray, held: list[list[int]], size: int, share: float = 0.02) -> list[list[int]]:
+    """The least filled `share` of the sequences (two at least) packed anew by best fit, longest first; kept where it takes fewer."""
+    order = sorted(range(len(held)), key=lambda k: -int(lengths[held[k]].sum()))
+    last = max(2, int(len(held) * share))
+    rooms: list[tuple[int, int]] = []
+    anew: list[list[int]] = []
+    for p in sorted((p for k in order[-last:] for p in held[k]), key=lambda p: -lengths[p]):
+        _place(p, int(lengths[p]), rooms, anew, size)
+    return [held[k] for k in order[:-last]] + anew if len(anew) < min(last, len(held)) else held
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, block_pieces: int = 2000, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, block_pieces: int = 6000, keep_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids). docs: doc_id, text."""
     made = materialize(pieces(docs, vocabulary, size, end_id, keep_ids), "pieces")
     tails = made.filter(F.col("length") < size)

@@ -4,8 +4,10 @@ Features: counts of hashed letter n-grams (one to three characters, words apart
 of unit length. Learned on the driver from a bounded sample: at most `per_language` distinct labelled texts of each language,
 whole (PER_LANGUAGE; a vector of 4096 numbers each). Scoring reads every text once.
 
-Cases: a null text, an empty one and one without a letter is `und` with score 0. Without any labelled row every text is `und`
-with score 0; with one language, that is the answer. Repeated rows and ids are scored each; other columns are ignored.
+Cases: a null text, an empty one and one without a letter is `und` with score 0. Texts of any length are read whole. Without any
+labelled row every text is `und` with score 0; with one language, that is the answer. Of equal votes and margins the language
+first in the alphabet wins. Repeated rows and ids are scored each, and learned from once. An empty table gives no rows. Other
+columns are kept as they are; those named as the two that are added are replaced.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 DIMS = 4096
-#: The most distinct labelled texts of a language that are learned from.
-PER_LANGUAGE = 400
+#: The most distinct labelled texts of a language that are learned from, and the most languages (those with most texts).
+PER_LANGUAGE, LANGUAGES = 400, 1000
 #: Places of a text's hash; a text is sampled if its place is low.
 _PLACES = 1 << 40
 #: Families of languages; a language that isn't listed is a family of its own.
@@ -60,17 +62,21 @@ def vector(text: str | None) -> np.ndarray | None:
     return (out / np.linalg.norm(out)).astype(np.float32)
 
 
-def svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, steps: int = 300) -> np.ndarray:
-    """Weights (the last is the bias) of a linear machine with squared hinge loss, by accelerated gradient descent. y: -1 or 1; classes weigh alike."""
+def svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, steps: int = 300, least: float = 1e-4) -> np.ndarray:
+    """Weights (the last is the bias) of a linear machine with squared hinge loss, by accelerated gradient descent, until a step changes less than `least` of them. y: -1 or 1; classes weigh alike."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = v = np.zeros(x.shape[1])
-    rate = 1 / (4 + strength)  # rows have squared length 2, and the loss a second derivative of 2 at most
+    y = y.astype(np.float32)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    w = v = np.zeros(x.shape[1], np.float32)
+    rate = np.float32(1 / (4 + strength))  # rows have squared length 2, and the loss a second derivative of 2 at most
     for t in range(steps):
-        gap = np.maximum(0, 1 - y * (x @ v))
-        nxt = v - rate * (strength * v - 2 * x.T @ (share * y * gap))
-        v = nxt + t / (t + 3) * (nxt - w)
+        gap = np.maximum(np.float32(0), 1 - y * (x @ v))
+        nxt = v - rate * (np.float32(strength) * v - 2 * ((share * y * gap) @ x))
+        moved, size = np.abs(nxt - w).max(), np.abs(nxt).max()
+        v = nxt + np.float32(t / (t + 3)) * (nxt - w)
         w = nxt
+        if t > 20 and moved <= least * size:
+            break
     return w
 
 
@@ -113,7 +119,8 @@ def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Mo
     rows = docs.filter(usable).filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     # Copies count once, in the share and in the sample: a group of copies neither swamps its language nor crowds out the rest.
     placed = rows.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(_PLACES)))
-    counts = {r["lang"]: r["n"] for r in placed.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    texts = placed.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["n"] for r in texts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     # Twice the limit is drawn, so that it's met; the lowest places are taken.
     share = [(k, int(min(1, 2 * per_language / n) * _PLACES)) for k, n in counts.items()]
     if not share:
@@ -138,7 +145,9 @@ def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Mo
         members.setdefault(FAMILY.get(k, k), []).append(k)
     families = sorted(members)
     group = np.array([FAMILY.get(k, k) for k in names])
-    weights = np.array([svm(x, np.where(group == f, 1.0, -1.0)) for f in families]) if len(families) > 1 else np.zeros((1, DIMS + 1))
+    # Of two families one machine tells both.
+    weights = [svm(x, np.where(group == f, 1.0, -1.0)) for f in (families if len(families) > 2 else families[: len(families) - 1])]
+    weights = np.array([*weights, *(-w for w in weights)] if len(families) == 2 else weights)
     pairs = {}
     for f in families:
         own, pairs[f] = members[f], []

@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 FILTER_BITS = 1 << 24
 
 
@@ -188,7 +190,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     order = {r.kind: i for i, r in enumerate(rules)}
     full = [r for r in rules if not segments(r.pattern)]
     indexed = [r for r in rules if segments(r.pattern)]
-    asked = candidates(rows, rules)
+    asked = materialize(candidates(rows, rules), "candidates")
     checked = maybe_among(rows, asked).join(asked, ["kh", "kd"])
     empty = F.array().cast("array<struct<start:long,ord:int,stop:long,kind:string>>")
     hit = F.concat(*[F.when(F.array_contains("rules", r.kind), spans_of(F.col("text"), r, order[r.kind])).otherwise(empty) for r in indexed])

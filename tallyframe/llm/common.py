@@ -108,6 +108,18 @@ def bounded_sample(rows: DataFrame, key: Column, limit: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.lit(17), key), F.lit(1_000_000)) < int(1_000_000 * limit / n))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """doc_id, text and label (0 or 1) of labelled documents, of about `limit` labels: a parameter of the model that is fitted.
+
+    The labels are thinned first, by a hash, so the side that is broadcast has at most twice `limit` rows and texts aren't
+    shuffled. Only doc_id and text are taken of docs, and doc_id and the label of labels, whatever other columns they have.
+    """
+    known = labels.select(F.col("doc_id").alias("i"), F.col(label).cast("int").alias(label)).filter(F.col("i").isNotNull() & F.col(label).isin(0, 1)).distinct()
+    few = materialize(bounded_sample(known, F.col("i"), limit).limit(2 * limit), "labels")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(few), texts["doc_id"] == few["i"]).select("doc_id", "text", label)
+
+
 def task_ids() -> tuple[int, int]:
     """Partition and attempt of the running task."""
     at = TaskContext.get()

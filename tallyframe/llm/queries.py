@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, langid, mixing, neargraph, packing, quality, secrets, token_files, topk, toxicity
-from .common import crc_mod, table
+from .common import crc_mod, labelled_sample, table
 
 
 def vocabulary(name: str) -> str:
@@ -44,8 +44,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
-    rules = quality.fit(docs.filter(~F.col("held_out")).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"))
+    rules = quality.fit(labelled_sample(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"), "quality", quality.FIT_ROWS))
     return quality.score(docs, rules, "doc_id", "held_out").withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
@@ -61,10 +61,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod(F.col("doc_id"), 3) == 1
-    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").filter(~held_out)
-    scored = toxicity.score(docs.withColumn("held_out", held_out), toxicity.fit(labelled))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
+    labelled = labelled_sample(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"), "toxic", toxicity.FIT_ROWS)
+    scored = toxicity.score(docs, toxicity.fit(labelled))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 

@@ -1,31 +1,34 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses at sentence marks and line feeds. A hand-coded state machine reads a clause's words; no transducers
-are built or composed. It has five parts:
-
-* insult: reads the words of a learned lexicon (whole words, and stems that words begin with) and emits their weights, also
-  without a target;
-* threat: a first or third person, a verb of harm within three words, in base or inflected form, emits 1;
-* target: second and third person pronouns, or a name-like "you are", within four words of an insult, raises its weight;
-* negation: a negator within the two words before an insult lowers it ("not an idiot");
-* reported speech: after a verb of saying, or within quotation marks, a clause's insults are lowered.
-
-It is one pass over a clause with a small state: how long ago a target, negator, agent was read, and whether
-speech is reported. A clause's score is the sum of what it emits. A document's score is a logistic function, fitted with the
-lexicon, of its clause scores: their sum, the highest, their number, and their
-sum relative to the text's length.
-
-Learned, from a bounded sample of about FIT_ROWS labelled rows: the lexicon, as log-odds of words and stems in toxic against
-other documents, of at most LEXICON entries; and five coefficients.
-
-Cases: null and empty texts have no clause and get the score of none. Without any row of either label, only the fixed word
-classes are left and nothing is insulting. Repeated rows are scored each; other columns are ignored.
+A text is read as a string of symbols: each word's classes (insult, harm, agent, target, negator, speech), quotation marks and
+clause marks. Five weighted transducers rewrite the string; each is an object with its own states and arcs, and they are composed:
+
+* negation: marks an insult or harm within two words after a negator, and weighs it less ("not an idiot");
+* target: marks an insult with a second or third person within four words before or after it in its clause, and weighs it more.
+  It is two machines, one for each direction of reading: what follows is read from right to left first;
+* threat: an agent, then a verb of harm within three words, is a threat, which emits 1;
+* insult: an insult emits its word's weight, and its pattern's: less without a target;
+* reported speech: what is in quotation marks, up to the closing one or the line's end, over all of its clauses, and what
+  follows a verb of saying in its clause or after its colon, is reported and weighs less.
+
+The machines that read from left to right are composed into one, whose states are the reachable combinations. An emission's weight is
+the product of the weights along the path. A clause's score is the sum of what it emits, so clauses that no pattern matches have none. A
+document's score is a logistic function, fitted with the lexicon, of its clause scores: their sum, the highest, their number,
+and their sum relative to the text's length.
+
+Learned, from a bounded sample of labelled rows (labelled_sample, FIT_ROWS): the lexicon, as log-odds of words and stems in toxic
+against other documents, of all that enough toxic documents hold (a fiftieth, so there are at most fifty times the words of a
+document); and five coefficients.
+
+Cases: null and empty texts have no clause and get the score of none. Texts of any length are read whole. Without any row of
+either label, only the fixed word classes are left and nothing is insulting. Repeated rows are scored each, equal texts alike.
+An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,17 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialize
+from .common import materialize
 
-#: The most entries of the lexicon, and labelled rows that the coefficients are fitted on.
-LEXICON, FIT_ROWS = 4000, 20_000
+#: Labelled rows that are learned from.
+FIT_ROWS = 20_000
 #: Lengths of the stems that are tried beside whole words.
 STEMS = (4, 5, 6, 7)
 
 # Word classes of the grammar.
 TARGETS = frozenset("you your yours yourself u he she they them him her these those tu te vous toi du dich ihr euch sie usted ustedes ti vosotros".split())
 NEGATORS = frozenset("not never no isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais nunca".split())
-SPEECH = frozenset("said says wrote claims claimed quoted called reported sagte dit dijo".split())
+SPEECH_VERBS = frozenset("said says wrote claims claimed quoted called reported sagte dit dijo".split())
 AGENTS = frozenset(
     """i we i'll we'll i'm we're i'd we'd he she they he'll she'll they'll he's she's they're he'd she'd they'd ich wir er sie
     je nous il elle ils elles yo nosotros nosotras él ella ellos ellas""".split()
@@ -55,8 +58,101 @@ HARMS = frozenset(
     matar mato matas mata matamos matan mataré matará mataremos matarán mató mataron matado matando""".split()
 )
 
-_CLAUSE = re.compile(r"[.!?;:\n]+")
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]|[.!?;:\n]")
+_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+
+# Symbols: classes of a word, marks, and what the machines mark.
+INSULT, HARM, AGENT, TARGET, NEGATOR, SPEECH, QUOTE, COLON, STOP, LINE, TARGETED, THREAT = (1 << i for i in range(12))
+_CLASSES = ((AGENTS, AGENT), (HARMS, HARM), (TARGETS, TARGET), (NEGATORS, NEGATOR), (SPEECH_VERBS, SPEECH), ("\"“”«»", QUOTE), (":", COLON), (".!?;", STOP), ("\n", LINE))
+_ENDS = COLON | STOP | LINE
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Deterministic, from state 0: for each state, arcs by symbol to the next state, the symbol put out, and a weight."""
+
+    arcs: list[dict[int, tuple[int, int, float]]]
+
+    def run(self, symbols: Iterable[int]) -> list[tuple[int, float]]:
+        """The symbols put out, and their weights."""
+        out, own = [], self.arcs[0]
+        for x in symbols:
+            state, y, weight = own[x]
+            out.append((y, weight))
+            own = self.arcs[state]
+        return out
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: `other` reads what this one puts out. States are numbered as they are reached."""
+        number, pairs, arcs = {(0, 0): 0}, [(0, 0)], []
+        for s, t in pairs:  # grows as it is read
+            own = {}
+            for x, (s2, y, v) in self.arcs[s].items():
+                t2, z, w = other.arcs[t][y]
+                if (s2, t2) not in number:
+                    number[s2, t2] = len(number)
+                    pairs.append((s2, t2))
+                own[x] = number[s2, t2], z, v * w
+            arcs.append(own)
+        return Transducer(arcs)
+
+
+def _alphabet() -> list[int]:
+    """Words of any combination of classes, with and without the marks; and the marks of punctuation."""
+    words = range(1 << 6)
+    return [w | m for w in words for m in (0, TARGETED, THREAT, TARGETED | THREAT)] + [QUOTE, COLON, STOP, LINE]
+
+
+def machine(states: int, step: Callable[[int, int], tuple[int, int, float]]) -> Transducer:
+    """The transducer whose arcs `step` tells by state and symbol."""
+    return Transducer([{x: step(s, x) for x in _alphabet()} for s in range(states)])
+
+
+def window(opens: int, within: int, mark: Callable[[int], tuple[int, float]], before: bool = False) -> Transducer:
+    """Marks what comes within so many words after a symbol of class `opens`, in its clause; with `before` the symbol itself opens first."""
+
+    def step(state: int, x: int) -> tuple[int, int, float]:
+        if x & (_ENDS | QUOTE):
+            return (state if x & QUOTE else 0), x, 1.0
+        left = within + 1 if before and x & opens else state
+        out, weight = mark(x) if left else (x, 1.0)
+        return (within if x & opens else max(0, state - 1)), out, weight
+
+    return machine(within + 1, step)
+
+
+#: Weights of the grammar's arcs.
+NEGATED, BARE, REPORTED = 0.3, 0.8, 0.6
+
+
+def _reported() -> Transducer:
+    """States: 0 none, 1 after a verb of saying, 2 after its colon, 3 within quotation marks."""
+
+    def step(state: int, x: int) -> tuple[int, int, float]:
+        weight = REPORTED if state and x & (INSULT | HARM) else 1.0
+        if x & LINE:
+            return 0, x, 1.0
+        if x & QUOTE:
+            return (0 if state == 3 else 3), x, 1.0
+        if state == 3:
+            return 3, x, weight
+        if x & COLON:
+            return (2 if state == 1 else 0), x, 1.0
+        if x & STOP:
+            return 0, x, 1.0
+        return (1 if x & SPEECH and state == 0 else state), x, weight
+
+    return machine(4, step)
+
+
+def grammar() -> tuple[Transducer, Transducer]:
+    """The machine that reads from right to left, and the composed one that then reads from left to right."""
+    targeted = lambda x: (x | TARGETED if x & INSULT else x, 1.0)
+    negation = window(NEGATOR, 2, lambda x: (x, NEGATED if x & (INSULT | HARM) else 1.0))
+    threat = window(AGENT, 3, lambda x: (x | THREAT if x & HARM else x, 1.0))
+    insult = machine(1, lambda _, x: (0, x, BARE if x & INSULT and not x & TARGETED and not x & THREAT else 1.0))
+    after = window(TARGET, 4, targeted)
+    return after, negation.then(window(TARGET, 4, targeted, before=True)).then(threat).then(insult).then(_reported())
 
 
 def words_of(text: str | None) -> set[str]:
@@ -73,61 +169,38 @@ def keys_of(words: set[str]) -> set[str]:
 class Grammar:
     lexicon: dict[str, float] = field(default_factory=dict)
     coefficients: tuple[float, ...] = (-4.0, 0.0, 0.0, 0.0, 0.0)
-    seen: dict[str, float] = field(default_factory=dict)
+    machines: tuple[Transducer, Transducer] = field(default_factory=grammar)
+    seen: dict[str, tuple[int, float]] = field(default_factory=dict)
 
-    def insult(self, word: str) -> float:
-        """The insult part's weight of a word: its own or its heaviest stem's."""
-        if word not in self.seen:
+    def symbol(self, token: str) -> tuple[int, float]:
+        """A token's classes, and its weight as an insult: the word's own or its heaviest stem's."""
+        if token not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
-            found = self.lexicon.get(word, 0.0)
-            for n in STEMS:
-                if len(word) > n:
-                    found = max(found, self.lexicon.get(f"{word[:n]}-", 0.0))
-            self.seen[word] = found
-        return self.seen[word]
-
-    def clause(self, words: list[str]) -> float:
-        """The score of a clause: one pass of the state machine."""
-        far = 99
-        since_target = since_negator = since_agent = far
-        reported, score = False, 0.0
-        waiting: list[tuple[int, float]] = []  # insults that a target may still follow
-        for at, w in enumerate(words):
-            since_target, since_negator, since_agent = since_target + 1, since_negator + 1, since_agent + 1
-            if w in SPEECH or w in "\"“”«»":
-                reported = not reported if w not in SPEECH else True
-            elif w in NEGATORS:
-                since_negator = 0
-            elif w in AGENTS:
-                since_agent = 0
-            elif w in HARMS and since_agent <= 3:
-                score += 1.0
-            if w in TARGETS:
-                since_target = 0
-                score += sum(0.25 * x for i, x in waiting if at - i <= 4)
-                waiting = []
-            weight = self.insult(w)
-            if weight:
-                weight *= (0.3 if since_negator <= 2 else 1.0) * (0.6 if reported else 1.0)
-                if since_target <= 4:
-                    weight *= 1.25
-                else:
-                    waiting.append((at, weight))
-                score += weight
-        return score
+            weight = max([self.lexicon.get(token, 0.0), *(self.lexicon.get(f"{token[:n]}-", 0.0) for n in STEMS if len(token) > n)])
+            self.seen[token] = sum(mark for own, mark in _CLASSES if token in own) | (INSULT if weight else 0), weight
+        return self.seen[token]
+
+    def clauses(self, text: str | None) -> list[float]:
+        """The scores of the clauses that a pattern matches."""
+        read = [self.symbol(x) for x in _TOKEN.findall((text or "").lower())]
+        if not any(x & (INSULT | HARM) for x, _ in read):
+            return []
+        after, onward = self.machines
+        marked = [x for x, _ in after.run(x for x, _ in reversed(read))][::-1]
+        scores, score = [], 0.0
+        for (x, weight), (_, own) in zip(onward.run(marked), read, strict=True):
+            if x & _ENDS:
+                scores.append(score)
+                score = 0.0
+            elif x & (INSULT | THREAT):
+                score += weight * (own + (1.0 if x & THREAT else 0.0))
+        return [s for s in (*scores, score) if s > 0]
 
     def features(self, text: str | None) -> tuple[float, ...]:
         """Sum, highest and number of the scores of the clauses that match, and their sum for each 1000 words."""
-        low = (text or "").lower()
-        scores = []
-        found = [m for m in _WORD.finditer(low) if self.insult(m.group()) or m.group() in HARMS]
-        if found:  # only clauses with a word that can emit are read
-            bounds = [0, *(m.end() for m in _CLAUSE.finditer(low)), len(low)]
-            starts = np.array(bounds)
-            at = sorted({int(np.searchsorted(starts, m.start(), "right")) - 1 for m in found})
-            scores = [s for k in at if (s := self.clause(_WORD.findall(low[bounds[k] : bounds[k + 1]]))) > 0]
-        dense = 1000 * sum(scores) / (low.count(" ") + low.count("\n") + 20)
+        scores = self.clauses(text)
+        dense = 1000 * sum(scores) / ((text or "").count(" ") + (text or "").count("\n") + 20)
         return tuple(float(np.log1p(x)) for x in (sum(scores), max(scores, default=0.0), len(scores), dense))
 
     def score(self, text: str | None) -> float:
@@ -136,11 +209,14 @@ class Grammar:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"seen": {}}
+        return self.__dict__ | {"seen": {}, "machines": None}  # the machines have no learned part: a task makes its own
+
+    def __setstate__(self, held: dict) -> None:
+        self.__dict__ = held | {"machines": grammar()}
 
 
-def lexicon(rows: DataFrame, entries: int) -> dict[str, float]:
-    """Weights (1 at most) of the words and stems that tell toxic rows (text, toxic) from others; at most `entries` reach the driver."""
+def lexicon(rows: DataFrame) -> dict[str, float]:
+    """Weights (1 at most) of the words and stems that tell toxic rows (text, toxic) from others."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,20 +231,20 @@ def lexicon(rows: DataFrame, entries: int) -> dict[str, float]:
     rate = (F.col("bad") + 0.1) / totals[1] / ((F.col("good") + 0.1) / totals[0])
     # A key in too few toxic rows can't tell; one in many others isn't an insult.
     best = counts.filter((F.col("bad") >= max(3, totals[1] // 50)) & (rate >= 8)).select("key", "bad", F.log(rate).alias("w"))
-    heavy = {r["key"]: r["w"] for r in best.orderBy(F.desc(F.col("w") * F.log1p("bad")), "key").limit(entries).collect()}
+    heavy = {r["key"]: r["w"] for r in best.select("key", "w").collect()}
     top = max(heavy.values(), default=1.0)
     return {k: w / top for k, w in heavy.items()}
 
 
-def fit(labelled: DataFrame, entries: int = LEXICON, fit_rows: int = FIT_ROWS) -> Grammar:
-    """Learns from labelled: doc_id, text, toxic (0 or 1; other rows are left out), of which at most about fit_rows.
+def fit(labelled: DataFrame) -> Grammar:
+    """Learns from labelled: doc_id, text, toxic (0 or 1; other rows are left out), a bounded sample as labelled_sample takes it.
 
     The coefficients come from a half of the rows, with the lexicon of the other half; then the lexicon is learned from all.
     """
-    rows = labelled.filter("toxic in (0, 1) and text is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    sample = materialize(bounded_sample(rows, F.col("doc_id"), fit_rows).withColumn("half", F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(2))), "labelled")
-    half = Grammar(lexicon(sample.filter("half = 0"), entries))
-    whole = Grammar(lexicon(sample, entries))
+    rows = labelled.filter("toxic in (0, 1) and text is not null").select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    sample = materialize(rows.withColumn("half", F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(2))), "labelled")
+    half = Grammar(lexicon(sample.filter("half = 0")))
+    whole = Grammar(lexicon(sample))
     held = labelled.sparkSession.sparkContext.broadcast(half)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

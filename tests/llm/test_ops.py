@@ -34,9 +34,7 @@ def crc(ids):
 def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary(name))
 
 
 def test_word_encoder_equals_tokenizer():
@@ -44,7 +42,7 @@ def test_word_encoder_equals_tokenizer():
 
     from tallyframe.llm.tokens import WordEncoder
 
-    rng, parts = random.Random(3), [" ", "\n", "\t", "a", "Bc", "é", "'s", "1", "!", "\xa0", "\x1c", "́", "中", "\r", "Σ", "<|endoftext|>"]
+    rng, parts = random.Random(3), [" ", "\n", "\t", "a", "Bc", "é", "'s", "1", "!", "\xa0", "\x1c", "́", "中", "\r", "Σ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|"]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         t, e = tokenizer(name), WordEncoder(vocabulary(name), limit=50)
         for x in ["".join(rng.choices(parts, k=rng.randint(0, 15))) for _ in range(1500)] + [x or "" for x in TEXTS]:
@@ -260,17 +258,86 @@ def test_top_k(spark):
     assert topk.top_k(few, F.col("vec_id") == 0).count() == 2 and topk.top_k(frame.limit(0), F.col("vec_id") == 0).count() == 0
 
 
-def test_near_graph(spark):
-    frame, x = vectors(spark, 1500)
+def test_top_k_of_many_blocks(spark, monkeypatch):
+    """Several blocks, query groups and dimension steps; lengths that differ, so that bounds drop and skip; ids that repeat."""
+    for name, n in (("BLOCK", 64), ("QUERIES", 16), ("SEEDS", 100)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 70)) * rng.choice([0.05, 1.0, 3.0], 700)[:, None] * np.exp(-np.arange(70) / 10)
+    x[100:140] = x[60]
+    rows = [(int(i) if i % 50 else 40, [float(v) for v in r]) for i, r in enumerate(x)]
+    q = np.floor(64 * np.array([r[1] for r in rows])).astype(np.int64)
+    ids = np.array([r[0] for r in rows])
+    want = []
+    for own in sorted({i for i in ids.tolist() if i % 20 == 0}):
+        best = sorted((-int(q[a] @ q[b]), int(ids[b])) for a in np.flatnonzero(ids == own) for b in np.flatnonzero(ids != own))[:20]
+        want += [(own, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_top_k_bounds_drop_work_and_keep_negative_ties():
+    rng = np.random.default_rng(2)
+    m = (rng.normal(size=(64, 4000)) * np.exp(-np.arange(64) / 6)[:, None] * 64).astype(np.int64)
+    own = topk.Search(np.arange(4000, 4010), m[:, :10], 5)
+    for at in range(0, 4000, 500):
+        own.block(np.arange(at, at + 500), m[:, at : at + 500])
+    assert own.read < 0.6 * 10 * 4000 * 64
+    tied = topk.Search(np.array([1]), np.full((4, 1), 10**6), 1)
+    tied.block(np.array([5]), np.full((4, 1), -(10**6)))
+    tied.block(np.array([3]), np.full((4, 1), -(10**6)))
+    assert tied.best[0][1].tolist() == [3]
+
+
+def components_by_force(link):
+    top = list(range(len(link)))
+    for _ in top:
+        low = [min(top[i], min((top[j] for j in np.flatnonzero(row)), default=top[i])) for i, row in enumerate(link)]
+        if low == top:
+            return low
+        top = low
+    return top
+
+
+def check_near_graph(spark, n, audits=None):
+    frame, x = vectors(spark, n)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    link = u @ u.T >= 0.95
-    got = {r["vec_id"]: r for r in neargraph.near_duplicates(frame).collect()}
-    want = link.sum(1) - 1
-    assert sum(got[i]["n_links"] for i in range(len(x))) >= 0.97 * want.sum() and all(got[i]["n_links"] <= want[i] for i in range(len(x)))
+    link = (u @ u.T >= 0.95) & ~np.eye(n, dtype=bool)
+    got = {r["vec_id"]: r for r in neargraph.near_duplicates(frame.withColumn("rep", F.lit("x")), audits=audits).collect()}
+    want = link.sum(1)
+    assert sum(got[i]["n_links"] for i in range(n)) >= 0.97 * want.sum() and all(got[i]["n_links"] <= want[i] for i in range(n))
+    top = components_by_force(link)
+    if [got[i]["n_links"] for i in range(n)] == want.tolist():
+        assert [got[i]["component_id"] for i in range(n)] == top
+    assert np.mean([got[i]["component_id"] == top[i] for i in range(n)]) > 0.98 and all(got[i]["kept"] == (got[i]["component_id"] == i) for i in range(n))
     assert got[5]["component_id"] == got[3]["component_id"] and got[5]["n_links"] >= 1
     for i in (5000, 5001, 5002, 5003, 5004):
         assert got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"]
-    assert neargraph.near_duplicates(frame.limit(0)).count() == 0
+    return frame
+
+
+def test_near_graph(spark):
+    audits = []
+    frame = check_near_graph(spark, 1500, audits)
+    assert audits[-1] >= 0.97 and neargraph.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_near_graph_of_divided_shards_and_parts(spark, monkeypatch):
+    """Three centroids at first, shards divided by their own, and cells dealt into parts."""
+    for name, n in (("TARGET", 60), ("MOST_CENTROIDS", 3), ("WIDE", 2), ("HOLD", 300), ("SAMPLE", 500)):
+        monkeypatch.setattr(neargraph, name, n)
+    check_near_graph(spark, 1200)
+
+
+def test_near_graph_searches_beyond_shards(spark):
+    """q and x share no cell; the way from q to x is u, which shares a cell with either."""
+    v = np.array([[1.0, 0.0], [1.0, 0.1], [1.0, 0.2], [0.0, 1.0]])
+    nodes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(v)], "rep long, v binary")
+    united = spark.createDataFrame([(0, [1]), (1, [0, 2]), (2, [1, 3]), (3, [2])], "rep long, to array<long>")
+    places = spark.createDataFrame([(0, [7]), (1, [7, 8]), (2, [8]), (3, [8])], "rep long, cells array<long>")
+    found = spark.createDataFrame([(1, 0), (2, 1)], "a long, b long")
+    got = neargraph._beyond(found, united, places, nodes, 0.95)
+    assert sorted(map(tuple, got.collect())) == [(1, 0), (2, 0), (2, 1)]
 
 
 def test_near_graph_failed_audit(spark, monkeypatch):
@@ -318,7 +385,7 @@ def test_language_sample_counts_copies_once(spark, monkeypatch):
     sizes = []
     monkeypatch.setattr(langid, "svm", lambda x, y: sizes.append(((y > 0).sum(), (y < 0).sum())) or np.zeros(x.shape[1] + 1))
     langid.fit(frame, F.lit(True), per_language=10)
-    assert sizes == [(3, 10), (10, 3)]
+    assert sizes == [(3, 10)]  # two families, one machine
 
 
 def test_quality(spark, docs):
@@ -351,19 +418,60 @@ def test_toxicity(spark, docs):
     odd = toxicity.score(docs.withColumn("held_out", F.lit(True)), grammar).collect()
     assert len(odd) == docs.count() and all(0 <= r["score"] < 0.7 for r in odd)
     assert toxicity.fit(frame.filter("toxic = 0")).lexicon == {}
+    by_force = toxicity.Grammar(grammar.lexicon, grammar.coefficients)
+    assert all(r["score"] == pytest.approx(by_force.score(dict((i, t) for i, t, _ in rows)[r["doc_id"]])) for r in got)
+
+
+def said(grammar, text):
+    return sum(grammar.clauses(text))
 
 
 def test_grammar_scores_clauses():
     g = toxicity.Grammar({"moron": 1.0, "vequ-": 0.5})
-    said = lambda t: g.clause(toxicity._WORD.findall(t))
-    assert said("you are a moron") > said("a moron") > said("they said a moron") > 0
-    assert said("not a moron") < said("a moron") and said("i will kill") == 1.0 and said("to kill time") == 0
-    assert said("vequeur") == 0.5 and said("a plain clause") == 0
+    assert said(g, "you are a moron") == said(g, "a moron you are") == 1.0 > said(g, "a moron") > said(g, "they said a moron") > 0
+    assert said(g, "not a moron") < said(g, "a moron") and said(g, "i will kill") == 1.0 > said(g, "i will not kill") and said(g, "to kill time") == 0
+    assert said(g, "vequeur") == pytest.approx(0.4) and said(g, "a plain clause") == 0 and g.clauses(None) == g.clauses("") == []
+    assert g.clauses("a moron. you are") == [pytest.approx(0.8)], "a target of another clause doesn't count"
+
+
+def test_reported_speech_spans_clauses():
+    g = toxicity.Grammar({"moron": 1.0})
+    inside = g.clauses('he wrote: "a moron. the moron! moron" and a moron')
+    assert [round(x, 2) for x in inside] == [0.48, 0.48, 0.48 + 0.8]
+    assert g.clauses('an open "quotation\nmoron') == [pytest.approx(0.8)], "a line ends it"
+
+
+def test_composition_equals_machines_in_turn():
+    rng = np.random.default_rng(6)
+    alphabet = toxicity._alphabet()
+    machines = [toxicity.window(toxicity.NEGATOR, 2, lambda x: (x, 0.3 if x & toxicity.INSULT else 1.0)), toxicity.window(toxicity.AGENT, 3, lambda x: (x | toxicity.THREAT if x & toxicity.HARM else x, 1.0)), toxicity._reported()]
+    one = machines[0].then(machines[1]).then(machines[2])
+    for _ in range(50):
+        symbols = rng.choice(alphabet, 40).tolist()
+        weights, read = np.ones(40), symbols
+        for m in machines:
+            read, own = zip(*m.run(read), strict=True)
+            weights *= own
+        got, own = zip(*one.run(symbols), strict=True)
+        assert got == read and np.allclose(own, weights)
 
 
 def test_threats_of_third_persons_and_inflected():
     g = toxicity.Grammar()
-    said = lambda t: g.clause(toxicity._WORD.findall(t))
     for t in ("they will kill", "she was beating", "i'm killing", "he stabbed", "er tötet", "ils tuent", "ellos matan"):
-        assert said(t) == 1.0, t
-    assert said("killing time") == 0 and g.features("They killed.")[2] > 0
+        assert said(g, t) == 1.0, t
+    assert said(g, "killing time") == 0 and g.features("They killed.")[2] > 0
+
+
+def test_labels_whose_columns_clash(spark, tmp_path):
+    """documents with columns named as those of labels, labels with repeated rows: op7 and op10 read the labels' own."""
+    from tallyframe.llm.queries import QUERIES
+
+    rows = [(i, ("you moron " if i % 3 == 0 else "a fine day ") * 8 + f"number {i}", "z", "z", "z", 0.5) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, quality string, toxic string, held_out string, score double").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 3 > 0), int(i % 3 == 0), "x") for i in range(60)]
+    spark.createDataFrame(labels + labels[:5] + [(None, 1, 1, "x"), (1, None, None, "x")], "doc_id long, quality int, toxic int, text string").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, want in (("op7_quality_rules", lambda i: int(i % 3 > 0)), ("op10_toxicity", lambda i: int(i % 3 == 0))):
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(got) == 60 and np.mean([r["predicted"] == want(r["doc_id"]) for r in got]) > 0.95
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % (5 if "quality" in name else 3) == (0 if "quality" in name else 1)) for r in got)

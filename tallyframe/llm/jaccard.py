@@ -38,11 +38,12 @@ from math import comb, erfc, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scratch_path, small_batches, written
+from .common import discard, materialize, scratch_path, shuffle_parts, small_batches, written
 from .components import components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -197,22 +198,24 @@ def _profile(k: int, num: int, den: int):
                     rows.append((len(s), *digest, sigs, flips))
                 n, h1, h2, sigs, flips = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(flips, pa.binary())], ["doc_id", "n", "h1", "h2", "sigs", "sk"])
-        _WORDS.clear()
+        released()
 
     return run
 
 
-#: Bits of the filters that pick what is read again: their 8 MB are the most that is broadcast, at any input size.
-FILTER_BITS = 1 << 26
+def released() -> None:
+    """At the end of a task: lets go of words and of buffers, since a Python worker lives on and shares its executor's memory."""
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
 
 
-def _place(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+#: Bits of the filters that pick what is read again: their 8 MB are the most that is broadcast, at any input size.
+FILTER_BITS = 1 << 26
 
 
-def _bits(keys: DataFrame, key: str) -> bytes:
-    """A bit for the hash of each key. The driver gets FILTER_BITS bits at most, in pieces of 2^19."""
-    words = keys.select(_place(key).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+def _bits(places: DataFrame) -> bytes:
+    """places: h, below FILTER_BITS. A bit for each. The driver gets FILTER_BITS bits at most, in pieces of 2^19."""
+    words = places.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
 
     def piece(at: tuple, own: pa.Table) -> pa.Table:
         out = np.zeros(1 << 13, np.int64)
@@ -223,30 +226,22 @@ def _bits(keys: DataFrame, key: str) -> bytes:
     return b"".join(held.get(i, bytes(1 << 16)) for i in range(FILTER_BITS >> 19))
 
 
-def _picked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows whose key is among `keys`, and a few others that share their bits; it spares a later join most rows."""
-    held, names = rows.sparkSession.sparkContext.broadcast(_bits(keys, key)), rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(held.value, np.int64)
-        for batch in batches:
-            h = batch.column("h").to_numpy()
-            yield batch.select(names).filter(pa.array(((words[h >> 6] >> (h & 63)) & 1) > 0))
-
-    return rows.withColumn("h", _place(key)).mapInArrow(run, rows.schema)
-
-
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """doc_id and set of the documents whose ids are among `ids` (and of a few others)."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).alias("h")
+    held = docs.sparkSession.sparkContext.broadcast(_bits(ids.select(place("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(held.value, np.int64)
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            h = batch.column("h").to_numpy()
+            some = batch.filter(pa.array(((words[h >> 6] >> (h & 63)) & 1) > 0))
+            for part in (some.slice(i, 256) for i in range(0, some.num_rows, 256)):
                 sets = [shingle_set(x.as_py(), k).view(np.int64) for x in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
+        released()
 
-    some = _picked(docs.filter("doc_id is not null"), "doc_id", ids.select(F.col("id").alias("doc_id")))
-    return some.mapInArrow(run, "doc_id long, s array<long>").dropDuplicates(["doc_id"])
+    return docs.filter("doc_id is not null").select("*", place("doc_id")).mapInArrow(run, "doc_id long, s array<long>").dropDuplicates(["doc_id"])
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -333,16 +328,51 @@ def _across(left: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFra
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+#: Signatures that a partition should hold when they are gathered.
+SIGNATURES = 400_000
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents with their signatures: each signature of a batch once, with its smallest and largest document."""
+    for batch in batches:
+        sigs = batch.column("sigs")
+        doc, sig = batch.column("doc_id").to_numpy()[pc.list_parent_indices(sigs).to_numpy()], sigs.flatten().to_numpy()
+        order = np.lexsort((doc, sig))
+        doc, sig = doc[order], sig[order]
+        if len(sig):
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            last = np.append(first[1:], len(sig)) - 1
+            yield pa.RecordBatch.from_pydict({"sig": sig[first], "x": doc[first], "y": doc[last]})
+
+
+def _among(shared: DataFrame, made: DataFrame) -> DataFrame:
+    """sig, doc: the signatures of documents that are among `shared`, and a few others that share their bits; it spares the join most rows."""
+    held = made.sparkSession.sparkContext.broadcast(_bits(shared.select(F.col("sig").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("h"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(held.value, np.int64)
+        for batch in batches:
+            sigs = batch.column("sigs")
+            doc, sig = batch.column("doc_id").to_numpy()[pc.list_parent_indices(sigs).to_numpy()], sigs.flatten().to_numpy()
+            h = sig & (FILTER_BITS - 1)
+            keep = ((words[h >> 6] >> (h & 63)) & 1) > 0
+            yield pa.RecordBatch.from_pydict({"sig": sig[keep], "doc": doc[keep]})
+
+    return made.mapInArrow(run, "sig long, doc long")
+
+
 def _buckets(made: DataFrame, nodes: DataFrame) -> DataFrame:
     """sig, doc, top: the buckets of two sets or more, each doc a set's smallest document and top the bucket's smallest; of buckets with the same members one.
 
     Near sets share most of their signatures, so most buckets repeat another's members. They are told by the number, the
-    smallest and two digests (128 bits of hashes) of their members.
+    smallest and two digests (96 bits of hashes) of their members.
     """
-    signed = made.filter("sigs is not null").select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
-    ends = signed.groupBy("sig").agg(F.min("doc").alias("x"), F.max("doc").alias("y"))  # combined before the shuffle: a frequent signature is a row a task
+    signed = made.filter("sigs is not null").select("doc_id", "sigs")
+    parts = max(shuffle_parts(made.sparkSession), -(-(signed.agg(F.sum(F.size("sigs"))).first()[0] or 0) // SIGNATURES))
+    # A frequent signature is a row a batch before the shuffle; its smallest and largest document tell whether several share it.
+    ends = signed.mapInArrow(_ends, "sig long, x long, y long").repartition(parts, "sig").groupBy("sig").agg(F.min("x").alias("x"), F.max("y").alias("y"))
     shared = materialize(ends.filter("x < y").select("sig"), "shared")
-    some = _picked(signed, "sig", shared).join(shared, "sig").join(nodes.withColumnRenamed("doc_id", "doc"), "doc")
+    some = _among(shared, signed).join(shared, "sig").join(nodes.withColumnRenamed("doc_id", "doc"), "doc")
     members = materialize(some.select("sig", F.col("rep").alias("doc")).distinct(), "members")
     h, other = F.xxhash64("doc"), F.xxhash64(F.lit(7), "doc")
     told = members.groupBy("sig").agg(F.count("*").alias("m"), F.min("doc").alias("top"), F.bit_xor(h).alias("d"), F.sum(other.bitwiseAND(F.lit(0xFFFFFFFF))).alias("e"))

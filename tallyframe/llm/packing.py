@@ -33,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, task_ids
-from .tokens import encoder
+from .common import materialize, small_batches, task_ids
+from .tokens import encoder, release
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, seq long"
 IDS = ", ids binary"
 
 
 #: How near to the optimum the linear program is solved, and the most steps towards it (it's a solution after each).
-GAP, ROUNDS = 1e-3, 600
+GAP, ROUNDS = 1e-2, 600
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -187,7 +187,8 @@ def _last_anew(lengths: np.ndarray, held: list[list[int]], size: int, share: flo
 
 def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, block_pieces: int = 6000, keep_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids). docs: doc_id, text."""
-    made = materialize(pieces(docs, vocabulary, size, end_id, keep_ids), "pieces")
+    with small_batches(docs.sparkSession):
+        made = materialize(pieces(docs, vocabulary, size, end_id, keep_ids), "pieces")
     tails = made.filter(F.col("length") < size)
     blocks = max(1, -(-tails.count() // block_pieces))
     ids = ["ids"] * keep_ids

@@ -24,8 +24,8 @@ from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scan_parts, scratch_path, shuffle_parts, task_ids
-from .tokens import encoder
+from .common import materialize, scan_parts, scratch_path, shuffle_parts, small_batches, task_ids
+from .tokens import encoder, release
 
 MANIFEST = "shard long, ids_path string, index_path string, n_docs long, n_ids long"
 
@@ -94,10 +94,12 @@ def write_tokens(docs: DataFrame, vocabulary: str, root: str, end_id: int = 1, l
             for x in streams:
                 x.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "ids_path": [where[0]], "index_path": [where[1]], "n_docs": [n_docs], "n_ids": [n_ids]})
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = rows.repartitionByRange(parts or scan_parts(rows), F.col("doc_id").asc_nulls_first())
-    return materialize(ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(encode, MANIFEST), "manifest")
+    with small_batches(docs.sparkSession):
+        return materialize(ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(encode, MANIFEST), "manifest")
 
 
 def index_schema() -> pa.Schema:

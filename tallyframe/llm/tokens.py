@@ -6,6 +6,7 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 #: A space that another white-space character or the end follows: there, splitting at every space isn't safe.
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
@@ -30,7 +31,7 @@ class WordEncoder:
     token. Ids are returned as little-endian bytes of `dtype`.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = t = Tokenizer.from_file(path)
@@ -110,3 +111,9 @@ def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """At the end of a task: lets go of encoders and buffers, since a Python worker lives on and shares its executor's memory. Another task reads the file again."""
+    _ENCODERS.clear()
+    pa.default_memory_pool().release_unused()

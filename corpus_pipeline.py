@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import jaccard, langid, mixing, packing, secrets
-from tallyframe.llm.common import crc_mod, materialize
+from tallyframe.llm.common import crc_mod, materialize, small_batches
 from tallyframe.llm.queries import vocabulary
 
 
@@ -26,7 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.families:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     clear = "_".join(["predicted", *docs.columns])  # longer than any column of docs, hence none of them
-    marked = langid.predict(docs, model, (clear, f"{clear}_score"))
+    with small_batches(spark):  # whole texts pass through Python
+        marked = materialize(langid.predict(docs, model, (clear, f"{clear}_score")), "marked")
     return marked.filter(F.col(clear) != langid.UNDETERMINED).withColumn("lang", F.col(clear)).select(*docs.columns)
 
 

@@ -10,7 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that scans confuse with a digit, and those that may separate groups.
-LOOKALIKES = {**dict.fromkeys("lIi|!tTr", "1"), **dict.fromkeys("OoQD", "0"), **dict.fromkeys("Ss", "5"), "B": "8", **dict.fromkeys("Zz", "2"), **dict.fromkeys("gq", "9"), **dict.fromkeys("bG", "6")}
+LOOKALIKES = {
+    "l": "1", "I": "1", "i": "1", "|": "1", "!": "1", "t": "1", "T": "1", "r": "1",
+    "O": "0", "o": "0", "Q": "0", "D": "0",
+    "S": "5", "s": "5",
+    "B": "8",
+    "Z": "2", "z": "2",
+    "g": "9", "q": "9",
+    "b": "6", "G": "6",
+}
 SEPARATORS = ",.'\"_;:J  –—-"
 _IN_CLASS = ",.'\"_;:J \\u00a0–—\\-"
 SHAPE = rf"^[()+\-]?[0-9lIioOQDSsBZzgqbGtTr|!{_IN_CLASS}]+[()%]?$"

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import functools
-import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chart import CONCEPTS, SECTION_MARKERS
 
-#: An enumeration mark at the start of a caption; marks may be stacked.
+# Fixed value: an enumeration mark at the start of a caption; marks may be stacked.
 MARKER = r"^(?:[\s(\[]*(?:[0-9]{1,2}|[a-zA-Z]|[ivxIVX]{1,4})[).\]:\-]+\s*)+"
+# Fixed values of the score: the least that counts, what an edit costs, lengths and shares that weigh in, agreement with the section, and the gap within which other things decide.
+LEAST, EDIT, LONG, SYNONYM, COVER, SAME, OTHER, GAP = 0.42, 1.6, 18, (0.6, 0.4), (0.55, 0.45), 1.12, 0.62, 0.08
 
 
 def normalize(label: Column) -> Column:
@@ -29,87 +31,100 @@ def despace(label: Column) -> Column:
     return F.lower(F.regexp_replace(label, "[^A-Za-z0-9]", ""))
 
 
-def normal_text(label: str) -> str:
-    """normalize() of one text."""
-    s = re.sub(r"\brn\b", "m", label.lower(), flags=re.A)
-    s = re.sub("[‘’“”]", "", s.replace("æ", "ae"))
-    s = re.sub(r"\bnote\s*no\.?\s*\d*", " ", re.sub(r"\*+", " ", s))
-    s = re.sub(MARKER, "", re.sub(r"^\((.*)\)$", r"\1", s).strip())
-    return re.sub(r"\s+", " ", s).strip()
-
-
-def bare_text(s: str) -> str:
-    return re.sub("[^a-z0-9]", "", s.lower())
-
-
 def tolerance(n: int) -> int:
     """Edits that a synonym of n letters may be off."""
     return 1 if n <= 6 else 2 if n <= 12 else max(2, int(0.15 * n))
 
 
-def substring_distance(text: str, pattern: str) -> int:
-    """The fewest edits between the pattern and any part of the text."""
-    row = list(range(len(pattern) + 1))
-    best = row[-1]
-    for c in text:
-        left, row[0] = row[0], 0
-        for j, p in enumerate(pattern, 1):
-            left, row[j] = row[j], min(left + (c != p), row[j] + 1, row[j - 1] + 1)
-        best = min(best, row[-1])
-    return best
-
-
-def _candidates(bare: str, section: str | None) -> list[tuple]:
-    out = []
-    for c in CONCEPTS:
-        if any(x in bare for x in c["exclude"]):
-            continue
-        best = None
-        for synonym in c["synonyms"]:
-            n = len(synonym)
-            far = substring_distance(bare, synonym)
-            if far > tolerance(n):
-                continue
-            score = max(0.0, 1 - far * 1.6 / n) * (0.6 + 0.4 * min(1, n / 18)) * (0.55 + 0.45 * min(1, n / max(len(bare), 1)))
-            score *= 1 if section is None else 1.12 if section == c["section"] else 0.62
-            score = max(0.0, min(1.0, score))
-            if best is None or score > best[0]:
-                best = (score, far, n)
-        if best:
-            out.append((c["concept"], c["specificity"], *best))
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points as rows of equal length (0 beyond a text's end), and lengths."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((len(texts), max(1, lengths.max(initial=0))), np.int32)
+    for i, t in enumerate(texts):
+        out[i, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32)
+    return out, lengths
+
+
+def substring_distances(texts: list[str], patterns: list[str]) -> np.ndarray:
+    """For each text and pattern the fewest edits between the pattern and any part of the text; all pairs at a time, a step for each letter of the texts.
+
+    A column of the edit table follows from the one before: the best of a change and a drop, then runs of insertions, which are a running minimum.
+    """
+    (t, nt), (p, np_) = _codes(texts), _codes(patterns)
+    out = np.empty((len(texts), len(patterns)), np.int16)
+    along = np.arange(p.shape[1] + 1, dtype=np.int16)
+    ends = np.broadcast_to(np_, out.shape)[..., None]
+    for at in range(0, len(texts), 32):
+        own, n = t[at : at + 32], nt[at : at + 32]
+        row = np.broadcast_to(along, (len(own), *p.shape[:1], len(along))).copy()
+        best = np.take_along_axis(row, ends[at : at + 32], 2)[..., 0]
+        for j in range(own.shape[1]):
+            changed = row[..., :-1] + (own[:, j, None, None] != p)
+            row[..., 1:] = np.minimum(changed, row[..., 1:] + 1)
+            row[..., 0] = 0
+            row = np.minimum.accumulate(row - along, axis=2) + along
+            found = np.take_along_axis(row, ends[at : at + 32], 2)[..., 0]
+            best = np.where((j < n)[:, None], np.minimum(best, found), best)
+        out[at : at + 32] = best
     return out
 
 
-def _before(a: tuple, b: tuple) -> int:
-    """Order of candidates: by score where it differs clearly; else more specific, then nearer, then longer first. Not transitive."""
-    if abs(a[2] - b[2]) > 0.08:
-        return 1 if a[2] < b[2] else -1
-    return b[1] - a[1] or a[3] - b[3] or b[4] - a[4]
-
-
-@functools.lru_cache(maxsize=50_000)
-def classify_text(label: str, section: str | None = None, least: float = 0.42) -> tuple[str, float] | None:
-    """The concept that a caption names, and the score; None for prose."""
-    normal = normal_text(label)
-    bare = bare_text(normal)
-    if len(normal) < 3 or len(bare) < 3:
-        return None
-    found = sorted((c for c in _candidates(bare, section) if c[2] >= least), key=functools.cmp_to_key(_before))
-    return (found[0][0], found[0][2]) if found else None
+def substring_distance(text: str, pattern: str) -> int:
+    """The same for one pair."""
+    return int(substring_distances([text], [pattern])[0, 0])
+
+
+_SYNONYMS = [s for c in CONCEPTS for s in c["synonyms"]]
+_OWNER = np.array([i for i, c in enumerate(CONCEPTS) for _ in c["synonyms"]])
+_LENGTH = np.array([len(s) for s in _SYNONYMS])
+
+
+def scores(bare: list[str], sections: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Score (-1: none) and distance of each text (letters and digits alone) against each synonym."""
+    far = substring_distances(bare, _SYNONYMS)
+    length = np.maximum([len(b) for b in bare], 1)[:, None]
+    score = np.maximum(0, 1 - far * EDIT / _LENGTH) * (SYNONYM[0] + SYNONYM[1] * np.minimum(1, _LENGTH / LONG)) * (COVER[0] + COVER[1] * np.minimum(1, _LENGTH / length))
+    own = np.array([c["section"] for c in CONCEPTS])[_OWNER]
+    told = np.array([s or "" for s in sections])[:, None]
+    score = np.clip(score * np.where(told == "", 1.0, np.where(told == own, SAME, OTHER)), 0, 1)
+    barred = np.array([[any(x in b for x in c["exclude"]) for c in CONCEPTS] for b in bare]).reshape(len(bare), len(CONCEPTS))
+    return np.where((far <= [tolerance(n) for n in _LENGTH]) & ~barred[:, _OWNER], score, -1.0), far
+
+
+def _first(a: tuple, b: tuple) -> int:
+    """Order of candidates (score, specificity, distance, length): by score where it differs clearly; else more specific, then nearer, then longer first. Not transitive."""
+    if abs(a[0] - b[0]) > GAP:
+        return 1 if a[0] < b[0] else -1
+    return b[1] - a[1] or a[2] - b[2] or b[3] - a[3]
+
+
+def classified(bare: list[str], sections: list[str | None], least: float = LEAST) -> list[tuple[str, float] | tuple[None, None]]:
+    """The concept that each text names, and its score; nothing for prose and for texts of fewer than three letters."""
+    out: list = []
+    for at in range(0, len(bare), 256):
+        score, far = scores(bare[at : at + 256], sections[at : at + 256])
+        for text, own, d in zip(bare[at : at + 256], score, far, strict=True):
+            found = []
+            for i in dict.fromkeys(_OWNER[own >= least]) if len(text) >= 3 else ():
+                k = int(np.where(_OWNER == i, own, -2.0).argmax())  # the concept's best synonym, the first on ties
+                found.append((float(own[k]), CONCEPTS[i]["specificity"], int(d[k]), int(_LENGTH[k]), CONCEPTS[i]["concept"]))
+            best = sorted(found, key=functools.cmp_to_key(_first))[0] if found else None
+            out.append((best[4], best[0]) if best else (None, None))
+    return out
 
 
 def classify(captions: DataFrame, label: str = "label", section: str = "section") -> DataFrame:
-    """captions with concept and label_score. Distinct captions are classified once, and joined back."""
+    """captions with concept and label_score. Distinct normal forms are classified once for each section, and joined back."""
 
     @F.pandas_udf("struct<concept:string,label_score:double>")
-    def run(labels: pd.Series, sections: pd.Series) -> pd.DataFrame:
-        rows = [(classify_text(a, b if isinstance(b, str) else None) if isinstance(a, str) else None) or (None, None) for a, b in zip(labels, sections, strict=True)]
-        return pd.DataFrame(rows, columns=["concept", "label_score"]).astype({"label_score": float})
+    def run(bare: pd.Series, sections: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(classified(bare.tolist(), [s or None for s in sections]), columns=["concept", "label_score"]).astype({"label_score": float})
 
-    keys = captions.select(F.col(label).alias("_l"), F.col(section).alias("_s")).distinct()
-    known = keys.withColumn("_c", run("_l", "_s")).select("_l", "_s", "_c.concept", "_c.label_score")
-    same = F.col(label).eqNullSafe(F.col("_l")) & F.col(section).eqNullSafe(F.col("_s"))
-    return captions.join(known, same, "left").drop("_l", "_s")
+    normal = normalize(F.col(label))
+    keyed = captions.withColumns({"_b": F.when(F.length(normal) >= 3, despace(normal)), "_s": F.coalesce(section, F.lit(""))})
+    keys = keyed.select("_b", "_s").filter(F.length("_b") >= 3).distinct()
+    known = keys.withColumn("_c", run("_b", "_s")).select("_b", "_s", "_c.concept", "_c.label_score").filter("concept is not null")
+    return keyed.join(known, ["_b", "_s"], "left").drop("_b", "_s")
 
 
 def section_of(label: Column) -> Column:
@@ -120,33 +135,15 @@ def section_of(label: Column) -> Column:
     return F.when((F.length(normalize(label)) <= 34) & (F.length(bare) >= 5) & ~F.startswith(bare, F.lit("total")), F.coalesce(*hits))
 
 
-def edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, d in enumerate(b, 1):
-            left, row[j] = row[j], min(left + (c != d), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
-
-
-def section_text(label: str) -> str | None:
-    """section_of() of one text."""
-    normal = normal_text(label)
-    bare = bare_text(normal)
-    if len(normal) > 34 or len(bare) < 5 or bare.startswith("total"):
-        return None
-    return next((s for m, s in SECTION_MARKERS if edit_distance(bare, m) <= min(2, tolerance(len(m)))), None)
-
-
 # What a row that is no line item starts with, or holds.
-NOISE = r"^(for|place|dated?|din|udin|membership|firm|partner|director|chartered)\b|accounting polic|^see accompanying|integral part of the financial statement"
+NOISE = (
+    r"^(for|place|dated?|din|udin|membership|firm|partner|director|chartered)\b",
+    r"accounting polic",
+    r"^see accompanying",
+    r"integral part of the financial statement",
+)
 
 
 def is_noise(label: Column) -> Column:
     s = normalize(label)
-    return (F.length(s) < 3) | (F.length(s) > 110) | s.rlike(NOISE)
-
-
-def noise_text(label: str) -> bool:
-    s = normal_text(label)
-    return not 3 <= len(s) <= 110 or bool(re.search(NOISE, s, re.A))
+    return (F.length(s) < 3) | (F.length(s) > 110) | s.rlike("|".join(NOISE))

@@ -86,12 +86,59 @@ def lower_first(text: str) -> str:
     return text[0].lower() + text[1:]
 
 
+def lower_first_column(text: Column) -> Column:
+    stays = ~text.rlike("^[A-Za-z]") | text.rlike("^[A-Z]{2}")
+    return F.when(stays, text).otherwise(F.concat(F.lower(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text))))
+
+
+def _column(function, kind: str, *columns: Column) -> Column:
+    """A function of this module over columns. Rounding of the exact binary value isn't among the built-in functions, hence pandas."""
+
+    @F.pandas_udf(kind)
+    def run(rows: pd.DataFrame) -> pd.Series:
+        plain = rows.astype(object).where(rows.notna(), None)
+        return pd.Series([function(*r) for r in plain.itertuples(index=False, name=None)], dtype=object)
+
+    return run(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]))
+
+
 def money_column(v: Column, currency: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(values: pd.Series, currencies: pd.Series) -> pd.Series:
-        return pd.Series([money(a, b) for a, b in zip(values, currencies, strict=True)])
+    return _column(money, "string", v, currency)
+
+
+def exact_column(v: Column, currency: Column) -> Column:
+    return _column(exact, "string", v, currency)
+
+
+def metric_column(v: Column, kind: Column, currency: Column) -> Column:
+    return _column(metric, "string", v, kind, currency)
+
+
+def change_column(v: Column, share: Column, kind: Column, currency: Column) -> Column:
+    return _column(change, "string", v, share, kind, currency)
+
+
+def file_size_column(n: Column) -> Column:
+    return _column(lambda x: None if x is None else file_size(int(x)), "string", n)
+
+
+def duration_column(ms: Column) -> Column:
+    return _column(lambda x: None if x is None else duration(int(x)), "string", ms)
+
+
+def texts(shown: dict[str, tuple[Column, str]], currency: Column) -> Column:
+    """A struct of texts, by name: the number and its kind (of metric(), or "change": a percentage with its sign). Null for missing numbers. One pass for all."""
+    kinds = {k: kind for k, (_, kind) in shown.items()}
+
+    @F.pandas_udf("struct<" + ",".join(f"{k}:string" for k in shown) + ">")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        said = {}
+        for k, kind in kinds.items():
+            own = zip(rows[k], rows["_currency"], strict=True)
+            said[k] = [None if _missing(v) else f"{'+' if v > 0 else ''}{metric(v, 'percent')}" if kind == "change" else metric(v, kind, c) for v, c in own]
+        return pd.DataFrame(said, index=rows.index, dtype=object)
 
-    return run(v, currency)
+    return run(F.struct(*[v.cast("double").alias(k) for k, (v, _) in shown.items()], currency.alias("_currency")))
 
 
 def confidence_tier(sure: Column) -> Column:

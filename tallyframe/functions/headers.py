@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-YEAR_LETTERS = ("lIi|!tTrOoQDSsBZzgqbG", "111111110000558229966")
+# Months, and letters that are read as digits in a year.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+YEAR_LETTERS = {"l": "1", "I": "1", "|": "1", "!": "1", "o": "0", "O": "0", "Q": "0", "S": "5", "s": "5", "B": "8", "b": "8"}
+# Units and currencies in the order in which they are tried.
 _UNIT = r"\bin\s+(?:(?:rs\.?|inr|usd|eur|gbp|₹|\$|€|£)\s*)?(?:{})\b"
 UNITS = [("crores?|crs?", 1e7, "Crore"), ("lakhs?|lacs?", 1e5, "Lakh"), ("millions?|mns?", 1e6, "Million"), ("thousands?|'?000s?", 1e3, "Thousand")]
 CURRENCIES = [(r"₹|\binr\b|indian rupees?\b|\brs\.?\b", "INR"), (r"\busd\b|\bus dollars?\b|\$", "USD"), (r"\beur\b|\beuros?\b|€", "EUR"), (r"\bgbp\b|\bpounds?\b|£", "GBP")]
@@ -17,7 +16,7 @@ CURRENCIES = [(r"₹|\binr\b|indian rupees?\b|\brs\.?\b", "INR"), (r"\busd\b|\bu
 
 def year(text: Column) -> Column:
     """The first year from 1950 to 2049, letters that look like digits read as these."""
-    found = F.regexp_extract(F.translate(text, *YEAR_LETTERS), r"\b(19[5-9][0-9]|20[0-4][0-9])\b", 1)
+    found = F.regexp_extract(F.translate(text, "".join(YEAR_LETTERS), "".join(YEAR_LETTERS.values())), r"\b(19[5-9][0-9]|20[0-4][0-9])\b", 1)
     return F.when(found != "", found.try_cast("int"))
 
 
@@ -47,31 +46,17 @@ def currency(text: Column) -> Column:
     return F.coalesce(*[F.when(low.rlike(p), F.lit(n)) for p, n in CURRENCIES], F.lit("INR"))
 
 
-def year_text(text: str) -> int | None:
-    m = re.search(r"\b(19[5-9][0-9]|20[0-4][0-9])\b", text.translate(str.maketrans(*YEAR_LETTERS)), re.A)
-    return int(m[1]) if m else None
-
-
-def month_text(text: str) -> int | None:
-    low = text.lower()
-    return next((i for i, m in enumerate(MONTHS, 1) if m in low), None)
-
-
-def unit_text(text: str) -> tuple[float, str]:
-    low = text.lower()
-    return next(((s, n) for p, s, n in UNITS if re.search(_UNIT.format(p), low)), (1.0, "Absolute"))
+def squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def currency_text(text: str) -> str:
-    low = text.lower()
-    return next((n for p, n in CURRENCIES if re.search(p, low)), "INR")
+# What is taken out of a period's name.
+UNNAMED = (r"(?i)\(?amount\s*in\s*[^)]*\)?", r"(?i)\(rs\.?\)", r"[^A-Za-z0-9_\s,'-]")
 
 
-def header_label(text: str, y: int | None) -> str:
+def header_label(text: Column, y: Column) -> Column:
     """What a period is called: the header's own words if they are short and hold a digit."""
-    s = re.sub(r"\(?amount\s*in\s*[^)]*\)?", " ", text, flags=re.I)
-    s = re.sub(r"[^\w\s,'-]", " ", re.sub(r"\(rs\.?\)", " ", s, flags=re.I), flags=re.A)
-    s = re.sub(r"\s+", " ", s).strip()
-    if 6 <= len(s) <= 40 and re.search(r"\d", s):
-        return s
-    return f"FY {y}" if y else s or "Period"
+    for pattern in UNNAMED:
+        text = F.regexp_replace(text, pattern, " ")
+    s = squeezed(text)
+    return F.when(F.length(s).between(6, 40) & s.rlike("[0-9]"), s).when(y.isNotNull(), F.concat(F.lit("FY "), y)).when(s != "", s).otherwise("Period")

@@ -1,26 +1,43 @@
 """Figures to findings: roll-ups, the accounting identity, metrics, changes, insights. Column expressions and windows throughout.
 
-Input is the long table of figures: doc_id, concept, period_id, ord (newest highest), value, origin, confidence. One shuffle
-brings a document's period together; every total, check and metric is then a column of that row.
+Input is the long table of figures: doc_id, concept, period_id, ord (newest highest), value, origin, confidence, and where there
+is any its provenance: page, source_label, raw, repaired. One shuffle brings a document's period together; every total, check and
+metric is then a column of that row. Numbers become text at the very end, in one pass over a few columns.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.chart import COMPOSITION, CONCEPTS, TOTALS
+from ..functions import display
+from ..functions.chart import COMPOSITION, CONCEPTS, TOTALS, about, label_of
+from ..store import settled
 
 #: Relative difference up to which a printed total is taken to agree with its parts.
 AGREES = 0.02
+#: What a figure carries along, and its types.
+PROVENANCE = {"page": "int", "source_label": "string", "raw": "string", "repaired": "boolean"}
+FIGURE = ("value", "origin", "confidence", *PROVENANCE)
+#: Origins in the order in which a figure is marked by them.
+MARKS = ("derived", "assisted", "repaired")
 
 
-def wide(figures: DataFrame) -> DataFrame:
-    """A row for each document and period: a struct (value, origin, confidence) for each concept, null where there is none."""
-    one = lambda c: F.max(F.when(F.col("concept") == c, F.struct("value", "origin", "confidence"))).alias(c)
-    return figures.groupBy("doc_id", "period_id", "ord").agg(*[one(c["concept"]) for c in CONCEPTS])
+def with_provenance(figures: DataFrame) -> DataFrame:
+    """figures with the columns of PROVENANCE, null where there are none."""
+    return figures.withColumns({k: F.lit(None).cast(t) for k, t in PROVENANCE.items() if k not in figures.columns})
+
+
+def wide(figures: DataFrame, periods: DataFrame | None = None) -> DataFrame:
+    """A row for each document and period: a struct (FIGURE) for each concept, null where there is none. periods (doc_id, period_id, ord) adds those without any figure."""
+    one = lambda c: F.max(F.when(F.col("concept") == c, F.struct(*FIGURE))).alias(c)
+    rows = with_provenance(figures)
+    if periods is not None:
+        bare = periods.select("doc_id", "period_id", "ord", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("concept", *FIGURE)])
+        rows = rows.select("doc_id", "period_id", "ord", "concept", *FIGURE).unionByName(bare)
+    return rows.groupBy("doc_id", "period_id", "ord").agg(*[one(c["concept"]) for c in CONCEPTS])
 
 
 def roll_up(rows: DataFrame) -> DataFrame:
@@ -29,37 +46,46 @@ def roll_up(rows: DataFrame) -> DataFrame:
         values = [F.col(f"{p}.value") for p in parts]
         some = reduce(lambda a, b: a | b, [v.isNotNull() for v in values])
         added = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in values])
-        sure = [F.col(f"{p}.confidence") for p in parts]
-        weakest = (F.least(*sure) if len(sure) > 1 else sure[0]) * 0.97
-        printed = F.col(f"{total}.origin") == "extracted"
-        own = F.col(f"{total}.value")
+        weakest = F.least(*[F.col(f"{p}.confidence") for p in parts]) * 0.97
+        own, printed = F.col(f"{total}.value"), F.col(f"{total}.origin") == "extracted"
         agrees = F.abs(own - added) / F.greatest(F.abs(own), F.abs(added), F.lit(1.0)) <= AGREES
-        made = lambda v, o, c: F.struct(v.alias("value"), o.alias("origin"), c.alias("confidence"))
-        derived = F.lit("derived")
-        rows = rows.withColumn(
-            total,
-            F.when(~some, F.col(total))
-            .when(printed & agrees, made(own, F.col(f"{total}.origin"), F.least(F.lit(1.0), F.col(f"{total}.confidence") * 1.1)))
-            .when(printed, made(added, derived, weakest * 0.85))
-            .otherwise(made(added, derived, weakest)),
-        )
+        derived = lambda sure: F.struct(added.alias("value"), F.lit("derived").alias("origin"), sure.alias("confidence"), *[F.lit(None).cast(t).alias(k) for k, t in PROVENANCE.items()])
+        kept = F.col(total).withField("confidence", F.least(F.lit(1.0), F.col(f"{total}.confidence") * 1.1))
+        rows = rows.withColumn(total, F.when(~some, F.col(total)).when(printed & agrees, kept).when(printed, derived(weakest * 0.85)).otherwise(derived(weakest)))
     return rows
 
 
 def long(rows: DataFrame) -> DataFrame:
     """Back to a row for each figure."""
     each = F.explode(F.array(*[F.struct(F.lit(c["concept"]).alias("concept"), F.col(c["concept"]).alias("v")) for c in CONCEPTS]))
-    return rows.select("doc_id", "period_id", "ord", each.alias("x")).filter("x.v is not null").select("doc_id", "period_id", "ord", "x.concept", "x.v.value", "x.v.origin", "x.v.confidence")
+    return rows.select("doc_id", "period_id", "ord", each.alias("x")).filter("x.v is not null").select("doc_id", "period_id", "ord", "x.concept", "x.v.*")
 
 
-def balance_checks(rows: DataFrame) -> DataFrame:
-    """rows: after roll_up(). doc_id, period_id, assets, claims, difference, relative, status."""
+def mean_confidence(figures: DataFrame) -> DataFrame:
+    """doc_id, confidence: how sure a document's figures are on average; 0 without any."""
+    return figures.groupBy("doc_id").agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+
+
+def identity() -> dict[str, Column]:
+    """The columns of the accounting identity, of a row after roll_up()."""
     assets, claims = F.col("totalAssets.value"), F.col("totalEquityAndLiabilities.value")
-    out = rows.select("doc_id", "period_id", "ord", assets.alias("assets"), claims.alias("claims"))
-    relative = F.abs(F.col("assets") - F.col("claims")) / F.greatest(F.abs("assets"), F.abs("claims"), F.lit(1.0))
-    out = out.withColumns({"difference": F.col("assets") - F.col("claims"), "relative": F.when(F.col("assets").isNotNull() & F.col("claims").isNotNull(), relative)})
-    status = F.when(F.col("relative").isNull(), "insufficient-data").when(F.col("relative") <= 0.001, "balanced").when(F.col("relative") <= 0.01, "minor-variance").otherwise("imbalanced")
-    return out.withColumn("status", status)
+    relative = F.when(assets.isNotNull() & claims.isNotNull(), F.abs(assets - claims) / F.greatest(F.abs(assets), F.abs(claims), F.lit(1.0)))
+    status = F.when(relative.isNull(), "insufficient-data").when(relative <= 0.001, "balanced").when(relative <= 0.01, "minor-variance").otherwise("imbalanced")
+    return {"assets": assets, "claims": claims, "difference": assets - claims, "relative": relative, "status": status}
+
+
+def balance_checks(rows: DataFrame) -> DataFrame:
+    """rows: after roll_up(). doc_id, period_id, ord, assets, claims, difference, relative, status, message."""
+    out = rows.select("doc_id", "period_id", "ord", *[c.alias(k) for k, c in identity().items()])
+    off = F.concat(F.format_number(F.col("relative") * 100, 3), F.lit("%"))
+    message = (
+        F.when(F.col("status") == "insufficient-data", "One side of the balance sheet is missing, so it can't be checked.")
+        .when(F.col("difference") == 0, "Both sides are equal.")
+        .when(F.col("status") == "balanced", F.concat(F.lit("Both sides agree within "), off, F.lit(".")))
+        .when(F.col("status") == "minor-variance", F.concat(F.lit("The sides differ by "), off, F.lit("; a line may be missing or misread.")))
+        .otherwise(F.concat(F.lit("The sides differ by "), off, F.lit("; lines are missing, and ratios may mislead.")))
+    )
+    return out.withColumn("message", message)
 
 
 # Fixed values. Metric: format, category, whether higher is better, bands (up: at least; down: at most) for strong, healthy, watch.
@@ -76,6 +102,31 @@ METRICS = {
     "equityRatio": ("percent", "structure", True, ("up", 0.6, 0.4, 0.25)),
     "inventoryShareOfCurrentAssets": ("percent", "efficiency", False, ("down", 0.3, 0.5, 0.65)),
 }
+#: Metric: what it tells, and its formula; the names in braces are columns of parts().
+METRIC_TEXTS = {
+    "currentRatio": ("How far current assets cover what falls due within a year.", "{ca} / {cl}"),
+    "quickRatio": ("The same cover, inventories left out.", "({ca} - {inv}) / {cl}"),
+    "cashRatio": ("The same cover, by cash alone.", "{cash} / {cl}"),
+    "workingCapital": ("What is left of current assets after all current liabilities.", "{ca} - {cl}"),
+    "totalDebt": ("Borrowings of any term.", "{lt} + {st}"),
+    "netWorth": ("What belongs to the owners.", "{eq}"),
+    "debtToEquity": ("Borrowings against the owners' funds.", "{debt} / {eq}"),
+    "assetToLiability": ("How far all assets cover all liabilities.", "{ta} / {tl}"),
+    "debtToAssets": ("The share of assets that borrowings pay for.", "{debt} / {ta}"),
+    "equityRatio": ("The share of assets that the owners pay for.", "{eq} / {ta}"),
+    "inventoryShareOfCurrentAssets": ("How much of current assets is stock.", "{inv} / {ca}"),
+}
+PARTS = {
+    "ca": "totalCurrentAssets", "cl": "totalCurrentLiabilities", "ta": "totalAssets", "tl": "totalLiabilities", "eq": "totalEquity", "inv": "inventories",
+    "cash": "cashAndCashEquivalents", "lt": "longTermBorrowings", "st": "shortTermBorrowings", "debt": "totalDebt",
+}
+
+
+def dim_metric(spark: SparkSession) -> DataFrame:
+    """metric, seq, label, description, formula, format, category, higher_is_better."""
+    names = {k: label_of(v).lower() for k, v in PARTS.items()}
+    rows = [(m, i, label_of(m), METRIC_TEXTS[m][0], METRIC_TEXTS[m][1].format(**names), f, c, up) for i, (m, (f, c, up, _)) in enumerate(METRICS.items())]
+    return spark.createDataFrame(rows, "metric string, seq int, label string, description string, formula string, format string, category string, higher_is_better boolean")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -117,23 +168,43 @@ def metrics(rows: DataFrame) -> DataFrame:
     wide_rows = rows.select("doc_id", "period_id", "ord", F.col("totalCurrentLiabilities.value").alias("cl"), *[c.alias(m) for m, c in metric_columns().items()])
     each = [F.struct(F.lit(m).alias("metric"), F.lit(i).alias("seq"), F.col(m).cast("double").alias("value"), verdict(m, F.col(m), F.col("cl")).alias("verdict")) for i, m in enumerate(METRICS)]
     out = wide_rows.select("doc_id", "period_id", "ord", F.explode(F.array(*each)).alias("x")).select("doc_id", "period_id", "ord", "x.*")
-    every, newest = Window.partitionBy("doc_id", "metric"), Window.partitionBy("doc_id", "metric").orderBy(F.desc("ord"))
+    every, newest = Window.partitionBy("doc_id", "metric"), Window.partitionBy("doc_id", "metric").orderBy(F.desc("ord"), "period_id")
     out = out.withColumns({"known": F.count("value").over(every), "before": F.lead("value").over(newest)}).filter("known > 0")
     change = F.col("value") - F.col("before")
     return out.withColumns({"change": change, "change_pct": ratio(change, F.abs("before"))}).drop("known", "before")
 
 
+def _with_currency(rows: DataFrame, companies: DataFrame | None) -> DataFrame:
+    """rows with the document's currency, name and unit; rupees and no name where nothing is told."""
+    if companies is None:
+        return rows.withColumns({"currency": F.lit("INR"), "name": F.lit(None).cast("string")})
+    return rows.join(companies.select("doc_id", "currency", "name"), "doc_id", "left").withColumn("currency", F.coalesce("currency", F.lit("INR")))
+
+
+def workings(rows: DataFrame, companies: DataFrame | None = None) -> DataFrame:
+    """rows: after roll_up(). doc_id, period_id, metric, workings: each metric's formula with its figures, where it has a value."""
+    value, own = lambda k: F.col(f"{PARTS[k]}.value") if k != "debt" else metric_columns()["totalDebt"], _with_currency(rows, companies)
+    told = display.texts({k: (F.coalesce(value(k), F.lit(0.0)), "currency") for k in PARTS}, F.col("currency"))
+    own = own.select("doc_id", "period_id", told.alias("t"), *[c.isNotNull().alias(m) for m, c in metric_columns().items()])
+
+    def text(formula: str) -> Column:
+        pieces = [x for part in formula.split("{") for x in part.split("}")]
+        return F.concat(*[F.col(f"t.{x}") if i % 2 else F.lit(x) for i, x in enumerate(pieces) if x or i % 2])
+
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.when(F.col(m), text(METRIC_TEXTS[m][1])).alias("workings")) for m in METRICS]))
+    return own.select("doc_id", "period_id", each.alias("x")).select("doc_id", "period_id", "x.*").filter("workings is not null")
+
+
 SEVERITY, KIND = ("high", "medium", "low"), ("concern", "strength", "trend", "observation")
 
 
 def latest_two(rows: DataFrame) -> DataFrame:
     """A row for each document: figures, metrics and check of its latest period, and figures and metrics of the one before as p_*."""
-    checks = balance_checks(rows).select("doc_id", "period_id", "status")
-    flat = rows.select("doc_id", "period_id", "ord", *[F.col(f"{c['concept']}.value").alias(c["concept"]) for c in CONCEPTS], *[x.alias(f"m_{m}") for m, x in metric_columns().items()])
+    flat = rows.select("doc_id", "period_id", "ord", identity()["status"].alias("status"), *[F.col(f"{c['concept']}.value").alias(c["concept"]) for c in CONCEPTS], *[x.alias(f"m_{m}") for m, x in metric_columns().items()])
     newest = Window.partitionBy("doc_id").orderBy(F.desc("ord"), "period_id")
-    names = [c for c in flat.columns if c not in ("doc_id", "period_id", "ord")]
+    names = [c for c in flat.columns if c not in ("doc_id", "period_id", "ord", "status")]
     out = flat.withColumns({"i": F.row_number().over(newest), "two": F.lead("ord").over(newest).isNotNull(), **{f"p_{n}": F.lead(n).over(newest) for n in names}})
-    return out.filter("i = 1").join(checks, ["doc_id", "period_id"])
+    return out.filter("i = 1")
 
 
 def delta(name: str) -> Column:
@@ -175,35 +246,95 @@ def insight_rules() -> list[tuple[int, Column, Column, Column, Column, list[str]
     ]
 
 
-def _say(name: str) -> Column:
-    return F.concat(F.lit(f"{name.removeprefix('m_')} "), F.coalesce(F.format_number(F.col(name), 2), F.lit("unknown")))
+#: What each finding says: title and detail. The names in braces are texts of _said(); a bracketed part goes where a text is missing.
+INSIGHT_TEXTS = {
+    "liquidity-strong": ("Current assets cover current liabilities {cr}", "Current assets are {cr} of current liabilities[ ({p_cr} the year before)], which leaves {wc} of working capital."),
+    "liquidity-adequate": ("Current assets cover current liabilities {cr}, with little to spare", "The cover is {cr}[ ({p_cr} the year before)]; late payments or a loss on stock could use it up."),
+    "liquidity-deficit": ("Current assets cover current liabilities only {cr}", "What falls due within a year is more than current assets[; the cover was {p_cr} the year before]. New funds or cash from trading are needed in time."),
+    "inventory-heavy-liquidity": ("{share} of current assets are inventories", "Inventories of {inv} are {share} of current assets of {ca}. Without them the cover falls from {cr} to {qr}."),
+    "leverage-conservative": ("Debt is {de} of equity, which is moderate", "Borrowings of {debt} stand against equity of {eq}[; the ratio was {p_de} the year before]."),
+    "leverage-moderate": ("Debt is {de} of equity", "Borrowings of {debt} are more than equity of {eq}[; the ratio was {p_de} the year before]."),
+    "leverage-high": ("Debt is {de} of equity, which is high", "Borrowings of {debt} are more than twice the equity of {eq}[; the ratio was {p_de} the year before]."),
+    "short-term-funding-concentration": ("{funding} of current liabilities are short-term borrowings", "Short-term borrowings of {stb} make up {funding} of current liabilities of {cl}, and have to be renewed within the year."),
+    "debt-trend": ("Total debt moved by {d_debt} in a year", "Total debt went from {p_debt} to {debt}, by {d_debt}."),
+    "balance-sheet-size-trend": ("Total assets moved by {d_assets} in a year", "Total assets went from {p_assets} to {assets}, by {d_assets}."),
+    "mover-inventories": ("Inventories moved by {d_inv} in a year", "Inventories went from {p_inv} to {inv}."),
+    "mover-tradeReceivables": ("Trade receivables moved by {d_rec} in a year", "Trade receivables went from {p_rec} to {rec}."),
+    "mover-cashAndCashEquivalents": ("Cash moved by {d_cash} in a year", "Cash and cash equivalents went from {p_cash} to {cash}."),
+    "mover-tradePayables": ("Trade payables moved by {d_pay} in a year", "Trade payables went from {p_pay} to {pay}."),
+    "solvency-cushion": ("Assets cover liabilities {al}", "All assets are {al} of all liabilities; equity of {eq} stands behind them."),
+    "solvency-thin": ("Assets cover liabilities {al}, a thin margin", "All assets are only {al} of all liabilities."),
+    "solvency-negative": ("Liabilities are more than all assets", "All assets are {al} of all liabilities; equity is {eq}."),
+    "reserves-trend": ("Reserves moved by {moved} in a year", "Reserves and surplus went from {p_res} to {res}, equity is {eq}."),
+    "identity-unverified": ("The two sides couldn't be compared", "A total of one side is missing in the latest period."),
+    "identity-variance": ("The two sides of the balance sheet differ", "Total assets of {assets} stand against claims of {claims}; some lines may be missing or misread."),
+}
 
 
-def insights(rows: DataFrame) -> DataFrame:
-    """rows: after roll_up(). doc_id, insight, kind, severity, title, evidence, position (from 1: severity, then kind, then rule order)."""
+def _said() -> dict[str, tuple[Column, str]]:
+    """Name, number and kind of each text that findings and the summary use, of a row of latest_two()."""
+    c = F.col
+    out = {
+        "cr": (c("m_currentRatio"), "times"), "p_cr": (c("p_m_currentRatio"), "times"), "qr": (c("m_quickRatio"), "times"), "wc": (c("m_workingCapital"), "currency"), "share": (c("m_inventoryShareOfCurrentAssets"), "percent"),
+        "de": (c("m_debtToEquity"), "times"), "p_de": (c("p_m_debtToEquity"), "times"), "al": (c("m_assetToLiability"), "times"), "eq": (c("m_netWorth"), "currency"),
+        "debt": (c("m_totalDebt"), "currency"), "p_debt": (c("p_m_totalDebt"), "currency"), "d_debt": (delta("m_totalDebt"), "change"),
+        "ca": (c("totalCurrentAssets"), "currency"), "cl": (c("totalCurrentLiabilities"), "currency"), "stb": (c("shortTermBorrowings"), "currency"), "funding": (ratio(c("shortTermBorrowings"), c("totalCurrentLiabilities")), "percent"),
+        "claims": (c("totalEquityAndLiabilities"), "currency"), "moved": (c("reservesAndSurplus") - c("p_reservesAndSurplus"), "currency"),
+    }
+    for k, name in (("assets", "totalAssets"), ("inv", "inventories"), ("rec", "tradeReceivables"), ("cash", "cashAndCashEquivalents"), ("pay", "tradePayables"), ("res", "reservesAndSurplus")):
+        out |= {k: (c(name), "currency"), f"p_{k}": (c(f"p_{name}"), "currency"), f"d_{k}": (delta(name), "change")}
+    return out
+
+
+def _filled(text: str) -> Column:
+    """A text with the names in braces filled in from the struct `t`."""
+    parts = []
+    for piece in text.replace("]", "[").split("["):
+        own = [x for y in piece.split("{") for x in y.split("}")]
+        parts.append(F.concat(*[F.col(f"t.{x}") if i % 2 else F.lit(x) for i, x in enumerate(own)]))
+    return F.concat(*[F.coalesce(p, F.lit("")) for p in parts])
+
+
+def insights(rows: DataFrame, companies: DataFrame | None = None, told: bool = True) -> DataFrame:
+    """rows: after roll_up(). doc_id, insight, kind, severity, title, detail, evidence (metrics and concepts), position (from 1: severity, then kind, then rule order).
+
+    Without `told` there is no title and no detail, and nothing is turned into text.
+    """
     found = []
     for seq, (_, name, holds, kind, severity, evidence) in enumerate(insight_rules()):
-        said = F.array(*[_say(e) for e in evidence]).cast("array<string>")
+        said = F.array(*[F.lit(e.removeprefix("m_")) for e in evidence]).cast("array<string>")
         found.append(F.when(holds, F.struct(F.lit(seq).alias("seq"), name.alias("insight"), kind.alias("kind"), severity.alias("severity"), said.alias("evidence"))))
-    out = latest_two(rows).select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("x")).select("doc_id", "x.*")
+    two = latest_two(rows)
+    keep = ["doc_id"]
+    if told:
+        two = _with_currency(two, companies).withColumn("t", display.texts(_said(), F.col("currency")))
+        keep.append("t")
+    out = two.select(*keep, F.explode(F.array_compact(F.array(*found))).alias("x")).select(*keep, "x.*")
     place = lambda c, order: F.array_position(F.array(*map(F.lit, order)), F.col(c))
     by = Window.partitionBy("doc_id").orderBy(place("severity", SEVERITY), place("kind", KIND), "seq")
-    title = F.initcap(F.replace("insight", F.lit("-"), F.lit(" ")))
-    return out.select("doc_id", "insight", "kind", "severity", title.alias("title"), "evidence", F.row_number().over(by).alias("position"))
-
-
-def summary(rows: DataFrame) -> DataFrame:
-    """doc_id, summary: size and equity, liquidity and leverage, the first strength, the first concern; a fixed text without data."""
-    said = insights(rows).groupBy("doc_id").agg(*[F.min_by(F.when(F.col("kind") == k, F.col("title")), F.when(F.col("kind") == k, F.col("position"))).alias(k) for k in ("strength", "concern")])
-    n = lambda c: F.format_number(F.col(c), 2)
+    if told:
+        texts = [reduce(lambda a, b: a.when(b[0], b[1]), [(F.col("insight") == k, _filled(v[i])) for k, v in INSIGHT_TEXTS.items()], F.when(F.lit(False), "")) for i in (0, 1)]
+        out = out.withColumns({"title": texts[0], "detail": texts[1]})
+    return out.select("doc_id", "insight", "kind", "severity", *(["title", "detail"] if told else []), "evidence", F.row_number().over(by).alias("position"))
+
+
+def summary(rows: DataFrame, companies: DataFrame | None = None, periods: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """doc_id, summary: size and equity, liquidity and leverage, the first strength, the first concern; a fixed text without data. found: insights(), if they are at hand."""
+    two = _with_currency(latest_two(rows), companies)
+    first = (insights(rows, companies) if found is None else found).groupBy("doc_id").agg(*[F.min_by(F.when(F.col("kind") == k, display.lower_first_column(F.col("title"))), F.when(F.col("kind") == k, F.col("position"))).alias(k) for k in ("strength", "concern")])
+    if periods is not None:
+        two = two.join(periods.select("doc_id", "period_id", F.col("label").alias("called")), ["doc_id", "period_id"], "left")
+    two = two.withColumn("t", display.texts(_said(), F.col("currency"))).join(first, "doc_id", "left")
+    known = lambda c, text: F.when(F.col(c).isNotNull(), _filled(text))
+    when = F.coalesce("called", "period_id") if periods is not None else F.col("period_id")
     parts = [
-        F.concat(F.lit("Total assets stand at "), n("totalAssets"), F.coalesce(F.concat(F.lit(", equity at "), n("totalEquity")), F.lit("")), F.lit(".")),
-        F.concat(F.lit("The current ratio is "), n("m_currentRatio"), F.coalesce(F.concat(F.lit(" and debt to equity "), n("m_debtToEquity")), F.lit("")), F.lit(".")),
-        F.concat(F.lit("Main strength: "), F.col("strength"), F.lit(".")),
-        F.concat(F.lit("Main concern: "), F.col("concern"), F.lit(".")),
+        F.concat(F.coalesce("name", F.lit("The company")), F.lit(" has total assets of "), known("totalAssets", "{assets}"), F.lit(" at "), when, F.coalesce(known("totalEquity", ", of which {eq} is equity"), F.lit("")), F.lit(".")),
+        F.when(F.col("m_currentRatio").isNotNull() & F.col("m_debtToEquity").isNotNull(), _filled("The current ratio is {cr}, and debt is {de} of equity.")),
+        F.concat(F.lit("First strength: "), F.col("strength"), F.lit(".")),
+        F.concat(F.lit("First concern: "), F.col("concern"), F.lit(".")),
     ]
     text = F.concat_ws(" ", *parts)
-    return latest_two(rows).join(said, "doc_id", "left").select("doc_id", F.when(text == "", "The statement holds too few figures to sum up.").otherwise(text).alias("summary"))
+    return two.select("doc_id", F.when(text == "", "The statement holds too few figures to sum up.").otherwise(text).alias("summary"))
 
 
 # Fixed values. Bands of the two sides.
@@ -244,30 +375,82 @@ def extent(moved: DataFrame) -> DataFrame:
 
 
 def statement_table(rows: DataFrame) -> DataFrame:
-    """doc_id, concept, ord, grp, values (period to value): the statement as it's shown, in presentation order."""
-    order = F.create_map(*[x for c in CONCEPTS for x in (F.lit(c["concept"]), F.struct(F.lit(c["ord"]).alias("ord"), F.lit(c["grp"]).alias("grp")))])
-    figures = long(rows).groupBy("doc_id", "concept").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("period_id", "value")))).alias("values"))
-    return figures.withColumn("o", F.element_at(order, F.col("concept"))).select("doc_id", "concept", "o.ord", "o.grp", "values")
+    """The statement as it's shown, in presentation order: doc_id, concept, ord, label, section, grp, is_total, values (period to value), figures (period to struct: FIGURE, and mark, the first of MARKS that holds)."""
+    mark = F.when(F.col("origin").isin(*MARKS[:2]), F.col("origin")).when(F.col("repaired"), MARKS[2])
+    figures = long(rows).withColumn("mark", mark)
+    both = F.array_sort(F.collect_list(F.struct("period_id", F.struct(*FIGURE, "mark").alias("f"))))
+    shown = figures.groupBy("doc_id", "concept").agg(F.map_from_entries(both).alias("figures"))
+    told = [about(F.col("concept"), k).alias(k) for k in ("ord", "label", "section", "grp", "is_total")]
+    return shown.select("doc_id", "concept", *told, F.transform_values("figures", lambda k, v: v["value"]).alias("values"), "figures")
 
 
-def merge_assisted(figures: DataFrame, unmapped: DataFrame, proposals: DataFrame, least: float = 0.6) -> DataFrame:
+def merge_assisted(figures: DataFrame, unmapped: DataFrame, proposals: DataFrame, least: float = 0.6, most: int = 40) -> DataFrame:
     """Adds proposed captions to figures: the first sure enough proposal of a concept that is still missing, for a row that exists.
 
-    unmapped: doc_id, row_index, period_id, ord, value. proposals: doc_id, row_index, concept, confidence, seq.
+    unmapped: doc_id, row_index, period_id, ord, value. proposals: doc_id, row_index, concept, confidence, seq; a document's first `most` count.
     """
     known = [c["concept"] for c in CONCEPTS]
-    open_ = proposals.filter((F.col("confidence") >= least) & F.col("concept").isin(known)).join(figures.select("doc_id", "concept").distinct(), ["doc_id", "concept"], "left_anti")
+    listed = proposals.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))).filter(F.col("i") <= most).drop("i")
+    open_ = listed.filter((F.col("confidence") >= least) & F.col("concept").isin(known)).join(figures.select("doc_id", "concept").distinct(), ["doc_id", "concept"], "left_anti")
     first = Window.partitionBy("doc_id", "concept").orderBy("seq")
     chosen = open_.join(unmapped.select("doc_id", "row_index").distinct(), ["doc_id", "row_index"], "left_semi").withColumn("i", F.row_number().over(first)).filter("i = 1").drop("i", "seq")
-    added = chosen.join(unmapped, ["doc_id", "row_index"]).select("doc_id", "concept", "period_id", "ord", "value", F.lit("assisted").alias("origin"), F.least(F.lit(0.75), "confidence").alias("confidence"))
-    return figures.select("doc_id", "concept", "period_id", "ord", "value", "origin", "confidence").unionByName(added)
-
-
-def report(figures: DataFrame) -> DataFrame:
-    """One nested row for each document: statement, checks, metrics, insights, summary and mean confidence; to_json() of it is the report."""
-    rows = roll_up(wide(figures))
-    gather = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "doc_id"]))).alias(name))
-    shown = statement_table(rows).withColumn("values", F.to_json("values"))
-    parts = [gather(shown.select("doc_id", "ord", "concept", "grp", "values"), "statement"), gather(balance_checks(rows), "checks"), gather(metrics(rows), "metrics"), gather(insights(rows), "insights"), summary(rows)]
-    sure = figures.groupBy("doc_id").agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
-    return reduce(lambda a, b: a.join(b, "doc_id", "left"), parts, sure)
+    added = chosen.join(unmapped, ["doc_id", "row_index"]).select(
+        "doc_id", "concept", "period_id", "ord", "value", F.lit("assisted").alias("origin"), F.least(F.lit(0.75), "confidence").alias("confidence"),
+        *[F.col(c) if c in unmapped.columns else F.lit(None).cast("int" if c == "page" else "string").alias(c) for c in ("page", "label")],
+    ).withColumnRenamed("label", "source_label")
+    return with_provenance(figures).unionByName(with_provenance(added))
+
+
+def variances(checks: DataFrame) -> DataFrame:
+    """doc_id, code, severity, message: a warning for each period whose sides differ."""
+    severity = F.when(F.col("status") == "imbalanced", "warning").otherwise("info")
+    return checks.filter(F.col("status").isin("imbalanced", "minor-variance")).select("doc_id", F.lit("BALANCE_VARIANCE").alias("code"), severity.alias("severity"), F.concat("period_id", F.lit(": "), "message").alias("message"))
+
+
+def assisted_mapping(figures: DataFrame) -> DataFrame:
+    """doc_id, code, severity, message: documents of which some concepts were mapped with outside help."""
+    n = figures.filter("origin = 'assisted'").groupBy("doc_id").agg(F.count_distinct("concept").alias("n"))
+    return n.select("doc_id", F.lit("ASSISTED_MAPPING").alias("code"), F.lit("info").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" captions were mapped with outside help and are marked so.")).alias("message"))
+
+
+def _gather(df: DataFrame, name: str) -> DataFrame:
+    """A document's rows as one array of structs, in the order of their columns."""
+    return df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "doc_id"]))).alias(name))
+
+
+def report(figures: DataFrame, periods: DataFrame | None = None, companies: DataFrame | None = None, warnings: DataFrame | None = None, unmapped: DataFrame | None = None, files: DataFrame | None = None, narrative: DataFrame | None = None) -> DataFrame:
+    """One nested row for each document; to_json() of it is the report. Documents of `files` without any figure have one too, with their error.
+
+    source and error (of files: doc_id, file_name, file_size, format, page_count, sheet_names, error), company, periods, statement,
+    checks, metrics, insights, summary, warnings, unmapped, confidence, and what outside help gave. Only what is given is told.
+    """
+    spark = figures.sparkSession
+    rows = settled(roll_up(wide(figures, periods)), "rolled")  # read by every part
+    checks, found = balance_checks(rows), settled(insights(rows, companies), "insights")
+    line = statement_table(rows).withColumn("figures", F.map_entries("figures"))
+    told = metrics(rows).join(workings(rows, companies), ["doc_id", "period_id", "metric"], "left").join(F.broadcast(dim_metric(spark).drop("seq")), "metric")  # eleven rows
+    value = F.struct("ord", "period_id", "value", "verdict", "workings", "change", "change_pct")
+    told = told.groupBy("doc_id", "seq", "metric", "label", "description", "formula", "format", "category", "higher_is_better").agg(F.reverse(F.array_sort(F.collect_list(value))).alias("values"))
+    every = reduce(DataFrame.unionByName, [x for x in (warnings, variances(checks), assisted_mapping(figures)) if x is not None])
+    narrated = figures.select("doc_id").distinct().select("doc_id", F.lit(False).alias("narrated")) if narrative is None else narrative.select("doc_id", F.lit(True).alias("narrated"))
+    text = summary(rows, companies, periods, found)
+    if narrative is not None:
+        from .assist import narrate, retold
+
+        found, both = narrate(found, narrative), retold(text, narrative)
+        text, narrated = both.drop("told"), both.select("doc_id", F.col("told").alias("narrated"))
+    helped = figures.groupBy("doc_id").agg(F.bool_or(F.col("origin") == "assisted").alias("assisted"))
+    parts = [
+        _gather(line.select("doc_id", "ord", "concept", "label", "section", "grp", "is_total", "figures"), "statement"), _gather(checks, "checks"), _gather(told.select("doc_id", *[c for c in told.columns if c != "doc_id"]), "metrics"),
+        _gather(found.select("doc_id", "position", *[c for c in found.columns if c not in ("doc_id", "position")]), "insights"), text, _gather(every, "warnings"), mean_confidence(long(rows)), helped, narrated,
+    ]
+    if periods is not None:
+        parts.append(_gather(periods.select("doc_id", (-F.col("ord")).alias("place"), "column_index", "period_id", "label", "end_date"), "periods"))
+    if companies is not None:
+        parts.append(companies.select("doc_id", F.struct(*[c for c in companies.columns if c != "doc_id"]).alias("company")))
+    if unmapped is not None:
+        parts.append(_gather(unmapped.select("doc_id", "row_index", "period_id", "label", "page", "value"), "unmapped"))
+    base = files.select("doc_id", F.struct("file_name", "file_size", "format", "page_count", "sheet_names").alias("source"), "error") if files is not None else rows.select("doc_id").distinct()
+    out = reduce(lambda a, b: a.join(b, "doc_id", "left"), parts, base).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    lists = ("statement", "checks", "metrics", "insights", "warnings", "periods", "unmapped")
+    return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in lists if c in out.columns})

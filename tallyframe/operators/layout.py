@@ -1,27 +1,31 @@
 """Page geometry: rows from baselines, value columns from right edges, cells, and labels matched with figures.
 
-These steps depend on order (running means, a dynamic program), so pages are streamed
-through Arrow batches, one at a time; what doesn't depend on order is left to built-in operators. A page is bounded in size, a document isn't needed in one place.
+These steps depend on order (running means, a dynamic program), so pages are streamed through Arrow batches, one at a time:
+`pages` makes one row of each page, with its rows and value columns as arrays. All that doesn't depend on order is left to
+built-in operators over those. A page is bounded in size; a document isn't needed in one place. Distances scale with the page's width.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from itertools import groupby
 from math import exp, inf
 from operator import itemgetter
 from statistics import fmean, median
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.amounts import SHAPE, is_amount, numericish, parse_amount
+from ..functions.amounts import SHAPE, is_amount, parse_amount
+
 _SHAPE = re.compile(SHAPE)
-#: Tokens: doc_id, page, token_seq, text, x, y, width, height, is_numeric.
-TOKENS = "doc_id string, page int, token_seq int, text string, x double, y double, width double, height double, is_numeric boolean"
+#: Tokens. The page's size is told by each of its tokens; a token without text only tells that the page is there.
+TOKENS = "doc_id string, page int, token_seq int, text string, x double, y double, width double, height double, is_numeric boolean, page_width double, page_height double, page_name string"
+#: The size of a page that isn't told: A4, in points.
+PAGE_SIZE = (595.0, 842.0)
 
 
 def stitch_gap(width: float) -> float:
@@ -46,6 +50,8 @@ class Row:
     tokens: list[tuple]  # text, x, width, is_numeric
     label: str = ""
     cells: list[Cell] = field(default_factory=list)
+    start: float = 0.0  # of the label
+    end: float = 0.0
 
 
 def build_rows(tokens: list[tuple], page: int = 1) -> list[Row]:
@@ -70,50 +76,43 @@ def build_rows(tokens: list[tuple], page: int = 1) -> list[Row]:
 
 
 def stitch(tokens: list[tuple], gap: float) -> list[tuple[str, float, float, bool]]:
-    """Runs of number-like tokens that stand close together, as one text each: text, x, width, whether a single declared number."""
-    out: list[list] = []
-    joined = False
+    """Runs of number-like tokens that stand close together, as one text each: text, x, width, whether a part is a declared number."""
+    out: list[tuple[str, float, float, bool]] = []
+    open_ = False
     for text, x, width, numeric in tokens:
         if not _SHAPE.match(text):
-            joined = False
+            open_ = False
             continue
-        if joined and x - (out[-1][1] + out[-1][2]) <= gap:
-            out[-1][0] += text
-            out[-1][2] = x + width - out[-1][1]
-            out[-1][3] = False
-        else:
-            out.append([text, x, width, numeric])
-        joined = True
-    return [tuple(r) for r in out]
+        if open_ and x - (out[-1][1] + out[-1][2]) <= gap:
+            before = out.pop()
+            text, x, width, numeric = before[0] + text, before[1], x + width - before[1], before[3] or numeric
+        out.append((text, x, width, numeric))
+        open_ = True
+    return out
 
 
-def is_candidate(text: str, numeric: bool) -> bool:
-    """Whether a run may be an amount: by shape, or a declared number of 100 or more or with a fraction."""
-    if is_amount(text):
-        return True
-    parsed = parse_amount(text) if numeric else None
-    return bool(parsed) and (abs(parsed[0]) >= 100 or parsed[0] != int(parsed[0]))
+def amounts_in(tokens: list[tuple], width: float) -> Iterator[tuple[float, float, tuple]]:
+    """Left edge, right edge and parsed amount of each run that is one: by its shape, or a declared number of 100 or more or with a fraction."""
+    for text, x, w, numeric in stitch(tokens, stitch_gap(width)):
+        shaped = is_amount(text)
+        parsed = parse_amount(text) if shaped or numeric else None
+        if parsed and (shaped or abs(parsed[0]) >= 100 or parsed[0] != int(parsed[0])):
+            yield x, x + w, parsed
 
 
 def value_columns(rows: list[Row], width: float) -> list[dict]:
-    """Value columns of a page: right_edge (median), left, right, support."""
-    runs = sorted((x + w, x) for r in rows for text, x, w, numeric in stitch(r.tokens, stitch_gap(width)) if is_candidate(text, numeric))
-    if len(runs) < 2:
+    """Value columns of a page: right_edge (median), left, right, support. Right edges are gathered, from left to right, while they stay near the running mean."""
+    edges = sorted((right, left) for r in rows for left, right, _ in amounts_in(r.tokens, width))
+    if len(edges) < 2:
         return []
-    near = max(8.0, 0.035 * width)
-    groups: list[list] = []
-    total = 0.0
-    for right, left in runs:
-        if groups and right - total / len(groups[-1]) <= near:
-            groups[-1].append((right, left))
-            total += right
-        else:
-            groups.append([(right, left)])
-            total = right
-    least = 3 if len(runs) >= 8 else 2
-    groups = [g for g in groups if len(g) >= least] or groups
-    found = [{"right_edge": median([r for r, _ in g]), "left": min(x for _, x in g), "right": max(r for r, _ in g), "support": len(g)} for g in groups]
-    return [dict(c, column_index=i) for i, c in enumerate(sorted(found, key=lambda c: c["right_edge"]))]
+    near, groups = max(8.0, 0.035 * width), [[edges[0]]]
+    for edge in edges[1:]:
+        if edge[0] - fmean(r for r, _ in groups[-1]) > near:
+            groups.append([])
+        groups[-1].append(edge)
+    supported = [g for g in groups if len(g) >= (3 if len(edges) >= 8 else 2)] or groups
+    made = [{"right_edge": median(r for r, _ in g), "left": min(x for _, x in g), "right": g[-1][0], "support": len(g)} for g in supported]
+    return [{"column_index": i, **c} for i, c in enumerate(sorted(made, key=itemgetter("right_edge")))]
 
 
 def assign_cells(rows: list[Row], columns: list[dict], width: float) -> None:
@@ -121,19 +120,16 @@ def assign_cells(rows: list[Row], columns: list[dict], width: float) -> None:
     edge = min((c["left"] for c in columns), default=width + 4) - 4
     reach = max(12.0, 0.05 * width)
     for row in rows:
-        row.label = re.sub(r"\s+", " ", " ".join(t[0] for t in row.tokens if t[1] < edge)).strip()
-        best: dict[int, Cell] = {}
-        for text, x, w, numeric in stitch([t for t in row.tokens if t[1] >= edge], stitch_gap(width)):
-            parsed = parse_amount(text) if is_candidate(text, numeric) else None
-            if parsed is None or not columns:
-                continue
-            nearest = min(columns, key=lambda c: (abs(c["right_edge"] - (x + w)), c["column_index"]))
-            if abs(nearest["right_edge"] - (x + w)) > reach:
-                continue
-            at = nearest["column_index"]
-            if at not in best or parsed[1] > best[at].confidence:
-                best[at] = Cell(at, parsed[0], parsed[1], parsed[2], parsed[3], x, w)
-        row.cells = [best[k] for k in sorted(best)]
+        named = [t for t in row.tokens if t[1] < edge]
+        row.label = " ".join(" ".join(t[0] for t in named).split())
+        row.start = named[0][1] if named else row.tokens[0][1] if row.tokens else 0.0
+        row.end = named[-1][1] + named[-1][2] if named else row.start
+        found: dict[int, list[Cell]] = {}
+        for left, right, (value, sure, repaired, raw) in amounts_in([t for t in row.tokens if t[1] >= edge], width) if columns else ():
+            far, at = min((abs(c["right_edge"] - right), c["column_index"]) for c in columns)
+            if far <= reach:
+                found.setdefault(at, []).append(Cell(at, value, sure, repaired, raw, left, right - left))
+        row.cells = [max(found[at], key=lambda c: c.confidence) for at in sorted(found)]
 
 
 # Captions that head a group rather than name a figure.
@@ -216,29 +212,44 @@ def read_page(tokens: list[tuple], page: int, width: float) -> tuple[list[Row],
 
 
 FIELDS = ("token_seq", "text", "x", "y", "width", "height", "is_numeric")
+CELL = "struct<column_index:int,value:double,confidence:double,repaired:boolean,raw:string,x:double,width:double>"
+PAGE = f"""doc_id string, page int, page_name string, page_width double, page_height double,
+lines array<struct<row_seq:int,y:double,label:string,label_start:double,label_end:double,text:string,words:array<struct<text:string,x:double,width:double>>,cells:array<{CELL}>>>,
+columns array<struct<column_index:int,right_edge:double,left:double,right:double,support:int>>"""
+
 
+def sized(tokens: DataFrame) -> DataFrame:
+    """tokens with the page's size and name, the usual size where none is told."""
+    usual = {"page_width": F.lit(PAGE_SIZE[0]), "page_height": F.lit(PAGE_SIZE[1]), "page_name": F.lit(None).cast("string")}
+    return tokens.withColumns({k: F.coalesce(k, v) if k in tokens.columns else v for k, v in usual.items()})
 
-def by_page(tokens: DataFrame, schema: str, rows_of: Callable[[str, int, list[tuple]], list[tuple]]) -> DataFrame:
-    """Runs a function over each page's tokens. Pages are sorted within partitions and streamed: a task holds one page at a time."""
+
+def by_page(tokens: DataFrame, schema: str, rows_of: Callable[[list[tuple], int, float], list[tuple]]) -> DataFrame:
+    """Runs a function over each page's tokens, page and width. Pages are sorted within partitions and streamed: a task holds one page at a time.
+
+    The result has doc_id, page, page_name, page_width and page_height before what the function returns.
+    """
     names = [x.split()[0] for x in _split(schema)]
     kinds = _arrow(schema, tokens)
+    key = ("doc_id", "page", "page_name", "page_width", "page_height")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def stream() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", *FIELDS)), strict=True)
+                yield from zip(*(batch.column(c).to_pylist() for c in (*key, *FIELDS)), strict=True)
 
-        for (doc_id, page), own in groupby(stream(), key=itemgetter(0, 1)):
-            held += [(doc_id, page, *r) for r in rows_of(doc_id, page, [t[2:] for t in own])]
-            if len(held) >= 5000:
+        for _, own in groupby(stream(), key=itemgetter(0, 1)):
+            own = list(own)
+            held += [(*own[0][:5], *r) for r in rows_of([t[5:] for t in own], own[0][1], own[0][3])]
+            if len(held) >= 500:
                 yield _batch(held, names, kinds)
                 held = []
         if held:
             yield _batch(held, names, kinds)
 
-    dealt = tokens.select("doc_id", "page", *FIELDS).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "token_seq")
+    dealt = sized(tokens).select(*key, *FIELDS).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "token_seq")
     return dealt.mapInArrow(run, schema)
 
 
@@ -254,56 +265,69 @@ def _split(schema: str) -> list[str]:
     return [x.strip() for x in out]
 
 
-def _arrow(schema: str, tokens: DataFrame) -> list[pa.DataType]:
+def _arrow(schema: str, some: DataFrame) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return [to_arrow_type(f.dataType) for f in tokens.sparkSession.createDataFrame([], schema).schema]
+    return [to_arrow_type(f.dataType) for f in some.sparkSession.createDataFrame([], schema).schema]
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def page_rows(tokens: DataFrame, width: float = 595.0) -> DataFrame:
-    """tokens to doc_id, page, row_seq, y, label, n_tokens, cells."""
+def pages(tokens: DataFrame) -> DataFrame:
+    """tokens to a row for each page: its lines (labels, words, cells) in reading order, and its value columns. Blank tokens are left out."""
+
+    def cell(c: Cell) -> dict:
+        return {"column_index": c.column, "value": c.value, "confidence": c.confidence, "repaired": c.repaired, "raw": c.raw, "x": c.x, "width": c.width}
+
+    def line(i: int, r: Row) -> dict:
+        words = [{"text": t[0], "x": t[1], "width": t[2]} for t in r.tokens]
+        text = " ".join(t[0] for t in r.tokens)
+        return {"row_seq": i, "y": r.y, "label": r.label, "label_start": r.start, "label_end": r.end, "text": text, "words": words, "cells": [cell(c) for c in r.cells]}
 
-    def rows_of(_: str, page: int, own: list[tuple]) -> list[tuple]:
-        rows, _ = read_page(own, page, width)
-        cell = lambda c: {"column_index": c.column, "value": c.value, "confidence": c.confidence, "x": c.x, "width": c.width}
-        return [(i, r.y, r.label, len(r.tokens), [cell(c) for c in r.cells]) for i, r in enumerate(rows)]
+    def rows_of(own: list[tuple], page: int, width: float) -> list[tuple]:
+        rows, columns = read_page(own, page, width)
+        return [([line(i, r) for i, r in enumerate(rows)], columns)]
 
-    return by_page(tokens, "doc_id string, page int, row_seq int, y double, label string, n_tokens int, cells array<struct<column_index:int,value:double,confidence:double,x:double,width:double>>", rows_of)
+    return by_page(tokens, PAGE, rows_of)
 
 
-def page_columns(tokens: DataFrame, width: float = 595.0) -> DataFrame:
-    """tokens to doc_id, page, column_index, right_edge, left, right, support."""
+def page_lines(read: DataFrame) -> DataFrame:
+    """read: as pages() makes it. A row for each line: doc_id, page, row_seq, y, label, label_start, label_end, text, words, cells."""
+    return read.select("doc_id", "page", F.explode("lines").alias("l")).select("doc_id", "page", "l.*")
 
-    def rows_of(_: str, page: int, own: list[tuple]) -> list[tuple]:
-        return [tuple(c[k] for k in ("column_index", "right_edge", "left", "right", "support")) for c in value_columns(build_rows(own, page), width)]
 
-    return by_page(tokens, "doc_id string, page int, column_index int, right_edge double, left double, right double, support int", rows_of)
+def page_columns(read: DataFrame) -> DataFrame:
+    """read: as pages() makes it. doc_id, page, column_index, right_edge, left, right, support."""
+    return read.select("doc_id", "page", F.explode("columns").alias("c")).select("doc_id", "page", "c.*")
 
 
-def aligned(tokens: DataFrame, width: float = 595.0) -> DataFrame:
-    """tokens to doc_id, page, label_seq, label, y, value_y, values, confidence, offset."""
+def runs(tokens: DataFrame) -> DataFrame:
+    """doc_id, page, row_seq, text, x, width: the runs of number-like tokens of each line."""
 
-    def rows_of(_: str, page: int, own: list[tuple]) -> list[tuple]:
-        rows, _ = read_page(own, page, width)
-        offset = vertical_offset(rows)
-        return [(i, a.label, a.y, b.y if b else None, [c.value for c in b.cells] if b else [], sure, offset) for i, (a, b, sure) in enumerate(align(rows, offset))]
+    def rows_of(own: list[tuple], page: int, width: float) -> list[tuple]:
+        return [(i, text, x, w) for i, r in enumerate(build_rows(own, page)) for text, x, w, _ in stitch(r.tokens, stitch_gap(width))]
 
-    return by_page(tokens, "doc_id string, page int, label_seq int, label string, y double, value_y double, values array<double>, confidence double, offset double", rows_of)
+    key = "doc_id string, page int, page_name string, page_width double, page_height double"
+    return by_page(tokens, f"{key}, row_seq int, text string, x double, width double", rows_of).drop("page_name", "page_width", "page_height")
 
 
-def stitched(tokens: DataFrame, gap: float = 4.0, by: tuple[str, ...] = ("doc_id", "page", "line")) -> DataFrame:
-    """Runs of number-like tokens within a line, by windows: a run ends where a token isn't number-like or stands too far off."""
-    line = Window.partitionBy(*by).orderBy("x", "token_seq")
-    t = tokens.withColumn("is_number", numericish(F.col("text")))
-    near = F.lag("is_number").over(line) & (F.col("x") - F.lag(F.col("x") + F.col("width")).over(line) <= gap)
-    t = t.withColumn("starts", F.when(F.col("is_number") & F.coalesce(near, F.lit(False)), 0).otherwise(1))
-    t = t.withColumn("run", F.sum("starts").over(line)).filter("is_number")
-    parts = F.array_sort(F.collect_list(F.struct("x", "token_seq", F.trim("text").alias("t"))))
-    return t.groupBy(*by, "run").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"), F.min("x").alias("x"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), F.count("*").alias("n"))
+def aligned(read: DataFrame) -> DataFrame:
+    """read: as pages() makes it. A row for each labelled line: doc_id, page, row_seq, label, y, value_seq, value_y, cells, confidence, offset."""
+    schema = f"doc_id string, page int, row_seq int, label string, y double, value_seq int, value_y double, cells array<{CELL}>, confidence double, offset double"
+    names, kinds = [x.split()[0] for x in _split(schema)], _arrow(schema, read)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, page, lines in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", "lines")), strict=True):
+                rows = [Row(x["y"], page, [], x["label"], [Cell(*c.values()) for c in x["cells"]]) for x in lines]
+                at, offset = {id(r): i for i, r in enumerate(rows)}, vertical_offset(rows)
+                found = [(doc_id, page, at[id(a)], a.label, a.y, at[id(b)] if b else None, b.y if b else None, lines[at[id(b)]]["cells"] if b else [], sure, offset) for a, b, sure in align(rows, offset)]
+                if found:
+                    yield _batch(found, names, kinds)
+
+    return read.select("doc_id", "page", F.transform("lines", lambda x: F.struct(x["y"].alias("y"), x["label"].alias("label"), x["cells"].alias("cells"))).alias("lines")).mapInArrow(run, schema)
 
 
-__all__ = ["Cell", "Row", "align", "aligned", "build_rows", "page_columns", "page_rows", "read_page", "stitch", "stitched", "value_columns", "vertical_offset"]
+__all__ = ["Cell", "Row", "align", "aligned", "build_rows", "page_columns", "page_lines", "pages", "read_page", "runs", "stitch", "value_columns", "vertical_offset"]

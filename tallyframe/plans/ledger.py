@@ -88,6 +88,24 @@ def _two_sql() -> str:
     return _wide_sql() + f", two AS (SELECT * FROM (SELECT *, row_number() OVER n AS i, lead(yr) OVER n IS NOT NULL AS has, {leads} FROM chk WINDOW n AS (PARTITION BY ent ORDER BY yr DESC)) WHERE i = 1)"
 
 
+_EVIDENCE = {
+    "liquidity-strong": "currentRatio workingCapital", "liquidity-adequate": "currentRatio", "liquidity-deficit": "currentRatio workingCapital", "inventory-heavy-liquidity": "quickRatio inventoryShareOfCurrentAssets inventories",
+    "leverage-conservative": "debtToEquity netWorth totalDebt", "leverage-moderate": "debtToEquity totalDebt", "leverage-high": "debtToEquity totalDebt netWorth", "short-term-funding-concentration": "shortTermBorrowings totalCurrentLiabilities",
+    "debt-trend": "totalDebt debtToEquity", "balance-sheet-size-trend": "totalAssets", "mover-inventories": "inventories", "mover-tradeReceivables": "tradeReceivables", "mover-cashAndCashEquivalents": "cashAndCashEquivalents", "mover-tradePayables": "tradePayables",
+    "solvency-cushion": "assetToLiability netWorth", "solvency-thin": "assetToLiability", "solvency-negative": "assetToLiability netWorth", "reserves-trend": "reservesAndSurplus netWorth", "identity-unverified": "", "identity-variance": "",
+}
+
+
+def _confidence_sql() -> str:
+    """The confidence of each total: that of its weakest part, lower totals first."""
+    leaves = ", ".join(f"max(CASE WHEN ci = {i} THEN CAST({_SURE} AS DOUBLE) END) AS {c}" for i, c in enumerate(LEAVES))
+    out, last = [f"c0 AS (SELECT ent, yr, {leaves} FROM ledger GROUP BY ent, yr)"], "c0"
+    for k, (total, parts) in enumerate(COMPOSITION.items(), 1):
+        out.append(f"c{k} AS (SELECT *, least({', '.join(parts)}) * CAST(0.97 AS DOUBLE) AS {total} FROM {last})")
+        last = f"c{k}"
+    return _LEDGER.rstrip() + ",\n" + ",\n".join(out) + " " + " UNION ALL ".join(f"SELECT {_KEY}, '{t}' AS concept, {t} AS confidence FROM {last} WHERE {t} IS NOT NULL" for t in COMPOSITION)
+
+
 def _insights_sql() -> str:
     d = lambda n: f"(({n} - p_{n}) / nullif(abs(p_{n}), 0))"
     fund, debt, size, moved = "(shortTermBorrowings / nullif(totalCurrentLiabilities, 0))", d("m_totalDebt"), d("totalAssets"), "(reservesAndSurplus - p_reservesAndSurplus)"
@@ -114,9 +132,9 @@ def _insights_sql() -> str:
         ("identity-unverified", "status = 'insufficient-data'", "'observation'", "'medium'"),
         ("identity-variance", "status IN ('minor-variance', 'imbalanced')", "'concern'", "CASE WHEN status = 'imbalanced' THEN 'high' ELSE 'medium' END"),
     ]
-    each = " UNION ALL ".join(f"SELECT ent, {i} AS seq, '{n}' AS insight, {k} AS kind, {s} AS severity FROM two WHERE {c}" for i, (n, c, k, s) in enumerate(rules))
+    each = " UNION ALL ".join(f"SELECT ent, {i} AS seq, '{n}' AS insight, {k} AS kind, {s} AS severity, '{_EVIDENCE[n]}' AS evidence FROM two WHERE {c}" for i, (n, c, k, s) in enumerate(rules))
     order = lambda c, xs: f"CASE {c} " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(xs)) + " END"
-    return _two_sql() + f", hits AS ({each}) SELECT ent AS doc_id, insight, kind, severity, CAST(row_number() OVER (PARTITION BY ent ORDER BY {order('severity', A.SEVERITY)}, {order('kind', A.KIND)}, seq) AS INT) AS position FROM hits"
+    return _two_sql() + f", hits AS ({each}) SELECT ent AS doc_id, insight, kind, severity, evidence, CAST(row_number() OVER (PARTITION BY ent ORDER BY {order('severity', A.SEVERITY)}, {order('kind', A.KIND)}, seq) AS INT) AS position FROM hits"
 
 
 def _mix_sql(bands: dict[str, list[str]]) -> str:
@@ -150,24 +168,31 @@ def _assist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.merge_assisted(f.filter(~hidden), unmapped, proposals).filter("origin = 'assisted'").select("doc_id", "concept", "period_id", "value", "confidence")
 
 
+def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of everything each report holds."""
+    n = lambda c: F.size(F.coalesce(c, F.array())).alias(f"n_{c}")
+    return A.report(figures(spark, sf_dir)).select("doc_id", n("statement"), n("checks"), n("metrics"), n("insights"), n("warnings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     figure = lambda s, d: A.long(rolled(s, d)).filter(F.col("concept").isin(list(COMPOSITION)))
     found = {
         "rollup_totals": lambda s, d: figure(s, d).select("doc_id", "period_id", "concept", "value"),
         "rollup_printed_override": _printed,
-        "rollup_confidence": lambda s, d: figure(s, d).filter(F.col("concept").isin("totalEquity", "totalCurrentAssets")).select("doc_id", "period_id", "concept", "confidence"),
+        "rollup_confidence": lambda s, d: figure(s, d).select("doc_id", "period_id", "concept", "confidence"),
         "balance_check": lambda s, d: A.balance_checks(rolled(s, d)).select("doc_id", "period_id", "assets", "claims", "difference", "status"),
         "metric_yoy_change": lambda s, d: A.metrics(rolled(s, d)).select("doc_id", "period_id", "metric", "change", "change_pct"),
         "metric_presence": lambda s, d: A.metrics(rolled(s, d)).groupBy("doc_id", "metric").agg(F.count("value").alias("n")),
-        "insight_hits": lambda s, d: A.insights(rolled(s, d)).drop("title", "evidence"),
+        "insight_hits": lambda s, d: A.insights(rolled(s, d), told=False).withColumn("evidence", F.array_join("evidence", " ")),
         "movers_ranked": lambda s, d: A.movers(rolled(s, d)),
         "mover_extent": lambda s, d: A.extent(A.movers(rolled(s, d))),
         "funding_mix": lambda s, d: A.composition(rolled(s, d), A.FUNDING),
         "deployment_mix": lambda s, d: A.composition(rolled(s, d), A.DEPLOYMENT),
-        "statement_pivot": lambda s, d: A.statement_table(rolled(s, d)).select("doc_id", "concept", "ord", "grp", F.col("values")["FY1996"].alias("fy1996"), F.col("values")["FY1997"].alias("fy1997")),
+        "statement_pivot": lambda s, d: A.statement_table(rolled(s, d)).select("doc_id", "concept", "ord", "label", "section", "grp", "is_total", F.explode("figures").alias("period_id", "f")).select("*", "f.value", "f.origin", "f.mark").drop("f"),
         "latest_period": lambda s, d: A.latest_two(rolled(s, d)).select("doc_id", "period_id", "status"),
-        "mean_confidence": lambda s, d: figures(s, d).groupBy("doc_id").agg(F.avg("confidence").alias("confidence")),
+        "mean_confidence": lambda s, d: A.mean_confidence(figures(s, d)),
         "assist_merge": _assist,
+        "report_scalars": _scalars,
         "report_json": lambda s, d: A.report(figures(s, d)).select("doc_id", F.to_json(F.struct("*")).alias("report")),
     }
     for m in A.METRICS:
@@ -177,15 +202,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     total = lambda names: " UNION ALL ".join(f"SELECT {_KEY}, '{t}' AS concept, {t} AS value FROM chk WHERE {t} IS NOT NULL" for t in names)
-    group = {"totalEquity": "0, 1", "totalCurrentAssets": "15, 16, 17, 18, 19, 20"}
     leaf_rows = " UNION ALL ".join(f"SELECT ent, yr, {c['ord']} AS seq, '{c['concept']}' AS concept, {c['concept']} AS a, p_{c['concept']} AS b FROM two WHERE has" for c in _LEAF_ORDER)
     movers = _two_sql() + f", m AS ({leaf_rows}), r AS (SELECT ent AS doc_id, concept, a - b AS change, (a - b) / nullif(abs(b), 0) AS change_pct, seq FROM m WHERE a IS NOT NULL AND b IS NOT NULL)"
-    every = " UNION ALL ".join(f"SELECT ent, yr, '{c['concept']}' AS concept, {c['ord']} AS ord, '{c['grp']}' AS grp, {c['concept']} AS v FROM chk WHERE {c['concept']} IS NOT NULL" for c in CONCEPTS)
+    every = " UNION ALL ".join(f"SELECT ent, yr, '{c['concept']}' AS concept, CAST({c['ord']} AS INT) AS ord, '{c['label']}' AS label, '{c['section']}' AS section, '{c['grp']}' AS grp, {str(c['is_total']).lower()} AS is_total, {c['concept']} AS value FROM chk WHERE {c['concept']} IS NOT NULL" for c in CONCEPTS)
+    counted = ", ".join(f"SELECT ent, '{c['concept']}' FROM chk WHERE {c['concept']} IS NOT NULL" for c in CONCEPTS).replace(", SELECT", " UNION SELECT")
     found = {
         "rollup_totals": _wide_sql() + " " + total(COMPOSITION),
         "rollup_printed_override": _wide_sql() + ", p AS (SELECT *, totalEquity * CASE ent % 3 WHEN 0 THEN 1.0 WHEN 1 THEN CAST(1.01 AS DOUBLE) ELSE 1.5 END AS printed FROM chk WHERE totalEquity IS NOT NULL), q AS (SELECT *, abs(printed - totalEquity) / greatest(abs(printed), abs(totalEquity), 1) <= 0.02 AS ok FROM p)"
         f" SELECT {_KEY}, CASE WHEN ok THEN printed ELSE totalEquity END AS value, CASE WHEN ok THEN 'extracted' ELSE 'derived' END AS origin FROM q",
-        "rollup_confidence": _LEDGER + " UNION ALL ".join(f"SELECT {_KEY}, '{t}' AS concept, min(CAST({_SURE} AS DOUBLE)) * CAST(0.97 AS DOUBLE) AS confidence FROM ledger WHERE ci IN ({g}) GROUP BY ent, yr" for t, g in group.items()),
+        "rollup_confidence": _confidence_sql(),
         "balance_check": _wide_sql() + f" SELECT {_KEY}, totalAssets AS assets, totalEquityAndLiabilities AS claims, totalAssets - totalEquityAndLiabilities AS difference, status FROM chk",
         "metric_yoy_change": _metrics_sql() + " SELECT doc_id, period_id, metric, change, change_pct FROM metrics",
         "metric_presence": _metrics_sql() + " SELECT doc_id, metric, count(value) AS n FROM metrics GROUP BY doc_id, metric",
@@ -194,7 +219,10 @@ def oracle_sql() -> dict[str, str]:
         "mover_extent": movers + " SELECT doc_id, max(abs(change)) AS extent FROM r GROUP BY doc_id",
         "funding_mix": _mix_sql(A.FUNDING),
         "deployment_mix": _mix_sql(A.DEPLOYMENT),
-        "statement_pivot": _wide_sql() + f", e AS ({every}) SELECT ent AS doc_id, concept, ord, grp, max(CASE WHEN yr = 1996 THEN v END) AS fy1996, max(CASE WHEN yr = 1997 THEN v END) AS fy1997 FROM e GROUP BY ent, concept, ord, grp",
+        "statement_pivot": _wide_sql() + f", e AS ({every}) SELECT ent AS doc_id, 'FY' || yr AS period_id, concept, ord, label, section, grp, is_total, value, CASE WHEN is_total THEN 'derived' ELSE 'extracted' END AS origin, CASE WHEN is_total THEN 'derived' END AS mark FROM e",
+        "report_scalars": _insights_sql().replace("SELECT ent AS doc_id, insight,", ", i AS (SELECT ent AS doc_id, insight,", 1) + f"), l(ent, concept) AS ({counted}), m AS (" + " UNION ALL ".join(f"SELECT ent, '{m}' AS metric FROM chk GROUP BY ent HAVING count(m_{m}) > 0" for m in A.METRICS) + """)
+          SELECT ent AS doc_id, CAST((SELECT count(*) FROM l WHERE l.ent = c.ent) AS INT) AS n_statement, CAST(count(*) AS INT) AS n_checks, CAST((SELECT count(*) FROM m WHERE m.ent = c.ent) AS INT) AS n_metrics, CAST((SELECT count(*) FROM i WHERE i.doc_id = c.ent) AS INT) AS n_insights,
+          CAST(count(*) FILTER (status IN ('imbalanced', 'minor-variance')) AS INT) AS n_warnings FROM chk c GROUP BY ent""",
         "latest_period": _two_sql() + f" SELECT {_KEY}, status FROM two",
         "mean_confidence": _LEDGER + f" SELECT ent AS doc_id, avg(CAST({_SURE} AS DOUBLE)) AS confidence FROM ledger GROUP BY ent",
         "assist_merge": _LEDGER + f" SELECT ent AS doc_id, CASE WHEN ci = 16 THEN 'inventories' ELSE 'cashAndCashEquivalents' END AS concept, 'FY' || yr AS period_id, v AS value, CAST(CASE WHEN ci = 16 THEN 0.75 ELSE 0.6 END AS DOUBLE) AS confidence FROM ledger WHERE ent % 2 = 0 AND ci IN (16, 18)",

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, captions, headers
 from ..functions.chart import CONCEPTS, SECTION_MARKERS
-from ..operators import layout
 from .. import sources
+from ..operators import layout, statement
 from .ledger import views
 
 
@@ -40,9 +40,9 @@ def parsed_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINES = """
-WITH lines AS (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n,
+WITH lines AS (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS k,
   CAST(round(l_extendedprice) AS BIGINT) + 100000 AS a, l_partkey + 200000 AS b FROM lineitem),
-pages AS (SELECT l.*, p_name FROM lines l JOIN part ON l_partkey = p_partkey WHERE n >= 4)
+pages AS (SELECT l.*, p_name, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lines l JOIN part ON l_partkey = p_partkey)
 """
 
 
@@ -55,7 +55,7 @@ def token_pages(spark: SparkSession, sf_dir: str, skew: float = 0.0, spacing: fl
     lines = spark.sql(_LINES + "SELECT * FROM pages")
     y = F.lit(700.0) - spacing * F.col("k") + (F.col("l_partkey") % 3 - 1 if not skew else F.lit(0))
     token = lambda text, x, w, at, seq: F.struct(seq.alias("token_seq"), text.alias("text"), x.cast("double").alias("x"), at.cast("double").alias("y"), w.cast("double").alias("width"))
-    words = F.transform(F.slice(F.split("p_name", " "), 1, 4), lambda w, i: token(w, F.lit(60) + 70 * i, F.length(w) * 6, y, (F.col("k") * 10 + i).cast("int")))
+    words = F.transform(F.split("p_name", " "), lambda w, i: token(w, F.lit(60) + 70 * i, F.length(w) * 6, y, (F.col("k") * 10 + i).cast("int")))
     figures = []
     for seq, (n, right) in enumerate((("a", 450), ("b", 540)), 5):
         s = indian(F.col(n))
@@ -76,13 +76,56 @@ def token_pages(spark: SparkSession, sf_dir: str, skew: float = 0.0, spacing: fl
 
 
 def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.statement import detect_periods
+    found = statement.periods(layout.pages(token_pages(spark, sf_dir, header=True)))
+    return found.select("doc_id", "column_index", "period_id", F.col("end_date").cast("string").alias("end_date"), "ord")
 
-    def rows_of(_: str, page: int, own: list[tuple]) -> list[tuple]:
-        rows, columns = layout.read_page(own, page, 595.0)
-        return [(p["column_index"], p["id"], p["end_date"], p["ord"]) for p in detect_periods(rows, columns)[0]]
 
-    return layout.by_page(token_pages(spark, sf_dir, header=True), "doc_id string, page int, column_index int, period_id string, end_date string, ord int", rows_of).drop("page")
+def sheet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sheets, 120 units a column: part names, four empty columns where the order's number is even, and the price and the part's number as numbers of few digits.
+
+    A sheet is 360 or 840 units wide; its last column's right edge depends on how wide its numbers are, so reach and tolerance have to follow the page's width.
+    """
+    views(spark, sf_dir, "lineitem", "part")
+    lines = spark.sql(_LINES + "SELECT * FROM pages")
+    first, wide = F.when(F.col("l_orderkey") % 2 == 0, 600.0).otherwise(120.0), F.when(F.col("l_orderkey") % 2 == 0, 840.0).otherwise(360.0)
+    token = lambda text, x, number, at: F.struct((F.col("k") * 3 + at).cast("int").alias("token_seq"), text.alias("text"), x.alias("x"), (F.length(text) * 6.0).alias("width"), number.alias("is_numeric"))
+    row = F.array(token(F.col("p_name"), F.lit(0.0), F.lit(False), 0), token((F.col("l_partkey") % 9000 + 1000).cast("string"), first, F.lit(True), 1), token((F.col("l_partkey") % 50 + 50).cast("string"), first + 120, F.lit(True), 2))
+    out = lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), (F.col("k") * -20.0).alias("y"), wide.alias("page_width"), F.explode(row).alias("t"))
+    return out.select("doc_id", "page", "y", "page_width", F.lit(10.0).alias("height"), "t.*")
+
+
+def _sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared numbers of four digits are figures, those below 100 aren't, on sheets of either width. A sheet of one line has one candidate, so no column."""
+    cells = layout.page_lines(layout.pages(sheet_tokens(spark, sf_dir))).select(F.col("doc_id").cast("long").alias("l_orderkey"), "row_seq", "label", F.explode("cells").alias("c"))
+    return cells.select("l_orderkey", "row_seq", "label", "c.column_index", "c.value", F.col("c.x").alias("x"))
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of three pages for each customer with orders: notes, assets, and equity and liabilities, in the order of presentation, each line a caption and two figures.
+
+    Figures are sums of order prices by status and part of the year, moved by the line's number. Page 1 holds only a title of notes and a line.
+    """
+    views(spark, sf_dir, "orders")
+    sums = spark.sql("SELECT o_custkey, CAST(sum(round(o_totalprice)) AS BIGINT) + 1000000 AS a, CAST(count(*) AS BIGINT) * 1000 + 500000 AS b FROM orders GROUP BY o_custkey")
+    parts = F.array(*[F.struct(F.lit(2 if c["section"] == "assets" else 3).alias("page"), F.lit(c["ord"]).alias("ord"), F.lit(c["label"]).alias("label")) for c in CONCEPTS if not c["is_total"]])
+    each = sums.select("o_custkey", "a", "b", F.explode(parts).alias("p")).select("o_custkey", "p.*", (F.col("a") + F.col("p.ord") * 1000).alias("a"), (F.col("b") + F.col("p.ord") * 1000).alias("b"))
+    token = lambda text, x, at: F.struct(F.lit(at).alias("k"), text.alias("text"), x.cast("double").alias("x"), (F.length(text) * 6.0).alias("width"))
+    right = lambda text, edge: F.lit(edge) - F.length(text) * 6.0
+    a, b = indian(F.col("a")), indian(F.col("b"))
+    body = each.select("o_custkey", "page", (600.0 - 14.0 * F.col("ord")).alias("y"), F.explode(F.array(token(F.col("label"), F.lit(60.0), 0), token(a, right(a, 450.0), 1), token(b, right(b, 540.0), 2))).alias("t"), (F.col("ord") * 10 + 100).alias("seq"))
+    heads = [(1, 700.0, 60.0, "Notes forming part of the accounts"), (1, 600.0, 60.0, "Trade payables"), (1, 600.0, 400.0, "12,34,567"), (2, 720.0, 60.0, "Northwind Traders Limited"), (2, 700.0, 60.0, "Balance Sheet (in Rs. thousands)"), (2, 680.0, 390.0, "March 2O21"), (2, 680.0, 480.0, "March 2020"), (2, 660.0, 60.0, "ASSETS"), (3, 680.0, 60.0, "EQUITY AND LIABILITIES")]
+    top = F.array(*[F.struct(F.lit(p).alias("page"), F.lit(y).alias("y"), F.struct(F.lit(0).alias("k"), F.lit(text).alias("text"), F.lit(x).alias("x"), F.lit(6.0 * len(text)).alias("width")).alias("t"), F.lit(i).alias("seq")) for i, (p, y, x, text) in enumerate(heads)])
+    every = body.unionByName(sums.select("o_custkey", F.explode(top).alias("h")).select("o_custkey", "h.*"))
+    return every.select(F.col("o_custkey").cast("string").alias("doc_id"), "page", (F.col("seq") + F.col("t.k")).cast("int").alias("token_seq"), "t.text", "t.x", "y", "t.width", F.lit(8.0).alias("height"), F.lit(False).alias("is_numeric"))
+
+
+def _read(spark: SparkSession, sf_dir: str) -> statement.Statements:
+    return statement.statements(filings(spark, sf_dir))
+
+
+def _score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = layout.pages(filings(spark, sf_dir))
+    return statement.page_scores(read, statement.captioned(read)).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def caption_texts(spark: SparkSession) -> DataFrame:
@@ -98,10 +141,20 @@ def _caption_values() -> str:
     return ", ".join(f"('{s}', '{c['concept']}')" for c in CONCEPTS for s in c["synonyms"])
 
 
+def _leaf_values() -> str:
+    return ", ".join(f"('{c['concept']}', '{c['label']}', {c['ord']}, {2 if c['section'] == 'assets' else 3})" for c in CONCEPTS if not c["is_total"])
+
+
+#: What an amount looks like, for expressions that DuckDB knows.
+_CLASS = ",.\'\'\"_;:J \u00a0–—-"
+_SHAPE_SQL = f"(regexp_full_match(text, '[()+-]?[0-9lIioOQDSsBZzgqbGtTr|!{_CLASS}]+[()%]?') AND length(regexp_replace(text, '[^0-9]', '', 'g')) >= 2 AND (regexp_matches(text, '[{_CLASS}]') OR length(regexp_replace(text, '[^0-9]', '', 'g')) > 4 OR regexp_matches(text, '[()]')))"
+
+
 def _distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("int")
     def far(texts: pd.Series, patterns: pd.Series) -> pd.Series:
-        return pd.Series([captions.substring_distance(a, b) for a, b in zip(texts, patterns, strict=True)])
+        known = sorted(set(patterns))
+        return pd.Series(captions.substring_distances(texts.tolist(), known)[range(len(texts)), [known.index(p) for p in patterns]].astype("int32"))
 
     return caption_texts(spark).select("synonym", "edits", far(F.concat(F.lit("zz"), F.col("damaged"), F.lit("qq")), F.col("synonym")).alias("distance"))
 
@@ -119,8 +172,18 @@ def _carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.sql(_LINES + "SELECT l_orderkey, k FROM pages")
     names = F.array(*[F.lit(m) for m in ("Current assets", "Equity", "Current liabilities")])
     label = F.when(F.col("k") % 4 == 1, F.element_at(names, ((F.col("l_orderkey") + F.col("k")) % 3 + 1).cast("int"))).otherwise("Trade payables")
-    by = Window.partitionBy("l_orderkey").orderBy("k")
-    return lines.withColumn("s", captions.section_of(label)).select("l_orderkey", "k", F.last("s", ignorenulls=True).over(by).alias("section"))
+    lines = lines.withColumn("heading", captions.section_of(label))
+    return lines.select("l_orderkey", "k", statement.carried(lines, ("l_orderkey",), "k").alias("section"))
+
+
+def _damaged_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as text whose year has letters for digits, as scans have them, by the order's number."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+    year = F.date_format("o_orderdate", "yyyy")
+    swaps = (("0", "O"), ("1", "l"), ("5", "S"), ("8", "B"), ("8", "b"), ("0", "Q"))
+    worn = F.element_at(F.array(*[F.replace(year, F.lit(a), F.lit(b)) for a, b in swaps]), (F.col("o_orderkey") % len(swaps) + 1).cast("int"))
+    text = F.concat(F.date_format("o_orderdate", "d MMM "), worn)
+    return o.select("o_orderkey", headers.year(text).alias("yr"), headers.header_label(F.concat(F.lit("(Amount in Rs.) "), F.date_format("o_orderdate", "d MMM yyyy")), F.lit(None).cast("int")).alias("label"))
 
 
 def _header_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,19 +204,17 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as statements, sentences as pages, scored by length and a keyword; the two best pages of each source and language."""
+    """Documents as pages of their source and language, scored by length and a keyword; the two best of each."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", F.length("text").alias("n"), F.contains(F.lower("text"), F.lit("license")).alias("hit"))
     scored = d.withColumn("score", F.col("n") % 97 + F.when(F.col("hit"), 50).otherwise(0))
-    by = Window.partitionBy("source", "lang").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(by)).filter("rank <= 2").select("source", "lang", "doc_id", "score", "rank")
+    return statement.ranked(scored, ["source", "lang"], "score", ["doc_id"]).filter("rank <= 2").select("source", "lang", "doc_id", "score", "rank")
 
 
 def _best_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all line items of a supplier and part size, the one with the best score, the first in order on ties."""
     views(spark, sf_dir, "lineitem", "part")
-    rows = spark.sql("SELECT l_suppkey, p_size, l_orderkey, l_linenumber, l_partkey, (l_orderkey * 7 + l_linenumber) % 101 AS score FROM lineitem JOIN part ON l_partkey = p_partkey")
-    by = Window.partitionBy("l_suppkey", "p_size").orderBy(F.desc("score"), "l_orderkey", "l_linenumber", "l_partkey")
-    return rows.withColumn("i", F.row_number().over(by)).filter("i = 1").drop("i")
+    rows = spark.sql("SELECT DISTINCT l_suppkey, p_size, l_orderkey, l_linenumber, l_partkey, (l_orderkey * 7 + l_linenumber) % 101 AS score FROM lineitem JOIN part ON l_partkey = p_partkey")
+    return statement.best(rows, ["l_suppkey", "p_size"], "score", ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,27 +233,45 @@ def _sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.groupBy("source", "lang").agg(F.sum(F.length(F.col("text"))).cast("long").alias("n")).filter("n >= 120")
+    """Parts as tokens of a brand and type: those with too little text."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return statement.without_text(p.select("p_brand", "p_type", F.col("p_name").alias("text")), ("p_brand", "p_type"))
+
+
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct words of all documents."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", r"[ \n\t]+")).alias("text")).filter("text <> ''").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    rows = lambda s, d, **k: layout.page_rows(token_pages(s, d, **k))
+    rows = lambda s, d, **k: layout.page_lines(layout.pages(token_pages(s, d, **k)))
+    pairs = lambda s, d, gap: layout.aligned(layout.pages(token_pages(s, d, skew=7.0, spacing=gap))).select(F.col("doc_id").cast("long").alias("l_orderkey"), "label", F.col("cells")[0]["value"].alias("a"), F.col("cells")[1]["value"].alias("b"))
     return {
         "amount_parse_roundtrip": lambda s, d: parsed_amounts(s, d).drop("confidence"),
         "amount_confidence": lambda s, d: parsed_amounts(s, d).drop("value"),
-        "amount_shape_filter": lambda s, d: token_pages(s, d).select("text").distinct().select("text", amounts.looks_like_amount(F.col("text")).alias("is_amount")),
-        "numeric_stitch": lambda s, d: layout.stitched(token_pages(s, d, split=True)).filter(F.col("text").rlike("[0-9]")).select(F.col("doc_id").cast("long").alias("l_orderkey"), "line", "text"),
-        "row_cluster": lambda s, d: rows(s, d).groupBy(F.col("doc_id").cast("long").alias("l_orderkey")).agg(F.count("*").alias("n_rows"), F.sum("n_tokens").alias("n_tokens")),
-        "value_columns": lambda s, d: layout.page_columns(token_pages(s, d)).select(F.col("doc_id").cast("long").alias("l_orderkey"), "column_index", "right_edge", "support"),
+        "amount_shape_filter": lambda s, d: token_pages(s, d).select("text").unionByName(document_words(s, d)).distinct().select("text", amounts.looks_like_amount(F.col("text")).alias("is_amount")),
+        "numeric_stitch": lambda s, d: layout.runs(token_pages(s, d, split=True)).filter(F.col("text").rlike("[0-9]")).select(F.col("doc_id").cast("long").alias("l_orderkey"), F.col("row_seq").alias("line"), "text"),
+        "row_cluster": lambda s, d: rows(s, d).groupBy(F.col("doc_id").cast("long").alias("l_orderkey")).agg(F.count("*").alias("n_rows"), F.sum(F.size("words")).alias("n_tokens")),
+        "value_columns": lambda s, d: layout.page_columns(layout.pages(token_pages(s, d))).select(F.col("doc_id").cast("long").alias("l_orderkey"), "column_index", "right_edge", "support"),
         "cell_assignment": lambda s, d: rows(s, d).select(F.col("doc_id").cast("long").alias("l_orderkey"), "row_seq", F.explode("cells").alias("c")).select("l_orderkey", "row_seq", "c.column_index", "c.value"),
-        "row_labels": lambda s, d: rows(s, d).select(F.col("doc_id").cast("long").alias("l_orderkey"), "row_seq", "label"),
-        "skew_offset": lambda s, d: layout.aligned(token_pages(s, d, skew=7.0, spacing=14.0)).groupBy(F.col("doc_id").cast("long").alias("l_orderkey")).agg(F.max("offset").alias("offset")),
-        "align_monotonic": lambda s, d: layout.aligned(token_pages(s, d, skew=7.0, spacing=12.0)).select(F.col("doc_id").cast("long").alias("l_orderkey"), "label_seq", "label", F.col("values")[0].alias("a"), F.col("values")[1].alias("b")),
+        "row_labels": lambda s, d: rows(s, d).select(F.col("doc_id").cast("long").alias("l_orderkey"), "row_seq", "label", "label_start", "label_end"),
+        "skew_offset": lambda s, d: layout.aligned(layout.pages(token_pages(s, d, skew=7.0, spacing=14.0))).groupBy(F.col("doc_id").cast("long").alias("l_orderkey")).agg(F.max("offset").alias("offset")),
+        "align_monotonic": lambda s, d: pairs(s, d, 12.0),
+        # Figures merge with the next caption's row here, so rows are means of both.
+        "align_monotonic_tight": lambda s, d: pairs(s, d, 10.0),
+        "sheet_cells": _sheet_cells,
+        "filing_pages": lambda s, d: _read(s, d).chosen.select(F.col("doc_id").cast("long").alias("o_custkey"), "page", "rank", "hits"),
+        "filing_page_scores": _score,
+        "filing_periods": lambda s, d: _read(s, d).periods.select(F.col("doc_id").cast("long").alias("o_custkey"), "period_id", "label", F.col("end_date").cast("string").alias("end_date"), "ord"),
+        "filing_company": lambda s, d: _read(s, d).companies.select(F.col("doc_id").cast("long").alias("o_custkey"), "name", "currency", "unit_scale", "unit_label"),
+        "filing_figures": lambda s, d: _read(s, d).figures.select(F.col("doc_id").cast("long").alias("o_custkey"), "concept", "period_id", "value", "page", "source_label"),
+        "filing_warnings": lambda s, d: _read(s, d).warnings.select(F.col("doc_id").cast("long").alias("o_custkey"), "code", "severity"),
+        "header_year_damaged": _damaged_dates,
         "median_by_group": lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").agg(F.coalesce(F.median("l_quantity"), F.lit(0.0)).alias("median")),
         "caption_normalise": lambda s, d: caption_texts(s).select("synonym", "edits", captions.normalize(F.concat(F.lit("(ii) a) "), F.col("damaged"), F.lit("  Note No. 4 *"))).alias("label")),
         "caption_despace": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", captions.despace(F.col("p_name")).alias("bare")),
         "substring_distance": _distance,
+        # The built-in function is the operator; section headings use it with a bound.
         "edit_distance": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.levenshtein("p_name", "p_type").alias("distance")),
         "caption_classify": lambda s, d: captions.classify(caption_texts(s).filter("edits = 0").select("synonym", F.concat(F.lit("1) "), "damaged").alias("label"), F.lit(None).cast("string").alias("section"))).select("synonym", "concept"),
         # Its answer isn't in the undamaged data, so it has no SQL; tests/test_functions.py has it by brute force.
@@ -216,21 +295,31 @@ def oracle_sql() -> dict[str, str]:
     s = "CAST(CAST(round(l_extendedprice) AS BIGINT) AS VARCHAR)"
     pick = lambda rows, i, key: "CASE " + f"{key} % {len(rows)} " + " ".join(f"WHEN {k} THEN {repr(r[i])}" for k, r in enumerate(rows)) + " END"
     p = _LINES
-    words = "array_to_string(string_split(p_name, ' ')[1:4], ' ')"
+    words = "p_name"
     grouped = lambda n: f"(substr(CAST({n} AS VARCHAR), 1, 1) || ',' || substr(CAST({n} AS VARCHAR), 2, 2) || ',' || substr(CAST({n} AS VARCHAR), 4, 3))"
     heads = ", ".join("('{}', {})".format(h.replace("'", "''"), f"'{x}'" if x else "NULL") for h, x in _HEADINGS)
     sections = {m: x for m, x in SECTION_MARKERS}
     return {
         "amount_parse_roundtrip": f"SELECT l_orderkey, l_linenumber, {value} AS value FROM lineitem",
         "amount_confidence": f"SELECT l_orderkey, l_linenumber, CAST(CASE WHEN round(l_extendedprice) < 1000 THEN 0.85 ELSE 1 END AS DOUBLE) * CAST(CASE WHEN (l_orderkey % 6 = 2 AND position('1' IN substr({s}, 2)) > 0) OR (l_orderkey % 6 = 3 AND position('0' IN substr({s}, 2)) > 0) THEN 0.8 ELSE 1 END AS DOUBLE) AS confidence FROM lineitem",
-        "amount_shape_filter": p + f"SELECT DISTINCT unnest(list_concat(string_split(p_name, ' ')[1:4], [{grouped('a')}, {grouped('b')}])) AS text, regexp_matches(text, '^[0-9]+,') AS is_amount FROM pages",
+        "amount_shape_filter": p + f"""SELECT DISTINCT text, {_SHAPE_SQL} AS is_amount FROM (SELECT unnest(list_concat(string_split(p_name, ' '), [{grouped('a')}, {grouped('b')}])) AS text FROM pages
+          UNION ALL SELECT unnest(regexp_split_to_array(text, '[ \\n\\t]+')) FROM documents) WHERE text <> ''""",
         "numeric_stitch": p + f"SELECT l_orderkey, CAST(k AS INT) AS line, unnest([{grouped('a')}, {grouped('b')}]) AS text FROM pages",
-        "row_cluster": p + "SELECT l_orderkey, count(*) AS n_rows, CAST(sum(len(string_split(p_name, ' ')[1:4]) + 2) AS BIGINT) AS n_tokens FROM pages GROUP BY l_orderkey",
+        "row_cluster": p + "SELECT l_orderkey, count(*) AS n_rows, CAST(sum(len(string_split(p_name, ' ')) + 2) AS BIGINT) AS n_tokens FROM pages GROUP BY l_orderkey",
         "value_columns": p + "SELECT l_orderkey, CAST(c AS INT) AS column_index, CAST(450 + 90 * c AS DOUBLE) AS right_edge, CAST(count(*) AS INT) AS support FROM pages, range(2) t(c) GROUP BY l_orderkey, c",
         "cell_assignment": p + "SELECT l_orderkey, CAST(k AS INT) AS row_seq, CAST(c AS INT) AS column_index, CAST(CASE c WHEN 0 THEN a ELSE b END AS DOUBLE) AS value FROM pages, range(2) t(c)",
-        "row_labels": p + f"SELECT l_orderkey, CAST(k AS INT) AS row_seq, {words} AS label FROM pages",
+        "row_labels": p + "SELECT l_orderkey, CAST(k AS INT) AS row_seq, p_name AS label, CAST(60 AS DOUBLE) AS label_start, CAST(60 + 70 * (len(w) - 1) + 6 * length(w[-1]) AS DOUBLE) AS label_end FROM (SELECT *, string_split(p_name, ' ') AS w FROM pages)",
         "skew_offset": p + "SELECT DISTINCT l_orderkey, CAST(7 AS DOUBLE) AS \"offset\" FROM pages",
-        "align_monotonic": p + f"SELECT l_orderkey, CAST(k AS INT) AS label_seq, {words} AS label, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM pages",
+        "align_monotonic": p + "SELECT l_orderkey, p_name AS label, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM pages",
+        "align_monotonic_tight": p + "SELECT l_orderkey, p_name AS label, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM pages",
+        "sheet_cells": p + "SELECT l_orderkey, CAST(k AS INT) AS row_seq, p_name AS label, CAST(0 AS INT) AS column_index, CAST(l_partkey % 9000 + 1000 AS DOUBLE) AS value, CAST(CASE WHEN l_orderkey % 2 = 0 THEN 600 ELSE 120 END AS DOUBLE) AS x FROM pages WHERE n >= 2",
+        "filing_pages": "SELECT DISTINCT o_custkey, CAST(p AS INT) AS page, CAST(p - 1 AS INT) AS rank, CAST(CASE p WHEN 2 THEN 11 ELSE 10 END AS INT) AS hits FROM orders, range(2, 4) t(p)",
+        "filing_page_scores": "SELECT DISTINCT o_custkey AS doc_id, CAST(p AS INT) AS page, CAST([1, 11, 10][p] AS INT) AS hits, CAST([0, 2, 2][p] AS INT) AS n_columns, p = 1 AS notes, CAST([2 - 10 - 6, 22 + 12, 20][p] AS DOUBLE) AS score FROM orders, range(1, 4) t(p)",
+        "filing_periods": "SELECT DISTINCT o_custkey, 'FY' || y AS period_id, CASE y WHEN 2021 THEN 'March 2O21' ELSE 'March 2020' END AS label, y || '-03-31' AS end_date, CAST(y AS INT) AS ord FROM orders, range(2020, 2022) t(y)",
+        "filing_company": "SELECT DISTINCT o_custkey, 'Northwind Traders LIMITED' AS name, 'INR' AS currency, CAST(1000 AS DOUBLE) AS unit_scale, 'Thousand' AS unit_label FROM orders",
+        "filing_figures": f"SELECT o_custkey, concept, 'FY' || y AS period_id, CAST(1000 * (CASE y WHEN 2021 THEN a ELSE b END + ord * 1000) AS DOUBLE) AS value, CAST(page AS INT) AS page, label AS source_label FROM (SELECT o_custkey, CAST(sum(round(o_totalprice)) AS BIGINT) + 1000000 AS a, count(*) * 1000 + 500000 AS b FROM orders GROUP BY o_custkey), (VALUES {_leaf_values()}) v(concept, label, ord, page), range(2020, 2022) t(y)",
+        "filing_warnings": "SELECT DISTINCT o_custkey, 'UNIT_SCALED' AS code, 'info' AS severity FROM orders",
+        "header_year_damaged": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS yr, strftime(o_orderdate, '%-d %b %Y') AS label FROM orders",
         "median_by_group": "SELECT l_returnflag, l_linestatus, median(l_quantity) AS median FROM lineitem GROUP BY 1, 2",
         "caption_normalise": f"SELECT s AS synonym, CAST(e AS INT) AS edits, CASE e WHEN 0 THEN s ELSE substr(s, 1, length(s) // 2) || '#' || substr(s, length(s) // 2 + 2) END AS label FROM (VALUES {_caption_values()}) v(s, c), range(2) r(e)",
         "caption_despace": "SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS bare FROM part",
@@ -244,8 +333,8 @@ def oracle_sql() -> dict[str, str]:
         "unit_scale": f"SELECT o_orderkey, CAST({pick(_UNITS, 1, 'o_orderkey')} AS DOUBLE) AS scale, round(o_totalprice) * CAST({pick(_UNITS, 1, 'o_orderkey')} AS DOUBLE) AS scaled FROM orders",
         "currency_detect": f"SELECT o_orderkey, {pick(_UNITS, 2, 'o_orderkey')} AS currency FROM orders",
         "page_rank_topk": "SELECT source, lang, doc_id, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY score DESC, doc_id) AS rank FROM (SELECT *, length(text) % 97 + CASE WHEN contains(lower(text), 'license') THEN 50 ELSE 0 END AS score FROM documents)) WHERE rank <= 2",
-        "best_row_per_concept": "SELECT l_suppkey, p_size, l_orderkey, l_linenumber, l_partkey, score FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, p_size ORDER BY score DESC, l_orderkey, l_linenumber, l_partkey) AS i FROM (SELECT *, (l_orderkey * 7 + l_linenumber) % 101 AS score FROM lineitem JOIN part ON l_partkey = p_partkey)) WHERE i = 1",
+        "best_row_per_concept": "SELECT DISTINCT l_suppkey, p_size, l_orderkey, l_linenumber, l_partkey, score FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, p_size ORDER BY score DESC, l_orderkey, l_linenumber, l_partkey) AS i FROM (SELECT *, (l_orderkey * 7 + l_linenumber) % 101 AS score FROM lineitem JOIN part ON l_partkey = p_partkey)) WHERE i = 1",
         "noise_filter": "SELECT p_partkey, p_partkey % 5 <> 1 AS noise FROM part",
         "format_sniff": f"SELECT o_orderkey, {pick(_HEX, 2, 'o_orderkey')} AS format FROM orders",
-        "text_guard": "SELECT source, lang, CAST(sum(length(text)) AS BIGINT) AS n FROM documents GROUP BY source, lang HAVING sum(length(text)) >= 120",
+        "text_guard": "SELECT p_brand, p_type, CAST(sum(length(trim(p_name))) AS BIGINT) AS n, 'NO_TEXT_LAYER' AS code FROM part GROUP BY p_brand, p_type HAVING sum(length(trim(p_name))) < 120",
     }

@@ -1,4 +1,7 @@
-"""Files to tokens: format sniffing, admission, spreadsheets and CSV. PDF needs a library that isn't here: an error row."""
+"""Files to tokens: format sniffing, admission, spreadsheets, CSV and the text layer of PDF. What can't be read is an error row.
+
+Old xls files (OLE2) are told by their first bytes, but not read: UNREADABLE_SPREADSHEET.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +9,31 @@ import csv
 import io
 import re
 import zipfile
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pdf
+
 # What may be read, and the most bytes of a file.
 EXTENSIONS = ("pdf", "xlsx", "xlsm", "xls", "csv")
 LIMIT = 15 * 1024 * 1024
-BLANK = re.compile(r"^[\s\-_.–—]*$")
+# Fixed value: the least text that a document needs; less has no text layer.
+LEAST_TEXT = 120
+BLANK = re.compile(r"^[\s\-_.]*$")
+# The size of a spreadsheet's cell, as a part of a page.
+COLUMN, ROW = 120.0, 20.0
+#: The most bytes that the parts of a workbook may inflate to.
+INFLATED = 1 << 28
+#: Codes of what goes wrong: where it happens, and the status of a reply.
+CODES = {
+    "UNSUPPORTED_FORMAT": ("admission", 415), "FILE_TOO_LARGE": ("admission", 400), "EMPTY_FILE": ("admission", 422), "NO_FILE": ("admission", 400), "TOO_MANY_FILES": ("admission", 400), "UNEXPECTED_FIELD": ("admission", 400), "UPLOAD_FAILED": ("admission", 400),
+    "CORRUPT_PDF": ("format", 422), "UNRECOGNISED_CONTENT": ("format", 422), "UNREADABLE_PDF": ("reading", 422), "UNREADABLE_SPREADSHEET": ("reading", 422), "EMPTY_WORKBOOK": ("reading", 422), "NO_TEXT_LAYER": ("reading", 422),
+    "NOT_FOUND": ("service", 404), "INTERNAL_ERROR": ("service", 500),
+}
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
@@ -53,6 +70,8 @@ def workbook(content: bytes) -> list[tuple[str, list[list]]]:
     """Sheets of an xlsx file: name and rows of cells (text, number, boolean, date or None)."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
+        if sum(x.file_size for x in z.infolist()) > INFLATED:
+            raise ValueError("the workbook is too large")
         read = lambda n: ElementTree.fromstring(z.read(n))
         shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in read("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
         dated = _date_styles(read("xl/styles.xml")) if "xl/styles.xml" in names else set()
@@ -105,52 +124,101 @@ def _cell(c, shared: list[str], dated: set[int]):
 
 
 def grid_tokens(sheets: list[tuple[str, list[list]]]) -> list[tuple]:
-    """Tokens of sheets: a sheet is a page, a column 120 units wide, a row 20 units high; blank rows go first."""
+    """Tokens of sheets: a sheet is a page, a column 120 units wide, a row 20 units high; blank rows go first. A page without tokens has one without text."""
     out = []
-    for page, (_, rows) in enumerate(sheets, 1):
+    for page, (name, rows) in enumerate(sheets, 1):
         full = [r for r in rows if any(cell_text(v).strip() for v in r)]
-        seq = 0
-        for i, row in enumerate(full):
-            for j, v in enumerate(row):
-                text = cell_text(v).strip()
-                if text and not BLANK.match(text):
-                    out.append((page, seq, text, 120.0 * j, -20.0 * i, min(6.0 * len(text), 100.0), 10.0, isinstance(v, float)))
-                    seq += 1
+        size = (COLUMN * max(1, max(map(len, full), default=1)), ROW * max(1, len(full)), name)
+        own = [(i, j, text, isinstance(v, float)) for i, row in enumerate(full) for j, v in enumerate(row) if (text := cell_text(v).strip()) and not BLANK.match(text)]
+        out += [(page, seq, text, COLUMN * j, -ROW * i, min(6.0 * len(text), COLUMN - 20), 10.0, number, *size) for seq, (i, j, text, number) in enumerate(own)] or [(page, 0, None, 0.0, 0.0, 0.0, 0.0, False, *size)]
     return out
 
 
-def csv_grid(content: bytes) -> list[list]:
-    """Rows of a CSV file; texts that are numbers become such."""
-    def typed(s: str):
-        return float(s) if re.fullmatch(r"-?\d+(\.\d+)?", s.strip()) else s
+_DATES = ("%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%m/%d/%y", "%d-%b-%Y", "%d-%b-%y", "%d %b %Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y")
+
+
+def typed(text: str):
+    """A CSV cell as a spreadsheet has it: numbers (with separators, dollar or percent sign, or in brackets), dates and truth values become such."""
+    s = text.strip()
+    if s.upper() in ("TRUE", "FALSE"):
+        return s.upper() == "TRUE"
+    plain = re.sub(r"(?<=\d),(?=\d)", "", s).replace("$", "")
+    m = re.fullmatch(r"(\()?\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*(%)?\s*(\))?\s*(%)?", plain)
+    if m and bool(m[1]) == bool(m[4]):
+        n = float(m[2]) / (100 if m[3] or m[5] else 1)
+        return (-n if m[1] else n) if abs(n) < float("inf") else text
+    if re.search(r"\d", s) and len(s) <= 20:
+        for form in _DATES:
+            try:
+                return datetime.strptime(s, form).date()
+            except ValueError:
+                continue
+    return text
 
+
+def csv_grid(content: bytes) -> list[list]:
+    """Rows of a CSV file; a field may be as long as the file."""
+    csv.field_size_limit(max(csv.field_size_limit(), len(content) + 1))
     return [[typed(s) for s in row] for row in csv.reader(io.StringIO(content.decode("utf-8-sig", "replace")))]
 
 
+def pdf_tokens(content: bytes) -> list[tuple]:
+    """Tokens of a PDF file's text layer, one for each run of text. A page without any has one without text."""
+    out = []
+    for page, (width, height, runs) in enumerate(pdf.read(content), 1):
+        out += [(page, seq, text, x, y, w, h, False, width, height, None) for seq, (text, x, y, w, h) in enumerate(runs)] or [(page, 0, None, 0.0, 0.0, 0.0, 0.0, False, width, height, None)]
+    return out
+
+
+READERS = {"excel": (lambda c: grid_tokens(workbook(c)), "UNREADABLE_SPREADSHEET"), "csv": (lambda c: grid_tokens([("Sheet1", csv_grid(c))]), "UNREADABLE_SPREADSHEET"), "pdf": (pdf_tokens, "UNREADABLE_PDF")}
+TOKENS = "doc_id string, page int, token_seq int, text string, x double, y double, width double, height double, is_numeric boolean, page_width double, page_height double, page_name string, code string"
+
+
 def tokens_of_files(files: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """files: path, length, content (as binaryFile yields). Tokens with doc_id = path; a file that can't be read is one row with code instead."""
-    sized = files.withColumns({"code": F.coalesce(admit(F.col("length"), F.col("path"), limit)), "kind": sniff(F.col("content"), F.col("path"))})
-    schema = "doc_id string, page int, token_seq int, text string, x double, y double, width double, height double, is_numeric boolean, code string"
-    names = [x.split()[0] for x in schema.split(", ")]
+    """files: path, length, content (as binaryFile yields). Tokens with doc_id = path; a file that can't be read is one row with code instead.
+
+    What isn't admitted is told by its name and length alone: its content is neither read nor sent to Python.
+    """
+    names = [x.split()[0] for x in TOKENS.split(", ")]
+    refused = admit(F.col("length"), F.col("path"), limit)
+    out_ = files.select("path", "length").filter(refused.isNotNull()).select(F.col("path").alias("doc_id"), *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in TOKENS.split(", ")[1:-1]], refused.alias("code"))
+
+    def read(path: str, content: bytes, kind: str) -> list[tuple]:
+        if kind not in READERS:
+            return [(path, *[None] * 11, kind)]
+        reader, code = READERS[kind]
+        try:
+            got = reader(content)
+        except Exception:  # whatever a damaged file sets off is that file's error, never the job's
+            return [(path, *[None] * 11, code)]
+        return [(path, *t, None) for t in got] or [(path, *[None] * 11, "EMPTY_WORKBOOK")]
 
     def run(batches):
         for own in batches:
-            rows = []
             for f in own.itertuples():
-                code, got = f.code, []
-                if code is None and f.kind in ("excel", "csv"):
-                    try:
-                        sheets = [("", csv_grid(f.content))] if f.kind == "csv" else workbook(f.content)
-                        got = grid_tokens(sheets)
-                        code = None if got else "EMPTY_WORKBOOK"
-                    except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError):
-                        code = "UNREADABLE_SPREADSHEET"
-                elif code is None:
-                    code = "UNREADABLE_PDF" if f.kind == "pdf" else f.kind
-                rows += [(f.path, *t, None) for t in got] or [(f.path, *[None] * 8, code)]
-            yield pd.DataFrame(rows, columns=names)
-
-    return sized.select("path", "content", "code", "kind").mapInPandas(run, schema)
+                yield pd.DataFrame(read(f.path, bytes(f.content), f.kind), columns=names)
+
+    admitted = files.filter(refused.isNull()).select("path", "content", sniff(F.col("content"), F.col("path")).alias("kind"))
+    return admitted.mapInPandas(run, TOKENS).unionByName(out_)
+
+
+def documents(files: DataFrame, tokens: DataFrame) -> DataFrame:
+    """A row for each file: doc_id, file_name, file_size, format, page_count (of PDF), sheet_names (of workbooks), text_length, error (null where it can be read).
+
+    tokens: of tokens_of_files(). A document with too little text has no text layer.
+    """
+    kind = F.when(F.lower("path").rlike(r"\.pdf$"), "pdf").otherwise("excel")
+    pages = tokens.groupBy("doc_id", "page").agg(F.first("page_name", ignorenulls=True).alias("name"), F.sum(F.length("text")).alias("n"), F.max("code").alias("code"))
+    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("page", "name")))), lambda x: x["name"])
+    told = pages.groupBy("doc_id").agg(F.max("code").alias("code"), F.count("page").cast("int").alias("pages"), names.alias("names"), F.coalesce(F.sum("n"), F.lit(0)).alias("text_length"))
+    out = files.select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), kind.alias("format")).join(told, "doc_id", "left")
+    error = F.coalesce("code", F.when(F.col("text_length") < LEAST_TEXT, "NO_TEXT_LAYER"))
+    return out.select("doc_id", "file_name", "file_size", "format", F.when(F.col("format") == "pdf", F.col("pages")).alias("page_count"), F.when(F.col("format") != "pdf", F.col("names")).alias("sheet_names"), "text_length", error.alias("error"))
+
+
+def dim_code(spark: SparkSession) -> DataFrame:
+    """code, stage, status: what can go wrong with a file."""
+    return spark.createDataFrame([(k, *v) for k, v in CODES.items()], "code string, stage string, status int")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

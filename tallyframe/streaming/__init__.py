@@ -8,16 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import sources
 from ..operators import analysis, statement
+from ..store import settled
 
 
-def reports(files: DataFrame, width: float = 595.0) -> DataFrame:
-    """Files to reports, one row for each document that can be read."""
-    tokens = sources.tokens_of_files(files).filter("code is null").drop("code")
-    return analysis.report(statement.figures_of(statement.statements(tokens, width)))
+def reports(files: DataFrame, proposals: DataFrame | None = None, narrative: DataFrame | None = None) -> DataFrame:
+    """Files to reports, one row for each file: those that can't be read have their error.
 
+    proposals (analysis.merge_assisted) and narrative (assist.narrate) are what outside help gave, if any.
+    """
+    tokens = settled(sources.tokens_of_files(files), "tokens")  # files are parsed once
+    known = settled(sources.documents(files.select("path", "length"), tokens), "documents")
+    fine = known.filter("error is null").select("doc_id")
+    read = statement.statements(tokens.drop("code").join(fine, "doc_id", "left_semi"))
+    figures = settled(read.figures if proposals is None else analysis.merge_assisted(read.figures, read.unmapped, proposals), "figures")
+    return analysis.report(figures, read.periods, read.companies, read.warnings, read.unmapped, known, narrative)
 
-def watch(spark: SparkSession, path: str, checkpoint: str, sink: Callable[[DataFrame, int], None], width: float = 595.0):
+
+def watch(spark: SparkSession, path: str, checkpoint: str, sink: Callable[[DataFrame, int], None]):
     """Starts a stream over a folder; each micro-batch of files is read, analysed and given to the sink with its number."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = spark.readStream.format("binaryFile").schema(schema).load(path)
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: sink(reports(df, width), n)).start()
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: sink(reports(df), n)).start()

@@ -1,11 +1,13 @@
 import pytest
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyframe.functions import amounts, captions, headers
 from tallyframe.functions.chart import COMPOSITION, CONCEPTS, LEAVES
 
 
+# Amounts as scans have them, and what they are.
 @pytest.mark.parametrize(
     ("text", "value"),
     [("1,17,68,77,414", 1176877414), ("1,176,877,414", 1176877414), ("(17,95,893)", -1795893), ("-26,11,863", -2611863), ("12,34,567.89", 1234567.89), ("1234.5", 1234.5), ("1.43.80.70.840", 1438070840), ("80.00.94.216", 800094216), ("5t,39,75,424", 513975424), ("2t,35,tI,7 10", 213511710), ("8,80,54,8I9", 88054819), ('1,r7,68"77.414', 1176877414), ("1.43.80", 143.80)],
@@ -30,9 +32,18 @@ def test_indian_grouping_round_trip(n):
     assert value == float(n) and not repaired and confidence >= 0.85
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        row, above = [i], row
+        for j, d in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (c != d)))
+    return row[-1]
+
+
 @given(st.text("abcdefg", max_size=12), st.text("abcdefg", max_size=8))
 def test_substring_distance_bounds(a, b):
-    assert captions.substring_distance(a, b) <= captions.edit_distance(a, b)
+    assert captions.substring_distance(a, b) == min((levenshtein(a[i:j], b) for i in range(len(a) + 1) for j in range(i, len(a) + 1)), default=len(b))
     assert captions.substring_distance(a, a) == 0
 
 
@@ -43,26 +54,50 @@ def test_money():
 
 def test_every_synonym_is_its_own_concept():
     assert len(CONCEPTS) == 29 and sum(len(c["synonyms"]) for c in CONCEPTS) == 105 and len(LEAVES) == 21 and len(COMPOSITION) == 8
-    for c in CONCEPTS:
-        for s in c["synonyms"]:
-            assert captions.classify_text(s)[0] == c["concept"]
-            assert captions.classify_text(s, c["section"])[0] == c["concept"]
+    every = [(s, c) for c in CONCEPTS for s in c["synonyms"]]
+    for sections in ([None] * len(every), [c["section"] for _, c in every]):
+        assert [k for k, _ in captions.classified([s for s, _ in every], sections)] == [c["concept"] for _, c in every]
+
+
+def test_prose_and_short_texts_have_no_concept():
+    assert captions.classified(["theaccompanyingnoteswereapprovedbytheboard", "ab", ""], [None] * 3) == [(None, None)] * 3 and captions.classified([], []) == []
+
+
+def test_classify_joins_back(spark):
+    rows = [("a) Trade Payables", "liabilities"), ("Trade  payables", "liabilities"), ("Trade payables", None), ("x", None), (None, None)]
+    got = captions.classify(spark.createDataFrame(rows, "label string, section string")).collect()
+    assert len(got) == 5 and sorted(repr(r["concept"]) for r in got) == ["'tradePayables'"] * 3 + ["None"] * 2
+    scores = {(r["label"], r["section"]): r["label_score"] for r in got if r["concept"]}
+    assert scores["a) Trade Payables", "liabilities"] == scores["Trade  payables", "liabilities"] > scores["Trade payables", None]
 
 
-def test_prose_has_no_concept():
-    assert captions.classify_text("The accompanying notes were approved by the board on this date") is None or captions.noise_text("For and on behalf of the board")
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
 
 
 @pytest.mark.parametrize(("label", "section"), [("ASSETS", "assets"), ("Equity and Liabilities", "liabilities"), ("Shareholders' Funds", "equity"), ("Total assets", None), ("Trade payables", None)])
-def test_sections(label, section):
-    assert captions.section_text(label) == section
+def test_sections(spark, label, section):
+    assert one(spark, captions.section_of(F.lit(label))) == section
 
 
-def test_headers():
-    assert headers.year_text("31st March 2O24") == 2024 and headers.month_text("31st Mar 2024") == 3 and headers.year_text("no year") is None
-    assert headers.unit_text("Amounts in USD thousands") == (1000.0, "Thousand") and headers.unit_text("in Rs. crores")[0] == 1e7
-    assert headers.currency_text("stated in USD") == "USD" and headers.currency_text("none") == "INR"
-    assert headers.header_label("(Amount in Rs.) 31st Mar 2024", 2024) == "31st Mar 2024"
+# Which letters of a header are read as digits of a year.
+@pytest.mark.parametrize(("text", "year"), [("31st March 2O24", 2024), ("19b4", 1984), ("Zoll", None), ("2o2l", 2021), ("no year", None), ("FY 1949", None), ("2050", None), ("|99S", 1995)])
+def test_years(spark, text, year):
+    assert one(spark, headers.year(F.lit(text))) == year
+
+
+def test_headers(spark):
+    assert one(spark, headers.month(F.lit("31st Mar 2024"))) == 3 and one(spark, headers.unit_scale(F.lit("Amounts in USD thousands"))) == 1000.0 and one(spark, headers.unit_label(F.lit("in Rs. crores"))) == "Crore"
+    assert one(spark, headers.currency(F.lit("stated in USD"))) == "USD" and one(spark, headers.currency(F.lit("none"))) == "INR"
+    label = lambda t, y: one(spark, headers.header_label(F.lit(t), F.lit(y).cast("int")))
+    assert label("(Amount in Rs.) 31st Mar 2024", 2024) == "31st Mar 2024" and label("2024", 2024) == "FY 2024" and label("Now", None) == "Now" and label("", None) == "Period"
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("0123456789lIOSBJ,.'-() %x", min_size=1, max_size=8), min_size=1, max_size=20))
+def test_one_shape_for_columns_and_texts(spark, texts):
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(amounts.looks_like_amount(F.col("t")).alias("x")).collect()
+    assert [r["x"] for r in got] == [amounts.is_amount(t) for t in texts]
 
 
 def test_display():
@@ -74,6 +109,20 @@ def test_display():
     assert d.file_size(2048) == "2 KB" and d.duration(1500) == "1.5 s" and d.lower_first("Total") == "total" and d.lower_first("EPS grew") == "EPS grew"
 
 
+def test_display_columns(spark):
+    from tallyframe.functions import display as d
+
+    frame = spark.createDataFrame([(1234567.5, 0.25, "INR", "currency"), (None, None, None, "percent"), (0.456, 0.1, "USD", "percent")], "v double, s double, c string, k string")
+    got = frame.select(d.money_column(F.col("v"), F.col("c")).alias("a"), d.exact_column(F.col("v"), F.col("c")).alias("b"), d.metric_column(F.col("v"), F.col("k"), F.col("c")).alias("m"), d.change_column(F.col("v"), F.col("s"), F.col("k"), F.col("c")).alias("d")).collect()
+    assert [tuple(r) for r in got] == [("₹12.35 L", "₹12,34,567.5", "₹12.35 L", "+₹12.35 L (+25.0%)"), ("—", "—", "—", None), ("$0", "$0.46", "45.6%", "+45.6 pts")]
+    assert one(spark, d.file_size_column(F.lit(2048))) == "2 KB" and one(spark, d.duration_column(F.lit(1500))) == "1.5 s"
+    assert one(spark, d.lower_first_column(F.lit("EPS grew"))) == "EPS grew" and one(spark, d.lower_first_column(F.lit("Total"))) == "total"
+    assert one(spark, d.confidence_tier(F.lit(0.797))) == "High" and one(spark, d.confidence_tier(F.lit(0.6))) == "Moderate" and one(spark, d.confidence_tier(F.lit(0.2))) == "Low"
+    assert one(spark, d.improving(F.lit(-1.0), F.lit(False))) is True and one(spark, d.improving(F.lit(1.0), F.lit(None).cast("boolean"))) is None and one(spark, d.arrow(F.lit(0.0))) == "level"
+    text = one(spark, d.provenance(F.lit("extracted"), F.lit(0.9), F.lit("Cash"), F.lit("1,000"), F.lit(2), F.lit(True)))
+    assert text.splitlines() == ["Caption: Cash", "Printed as: 1,000", "Page 2", "Source: read from the document, confidence 90%", "Digits were repaired."]
+
+
 def test_health():
     from tallyframe.config import Config, health
 
@@ -86,7 +135,7 @@ def test_damaged_captions_query(spark):
 
     def score(bare, synonym):
         n = len(synonym)
-        far = min(captions.edit_distance(bare[i:j], synonym) for i in range(len(bare) + 1) for j in range(i, len(bare) + 1) if abs(j - i - n) <= captions.tolerance(n)) if len(bare) + captions.tolerance(n) >= n else n
+        far = min(levenshtein(bare[i:j], synonym) for i in range(len(bare) + 1) for j in range(i, len(bare) + 1) if abs(j - i - n) <= captions.tolerance(n)) if len(bare) + captions.tolerance(n) >= n else n
         return max(0, 1 - far * 1.6 / n) * (0.6 + 0.4 * min(1, n / 18)) * (0.55 + 0.45 * min(1, n / max(1, len(bare)))) if far <= captions.tolerance(n) else 0
 
     want = set()

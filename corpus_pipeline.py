@@ -12,22 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import jaccard, langid, mixing, packing, secrets
-from tallyframe.llm.common import crc_mod, materialize, small_batches
+from tallyframe.llm.common import crc_mod, materialize
 from tallyframe.llm.queries import vocabulary
 
 
+#: Settings of the session while the pipeline runs: whole texts pass through Python workers, in batches that are small beside an executor's memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in a language that the model knows, and sets lang to it. Texts that are null or have no letter go.
 
     Learns from the labelled rows that op9 learns from, at most langid.PER_LANGUAGE for each language. Without labels no
     language is known; then all texts with a letter stay, with the lang they have.
     """
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
     model = langid.fit(docs, crc_mod(F.col("doc_id"), 4) != 2)
     if not model.families:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     clear = "_".join(["predicted", *docs.columns])  # longer than any column of docs, hence none of them
-    with small_batches(spark):  # whole texts pass through Python
-        marked = materialize(langid.predict(docs, model, (clear, f"{clear}_score")), "marked")
+    marked = langid.predict(docs, model, (clear, f"{clear}_score"))
     return marked.filter(F.col(clear) != langid.UNDETERMINED).withColumn("lang", F.col(clear)).select(*docs.columns)
 
 

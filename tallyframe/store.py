@@ -31,17 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder in the shared one. It goes when the driver's process ends."""
+    path = f"{shared_folder(spark)}/tallyframe-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df, written and read back. The folder goes when the driver's process ends, or with discard()."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tallyframe-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes the folders of tables made by settled()."""
+    """Removes the folders of tables made by settled(). Whatever was read from them must have been written since."""
     for df in tables:
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             _remove(df.sparkSession, path)

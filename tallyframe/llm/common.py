@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,8 +9,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders written by `materialize` in this process, removed when it ends.
-_SCRATCH: list[tuple[SparkSession, str]] = []
+from ..store import discard, new_folder
+from ..store import settled as materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,37 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the one of SparkContext.setCheckpointDir.
-
-    Where neither is set, a session whose executor is the driver's own process gets a folder of its own; on a cluster that is an
-    error, since executors would each write to a disk of their own.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        held = sc._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
-            if not sc._jsc.sc().isLocal():
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
-            held = sc._jsc.sc().getCheckpointDir()
-        root = held.get()
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder; it is removed when the driver's process ends."""
-    path = f"{shared_dir(spark)}/tallyframe-{name}-{uuid.uuid4().hex}"
-    _SCRATCH.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and columns stay prunable."""
-    return written(df, scratch_path(df.sparkSession, name))
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> Iterator[None]:
     """Within it, Python workers get batches of at most so many rows and about so many bytes: what is run must be run within it too."""
@@ -66,26 +32,6 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> It
             spark.conf.set(k, v)
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """df, written at a path and read back."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes a folder through the file system that holds it. Whatever was read from it must have been written since."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _SCRATCH:
-        if spark.sparkContext._jsc is not None:
-            discard(spark, path)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -124,3 +70,6 @@ def task_ids() -> tuple[int, int]:
     """Partition and attempt of the running task."""
     at = TaskContext.get()
     return at.partitionId(), at.taskAttemptId()
+
+
+__all__ = ["bounded_sample", "crc_mod", "discard", "labelled_sample", "materialize", "new_folder", "scan_parts", "shuffle_parts", "small_batches", "table", "task_ids"]

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scratch_path, shuffle_parts, small_batches, written
+from .common import discard, materialize, shuffle_parts, small_batches
 from .components import components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -385,15 +385,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     with small_batches(spark):
-        at = scratch_path(spark, "profiles")
-        made = written(docs.mapInArrow(_profile(k, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>, sk binary"), at)
+        made = materialize(docs.mapInArrow(_profile(k, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>, sk binary"), "profiles")
         counts = materialize(made.select("doc_id", F.col("n").alias("n_shingles")), "counts")
         rows = made.filter("n > 0 and doc_id is not null")
         classes = materialize(rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.max("sk").alias("sk")), "classes")
         sketches = classes.select("rep", "n", "sk")
         nodes = materialize(rows.select("doc_id", "h1", "h2", "n").join(classes.drop("sk"), ["h1", "h2", "n"]).select("doc_id", "rep").distinct(), "nodes")
         buckets = _buckets(rows, nodes)
-        discard(spark, at)  # all that comes from it is written: it holds the signatures, the largest table here
+        discard(made)  # all that comes from it is written: it holds the signatures, the largest table here
 
         # Each bucket's smallest document is compared with the others.
         stars = buckets.filter("doc <> top").select(F.col("doc").alias("a"), F.col("top").alias("b")).distinct()

@@ -24,7 +24,7 @@ from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scan_parts, scratch_path, shuffle_parts, small_batches, task_ids
+from .common import materialize, new_folder, scan_parts, shuffle_parts, small_batches, task_ids
 from .tokens import encoder, release
 
 MANIFEST = "shard long, ids_path string, index_path string, n_docs long, n_ids long"
@@ -152,6 +152,6 @@ def read_documents(spark: SparkSession, manifest: DataFrame, root: str) -> DataF
 
 def encode_to_files(docs: DataFrame, vocabulary: str, end_id: int = 1) -> tuple[DataFrame, str]:
     """Writes the files in a new folder of the shared directory; returns the manifest and the folder."""
-    root = scratch_path(docs.sparkSession, "tokens")
+    root = new_folder(docs.sparkSession, "tokens")
     root = root if "://" in root else "file://" + root.removeprefix("file:")
     return write_tokens(docs, vocabulary, root, end_id), root

@@ -13,7 +13,8 @@ last pass's order. The cut is found from sums over blocks, then within one block
 single task's work; texts are then read once more and compared with the cuts, and aren't shuffled.
 
 Cases: null sources are a source of their own; a null text, and any without a word, counts 0 tokens; a source without tokens
-gets one pass; repeated rows count each, and stand or fall together; an empty table gives no rows. Other columns are kept;
+gets one pass; repeated rows count each, and stand or fall together, as all rows do that draw alike; texts of any length count
+whole; an empty table gives no rows. Other columns are kept;
 tokens, pass, block_draw and draw clash: a column of such a name is replaced.
 """
 

@@ -7,8 +7,9 @@
 4. The remaining rules are compiled into Spark column expressions; a score is a logistic function of their weighted sum. All
    texts are thus scored inside the JVM.
 
-Cases: null and empty texts have zeros for statistics and are scored like any other. Without labelled rows of both classes the
-score is the share of class 1, or 0.5 without any. Repeated rows are scored each; other columns are ignored.
+Cases: null and empty texts have zeros for statistics and are scored like any other; texts of any length are read whole. Without
+labelled rows of both classes the score is the share of class 1, or 0.5 without any. Repeated rows are scored each, equal texts
+alike. An empty table gives no rows. Other columns are ignored, whatever their names, but for those that are asked for.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample
 
-#: The most labelled rows that are learned from.
-FIT_ROWS = 20_000
+#: The most labelled rows that are learned from, and that a tree draws of them (with repeats).
+FIT_ROWS, TREE_ROWS = 20_000, 4000
 
 
 def _share(pattern: str) -> Column:
@@ -120,17 +121,21 @@ def _holds(rule: tuple[Term, ...], x: np.ndarray, names: list[str]) -> np.ndarra
     return out
 
 
-def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 1500) -> tuple[float, np.ndarray]:
-    """Intercept and weights of a logistic regression with an L1 penalty, by accelerated proximal gradient steps."""
-    w, v, b, c = np.zeros(r.shape[1]), np.zeros(r.shape[1]), 0.0, 0.0
-    rate = 4 / (1 + np.linalg.norm(r, 2) ** 2 / len(y))
+def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 1500, least: float = 1e-5) -> tuple[float, np.ndarray]:
+    """Intercept and weights of a logistic regression with an L1 penalty, by accelerated proximal gradient steps, until one changes less than `least`. All in the precision of r."""
+    kind = r.dtype.type
+    y, w, v, b, c = y.astype(kind), np.zeros(r.shape[1], kind), np.zeros(r.shape[1], kind), 0.0, 0.0
+    rate = 4 / (1 + np.linalg.norm((r.T @ r).astype(float), 2) / len(y))
     for t in range(steps):
-        gap = 1 / (1 + np.exp(-np.clip(r @ v + c, -30, 30))) - y
-        nw = v - rate * (r.T @ gap) / len(y)
-        nw = np.sign(nw) * np.maximum(0, np.abs(nw) - rate * penalty)
-        nb = c - rate * gap.mean()
-        v, c = nw + t / (t + 3) * (nw - w), nb + t / (t + 3) * (nb - b)
+        gap = 1 / (1 + np.exp(-np.clip(r @ v + kind(c), -30, 30))) - y
+        nw = v - kind(rate / len(y)) * (gap @ r)
+        nw = np.sign(nw) * np.maximum(kind(0), np.abs(nw) - kind(rate * penalty))
+        nb = c - rate * float(gap.mean())
+        moved = max(float(np.abs(nw - w).max()), abs(nb - b))
+        v, c = nw + kind(t / (t + 3)) * (nw - w), nb + t / (t + 3) * (nb - b)
         w, b = nw, nb
+        if t > 50 and moved < least:
+            break
     return b, w
 
 
@@ -147,7 +152,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, trees: int = 24, depth: int =
     rng = np.random.default_rng(seed)
     found: set[tuple[Term, ...]] = set()
     for _ in range(trees):
-        at = rng.choice(len(y), min(len(y), 4000))
+        at = rng.choice(len(y), min(len(y), TREE_ROWS))
         use = rng.choice(len(names), max(2, len(names) * 2 // 3), replace=False)
         found.update(_paths(x[at], y[at], names, use, depth, max(3, len(at) // 200)))
     rules = sorted(found, key=lambda r: (len(r), [(t.name, t.above, t.bound) for t in r]))

@@ -11,7 +11,8 @@ Texts of candidates are picked through a bit table of at most FILTER_BITS bits (
 broadcast) before the exact join, so texts without candidates aren't shuffled.
 
 Cases: a null text counts as empty and has no span; a null doc_id, repeated ids and repeated rows are scanned each; an empty
-table gives no rows; other columns are ignored.
+table gives no rows. Texts of any length are scanned whole; a text's spans are gathered in a fold that costs the square of their
+number. Spans that start at one place come in the order of the rules. Other columns are ignored, whatever their names (redact keeps them).
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Recovery: a task writes under a name that holds its attempt, and reports the nam
 written through Spark's commit protocol, so files of failed or repeated attempts are never read.
 
 Cases: null and empty texts have only the end id; documents with a null id come first; repeated ids and rows are each encoded,
-in the order of id, then text; an empty table gives no files and an empty result; other columns are ignored.
+in the order of id, then text (equal ones in any order, which gives the same files); texts of any length are encoded whole; an
+empty table gives no files and an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

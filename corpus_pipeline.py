@@ -69,17 +69,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every document; the secrets in its text are replaced by a mark."""
+    """Keeps every document; the secrets in its text are replaced by a mark.
+
+    Null texts stay null. Repeated rows and rows without an id are treated each; an empty table stays empty; all columns are kept.
+    """
     return secrets.redact(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes every document once, and those of small sources up to twice, as temperature mixing with that limit has it."""
+    """Takes every document once, and those of small sources up to twice, as temperature mixing with that limit has it.
+
+    A null source is a source; null and empty texts count no tokens and are taken once. Repeated rows stand or fall together; an
+    empty table stays empty; all columns are kept, a clash with the operator's own included.
+    """
     return mixing.mix(docs, repeats=2.0).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all pieces in sequences of 2048 tokens; a document that mixing repeats is packed as often."""
+    """The places of all pieces in sequences of 2048 tokens; a document that mixing repeats is packed as often.
+
+    Null and empty texts are the end id alone; an empty table gives no rows; columns but doc_id and text are ignored.
+    """
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 

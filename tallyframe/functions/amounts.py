@@ -96,16 +96,27 @@ def parse_amount(raw: str | None) -> tuple[float, float, bool, str] | None:
     return (-value if negative else value), max(0.2, min(1.0, confidence)), repaired, raw
 
 
+# Amounts that need no repair: bare digits, groups of three, or Indian groups; in brackets, or with a dash before or after.
+_PLAIN = r"[0-9]+"
+_GROUPED = r"[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,2}(?:,[0-9]{2})*,[0-9]{3}"
+_CLEAN = rf"(?:{_GROUPED}|{_PLAIN})"
+
+
 def parse_amount_column(text: Column) -> Column:
-    """parse_amount over a column: repair is sequential (a repaired digit vouches for its right neighbour), hence a pandas function."""
+    """parse_amount over a column. Clean amounts are read by built-in functions; the others go through pandas, since repair is sequential (a repaired digit vouches for its right neighbour)."""
 
     @F.pandas_udf(AMOUNT)
     def parse(texts: pd.Series) -> pd.DataFrame:
-        rows = [parse_amount(t) or (None, None, None, None) for t in texts]
+        none = (None, None, None, None)
+        rows = [none if t is None else parse_amount(t) or none for t in texts]
         return pd.DataFrame(rows, columns=["value", "confidence", "repaired", "raw"]).astype({"value": float, "confidence": float, "repaired": "boolean"})
 
-    parsed = parse(text)
-    return F.when(parsed["value"].isNotNull(), parsed)
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    clean = text.rlike(rf"^(?:{_CLEAN}|\({_CLEAN}\)|-{_CLEAN}|{_CLEAN}-)$") & (F.length(digits) <= 18)
+    sign = F.when(text.rlike("[(-]"), F.lit(-1.0)).otherwise(1.0)
+    read = F.struct((digits.try_cast("double") * sign).alias("value"), F.when(F.contains(text, F.lit(",")), 1.0).otherwise(0.85).alias("confidence"), F.lit(False).alias("repaired"), text.alias("raw"))
+    parsed = parse(F.when(~clean, text))
+    return F.when(clean, read).when(parsed["value"].isNotNull(), parsed)
 
 
 def fixed(value: float, places: int) -> str:

@@ -47,6 +47,13 @@ def test_substring_distance_bounds(a, b):
     assert captions.substring_distance(a, a) == 0
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.from_regex(r"\A[-(]?[0-9]{1,3}(,[0-9]{2,3}){0,6}[-)]?\Z"), st.text("0123456789lO,.()-% ", max_size=22)), min_size=1, max_size=40))
+def test_amount_column_equals_parser(spark, texts):
+    got = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select(amounts.parse_amount_column(F.col("t")).alias("x")).collect()
+    assert [r["x"] and tuple(r["x"]) for r in got] == [*map(amounts.parse_amount, texts), None]
+
+
 def test_money():
     assert amounts.money(12_345_678) == "₹1.23 Cr" and amounts.money(-250_000) == "-₹2.50 L" and amounts.money(1234.5) == "₹1,235"
     assert amounts.money(1_500_000, "$", False) == "$1.50M" and amounts.fixed(1.005, 2) == "1.00" and amounts.fixed(0.125, 2) == "0.13"

@@ -384,6 +384,27 @@ def statement_table(rows: DataFrame) -> DataFrame:
     return shown.select("doc_id", "concept", *told, F.transform_values("figures", lambda k, v: v["value"]).alias("values"), "figures")
 
 
+# Fixed value: categories of metrics in the order in which they are shown; kinds of findings are in KIND.
+CATEGORIES = ("liquidity", "leverage", "structure", "efficiency")
+
+
+def grouped_for_display(rows: DataFrame, group: Column, order: tuple[str, ...], fields: list[str]) -> DataFrame:
+    """A row for each document and group that isn't empty: doc_id, grp, place (of the group, from 1), rows (the fields, sorted)."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("grp")).cast("int")
+    return rows.withColumn("grp", group).groupBy("doc_id", "grp").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows")).select("doc_id", "grp", place.alias("place"), "rows")
+
+
+def metrics_view(found: DataFrame) -> DataFrame:
+    """found: metrics(). Metrics by category: of each the value and verdict of every period."""
+    category = F.element_at(F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, v[1])]), F.col("metric"))
+    return grouped_for_display(found, category, CATEGORIES, ["seq", "metric", "ord", "period_id", "value", "verdict"])
+
+
+def insights_view(found: DataFrame) -> DataFrame:
+    """found: insights(). Findings by kind, in their order."""
+    return grouped_for_display(found, F.col("kind"), KIND, ["position", *[c for c in found.columns if c not in ("doc_id", "kind", "position")]])
+
+
 def merge_assisted(figures: DataFrame, unmapped: DataFrame, proposals: DataFrame, least: float = 0.6, most: int = 40) -> DataFrame:
     """Adds proposed captions to figures: the first sure enough proposal of a concept that is still missing, for a row that exists.
 

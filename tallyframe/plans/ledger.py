@@ -192,6 +192,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "latest_period": lambda s, d: A.latest_two(rolled(s, d)).select("doc_id", "period_id", "status"),
         "mean_confidence": lambda s, d: A.mean_confidence(figures(s, d)),
         "assist_merge": _assist,
+        "metric_groups": lambda s, d: A.metrics_view(A.metrics(rolled(s, d))).select("doc_id", "grp", "place", F.size("rows").alias("n"), F.col("rows")[0]["metric"].alias("first")),
+        "insight_groups": lambda s, d: A.insights_view(A.insights(rolled(s, d), told=False)).select("doc_id", "grp", "place", F.size("rows").alias("n"), F.col("rows")[0]["insight"].alias("first")),
         "report_scalars": _scalars,
         "report_json": lambda s, d: A.report(figures(s, d)).select("doc_id", F.to_json(F.struct("*")).alias("report")),
     }
@@ -220,6 +222,9 @@ def oracle_sql() -> dict[str, str]:
         "funding_mix": _mix_sql(A.FUNDING),
         "deployment_mix": _mix_sql(A.DEPLOYMENT),
         "statement_pivot": _wide_sql() + f", e AS ({every}) SELECT ent AS doc_id, 'FY' || yr AS period_id, concept, ord, label, section, grp, is_total, value, CASE WHEN is_total THEN 'derived' ELSE 'extracted' END AS origin, CASE WHEN is_total THEN 'derived' END AS mark FROM e",
+        "metric_groups": _metrics_sql() + f""", g(metric, seq, grp, place) AS (VALUES {', '.join(f"('{m}', {i}, '{v[1]}', {A.CATEGORIES.index(v[1]) + 1})" for i, (m, v) in enumerate(A.METRICS.items()))})
+          SELECT doc_id, grp, place, CAST(count(*) AS INT) AS n, arg_min(metric, seq) AS first FROM metrics JOIN g USING (metric) GROUP BY ALL""",
+        "insight_groups": _insights_sql().replace("SELECT ent AS doc_id, insight,", ", i AS (SELECT ent AS doc_id, insight,", 1) + f") SELECT doc_id, kind AS grp, CAST(list_position({list(A.KIND)}, kind) AS INT) AS place, CAST(count(*) AS INT) AS n, arg_min(insight, position) AS first FROM i GROUP BY doc_id, kind",
         "report_scalars": _insights_sql().replace("SELECT ent AS doc_id, insight,", ", i AS (SELECT ent AS doc_id, insight,", 1) + f"), l(ent, concept) AS ({counted}), m AS (" + " UNION ALL ".join(f"SELECT ent, '{m}' AS metric FROM chk GROUP BY ent HAVING count(m_{m}) > 0" for m in A.METRICS) + """)
           SELECT ent AS doc_id, CAST((SELECT count(*) FROM l WHERE l.ent = c.ent) AS INT) AS n_statement, CAST(count(*) AS INT) AS n_checks, CAST((SELECT count(*) FROM m WHERE m.ent = c.ent) AS INT) AS n_metrics, CAST((SELECT count(*) FROM i WHERE i.doc_id = c.ent) AS INT) AS n_insights,
           CAST(count(*) FILTER (status IN ('imbalanced', 'minor-variance')) AS INT) AS n_warnings FROM chk c GROUP BY ent""",

@@ -11,14 +11,15 @@ Texts of candidates are picked through a bit table of at most FILTER_BITS bits (
 broadcast) before the exact join, so texts without candidates aren't shuffled.
 
 Cases: a null text counts as empty and has no span; a null doc_id, repeated ids and repeated rows are scanned each; an empty
-table gives no rows. Texts of any length are scanned whole; a text's spans are gathered in a fold that costs the square of their
-number. Spans that start at one place come in the order of the rules. Other columns are ignored, whatever their names (redact keeps them).
+table gives no rows. Texts of any length are scanned whole, and matches folded in parts. Spans that start at one place come in the
+order of the rules. Other columns are ignored, whatever their names (redact keeps them).
 """
 
 from __future__ import annotations
 
 import re._constants as rc
 import re._parser as rp
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -140,22 +141,42 @@ def _postings_pattern(trigrams: list[str]) -> str:
     return "(?=(" + "|".join(f"{quote(a)}(?:{'|'.join(map(quote, b))})" for a, b in sorted(by_first.items())) + "))"
 
 
+#: Matches that are folded at a time: a fold copies what it has gathered at each step, so long ones go in parts.
+PART = 256
+_SPANS = "array<struct<start:long,ord:int,stop:long,kind:string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _in_parts(rows: Column, after: Callable[[Column, Column], Column], fold: Callable[[Column, Column], Column]) -> Column:
+    """The arrays that `fold` makes of parts of an array, joined. A part gets what the parts before it carry: `after` tells it, from 0."""
+    n = F.greatest(F.ceil(F.size(rows) / PART).cast("int") - 1, F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(rows, i * PART + 1, PART))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+    step = lambda s, p: F.struct(after(p, s["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    carried = lambda ps: F.aggregate(ps, start, step, lambda s: s["out"])
+    return _let(parts, lambda ps: _let(carried(ps), lambda at: F.flatten(F.transform(ps, lambda p, i: fold(p, F.get(at, i))))))
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """The rule's spans in a text: array of (start, order, stop, kind), in code points. The pieces between matches give their places."""
     found, between = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
     lengths = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    kind = "array<struct<start:long,ord:int,stop:long,kind:string>>"
+    long_ = lambda x: (F.length(x["between"]) + F.length(x["found"])).cast("long")
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["between"])
-        stop = start + F.length(x["found"])
+        start, stop = state["at"] + F.length(x["between"]), state["at"] + long_(x)
         span = F.struct(start.cast("long").alias("start"), F.lit(order).alias("ord"), stop.cast("long").alias("stop"), F.lit(rule.kind).alias("kind"))
-        kept = F.when(F.length(x["sized"]) >= rule.least, F.concat(state["out"], F.array(span).cast(kind))).otherwise(state["out"])
+        kept = F.when(F.length(x["sized"]) >= rule.least, F.concat(state["out"], F.array(span).cast(_SPANS))).otherwise(state["out"])
         return F.struct(stop.cast("long").alias("at"), kept.alias("out"))
 
-    rows = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("between"), found.alias("found"), lengths.alias("sized"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(rows, start, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
+    fold = lambda p, at: F.aggregate(p, F.struct(at.alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda s: s["out"])
+    after = lambda p, at: F.aggregate(p, at, lambda n, x: n + long_(x))
+    rows = _let(found, lambda f: F.arrays_zip(F.slice(between, F.lit(1), F.size(f)).alias("between"), f.alias("found"), lengths.alias("sized")))
+    return F.when(text.rlike(rule.pattern), _let(rows, lambda r: _in_parts(r, after, fold))).otherwise(F.array().cast(_SPANS))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -193,7 +214,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     indexed = [r for r in rules if segments(r.pattern)]
     asked = materialize(candidates(rows, rules), "candidates")
     checked = maybe_among(rows, asked).join(asked, ["kh", "kd"])
-    empty = F.array().cast("array<struct<start:long,ord:int,stop:long,kind:string>>")
+    empty = F.array().cast(_SPANS)
     hit = F.concat(*[F.when(F.array_contains("rules", r.kind), spans_of(F.col("text"), r, order[r.kind])).otherwise(empty) for r in indexed])
     verified = checked.select("kh", "kd", hit.alias("more")).filter(F.size("more") > 0).dropDuplicates(["kh", "kd"])
     always = F.concat(empty, *[spans_of(F.col("text"), r, order[r.kind]) for r in full])
@@ -226,10 +247,12 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
     def step(state: Column, x: Column) -> Column:
         fresh = x["start"] >= state["at"]
         gap = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (x["start"] - state["at"]).cast("int"))
-        return F.struct(F.greatest(state["at"], x["stop"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
+        return F.struct(F.greatest(state["at"], x["stop"]).alias("at"), F.when(fresh, F.concat(state["out"], F.array(gap, F.lit(mark)))).otherwise(state["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    anew = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    fold = lambda p, at: F.aggregate(p, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")), step, lambda s: s["out"])
+    after = lambda p, at: F.greatest(at, F.array_max(F.transform(p, lambda x: x["stop"])))
+    last = F.array_max(F.transform("spans", lambda x: x["stop"]))
+    anew = F.concat(F.array_join(_in_parts(F.col("spans"), after, fold), ""), F.substring(F.col("text"), (last + 1).cast("int"), F.lit(2**31 - 1)))
     both = rows.join(found, ["kh", "kd"], "left").withColumn("anew", F.when(F.col("spans").isNotNull(), anew))
     kept = F.col("anew").isNull()
     changed = {"text": F.when(kept, F.col("row.text")).otherwise(F.col("anew"))}

@@ -201,7 +201,7 @@ def spans_by_force(text):
 
 
 def test_secrets(spark, docs):
-    more = ["é password='hunter22' x", "API-key apikey: abcdef api_key = 'abcdefg'", "token: token: abcdefgh", "-----BEGIN RSA PRIVATE KEY-----", "sk_live_abcdefghijklmnop", "xoxb-1234567890-abc", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "ghp_" + "a1" * 18, "SECRET=abc secret=abcdef," * 50]
+    more = ["é password='hunter22' x", "API-key apikey: abcdef api_key = 'abcdefg'", "token: token: abcdefgh", "-----BEGIN RSA PRIVATE KEY-----", "sk_live_abcdefghijklmnop", "xoxb-1234567890-abc", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "ghp_" + "a1" * 18, "SECRET=abc secret=abcdef," * 50, "x token=abcdefgh " * 700]
     frame = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(more, 100)), "doc_id long, text string"))
     got = sorted((repr(r["doc_id"]), r["spans"]) for r in secrets.digest(frame).collect())
     assert got == sorted((repr(r["doc_id"]), spans_by_force(r["text"])) for r in frame.collect())

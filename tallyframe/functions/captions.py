@@ -113,26 +113,42 @@ def classified(bare: list[str], sections: list[str | None], least: float = LEAST
     return out
 
 
-def classify(captions: DataFrame, label: str = "label", section: str = "section") -> DataFrame:
-    """captions with concept and label_score. Distinct normal forms are classified once for each section, and joined back."""
+def classify(captions: DataFrame, label: str = "label", section: str = "section", bare: str | None = None) -> DataFrame:
+    """captions with concept and label_score. Distinct normal forms are classified once for each section, and joined back. bare: the column that has them already, null for short ones."""
 
     @F.pandas_udf("struct<concept:string,label_score:double>")
     def run(bare: pd.Series, sections: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(classified(bare.tolist(), [s or None for s in sections]), columns=["concept", "label_score"]).astype({"label_score": float})
 
-    normal = normalize(F.col(label))
-    keyed = captions.withColumns({"_b": F.when(F.length(normal) >= 3, despace(normal)), "_s": F.coalesce(section, F.lit(""))})
+    if bare is None:
+        captions = captions.withColumn("_n", normalize(F.col(label))).withColumn("_b", despaced(F.col("_n"))).drop("_n")
+    else:
+        captions = captions.withColumn("_b", F.col(bare))
+    keyed = captions.withColumn("_s", F.coalesce(section, F.lit("")))
     keys = keyed.select("_b", "_s").filter(F.length("_b") >= 3).distinct()
-    known = keys.withColumn("_c", run("_b", "_s")).select("_b", "_s", "_c.concept", "_c.label_score").filter("concept is not null")
+    # Not told to be deterministic, so that no filter on its result moves it before distinct().
+    known = keys.withColumn("_c", run.asNondeterministic()("_b", "_s")).select("_b", "_s", "_c.concept", "_c.label_score")
     return keyed.join(known, ["_b", "_s"], "left").drop("_b", "_s")
 
 
-def section_of(label: Column) -> Column:
-    """The section that a heading opens; null for other captions."""
-    bare = despace(normalize(label))
+def despaced(normal: Column) -> Column:
+    """The letters and digits of a normal form; null for short ones, which name nothing."""
+    return F.when(F.length(normal) >= 3, despace(normal))
+
+
+def heading(normal: Column, bare: Column) -> Column:
+    """The section that a heading opens, by its normal form and the letters and digits of that; null for other captions.
+
+    Both should be columns: a normal form is a chain of replacements, which would be run for each marker.
+    """
     budget = lambda m: min(2, tolerance(len(m)))
     hits = [F.when(F.levenshtein(bare, F.lit(m), budget(m)) >= 0, s) for m, s in SECTION_MARKERS]
-    return F.when((F.length(normalize(label)) <= 34) & (F.length(bare) >= 5) & ~F.startswith(bare, F.lit("total")), F.coalesce(*hits))
+    return F.when((F.length(normal) <= 34) & (F.length(bare) >= 5) & ~F.startswith(bare, F.lit("total")), F.coalesce(*hits))
+
+
+def section_of(label: Column) -> Column:
+    """heading() of a caption."""
+    return heading(normalize(label), despace(normalize(label)))
 
 
 # What a row that is no line item starts with, or holds.
@@ -144,6 +160,10 @@ NOISE = (
 )
 
 
+def noise(normal: Column) -> Column:
+    """Whether a row with this normal form is no line item."""
+    return (F.length(normal) < 3) | (F.length(normal) > 110) | normal.rlike("|".join(NOISE))
+
+
 def is_noise(label: Column) -> Column:
-    s = normalize(label)
-    return (F.length(s) < 3) | (F.length(s) > 110) | s.rlike("|".join(NOISE))
+    return noise(normalize(label))

@@ -31,7 +31,7 @@ class WordEncoder:
     token. Ids are returned as little-endian bytes of `dtype`.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = t = Tokenizer.from_file(path)

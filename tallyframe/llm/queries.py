@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies its operator, with production parameters, to its whole table."""
+"""The queries op1 to op13: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, neargraph, packing, quality, secrets, token_files, topk, toxicity
+from . import balls, jaccard, langid, licences, mixing, neargraph, packing, quality, secrets, token_files, topk, toxicity, turntrie
 from .common import crc_mod, labelled_sample, table
 
 
@@ -67,6 +67,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_ball_k_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_token_files": op2_token_files,
@@ -78,7 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_license_scan": op11_license_scan,
+    "op12_ball_k_means": op12_ball_k_means,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op1_exact_top_k": topk.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op8_source_mixing": mixing.oracle_sql(4.0)}
+ORACLE_SQL: dict[str, str] = {"op1_exact_top_k": topk.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op8_source_mixing": mixing.oracle_sql(4.0), "op12_ball_k_means": balls.oracle_sql()}

@@ -12,8 +12,10 @@
    of every node found within range until no new one is in range.
 6. The search goes on over the united lists, beyond the query's own shards: from each node in range to those of its neighbours
    that share no cell with the query, as joins, until no new one is in range.
-7. Pairs found are verified in double precision. Recall is audited: a bounded set of queries is compared with all nodes, and
-   below AUDIT_LEAST the graph is built anew with one more overlapping shard, up to MOST_OVERLAP. It is the mean over queries
+7. Pairs found are verified in double precision. Recall is audited: a bounded set of queries is compared with all nodes. Among
+   them are made-up nodes that were put into the graph beside a sample of the real ones, at distances spread over those of a
+   link, so links are measured where real ones are rare; what was found with them is taken out again. Without any measured link,
+   or below AUDIT_LEAST the graph is built anew with one more overlapping shard, up to MOST_OVERLAP. It is the mean over queries
    that counts, so that a dense group doesn't hide what small ones lose, and the share of all links.
 8. If the last audit fails too, all pairs of nodes are compared in blocks: exact, at a cost that grows with the square of the
    nodes. `near_duplicates` tells the recall of each audit if it's given a list for them.
@@ -317,11 +319,36 @@ def all_links(nodes: DataFrame, n: int, least: float) -> DataFrame:
     return materialize(cells.groupBy("lo", "hi").applyInArrow(run, "a long, b long"), "near")
 
 
-def recall(nodes: DataFrame, found: DataFrame, least: float, queries: int = AUDIT) -> float:
-    """The recall of a bounded set of queries, by comparing them with every node: the mean over queries with links, or the share of links found if that is less."""
+def _vector_of(unit: np.ndarray, cos: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Unit vectors at these cosines from the given ones, in directions drawn at random."""
+    away = rng.standard_normal(unit.shape)
+    away -= (away * unit).sum(1, keepdims=True) * unit
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    away = np.divide(away, length, out=np.zeros_like(away), where=length > 0)
+    return cos[:, None] * unit + np.sqrt(1 - cos[:, None] ** 2) * away
+
+
+def planted(nodes: DataFrame, least: float, queries: int = AUDIT) -> DataFrame | None:
+    """Made-up nodes, rep and v, each as near to a node of a bounded sample as a link is, at cosines spread from `least` to 1: links that an audit can measure, however few the real ones are. Their ids are beyond all others; None where there is no room for them, or no node."""
+    low, high = nodes.agg(F.min("rep"), F.max("rep")).first()
+    if low is None or (high >= 2**63 - 1 - 2 * queries and low < -(2**63) + 2 * queries):
+        return None
     picked = bounded_sample(nodes, F.col("rep"), queries).orderBy(F.xxhash64("rep")).limit(2 * queries).toPandas()
     if picked.empty:
-        return 1.0
+        return None
+    v = np.array([np.frombuffer(b, np.float64) for b in picked["v"]])
+    made = _vector_of(_unit(v), np.linspace(least, 1, len(v) + 2)[1:-1], np.random.default_rng(len(v)))
+    first = high + 1 if high < 2**63 - 1 - 2 * queries else low - len(v)
+    rows = [(first + i, bytearray(x.tobytes())) for i, x in enumerate(made.astype(np.float64))]
+    return nodes.sparkSession.createDataFrame(rows, "rep long, v binary")
+
+
+def recall(nodes: DataFrame, found: DataFrame, least: float, queries: int = AUDIT, made: DataFrame | None = None) -> float | None:
+    """The recall of a bounded set of queries and of the nodes `made`, by comparing them with every node: the mean over queries with links, or the share of links found if that is less. None if none of them has a link."""
+    picked = bounded_sample(nodes, F.col("rep"), queries).orderBy(F.xxhash64("rep")).limit(2 * queries)
+    picked = (picked if made is None else picked.unionByName(made)).toPandas()
+    if picked.empty:
+        return None
     ids, q = picked["rep"].to_numpy(np.int64), np.array([np.frombuffer(b, np.float64) for b in picked["v"]])
     held = nodes.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
 
@@ -335,16 +362,17 @@ def recall(nodes: DataFrame, found: DataFrame, least: float, queries: int = AUDI
                 a, b = rep[i][ok], own[j][ok]
                 yield pa.RecordBatch.from_pydict({"q": b, "a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    real = nodes.select("rep", "v").mapInArrow(run, "q long, a long, b long")
+    every = nodes if made is None else nodes.unionByName(made)
+    real = every.select("rep", "v").mapInArrow(run, "q long, a long, b long")
     have = real.join(found.withColumn("yes", F.lit(1)), ["a", "b"], "left").groupBy("q").agg(F.count("yes").alias("got"), F.count("*").alias("all"))
     each, share = have.agg(F.avg(F.col("got") / F.col("all")), F.sum("got") / F.sum("all")).first()
-    return 1.0 if each is None else min(each, share)
+    return None if each is None else min(each, share)
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, audits: list[float] | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, audits: list[float | None] | None = None) -> DataFrame:
     """vectors: vec_id, embedding. Per row: vec_id, n_links (other vectors linked), component_id (the smallest vec_id reachable), kept.
 
-    audits gets the recall of each audit; after a comparison of all pairs, 1.
+    audits gets the recall of each audit, None where no link was measured; after a comparison of all pairs, 1.
     """
     audits = [] if audits is None else audits
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
@@ -357,14 +385,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, audits: list[float]
     for dims in sorted(r["dims"] for r in raw.select("dims").distinct().collect()):
         nodes = raw.filter(F.col("dims") == dims).select("rep", "v")
         n = nodes.count()
+        made = planted(nodes, least)
+        every = nodes if made is None else materialize(nodes.unionByName(made), "audited")
         for overlap in range(2, MOST_OVERLAP + 1):
-            own = links(nodes, n, least, overlap)
-            audits.append(recall(nodes, own, least))
-            if audits[-1] >= AUDIT_LEAST:
+            own = links(every, n, least, overlap)
+            audits.append(recall(nodes, own, least, made=made))
+            if audits[-1] is not None and audits[-1] >= AUDIT_LEAST:
                 break
         else:
-            own = all_links(nodes, n, least)
+            own = all_links(every, n, least)
             audits.append(1.0)
+        if made is not None:
+            ids = F.broadcast(made.select("rep"))
+            own = own.join(ids.withColumnRenamed("rep", "a"), "a", "left_anti").join(ids.withColumnRenamed("rep", "b"), "b", "left_anti").select("a", "b")
         found = own if found is None else found.unionByName(own)
     members = rows.filter("fine").join(classes, "e").select("vec_id", "rep", "copies").distinct()
     if found is None:

@@ -1,8 +1,10 @@
 """Language identification in two steps: the family, then one-versus-one linear support vector machines within it.
 
 Features: counts of hashed letter n-grams (one to three characters, words apart by one space, lower case), square roots taken,
-of unit length. Learned on the driver from a bounded sample: at most `per_language` distinct labelled texts of each language,
-whole (PER_LANGUAGE; a vector of 4096 numbers each). Scoring reads every text once.
+of unit length. Learned from a bounded sample of whole, distinct labelled texts: at most `per_language` of each language
+(PER_LANGUAGE), and of all languages together about FIT_ROWS, dealt evenly. There is no bound on languages but that each needs a
+row. Each text is a vector of 4096 numbers, so the sample is FIT_ROWS times 16 KB at most; it is sent to the tasks, and each task
+fits machines. Scoring reads every text once.
 
 Cases: a null text, an empty one and one without a letter is `und` with score 0. Texts of any length are read whole. Without any
 labelled row every text is `und` with score 0; with one language, that is the answer. Of equal votes and margins the language
@@ -21,9 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import materialize, shuffle_parts
+
 DIMS = 4096
-#: The most distinct labelled texts of a language that are learned from, and the most languages (those with most texts).
-PER_LANGUAGE, LANGUAGES = 400, 1000
+#: The most distinct labelled texts that are learned from: of a language, and of all.
+PER_LANGUAGE, FIT_ROWS = 400, 8000
+#: Rows of a language that are drawn besides twice those that are wanted.
+SPARE = 30
 #: Places of a text's hash; a text is sampled if its place is low.
 _PLACES = 1 << 40
 #: Families of languages; a language that isn't listed is a family of its own.
@@ -114,48 +120,68 @@ def _sure(margin: float) -> float:
     return float(1 / (1 + np.exp(-4 * margin)))
 
 
-def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Model:
-    """Learns from text and non-null lang of the rows for which `usable` holds. The driver gets a vector for each sampled row."""
+def sample(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, most: int = FIT_ROWS) -> DataFrame:
+    """lang and text of the rows to learn from: distinct, at most `per_language` of a language, fewer where there would be more than `most` of all."""
     rows = docs.filter(usable).filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     # Copies count once, in the share and in the sample: a group of copies neither swamps its language nor crowds out the rest.
     placed = rows.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(_PLACES)))
     texts = placed.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("n"))
-    counts = {r["lang"]: r["n"] for r in texts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    # Twice the limit is drawn, so that it's met; the lowest places are taken.
-    share = [(k, int(min(1, 2 * per_language / n) * _PLACES)) for k, n in counts.items()]
-    if not share:
-        return Model([], {}, np.zeros(0), {})
-    shares = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share long"))
+    # A row for each language at least: beyond `most` languages, those with most texts.
+    counts = materialize(texts.orderBy(F.desc("n"), "lang").limit(most), "languages")
+    each = max(1, min(per_language, most // max(1, counts.count())))
+    # Twice the limit and SPARE more are drawn, so that it's met; the lowest places are taken.
+    shares = F.broadcast(counts.select("lang", (F.least(F.lit(1.0), F.lit(2.0 * each + SPARE) / F.col("n")) * _PLACES).cast("long").alias("share")))
     drawn = placed.join(shares, "lang").filter(F.col("place") < F.col("share")).select("lang", "text", "place").distinct()
     by = Window.partitionBy("lang").orderBy("place", "text")
-    picked = drawn.withColumn("i", F.row_number().over(by)).filter(F.col("i") <= per_language).select("lang", "text")
+    return drawn.withColumn("i", F.row_number().over(by)).filter(F.col("i") <= each).select("lang", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                if (x := vector(text.as_py())) is not None:
-                    yield pa.RecordBatch.from_pydict({"lang": [lang], "x": pa.array([x.tobytes()], pa.binary())})
 
-    got = sorted((r["lang"], bytes(r["x"])) for r in picked.mapInArrow(run, "lang string, x binary").collect())
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            own = batch.slice(at, 128)
+            found = [(k, vector(t.as_py())) for k, t in zip(own.column("lang").to_pylist(), own.column("text"), strict=True)]
+            found = [(k, x.tobytes()) for k, x in found if x is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([x for _, x in found], pa.binary())], ["lang", "x"])
+
+
+def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Model:
+    """Learns from text and non-null lang of the rows for which `usable` holds. The driver gets a vector for each sampled row, and the weights."""
+    spark = docs.sparkSession
+    got = sorted((r["lang"], bytes(r["x"])) for r in sample(docs, usable, per_language).mapInArrow(_vectors, "lang string, x binary").collect())
+    if not got:
+        return Model([], {}, np.zeros(0), {})
     names = np.array([k for k, _ in got])
-    x = np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(-1, DIMS)
-    langs = sorted(set(names.tolist()))
     members: dict[str, list[str]] = {}
-    for k in langs:
+    for k in sorted(set(names.tolist())):
         members.setdefault(FAMILY.get(k, k), []).append(k)
     families = sorted(members)
-    group = np.array([FAMILY.get(k, k) for k in names])
-    # Of two families one machine tells both.
-    weights = [svm(x, np.where(group == f, 1.0, -1.0)) for f in (families if len(families) > 2 else families[: len(families) - 1])]
-    weights = np.array([*weights, *(-w for w in weights)] if len(families) == 2 else weights)
-    pairs = {}
-    for f in families:
-        own, pairs[f] = members[f], []
-        for i in range(len(own)):
-            for j in range(i + 1, len(own)):
-                at = (names == own[i]) | (names == own[j])
-                pairs[f].append((i, j, svm(x[at], np.where(names[at] == own[i], 1.0, -1.0))))
-    return Model(families, members, weights, pairs)
+    # A family's machine tells it from all others, a pair's one language from another; of two families one machine tells both.
+    first = [(f, -1, -1) for f in (families if len(families) > 2 else families[: len(families) - 1])]
+    plan = first + [(f, i, j) for f in families for i in range(len(members[f])) for j in range(i + 1, len(members[f]))]
+    held = spark.sparkContext.broadcast((names, np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(-1, DIMS), members))
+
+    def machines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, x, members = held.value
+        for batch in batches:
+            for at, f, i, j in zip(*(batch.column(c).to_pylist() for c in ("at", "f", "i", "j")), strict=True):
+                if i < 0:
+                    w = svm(x, np.where([FAMILY.get(k, k) == f for k in names], 1.0, -1.0))
+                else:
+                    own = (names == members[f][i]) | (names == members[f][j])
+                    w = svm(x[own], np.where(names[own] == members[f][i], 1.0, -1.0))
+                yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int64()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
+
+    weights: dict[int, np.ndarray] = {}
+    if plan:
+        todo = spark.createDataFrame([(n, *x) for n, x in enumerate(plan)], "at long, f string, i int, j int")
+        todo = todo.repartitionByRange(min(len(plan), shuffle_parts(spark)), "at")
+        weights = {r["at"]: np.frombuffer(bytes(r["w"]), np.float32) for r in todo.mapInArrow(machines, "at long, w binary").collect()}
+    own = [weights[n] for n in range(len(first))]
+    pairs: dict[str, list[tuple[int, int, np.ndarray]]] = {f: [] for f in families}
+    for n, (f, i, j) in enumerate(plan[len(first) :], len(first)):
+        pairs[f].append((i, j, weights[n]))
+    return Model(families, members, np.array([*own, *(-w for w in own)] if len(families) == 2 else own), pairs)
 
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

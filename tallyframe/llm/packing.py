@@ -8,11 +8,11 @@ first are full. Full pieces are sequences of their own. The other pieces are dea
    rounded up to the longest of its group, so few sizes are left.
 2. The few sizes are packed by configurations (how often each size is in a sequence). A linear program over all configurations
    gives the fewest sequences that meet the demand; its columns are generated as they are needed, each the best of a knapsack
-   under the current prices. Each configuration of the optimum is used as often as its whole part says.
+   under the current prices, or one that an earlier knapsack found. Each configuration of the optimum is used as often as its whole part says.
 3. Actual documents take the places of the rounded sizes: each place the longest that leaves the later places of its sequence
    their rounded sizes, so that what the rounding lost is used.
 4. The rest, small pieces and the few large ones that the whole parts leave, go longest first where they leave the least room
-   (best fit). The last of these sequences, the least filled, are then packed anew by best fit, which is kept where it takes fewer.
+   (best fit). The least filled quarter of the sequences is then packed anew by best fit, which is kept where it takes fewer.
 
 A block's last sequences are the only loss against packing all at once: about half a sequence in some thousands.
 
@@ -40,8 +40,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 IDS = ", ids binary"
 
 
-#: How near to the optimum the linear program is solved, and the most steps towards it (it's a solution after each).
-GAP, ROUNDS = 1e-2, 600
+#: How near to the optimum the linear program is solved, the most knapsacks on the way (it's a solution after each), and steps between two inversions of the basis.
+GAP, ROUNDS, ANEW = 1e-3, 600, 100
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -76,42 +76,66 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int = 0, keep_id
 
 
 def _best(sizes: list[int], prices: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The dearest configuration that fits, by an unbounded knapsack over fills: its price and how often it has each size."""
+    """The dearest configuration that fits, by an unbounded knapsack over fills, and that of each size which is in it at least once: the best price, and a row for each of those that are worth more than a sequence, how often it has each size."""
     worth, last = np.zeros(room + 1), np.full(room + 1, -1)
-    for i, s in enumerate(sizes):
-        if prices[i] > 1e-9:
-            for at in range(s, room + 1, s):
-                own = slice(at, min(at + s, room + 1))
-                more = worth[at - s : at - s + worth[own].size] + prices[i]
-                better = more > worth[own] + 1e-12
-                worth[own][better] = more[better]
-                last[own][better] = i
-    use, fill = np.zeros(len(sizes)), room
-    while fill > 0:
-        if last[fill] < 0:
-            fill -= 1
-        else:
-            use[last[fill]] += 1
-            fill -= sizes[last[fill]]
-    return float(prices @ use), use
+    for i in np.flatnonzero(prices > 1e-9):
+        s = sizes[i]
+        for at in range(s, room + 1, s):
+            own = slice(at, min(at + s, room + 1))
+            more = worth[at - s : at - s + worth[own].size] + prices[i]
+            better = more > worth[own] + 1e-12
+            worth[own][better] = more[better]
+            last[own][better] = i
+    # A fill that no configuration ends at stands for the next lower one.
+    fills = np.maximum.accumulate(np.where(last >= 0, np.arange(room + 1), 0))
+    holds = worth[room - np.array(sizes)] + prices
+    picked = np.flatnonzero(holds > 1 + 1e-9)
+    rows = np.zeros((len(picked), len(sizes)))
+    for row, i in zip(rows, picked, strict=True):
+        row[i], fill = 1, fills[room - sizes[i]]
+        while fill > 0:
+            row[last[fill]] += 1
+            fill = fills[fill - sizes[last[fill]]]
+    return float(worth[room]), np.unique(rows, axis=0)
 
 
 def configurations(sizes: list[int], demand: list[int], room: int) -> list[tuple[list[int], int]]:
-    """Configurations and how often each is used: the whole parts of the linear program's optimum, within GAP of it."""
+    """Configurations and how often each is used: the whole parts of the linear program's optimum, within GAP of it.
+
+    A simplex over generated columns: all that a knapsack has found are kept and entered by their price, and only when none of
+    them pays is the next knapsack solved. The inverse of the basis is updated, and made anew from time to time.
+    """
     need = np.array(demand, float)
     basis = np.diag([float(room // s) for s in sizes])
+    inverse = np.diag(1 / np.diag(basis))
     level = need / np.diag(basis)
-    for _ in range(ROUNDS):
-        prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
-        worth, column = _best(sizes, prices, room)
-        if worth <= 1 + GAP:  # the program's optimum is within this share of what the basis needs
-            break
-        along = np.linalg.solve(basis, column)
+    known = np.zeros((0, len(sizes)))
+    knapsacks = steps_taken = 0
+    while True:
+        prices = inverse.sum(0)
+        gains = known @ prices
+        at = int(gains.argmax()) if len(known) else -1
+        if at < 0 or gains[at] <= 1 + GAP / 4:
+            worth, found = _best(sizes, prices, room)
+            knapsacks += 1
+            if worth <= 1 + GAP or knapsacks > ROUNDS:  # the program's optimum is within this share of what the basis needs
+                break
+            known = np.vstack([known[gains > 0.9], found])
+            continue
+        along = inverse @ known[at]
         steps = np.where(along > 1e-9, level / np.where(along > 1e-9, along, 1), np.inf)
         out = int(steps.argmin())
-        basis[:, out] = column
+        basis[:, out] = known[at]
         level = np.maximum(0.0, level - steps[out] * along)
         level[out] = steps[out]
+        steps_taken += 1
+        if steps_taken % ANEW:
+            row = inverse[out] / along[out]
+            inverse -= np.outer(along, row)
+            inverse[out] = row
+        else:
+            inverse = np.linalg.inv(basis)
+            level = np.maximum(0.0, inverse @ need)
     left, chosen = need.copy(), []
     for column, times in zip(basis.T, level, strict=True):
         times = int(min(times + 1e-6, (left[column > 0] // column[column > 0]).min()))
@@ -134,7 +158,7 @@ def _substituted(slots: list[int], left: list[tuple[int, int]], size: int) -> li
     return own
 
 
-def pack_lengths(lengths: np.ndarray, size: int, groups: int = 80, small_share: float = 0.2) -> np.ndarray:
+def pack_lengths(lengths: np.ndarray, size: int, groups: int = 160, small_share: float = 0.2) -> np.ndarray:
     """The sequence of each piece (from 0), by linear grouping, configurations and best fit."""
     order = np.argsort(-lengths, kind="stable")
     large = order[lengths[order] > size * small_share]
@@ -174,7 +198,7 @@ def _place(p: int, n: int, rooms: list[tuple[int, int]], held: list[list[int]],
     insort(rooms, (room - n, k))
 
 
-def _last_anew(lengths: np.ndarray, held: list[list[int]], size: int, share: float = 0.02) -> list[list[int]]:
+def _last_anew(lengths: np.ndarray, held: list[list[int]], size: int, share: float = 0.25) -> list[list[int]]:
     """The least filled `share` of the sequences (two at least) packed anew by best fit, longest first; kept where it takes fewer."""
     order = sorted(range(len(held)), key=lambda k: -int(lengths[held[k]].sum()))
     last = max(2, int(len(held) * share))

@@ -85,6 +85,41 @@ def test_packing_fills():
         assert fills.max() <= 2048 and (fills > 0).sum() <= 1.03 * max(lengths.sum() / 2048, (lengths > 1024).sum()) + 1
 
 
+def best_fit_by_force(lengths, size):
+    rooms = []
+    for n in sorted(lengths.tolist(), reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else size) - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("name", ["uniform", "middle", "log-normal", "below half"])
+def test_packing_takes_no_more_than_best_fit(name):
+    rng = np.random.default_rng(1)
+    lengths = {"uniform": rng.integers(1, 2048, 6000), "middle": rng.integers(600, 1501, 6000), "log-normal": np.clip(rng.lognormal(5.6, 0.9, 6000).astype(int), 1, 2047), "below half": rng.integers(420, 1024, 6000)}[name]
+    at = packing.pack_lengths(lengths, 2048)
+    assert np.bincount(at, weights=lengths).max() <= 2048 and len(set(at.tolist())) <= best_fit_by_force(lengths, 2048)
+
+
+def test_linear_program_is_near_its_optimum():
+    """Prices that no configuration is worth more than are a bound of what any packing of the demand needs."""
+    rng = np.random.default_rng(3)
+    sizes = sorted(set(rng.integers(300, 2000, 40).tolist()), reverse=True)
+    demand = rng.integers(5, 50, len(sizes)).tolist()
+    chosen = packing.configurations(sizes, demand, 2048)
+    packed = np.sum([np.array(c) * t for c, t in chosen], axis=0)
+    assert all(np.dot(c, sizes) <= 2048 for c, _ in chosen) and (packed <= demand).all() and packed.sum() > 0.6 * sum(demand)
+    for _ in range(20):
+        prices = rng.random(len(sizes))
+        worth, rows = packing._best(sizes, prices, 2048)
+        table = [0.0] * 2049
+        for fill in range(1, 2049):
+            table[fill] = max([table[fill - 1], *(table[fill - s] + p for s, p in zip(sizes, prices, strict=True) if s <= fill)])
+        assert worth == pytest.approx(table[2048]) and (rows @ np.array(sizes) <= 2048).all() and (worth <= 1 or (rows @ prices).max() == pytest.approx(worth))
+
+
 def groups_by_force(rows, k, num, den):
     sets = {}
     for i, t in rows:
@@ -358,6 +393,36 @@ def test_near_graph_audit_weighs_queries_alike(spark):
     assert neargraph.recall(nodes, found, 0.95) == pytest.approx(30 / 50)
 
 
+def test_near_graph_audit_of_rare_links(spark, monkeypatch):
+    """Four links among 4,000 vectors: without planted nodes nothing is measured, with them an empty search fails the audit."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 32))
+    x[:4] = x[4:8] * 1.01 + 0.01
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "rep long, v binary").cache()
+    nothing = spark.createDataFrame([], "a long, b long")
+    picked = neargraph.recall(nodes, nothing, 0.95, queries=50)
+    assert picked is None or picked == 0
+    made = neargraph.planted(nodes, 0.95, 50)
+    assert made.join(nodes, "rep").count() == 0 and neargraph.recall(nodes, nothing, 0.95, 50, made) == 0
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for empty in (False, True):
+        audits = []
+        if empty:
+            monkeypatch.setattr(neargraph, "links", lambda nodes, n, least, overlap: nothing)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neargraph.near_duplicates(frame, audits=audits).collect()}
+        assert len(got) == 4000 and got == {i: (int(i < 8), i % 4 if i < 8 else i) for i in range(4000)}
+        assert audits[:-1] == [0.0] * 3 if empty else audits[-1] >= 0.97
+
+
+def test_near_graph_planted_ids_are_free(spark):
+    byte = lambda v: bytearray(np.array(v, float).tobytes())
+    for reps in ([2**63 - 1, 5], [-(2**63), 5], [2**63 - 1, -(2**63)]):
+        nodes = spark.createDataFrame([(r, byte([1.0, i])) for i, r in enumerate(reps)], "rep long, v binary")
+        made = neargraph.planted(nodes, 0.95)
+        assert (made is None) == (len(set(reps) & {2**63 - 1, -(2**63)}) == 2)
+        assert made is None or made.join(nodes, "rep").count() == 0
+
+
 SYLLABLES = {"en": ["the", "ing", "and", "tion", "er"], "de": ["der", "sch", "ung", "ä", "keit"], "fr": ["eau", "eux", "é", "qu", "ent"], "es": ["ción", "ñ", "os", "que", "ado"]}
 
 
@@ -378,14 +443,27 @@ def test_language_id(spark, docs):
     assert none.predict("text") == ("und", 0.0) and langid.predict(docs.limit(0), model).count() == 0
 
 
-def test_language_sample_counts_copies_once(spark, monkeypatch):
+def test_language_sample_counts_copies_once(spark):
     """Rare: 3 texts, one of them repeated 300 times; all 3 are learned from. Common: no more than the limit."""
     rows = [("aa", f"rare text {'xyz'[i]}") for i in range(3)] + [("aa", "rare text x")] * 300 + [("bb", f"common {'abcdefghij'[i % 10]} {'klmnopqrst'[i // 10]}") for i in range(100)]
     frame = spark.createDataFrame(rows, "lang string, text string")
-    sizes = []
-    monkeypatch.setattr(langid, "svm", lambda x, y: sizes.append(((y > 0).sum(), (y < 0).sum())) or np.zeros(x.shape[1] + 1))
-    langid.fit(frame, F.lit(True), per_language=10)
-    assert sizes == [(3, 10)]  # two families, one machine
+    got = defaultdict(list)
+    for r in langid.sample(frame, F.lit(True), per_language=10).collect():
+        got[r["lang"]].append(r["text"])
+    assert sorted(got["aa"]) == sorted({t for k, t in rows if k == "aa"}) and len(set(got["bb"])) == len(got["bb"]) == 10
+
+
+def test_language_sample_of_many_languages(spark):
+    """Every language is learned from, however many there are, and the sample stays within its bound."""
+    frame = spark.createDataFrame([(f"l{i:03}", f"text {'abcdefghij'[j]} of {i}") for i in range(150) for j in range(10)], "lang string, text string")
+    got = langid.sample(frame, F.lit(True), most=400).groupBy("lang").count().collect()
+    assert len(got) == 150 and {r["count"] for r in got} == {2}
+    rng = np.random.default_rng(2)
+    words = {f"x{i:02}": [prose(rng, lang, 1) for _ in range(3)] for i, lang in enumerate(list(SYLLABLES) * 3)}
+    frame = spark.createDataFrame([(k, " ".join(rng.choice(w, 12))) for k, w in words.items() for _ in range(20)], "lang string, text string")
+    model = langid.fit(frame, F.lit(True))
+    assert sorted(m for own in model.members.values() for m in own) == sorted(words)
+    assert np.mean([model.predict(r["text"])[0] == r["lang"] for r in frame.collect()]) > 0.9
 
 
 def test_quality(spark, docs):

@@ -8,10 +8,11 @@ built-in operators over those. A page is bounded in size; a document isn't neede
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
-from math import exp, inf
+from math import exp
 from operator import itemgetter
 from statistics import fmean, median
 
@@ -105,11 +106,13 @@ def value_columns(rows: list[Row], width: float) -> list[dict]:
     edges = sorted((right, left) for r in rows for left, right, _ in amounts_in(r.tokens, width))
     if len(edges) < 2:
         return []
-    near, groups = max(8.0, 0.035 * width), [[edges[0]]]
+    near, groups, total = max(8.0, 0.035 * width), [[edges[0]]], edges[0][0]
     for edge in edges[1:]:
-        if edge[0] - fmean(r for r, _ in groups[-1]) > near:
+        if edge[0] - total / len(groups[-1]) > near:
             groups.append([])
+            total = 0.0
         groups[-1].append(edge)
+        total += edge[0]
     supported = [g for g in groups if len(g) >= (3 if len(edges) >= 8 else 2)] or groups
     made = [{"right_edge": median(r for r, _ in g), "left": min(x for _, x in g), "right": g[-1][0], "support": len(g)} for g in supported]
     return [{"column_index": i, **c} for i, c in enumerate(sorted(made, key=itemgetter("right_edge")))]
@@ -118,7 +121,7 @@ def value_columns(rows: list[Row], width: float) -> list[dict]:
 def assign_cells(rows: list[Row], columns: list[dict], width: float) -> None:
     """Splits each row into a label, left of the value columns, and cells; a cell goes to the nearest right edge, the surest one stays."""
     edge = min((c["left"] for c in columns), default=width + 4) - 4
-    reach = max(12.0, 0.05 * width)
+    reach, edges = max(12.0, 0.05 * width), [c["right_edge"] for c in columns]  # from left to right
     for row in rows:
         named = [t for t in row.tokens if t[1] < edge]
         row.label = " ".join(" ".join(t[0] for t in named).split())
@@ -126,7 +129,8 @@ def assign_cells(rows: list[Row], columns: list[dict], width: float) -> None:
         row.end = named[-1][1] + named[-1][2] if named else row.start
         found: dict[int, list[Cell]] = {}
         for left, right, (value, sure, repaired, raw) in amounts_in([t for t in row.tokens if t[1] >= edge], width) if columns else ():
-            far, at = min((abs(c["right_edge"] - right), c["column_index"]) for c in columns)
+            k = bisect_left(edges, right)
+            far, at = min((abs(edges[i] - right), bisect_left(edges, edges[i])) for i in (k - 1, k) if 0 <= i < len(edges))
             if far <= reach:
                 found.setdefault(at, []).append(Cell(at, value, sure, repaired, raw, left, right - left))
         row.cells = [max(found[at], key=lambda c: c.confidence) for at in sorted(found)]
@@ -139,6 +143,9 @@ _HEADINGS = [
 ]
 _HEADING = re.compile("|".join(_HEADINGS), re.I | re.A)
 NEAR_Y, SIGMA, DROP = (-6.0, 26.0), 5.0, 0.75
+#: Scores this near tie; steps of the table of best scores.
+EQUAL = 1e-9
+LABEL_ALONE, FIGURES_ALONE, MATCHED = range(3)
 
 
 def leaf_score(label: str) -> float:
@@ -163,44 +170,60 @@ def vertical_offset(rows: list[Row]) -> float:
 
 
 def align(rows: list[Row], offset: float | None = None) -> list[tuple[Row, Row | None, float]]:
-    """Each labelled row with at most one row of figures, in reading order, by the best total score; and how sure that is."""
+    """Each labelled row with at most one row of figures, in reading order, by the best total score; and how sure that is.
+
+    rows: from the top down. A label can only match the figures of a band of NEAR_Y, so only the band's part of the table of
+    best scores is made: `best` is its last line, which later labels overwrite, and the steps of each band are kept for the way
+    back. That takes a page's rows times the rows of a band. Scores count DROP for each row of figures that is matched, which is
+    the same as taking it from each that isn't. Scores within EQUAL tie; then a label is rather left alone than a row of figures,
+    and either rather than matched.
+    """
     offset = vertical_offset(rows) if offset is None else offset
     labels, figures = [r for r in rows if r.label.strip()], [r for r in rows if r.cells]
-    n, m = len(labels), len(figures)
-    fit = [[-inf] * m for _ in labels]
-    for i, a in enumerate(labels):
+    depth = [-b.y for b in figures]
+    best = [0.0] * (len(figures) + 1)  # by the number of figures that are left: the best score of the labels so far
+    far = 0  # figures beyond it are in no band yet, so best[far] holds for them
+    bands: list[tuple[int, int, bytearray, bool]] = []
+    fits: list[list[float]] = []
+    for a in labels:
+        low, high = bisect_left(depth, NEAR_Y[0] - a.y), bisect_right(depth, NEAR_Y[1] - a.y)
         weight = 0.55 + 0.45 * leaf_score(a.label)
-        for j, b in enumerate(figures):
-            if NEAR_Y[0] <= a.y - b.y <= NEAR_Y[1]:
-                fit[i][j] = exp(-0.5 * ((a.y - b.y - offset) / SIGMA) ** 2) * weight
-    above = [-DROP * j for j in range(m + 1)]
-    came = [[1] * (m + 1)]  # 0: label without figures, 1: figures dropped, 2: matched; a later one needs a better score
-    for own in fit:
-        score, steps = [0.0], [0]
-        for j in range(1, m + 1):
-            best, step = above[j], 0
-            if score[j - 1] - DROP > best:
-                best, step = score[j - 1] - DROP, 1
-            if above[j - 1] + own[j - 1] > best:
-                best, step = above[j - 1] + own[j - 1], 2
-            score.append(best)
+        fit = [exp(-0.5 * ((a.y - b.y - offset) / SIGMA) ** 2) * weight for b in figures[low:high]]
+        if high > far:
+            best[far + 1 : high + 1] = [best[far]] * (high - far)
+            far = high
+        before, steps, top = best[low], bytearray(), best[far]
+        for j, own in enumerate(fit, low + 1):
+            above = best[j]
+            score, step = above, LABEL_ALONE
+            if best[j - 1] > score + EQUAL:
+                score, step = best[j - 1], FIGURES_ALONE
+            if before + own + DROP > score + EQUAL:
+                score, step = before + own + DROP, MATCHED
+            before, best[j] = above, score
             steps.append(step)
-        above = score
-        came.append(steps)
+        fits.append(fit)
+        bands.append((low, far, steps, best[far] > top + EQUAL))
     chosen: dict[int, int] = {}
-    i, j = n, m
-    while i and j:
-        k = came[i][j]
-        if k == 2:
-            chosen[i - 1] = j - 1
-        i, j = i - (k != 1), j - (k != 0)
+    j = len(figures)
+    for i in range(len(labels) - 1, -1, -1):
+        low, high, steps, gained = bands[i]
+        if j > high:
+            if not gained:
+                continue
+            j = high
+        while j > low and steps[j - low - 1] == FIGURES_ALONE:
+            j -= 1
+        if j > low and steps[j - low - 1] == MATCHED:
+            chosen[i] = j - 1
+            j -= 1
     out = []
     for i, a in enumerate(labels):
         if i not in chosen:
             out.append((a, None, 0.0))
             continue
         b = figures[chosen[i]]
-        out.append((a, b, 0.6 * max(0.0, min(1.0, fit[i][chosen[i]])) + 0.4 * fmean(c.confidence for c in b.cells)))
+        out.append((a, b, 0.6 * max(0.0, min(1.0, fits[i][chosen[i] - bands[i][0]])) + 0.4 * fmean(c.confidence for c in b.cells)))
     return out
 
 
@@ -214,8 +237,8 @@ def read_page(tokens: list[tuple], page: int, width: float) -> tuple[list[Row],
 FIELDS = ("token_seq", "text", "x", "y", "width", "height", "is_numeric")
 CELL = "struct<column_index:int,value:double,confidence:double,repaired:boolean,raw:string,x:double,width:double>"
 PAGE = f"""doc_id string, page int, page_name string, page_width double, page_height double,
-lines array<struct<row_seq:int,y:double,label:string,label_start:double,label_end:double,text:string,words:array<struct<text:string,x:double,width:double>>,cells:array<{CELL}>>>,
-columns array<struct<column_index:int,right_edge:double,left:double,right:double,support:int>>"""
+lines array<struct<row_seq:int,y:double,label:string,label_start:double,label_end:double,text:string,words:array<struct<text:string,x:double,width:double>>,cells:array<{CELL}>,value_seq:int,sure:double>>,
+columns array<struct<column_index:int,right_edge:double,left:double,right:double,support:int>>, offset double"""
 
 
 def sized(tokens: DataFrame) -> DataFrame:
@@ -276,19 +299,21 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 
 def pages(tokens: DataFrame) -> DataFrame:
-    """tokens to a row for each page: its lines (labels, words, cells) in reading order, and its value columns. Blank tokens are left out."""
+    """tokens to a row for each page: its lines (labels, words, cells, and the line whose figures are theirs) in reading order, its value columns, and by how much figures stand below labels. Blank tokens are left out."""
 
     def cell(c: Cell) -> dict:
         return {"column_index": c.column, "value": c.value, "confidence": c.confidence, "repaired": c.repaired, "raw": c.raw, "x": c.x, "width": c.width}
 
-    def line(i: int, r: Row) -> dict:
+    def line(i: int, r: Row, value_seq: int | None, sure: float) -> dict:
         words = [{"text": t[0], "x": t[1], "width": t[2]} for t in r.tokens]
         text = " ".join(t[0] for t in r.tokens)
-        return {"row_seq": i, "y": r.y, "label": r.label, "label_start": r.start, "label_end": r.end, "text": text, "words": words, "cells": [cell(c) for c in r.cells]}
+        return {"row_seq": i, "y": r.y, "label": r.label, "label_start": r.start, "label_end": r.end, "text": text, "words": words, "cells": [cell(c) for c in r.cells], "value_seq": value_seq, "sure": sure}
 
     def rows_of(own: list[tuple], page: int, width: float) -> list[tuple]:
         rows, columns = read_page(own, page, width)
-        return [([line(i, r) for i, r in enumerate(rows)], columns)]
+        at, offset = {id(r): i for i, r in enumerate(rows)}, vertical_offset(rows)
+        figures = {at[id(a)]: (at[id(b)] if b else None, sure) for a, b, sure in align(rows, offset)}
+        return [([line(i, r, *figures.get(i, (None, 0.0))) for i, r in enumerate(rows)], columns, offset)]
 
     return by_page(tokens, PAGE, rows_of)
 
@@ -315,19 +340,11 @@ def runs(tokens: DataFrame) -> DataFrame:
 
 def aligned(read: DataFrame) -> DataFrame:
     """read: as pages() makes it. A row for each labelled line: doc_id, page, row_seq, label, y, value_seq, value_y, cells, confidence, offset."""
-    schema = f"doc_id string, page int, row_seq int, label string, y double, value_seq int, value_y double, cells array<{CELL}>, confidence double, offset double"
-    names, kinds = [x.split()[0] for x in _split(schema)], _arrow(schema, read)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, page, lines in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", "lines")), strict=True):
-                rows = [Row(x["y"], page, [], x["label"], [Cell(*c.values()) for c in x["cells"]]) for x in lines]
-                at, offset = {id(r): i for i, r in enumerate(rows)}, vertical_offset(rows)
-                found = [(doc_id, page, at[id(a)], a.label, a.y, at[id(b)] if b else None, b.y if b else None, lines[at[id(b)]]["cells"] if b else [], sure, offset) for a, b, sure in align(rows, offset)]
-                if found:
-                    yield _batch(found, names, kinds)
-
-    return read.select("doc_id", "page", F.transform("lines", lambda x: F.struct(x["y"].alias("y"), x["label"].alias("label"), x["cells"].alias("cells"))).alias("lines")).mapInArrow(run, schema)
+    own = lambda x: F.get("lines", x["value_seq"])
+    # Figures are fetched within the array, so a line doesn't carry its page through the explosion.
+    pairs = F.transform("lines", lambda x: F.struct(x["row_seq"].alias("row_seq"), x["label"].alias("label"), x["y"].alias("y"), x["value_seq"].alias("value_seq"), own(x)["y"].alias("value_y"), own(x)["cells"].alias("cells"), x["sure"].alias("confidence")))
+    each = read.select("doc_id", "page", "offset", F.explode_outer(pairs).alias("p")).filter("p.label <> ''")
+    return each.select("doc_id", "page", "p.row_seq", "p.label", "p.y", "p.value_seq", "p.value_y", F.coalesce("p.cells", F.array().cast(f"array<{CELL}>")).alias("cells"), "p.confidence", "offset")
 
 
 __all__ = ["Cell", "Row", "align", "aligned", "build_rows", "page_columns", "page_lines", "pages", "read_page", "runs", "stitch", "value_columns", "vertical_offset"]

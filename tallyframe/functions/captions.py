@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import frequent, look_up
+from ..store import settled
 from .chart import CONCEPTS, SECTION_MARKERS
 
 # Fixed value: an enumeration mark at the start of a caption; marks may be stacked.
@@ -113,22 +115,88 @@ def classified(bare: list[str], sections: list[str | None], least: float = LEAST
     return out
 
 
+def pieces(synonym: str) -> list[str]:
+    """A synonym cut into one piece more than the edits that it may be off. An edit spoils one piece at most, so a text that holds the synonym with no more edits holds one of its pieces as it is."""
+    parts = tolerance(len(synonym)) + 1
+    cuts = [len(synonym) * i // parts for i in range(parts + 1)]
+    return [synonym[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def pair_distances(texts: list[str], patterns: list[str]) -> np.ndarray:
+    """For each pair the fewest edits between the pattern and any part of the text: substring_distances, of pairs instead of all with all."""
+    (t, nt), (p, np_) = _codes(texts), _codes(patterns)
+    along = np.arange(p.shape[1] + 1, dtype=np.int16)
+    row, every = np.broadcast_to(along, (len(texts), len(along))).copy(), np.arange(len(texts))
+    best = np_.astype(np.int16)
+    for j in range(t.shape[1]):
+        changed = row[:, :-1] + (t[:, j, None] != p)
+        row[:, 1:] = np.minimum(changed, row[:, 1:] + 1)
+        row[:, 0] = 0
+        row = np.minimum.accumulate(row - along, axis=1) + along
+        best = np.where(j < nt, np.minimum(best, row[every, np_]), best)
+    return best
+
+
+def near_synonyms(bare: DataFrame, text: str = "_b") -> DataFrame:
+    """bare: distinct texts of letters and digits. text, synonym (its number) and distance, for the synonyms that are within their tolerance of a part of the text.
+
+    The pieces of synonyms are a table of some hundred rows, whatever the input; it meets the parts of equal length of each text
+    in an equi-join, and only synonyms that share a piece with a text are compared with it.
+    """
+    spark = bare.sparkSession
+    index = sorted({(x, i) for i, s in enumerate(_SYNONYMS) for x in pieces(s)})
+    known = F.broadcast(spark.createDataFrame(index, "part string, synonym int"))
+    sizes = F.array(*map(F.lit, sorted({len(x) for x, _ in index})))
+    starts = lambda n: F.sequence(F.lit(1), F.length(text) - n + 1)
+    parts = F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length(text)), lambda n: F.transform(starts(n), lambda i: F.substring(F.col(text), i, n))))
+    found = bare.select(text, F.explode(F.array_distinct(parts)).alias("part")).join(known, "part").select(text, "synonym").distinct()
+
+    @F.pandas_udf("int")
+    def apart(texts: pd.Series, synonyms: pd.Series) -> pd.Series:
+        return pd.Series(pair_distances(texts.tolist(), [_SYNONYMS[i] for i in synonyms]).astype("int32"))
+
+    within = F.broadcast(spark.createDataFrame([(i, tolerance(len(s))) for i, s in enumerate(_SYNONYMS)], "synonym int, tolerance int"))
+    # Not told to be deterministic, so that it runs after distinct(), and once.
+    return found.withColumn("distance", apart.asNondeterministic()(text, "synonym")).join(within, "synonym").filter("distance <= tolerance").select(text, "synonym", "distance")
+
+
+def candidates(keys: DataFrame, near: DataFrame, least: float = LEAST) -> DataFrame:
+    """keys: distinct _b (text) and _s (section, or empty). Per key and concept the best synonym's score, specificity, distance and length, the first synonym on ties; only scores of `least` and more."""
+    spark = keys.sparkSession
+    rows = [(i, len(s), int(o), CONCEPTS[o]["concept"], CONCEPTS[o]["section"], CONCEPTS[o]["specificity"], list(CONCEPTS[o]["exclude"])) for i, (s, o) in enumerate(zip(_SYNONYMS, _OWNER, strict=True))]
+    about = F.broadcast(spark.createDataFrame(rows, "synonym int, n int, at int, concept string, section string, specificity int, exclude array<string>"))
+    each = keys.join(near, "_b").join(about, "synonym").filter(~F.exists("exclude", lambda x: F.contains("_b", x)))
+    n, size = F.col("n"), F.greatest(F.length("_b"), F.lit(1))
+    score = F.greatest(F.lit(0.0), 1 - F.col("distance") * EDIT / n) * (SYNONYM[0] + SYNONYM[1] * F.least(F.lit(1.0), n / LONG)) * (COVER[0] + COVER[1] * F.least(F.lit(1.0), n / size))
+    score = score * F.when(F.col("_s") == "", 1.0).when(F.col("_s") == F.col("section"), SAME).otherwise(OTHER)
+    scored = each.withColumn("score", F.least(F.lit(1.0), score)).filter(F.col("score") >= least)
+    best = scored.groupBy("_b", "_s", "at").agg(F.max_by(F.struct("score", "specificity", "distance", "n", "concept"), F.struct("score", -F.col("synonym"))).alias("c"))
+    return best.select("_b", "_s", "at", "c.*")
+
+
 def classify(captions: DataFrame, label: str = "label", section: str = "section", bare: str | None = None) -> DataFrame:
-    """captions with concept and label_score. Distinct normal forms are classified once for each section, and joined back. bare: the column that has them already, null for short ones."""
+    """captions with concept and label_score. bare: the column that has normal forms without spaces already, null for short ones.
+
+    Distinct normal forms are classified once for each section, against those synonyms that share a piece with them, and looked up
+    by all captions; those that are too short name nothing and meet nothing.
+    """
 
-    @F.pandas_udf("struct<concept:string,label_score:double>")
-    def run(bare: pd.Series, sections: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(classified(bare.tolist(), [s or None for s in sections]), columns=["concept", "label_score"]).astype({"label_score": float})
+    @F.pandas_udf("int")
+    def first(found: pd.Series) -> pd.Series:
+        order = functools.cmp_to_key(lambda i, j: _first(i[0], j[0]))
+        return pd.Series([sorted((((c["score"], c["specificity"], c["distance"], c["n"]), i) for i, c in enumerate(own)), key=order)[0][1] for own in found], dtype="int32")
 
     if bare is None:
         captions = captions.withColumn("_n", normalize(F.col(label))).withColumn("_b", despaced(F.col("_n"))).drop("_n")
     else:
         captions = captions.withColumn("_b", F.col(bare))
-    keyed = captions.withColumn("_s", F.coalesce(section, F.lit("")))
-    keys = keyed.select("_b", "_s").filter(F.length("_b") >= 3).distinct()
-    # Not told to be deterministic, so that no filter on its result moves it before distinct().
-    known = keys.withColumn("_c", run.asNondeterministic()("_b", "_s")).select("_b", "_s", "_c.concept", "_c.label_score")
-    return keyed.join(known, ["_b", "_s"], "left").drop("_b", "_s")
+    keyed = captions.withColumn("_b", F.when(F.length("_b") >= 3, F.col("_b"))).withColumn("_s", F.coalesce(section, F.lit("")))
+    keys = settled(keyed.filter("_b is not null").groupBy("_b", "_s").agg(F.count("*").alias("count")), "keys")
+    found = candidates(keys, near_synonyms(keys.select("_b").distinct()))
+    # A caption has as many candidates as there are concepts, at most.
+    known = found.groupBy("_b", "_s").agg(F.array_sort(F.collect_list(F.struct("at", "score", "specificity", "distance", "n", "concept"))).alias("found"))
+    known = known.withColumn("top", F.get("found", first("found"))).select("_b", "_s", F.col("top.concept").alias("concept"), F.col("top.score").alias("label_score"))
+    return look_up(keyed, settled(known, "known"), ["_b", "_s"], frequent(keys, ["_b", "_s"])).drop("_b", "_s")
 
 
 def despaced(normal: Column) -> Column:

@@ -128,17 +128,63 @@ def _score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statement.page_scores(read, statement.captioned(read)).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def caption_texts(spark: SparkSession) -> DataFrame:
-    """synonym, concept, damaged (one inner letter replaced where edits is 1, in brackets and marks), edits."""
-    rows = []
-    for c in CONCEPTS:
-        for s in c["synonyms"]:
-            rows += [(s, c["concept"], s, 0), (s, c["concept"], s[: len(s) // 2] + "#" + s[len(s) // 2 + 1 :], 1)]
-    return spark.createDataFrame(rows, "synonym string, concept string, damaged string, edits int")
+_SYNONYMS = [(i, s, c) for i, (s, c) in enumerate((s, c) for c in CONCEPTS for s in c["synonyms"])]
+#: What may stand before and after a caption, the sections it may be told to be in, and headings, by the part's number.
+_BEFORE, _AFTER, _SECTIONS = ("", "(ii) ", "a) ", "3. ", "(b) i) "), ("", "  Note No. 4", " *", ":"), (None, "assets", "liabilities", "equity", "assets", None, "liabilities")
+_HEADINGS = ("ASSETS", "Current Assets", "Non-current liabilities:", "EQUITY AND LIABILITIES", "Shareholders' funds", "Total assets", "Trade payables", "Equity", "Current liabilities", "Non current assets")
 
 
-def _caption_values() -> str:
-    return ", ".join(f"('{s}', '{c['concept']}')" for c in CONCEPTS for s in c["synonyms"])
+def _choice(values: tuple, by: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+
+
+def worn(text: Column, kind: Column, at: Column) -> Column:
+    """text whole, with a letter changed, with one left out, or with two changed, by `kind` modulo 4; `at`: where, from 0."""
+    k = at % F.length(text)
+    head = lambda n: F.substring(text, F.lit(1), n)
+    tail = lambda n: F.substring(text, n + 1, F.length(text))
+    once, twice = F.concat(head(k), F.lit("#"), tail(k + 1)), F.concat(head(k), F.lit("##"), tail(k + 2))
+    return F.when(kind % 4 == 0, text).when(kind % 4 == 1, once).when(kind % 4 == 2, F.concat(head(k), tail(k + 1))).otherwise(twice)
+
+
+def worn_sql(text: str, kind: str, at: str) -> str:
+    """worn() in SQL."""
+    k = f"(({at}) % length({text}))"
+    head, tail = f"substr({text}, 1, {k})", lambda n: f"substr({text}, {k} + {n + 1})"
+    return f"CASE {kind} % 4 WHEN 0 THEN {text} WHEN 1 THEN {head} || '#' || {tail(1)} WHEN 2 THEN {head} || {tail(1)} ELSE {head} || '##' || {tail(2)} END"
+
+
+def part_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caption for each part: p_partkey, synonym (by the part's number), label (worn by its size, between marks), section."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    key, synonym = F.col("p_partkey"), _choice(tuple(s for _, s, _ in _SYNONYMS), F.col("p_partkey"))
+    label = F.concat(_choice(_BEFORE, key), worn(synonym, F.col("p_size"), F.col("p_size")), _choice(_AFTER, F.floor(key / 5)))
+    return p.select("p_partkey", synonym.alias("synonym"), label.alias("label"), _choice(_SECTIONS, F.floor(key / 3)).alias("section"))
+
+
+def _list(values: tuple, by: str) -> str:
+    told = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
+    return f"[{told}][CAST(({by}) % {len(values)} AS INT) + 1]"
+
+
+def _classified_sql() -> str:
+    """Each part's caption by comparing all parts of the bare text with all synonyms; of the concepts that are left, the one that no other comes before."""
+    synonyms = ", ".join(f"({i}, '{s}', {len(s)}, {captions.tolerance(len(s))}, '{c['concept']}', '{c['section']}', {c['specificity']}, {CONCEPTS.index(c)}, CAST([{', '.join(repr(x) for x in c['exclude'])}] AS VARCHAR[]))" for i, s, c in _SYNONYMS)
+    c = captions
+    return f"""WITH syn(i, s, n, d, concept, section, specificity, place, barred) AS (VALUES {synonyms}),
+      cap AS (SELECT p_partkey, {_list(tuple(s for _, s, _ in _SYNONYMS), 'p_partkey')} AS synonym, p_size, {_list(_SECTIONS, 'p_partkey // 3')} AS told FROM part),
+      bare AS (SELECT *, regexp_replace({worn_sql('synonym', 'p_size', 'p_size')}, '[^a-z0-9]', '', 'g') AS b FROM cap),
+      texts AS (SELECT DISTINCT b FROM bare WHERE length(b) >= 3),
+      far AS (SELECT b, i, min(levenshtein(substr(b, CAST(f AS INT), CAST(l AS INT)), s)) AS dist FROM texts, syn, range(1, 60) x(f), range(1, 60) y(l)
+        WHERE f + l - 1 <= length(b) AND l BETWEEN n - d AND n + d GROUP BY b, i),
+      keys AS (SELECT DISTINCT b, told FROM bare WHERE length(b) >= 3),
+      scored AS (SELECT b, told, syn.*, dist, least(1.0, greatest(0.0, 1 - dist * {c.EDIT} / n) * ({c.SYNONYM[0]} + {c.SYNONYM[1]} * least(1.0, n / {c.LONG}.0)) * ({c.COVER[0]} + {c.COVER[1]} * least(1.0, n * 1.0 / length(b)))
+        * CASE WHEN told IS NULL THEN 1.0 WHEN told = section THEN {c.SAME} ELSE {c.OTHER} END) AS score
+        FROM keys JOIN far USING (b) JOIN syn USING (i) WHERE dist <= d AND NOT list_bool_or(list_transform(list_append(barred, '?'), lambda x: contains(b, x)))),
+      best AS (SELECT * FROM scored WHERE score >= {c.LEAST} QUALIFY row_number() OVER (PARTITION BY b, told, place ORDER BY score DESC, i) = 1),
+      won AS (SELECT * FROM best x WHERE NOT EXISTS (SELECT 1 FROM best y WHERE y.b = x.b AND y.told IS NOT DISTINCT FROM x.told AND y.place <> x.place AND CASE
+        WHEN abs(y.score - x.score) > {c.GAP} THEN y.score > x.score WHEN y.specificity <> x.specificity THEN y.specificity > x.specificity WHEN y.dist <> x.dist THEN y.dist < x.dist WHEN y.n <> x.n THEN y.n > x.n ELSE y.place < x.place END))
+      SELECT p_partkey, concept, round(score, 9) AS label_score FROM bare LEFT JOIN won ON won.b = bare.b AND won.told IS NOT DISTINCT FROM bare.told"""
 
 
 def _leaf_values() -> str:
@@ -150,20 +196,44 @@ _CLASS = ",.\'\'\"_;:J \u00a0–—-"
 _SHAPE_SQL = f"(regexp_full_match(text, '[()+-]?[0-9lIioOQDSsBZzgqbGtTr|!{_CLASS}]+[()%]?') AND length(regexp_replace(text, '[^0-9]', '', 'g')) >= 2 AND (regexp_matches(text, '[{_CLASS}]') OR length(regexp_replace(text, '[^0-9]', '', 'g')) > 4 OR regexp_matches(text, '[()]')))"
 
 
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = captions.classify(part_captions(spark, sf_dir))
+    return found.select("p_partkey", "concept", F.round("label_score", 9).alias("label_score"))
+
+
 def _distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of a part's name, changed in the middle, or of its type, against the name's letters."""
+
     @F.pandas_udf("int")
     def far(texts: pd.Series, patterns: pd.Series) -> pd.Series:
-        known = sorted(set(patterns))
-        return pd.Series(captions.substring_distances(texts.tolist(), known)[range(len(texts)), [known.index(p) for p in patterns]].astype("int32"))
+        return pd.Series(captions.pair_distances(texts.tolist(), patterns.tolist()).astype("int32"))
+
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", captions.despace(F.col("p_name")).alias("text"), captions.despace(F.col("p_type")).alias("kind"))
+    own = F.substring("text", F.col("p_size") % 5 + 1, F.lit(8))
+    pattern = F.when(F.col("p_partkey") % 3 == 0, F.col("kind")).otherwise(worn(own, F.col("p_size"), F.lit(4)))
+    return p.select("p_partkey", far("text", pattern).alias("distance"))
+
 
-    return caption_texts(spark).select("synonym", "edits", far(F.concat(F.lit("zz"), F.col("damaged"), F.lit("qq")), F.col("synonym")).alias("distance"))
+def _distance_sql() -> str:
+    own = "substr(text, p_size % 5 + 1, 8)"
+    return f"""WITH p AS (SELECT p_partkey, p_size, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS text, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS kind FROM part),
+      q AS (SELECT p_partkey, text, CASE WHEN p_partkey % 3 = 0 THEN kind ELSE {worn_sql(own, 'p_size', '4')} END AS pattern FROM p)
+      SELECT p_partkey, CAST(min(levenshtein(substr(text, CAST(f AS INT), CAST(l AS INT)), pattern)) AS INT) AS distance FROM q, range(1, 60) x(f), range(0, 60) y(l) WHERE f + l - 1 <= length(text) GROUP BY p_partkey"""
 
 
-_HEADINGS = [("ASSETS", "assets"), ("Current Assets", "assets"), ("Non-current liabilities:", "liabilities"), ("EQUITY AND LIABILITIES", "liabilities"), ("Shareholders' funds", "equity"), ("Total assets", None), ("Trade payables", None), ("Curent asets", "assets")]
+def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A heading for each part, worn by its size."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(_choice(_BEFORE, F.floor(F.col("p_partkey") / 7)), worn(_choice(_HEADINGS, F.col("p_partkey")), F.col("p_size"), F.col("p_size"))).alias("label"))
+    lines = p.withColumn("normal", captions.normalize(F.col("label"))).withColumn("bare", captions.despace(F.col("normal")))
+    return lines.select("p_partkey", captions.heading(F.col("normal"), F.col("bare")).alias("section"))
 
 
-def _headings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(h,) for h, _ in _HEADINGS], "label string").select("label", captions.section_of(F.col("label")).alias("section"))
+def _headings_sql() -> str:
+    markers = ", ".join(f"({i}, '{m}', '{x}', {min(2, captions.tolerance(len(m)))})" for i, (m, x) in enumerate(SECTION_MARKERS))
+    return f"""WITH m(i, marker, section, budget) AS (VALUES {markers}),
+      h AS (SELECT p_partkey, p_size, {_list(_HEADINGS, 'p_partkey')} AS heading FROM part),
+      b AS (SELECT p_partkey, regexp_replace(lower({worn_sql('heading', 'p_size', 'p_size')}), '[^a-z0-9]', '', 'g') AS bare FROM h)
+      SELECT p_partkey, section FROM b LEFT JOIN m ON levenshtein(bare, marker) <= budget AND length(bare) >= 5 AND NOT starts_with(bare, 'total') QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY i) = 1"""
 
 
 def _carry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,15 +338,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filing_warnings": lambda s, d: _read(s, d).warnings.select(F.col("doc_id").cast("long").alias("o_custkey"), "code", "severity"),
         "header_year_damaged": _damaged_dates,
         "median_by_group": lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").agg(F.coalesce(F.median("l_quantity"), F.lit(0.0)).alias("median")),
-        "caption_normalise": lambda s, d: caption_texts(s).select("synonym", "edits", captions.normalize(F.concat(F.lit("(ii) a) "), F.col("damaged"), F.lit("  Note No. 4 *"))).alias("label")),
+        "caption_normalise": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", captions.normalize(F.concat(_choice(_BEFORE, F.col("p_partkey")), F.initcap("p_name"), _choice(_AFTER[:3], F.col("p_size")))).alias("label")),
         "caption_despace": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", captions.despace(F.col("p_name")).alias("bare")),
         "substring_distance": _distance,
         # The built-in function is the operator; section headings use it with a bound.
         "edit_distance": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.levenshtein("p_name", "p_type").alias("distance")),
-        "caption_classify": lambda s, d: captions.classify(caption_texts(s).filter("edits = 0").select("synonym", F.concat(F.lit("1) "), "damaged").alias("label"), F.lit(None).cast("string").alias("section"))).select("synonym", "concept"),
-        # Its answer isn't in the undamaged data, so it has no SQL; tests/test_functions.py has it by brute force.
-        "caption_classify_damaged": lambda s, d: captions.classify(caption_texts(s).select("synonym", "edits", F.concat(F.lit("1) "), "damaged").alias("label"), F.lit(None).cast("string").alias("section"))).select("synonym", "edits", "concept"),
-        "section_heading": lambda s, d: _headings(s),
+        "caption_classify": _classified,
+        # Of those alone that were worn, with what they were: how many of each are still known.
+        "caption_classify_damaged": lambda s, d: captions.classify(part_captions(s, d).join(s.read.parquet(f"{d}/part.parquet").filter("p_size % 4 <> 0").select("p_partkey"), "p_partkey", "left_semi")).groupBy("synonym").agg(F.count("*").alias("n"), F.count("concept").alias("known"), F.count_distinct("concept").alias("concepts")),
+        "section_heading": _headings,
         "section_carry_forward": _carry,
         "header_year_month": _header_dates,
         "period_ids": _periods,
@@ -297,7 +367,6 @@ def oracle_sql() -> dict[str, str]:
     p = _LINES
     words = "p_name"
     grouped = lambda n: f"(substr(CAST({n} AS VARCHAR), 1, 1) || ',' || substr(CAST({n} AS VARCHAR), 2, 2) || ',' || substr(CAST({n} AS VARCHAR), 4, 3))"
-    heads = ", ".join("('{}', {})".format(h.replace("'", "''"), f"'{x}'" if x else "NULL") for h, x in _HEADINGS)
     sections = {m: x for m, x in SECTION_MARKERS}
     return {
         "amount_parse_roundtrip": f"SELECT l_orderkey, l_linenumber, {value} AS value FROM lineitem",
@@ -321,12 +390,13 @@ def oracle_sql() -> dict[str, str]:
         "filing_warnings": "SELECT DISTINCT o_custkey, 'UNIT_SCALED' AS code, 'info' AS severity FROM orders",
         "header_year_damaged": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS yr, strftime(o_orderdate, '%-d %b %Y') AS label FROM orders",
         "median_by_group": "SELECT l_returnflag, l_linestatus, median(l_quantity) AS median FROM lineitem GROUP BY 1, 2",
-        "caption_normalise": f"SELECT s AS synonym, CAST(e AS INT) AS edits, CASE e WHEN 0 THEN s ELSE substr(s, 1, length(s) // 2) || '#' || substr(s, length(s) // 2 + 2) END AS label FROM (VALUES {_caption_values()}) v(s, c), range(2) r(e)",
+        "caption_normalise": "SELECT p_partkey, lower(p_name) AS label FROM part",
         "caption_despace": "SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS bare FROM part",
-        "substring_distance": f"SELECT s AS synonym, CAST(e AS INT) AS edits, CAST(e AS INT) AS distance FROM (VALUES {_caption_values()}) v(s, c), range(2) r(e)",
+        "substring_distance": _distance_sql(),
         "edit_distance": "SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INT) AS distance FROM part",
-        "caption_classify": f"SELECT s AS synonym, c AS concept FROM (VALUES {_caption_values()}) v(s, c)",
-        "section_heading": f"SELECT label, section FROM (VALUES {heads}) v(label, section)",
+        "caption_classify": _classified_sql(),
+        "caption_classify_damaged": f"SELECT synonym, count(*) AS n, count(concept) AS known, count(DISTINCT concept) AS concepts FROM ({_classified_sql()}) r JOIN (SELECT p_partkey, p_size, {_list(tuple(s for _, s, _ in _SYNONYMS), 'p_partkey')} AS synonym FROM part) p USING (p_partkey) WHERE p_size % 4 <> 0 GROUP BY synonym",
+        "section_heading": _headings_sql(),
         "section_carry_forward": p + f", h AS (SELECT l_orderkey, k, CASE WHEN k % 4 = 1 THEN CASE (l_orderkey + k) % 3 WHEN 0 THEN '{sections['currentassets']}' WHEN 1 THEN '{sections['equity']}' ELSE '{sections['currentliabilities']}' END END AS s FROM pages) SELECT l_orderkey, CAST(k AS INT) AS k, last_value(s IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY k ROWS UNBOUNDED PRECEDING) AS section FROM h",
         "header_year_month": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS yr, CAST(month(o_orderdate) AS INT) AS mon, last_day(CAST(o_orderdate AS DATE)) AS end_date FROM orders",
         "period_ids": p + "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(c AS INT) AS column_index, 'FY' || (1990 + l_orderkey % 50 - c) AS period_id, (1990 + l_orderkey % 50 - c) || '-03-31' AS end_date, CAST(1990 + l_orderkey % 50 - c AS INT) AS ord FROM pages, range(2) t(c) WHERE k = 0",

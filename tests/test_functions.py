@@ -136,21 +136,56 @@ def test_health():
     assert health(Config())["status"] == "ok" and health()["upload_limit"] == 15 * 1024 * 1024
 
 
-def test_damaged_captions_query(spark):
-    """All captions, damaged or not: the concept of the synonym, or none where brute force over all parts of the text scores too low."""
-    from tallyframe.plans import texts
-
-    def score(bare, synonym):
-        n = len(synonym)
-        far = min(levenshtein(bare[i:j], synonym) for i in range(len(bare) + 1) for j in range(i, len(bare) + 1) if abs(j - i - n) <= captions.tolerance(n)) if len(bare) + captions.tolerance(n) >= n else n
-        return max(0, 1 - far * 1.6 / n) * (0.6 + 0.4 * min(1, n / 18)) * (0.55 + 0.45 * min(1, n / max(1, len(bare)))) if far <= captions.tolerance(n) else 0
-
-    want = set()
-    for c in CONCEPTS:
-        for s in c["synonyms"]:
-            for edits, bare in enumerate((s, s[: len(s) // 2] + s[len(s) // 2 + 1 :])):
-                known = max(score(bare, x) for x in c["synonyms"]) >= 0.42
-                want.add((s, edits, c["concept"] if known else None))
-    got = texts.queries()["caption_classify_damaged"](spark, "").collect()
-    assert set(map(tuple, got)) == want and len(got) == len(want) and sum(r["edits"] for r in got) * 2 == len(got)
-    assert "caption_classify_damaged" not in texts.oracle_sql()
+WORN = st.tuples(st.sampled_from([s for c in CONCEPTS for s in c["synonyms"]]), st.integers(0, 60), st.sampled_from(["", "z", "qq", "total"]), st.sampled_from(["", "x", "funds", "payable"]), st.integers(0, 3))
+
+
+def damaged(synonym, at, before, after, kind):
+    k = at % len(synonym)
+    return before + {0: synonym, 1: synonym[:k] + "7" + synonym[k + 1 :], 2: synonym[:k] + synonym[k + 1 :], 3: synonym[:k] + "71" + synonym[k + 2 :]}[kind] + after
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(WORN, st.sampled_from([None, "", "assets", "liabilities", "equity"])), min_size=30, max_size=60))
+def test_classify_equals_comparison_with_all_synonyms(spark, rows):
+    rows = [(damaged(*w), section) for w, section in rows] + [(None, None), ("", "assets"), ("zz", None), ("nothing of the kind", "equity")]
+    got = captions.classify(spark.createDataFrame(rows, "bare string, section string"), bare="bare").collect()
+    want = captions.classified([b or "" for b, _ in rows], [s or None for _, s in rows])
+    key = lambda b, s, c, p: (b or "", s or "", c or "", round(p or 0.0, 9))
+    assert sorted(key(*r) for r in got) == sorted(key(*r, *w) for r, w in zip(rows, want, strict=True))
+
+
+@given(st.lists(WORN, min_size=1, max_size=20))
+def test_a_piece_is_left_whole(found):
+    """Every synonym within its tolerance of a part of a text shares a piece with it."""
+    texts = [damaged(*w) for w in found]
+    far = captions.substring_distances(texts, captions._SYNONYMS)
+    for t, own in zip(texts, far, strict=True):
+        near = [s for s, d in zip(captions._SYNONYMS, own, strict=True) if d <= captions.tolerance(len(s))]
+        assert near and all(any(x in t for x in captions.pieces(s)) for s in near)
+        assert captions.pair_distances([t] * len(own), captions._SYNONYMS).tolist() == own.tolist()
+
+
+def test_look_up_spreads_frequent_and_missing_keys(spark):
+    """A third of the rows has one key and a third none; no partition of the join holds more than twice the mean."""
+    from tallyframe.operators import joins
+
+    rows = spark.range(12_000).select("id", F.when(F.col("id") % 3 == 0, "often").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 500)).alias("key"), F.lit("s").alias("section"))
+    table = spark.createDataFrame([("often", "s", 1, "a"), *((f"k{i}", "s", i, None) for i in range(0, 500, 2)), ("unused", "s", 5, "b")], "key string, section string, v int, w string")
+    often = joins.frequent(rows.groupBy("key", "section").count().filter("key is not null"), ["key", "section"])
+    assert ("often", "s") in {tuple(r) for r in often.collect()}
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        some = joins.frequent(rows.groupBy("key", "section").count().filter("key is not null"), ["key", "section"], share=20)  # few enough to leave keys to the shuffle
+        out = joins.look_up(rows, table, ["key", "section"], some)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 8 and max(sizes) <= 2 * 12_000 / 8
+        got = {r["id"]: (r["v"], r["w"]) for r in out.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    key = lambda i: "often" if i % 3 == 0 else f"k{i % 500}" if i % 3 == 1 else None
+    known = {r["key"]: (r["v"], r["w"]) for r in table.collect()}
+    assert got == {i: known.get(key(i), (None, None)) for i in range(12_000)}

@@ -20,14 +20,19 @@ from tallyframe.llm.queries import vocabulary
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
+def _small(spark: SparkSession) -> None:
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in a language that the model knows, and sets lang to it. Texts that are null or have no letter go.
 
     Learns from the labelled rows that op9 learns from, at most langid.PER_LANGUAGE for each language. Without labels no
-    language is known; then all texts with a letter stay, with the lang they have.
+    language is known; then all texts with a letter stay, with the lang they have. Called by itself, it leaves the session with
+    the batches of BATCHES, which its caller's write needs; run() sets them back.
     """
-    for k, v in BATCHES.items():
-        spark.conf.set(k, v)
+    _small(spark)
     model = langid.fit(docs, crc_mod(F.col("doc_id"), 4) != 2)
     if not model.families:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -107,8 +112,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over documents; each result is written in the shared folder and read again. The session's settings are as before when it returns: what it returns holds no texts."""
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    try:
+        _small(spark)
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

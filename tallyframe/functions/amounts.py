@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from decimal import ROUND_HALF_UP, Decimal
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,27 +95,60 @@ def parse_amount(raw: str | None) -> tuple[float, float, bool, str] | None:
     return (-value if negative else value), max(0.2, min(1.0, confidence)), repaired, raw
 
 
-# Amounts that need no repair: bare digits, groups of three, or Indian groups; in brackets, or with a dash before or after.
-_PLAIN = r"[0-9]+"
-_GROUPED = r"[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,2}(?:,[0-9]{2})*,[0-9]{3}"
-_CLEAN = rf"(?:{_GROUPED}|{_PLAIN})"
+#: White space that str.strip() takes off, for expressions of the JVM.
+_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_ALIKE, _DASHES = "".join(f"\\{c}" if c == "|" else c for c in LOOKALIKES), "\\-–—"
+
+
+def _stripped(s: Column) -> Column:
+    return F.regexp_replace(s, f"^{_SPACE}+|{_SPACE}+$", "")
 
 
 def parse_amount_column(text: Column) -> Column:
-    """parse_amount over a column. Clean amounts are read by built-in functions; the others go through pandas, since repair is sequential (a repaired digit vouches for its right neighbour)."""
-
-    @F.pandas_udf(AMOUNT)
-    def parse(texts: pd.Series) -> pd.DataFrame:
-        none = (None, None, None, None)
-        rows = [none if t is None else parse_amount(t) or none for t in texts]
-        return pd.DataFrame(rows, columns=["value", "confidence", "repaired", "raw"]).astype({"value": float, "confidence": float, "repaired": "boolean"})
-
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    clean = text.rlike(rf"^(?:{_CLEAN}|\({_CLEAN}\)|-{_CLEAN}|{_CLEAN}-)$") & (F.length(digits) <= 18)
-    sign = F.when(text.rlike("[(-]"), F.lit(-1.0)).otherwise(1.0)
-    read = F.struct((digits.try_cast("double") * sign).alias("value"), F.when(F.contains(text, F.lit(",")), 1.0).otherwise(0.85).alias("confidence"), F.lit(False).alias("repaired"), text.alias("raw"))
-    parsed = parse(F.when(~clean, text))
-    return F.when(clean, read).when(parsed["value"].isNotNull(), parsed)
+    """parse_amount over a column, in built-in functions.
+
+    Repair goes from left to right, and a repaired digit vouches for the look-alike that follows it; so a run of look-alikes is
+    repaired whole after a digit or a separator, and at the start only if it's a single one before such.
+    """
+    s = _stripped(F.regexp_replace(_stripped(text), rf"(?i)[₹$€£]|(?:^|(?<={_SPACE}))(?:rs\.?|inr|usd|eur)(?={_SPACE}|$)", " "))
+    step = lambda own, then: F.transform(F.array(own), then)[0]  # a name for an expression that is used often
+
+    def signed(s: Column) -> Column:
+        opened, closed = s.startswith("("), s.endswith(")")
+        bare = F.when(opened & closed & (F.length(s) > 1), F.substring(s, F.lit(2), F.length(s) - 2)).when(opened | closed, F.regexp_replace(s, "[()]", "")).otherwise(s)
+        return step(F.struct(_stripped(bare).alias("s"), (opened | closed).alias("negative")), undashed)
+
+    def undashed(x: Column) -> Column:
+        s = x["s"]
+        first, last = s.rlike(f"^[{_DASHES}]"), s.rlike(f"[{_DASHES}]$") & s.rlike("[0-9]")
+        bare = F.when(first, F.substring(s, F.lit(2), F.length(s))).when(last, F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s)
+        return step(F.struct(_stripped(F.regexp_replace(bare, "%$", "")).alias("s"), (x["negative"] | first | last).alias("negative")), repaired)
+
+    def repaired(x: Column) -> Column:
+        fixed = F.translate(x["s"], "".join(LOOKALIKES), "".join(LOOKALIKES.values()))
+        fine = x["s"].rlike(f"^[{_ALIKE}]?[0-9{_IN_CLASS}][0-9{_IN_CLASS}{_ALIKE}]*$") & fixed.rlike("[0-9]")
+        groups = F.filter(F.split(fixed, f"[{_IN_CLASS}]"), lambda g: g != "")
+        marks = F.regexp_replace(fixed, "[0-9]", "")
+        return F.when(fine, step(F.struct(groups.alias("groups"), marks.alias("marks"), (fixed != x["s"]).alias("repaired"), x["negative"].alias("negative")), read))
+
+    def read(x: Column) -> Column:
+        groups, n = x["groups"], F.size(x["groups"])
+        split = (n > 1) & x["marks"].endswith(".") & (F.length(F.element_at(groups, -1)) <= 2)
+        whole = F.when(split, F.slice(groups, F.lit(1), n - 1)).otherwise(groups)
+        fraction = F.when(split, F.element_at(groups, -1).cast("double") / F.pow(F.lit(10.0), F.length(F.element_at(groups, -1)))).otherwise(0.0)
+        several = F.length(F.regexp_replace(x["marks"], r"(.)(?=.*\1)", "")) > 1
+        return step(F.struct(whole.alias("groups"), fraction.alias("fraction"), several.alias("several"), x["repaired"].alias("repaired"), x["negative"].alias("negative")), valued)
+
+    def valued(x: Column) -> Column:
+        groups, digits = F.array_join(x["groups"], ","), F.array_join(x["groups"], "")
+        tail = F.array_distinct(F.transform(F.slice(x["groups"], F.lit(2), F.size(x["groups"])), lambda g: F.length(g)))
+        quality = F.when(F.size(x["groups"]) == 1, 0.85).when(groups.rlike(r"^[0-9]{1,3}(?:,[0-9]{3})+$|^[0-9]{1,2}(?:,[0-9]{2})*,[0-9]{3}$"), 1.0).when(F.size(tail) == 1, 0.7).otherwise(0.45)
+        sure = quality * F.when(x["repaired"], 0.8).otherwise(1.0) * F.when(x["several"], 0.85).otherwise(1.0)
+        value = digits.try_cast("double") + x["fraction"]
+        out = F.struct(F.when(x["negative"], -value).otherwise(value).alias("value"), F.greatest(F.lit(0.2), F.least(F.lit(1.0), sure)).alias("confidence"), x["repaired"].alias("repaired"), text.alias("raw"))
+        return F.when(F.length(digits) <= 18, out)
+
+    return step(s, signed)
 
 
 def fixed(value: float, places: int) -> str:

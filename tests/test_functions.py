@@ -48,7 +48,7 @@ def test_substring_distance_bounds(a, b):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.one_of(st.from_regex(r"\A[-(]?[0-9]{1,3}(,[0-9]{2,3}){0,6}[-)]?\Z"), st.text("0123456789lO,.()-% ", max_size=22)), min_size=1, max_size=40))
+@given(st.lists(st.one_of(st.from_regex(r"\A[-(]?[0-9]{1,3}(,[0-9]{2,3}){0,6}[-)]?\Z"), st.text("0123456789lO,.()-% ", max_size=22), st.text("01234567899lIi|!tTrOoQDSsBZzgqbG,.'\"_;:J \u00a0–—-()%₹$x", max_size=14)), min_size=1, max_size=40))
 def test_amount_column_equals_parser(spark, texts):
     got = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select(amounts.parse_amount_column(F.col("t")).alias("x")).collect()
     assert [r["x"] and tuple(r["x"]) for r in got] == [*map(amounts.parse_amount, texts), None]

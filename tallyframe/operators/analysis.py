@@ -434,9 +434,17 @@ def assisted_mapping(figures: DataFrame) -> DataFrame:
     return n.select("doc_id", F.lit("ASSISTED_MAPPING").alias("code"), F.lit("info").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" captions were mapped with outside help and are marked so.")).alias("message"))
 
 
-def _gather(df: DataFrame, name: str) -> DataFrame:
-    """A document's rows as one array of structs, in the order of their columns."""
-    return df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "doc_id"]))).alias(name))
+def together(lists: dict[str, DataFrame], ones: dict[str, DataFrame]) -> DataFrame:
+    """A row for each doc_id of any part: of `lists` the rows as one array of structs, in the order of their columns (empty where there are none); of `ones`, tables with a row for each document at most, the columns.
+
+    The parts are a tagged union, each row with the struct of its own part alone, which is grouped once: one shuffle for all.
+    """
+    rest = lambda df: [c for c in df.columns if c != "doc_id"]
+    tagged = [df.select("doc_id", F.struct(*rest(df)).alias(name)) for name, df in (lists | ones).items()]
+    union = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tagged)
+    whole = [F.array_sort(F.collect_list(name)).alias(name) for name in lists] + [F.first(name, ignorenulls=True).alias(name) for name in ones]
+    out = union.groupBy("doc_id").agg(*whole)
+    return out.select("doc_id", *lists, *(F.col(f"{name}.{c}").alias(c) for name, df in ones.items() for c in rest(df)))
 
 
 def report(figures: DataFrame, periods: DataFrame | None = None, companies: DataFrame | None = None, warnings: DataFrame | None = None, unmapped: DataFrame | None = None, files: DataFrame | None = None, narrative: DataFrame | None = None) -> DataFrame:
@@ -461,17 +469,16 @@ def report(figures: DataFrame, periods: DataFrame | None = None, companies: Data
         found, both = narrate(found, narrative), retold(text, narrative)
         text, narrated = both.drop("told"), both.select("doc_id", F.col("told").alias("narrated"))
     helped = figures.groupBy("doc_id").agg(F.bool_or(F.col("origin") == "assisted").alias("assisted"))
-    parts = [
-        _gather(line.select("doc_id", "ord", "concept", "label", "section", "grp", "is_total", "figures"), "statement"), _gather(checks, "checks"), _gather(told.select("doc_id", *[c for c in told.columns if c != "doc_id"]), "metrics"),
-        _gather(found.select("doc_id", "position", *[c for c in found.columns if c not in ("doc_id", "position")]), "insights"), text, _gather(every, "warnings"), mean_confidence(long(rows)), helped, narrated,
-    ]
+    lists = {"statement": line.select("doc_id", "ord", "concept", "label", "section", "grp", "is_total", "figures"), "checks": checks, "metrics": told, "insights": found.select("doc_id", "position", *[c for c in found.columns if c not in ("doc_id", "position")]), "warnings": every}
+    ones = {"_text": text, "_sure": mean_confidence(long(rows)), "_helped": helped, "_narrated": narrated}
     if periods is not None:
-        parts.append(_gather(periods.select("doc_id", (-F.col("ord")).alias("place"), "column_index", "period_id", "label", "end_date"), "periods"))
+        lists["periods"] = periods.select("doc_id", (-F.col("ord")).alias("place"), "column_index", "period_id", "label", "end_date")
     if companies is not None:
-        parts.append(companies.select("doc_id", F.struct(*[c for c in companies.columns if c != "doc_id"]).alias("company")))
+        ones["_company"] = companies.select("doc_id", F.struct(*[c for c in companies.columns if c != "doc_id"]).alias("company"))
     if unmapped is not None:
-        parts.append(_gather(unmapped.select("doc_id", "row_index", "period_id", "label", "page", "value"), "unmapped"))
-    base = files.select("doc_id", F.struct("file_name", "file_size", "format", "page_count", "sheet_names").alias("source"), "error") if files is not None else rows.select("doc_id").distinct()
-    out = reduce(lambda a, b: a.join(b, "doc_id", "left"), parts, base).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
-    lists = ("statement", "checks", "metrics", "insights", "warnings", "periods", "unmapped")
-    return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in lists if c in out.columns})
+        lists["unmapped"] = unmapped.select("doc_id", "row_index", "period_id", "label", "page", "value")
+    here = F.lit(True).alias("_here")
+    ones["_base"] = files.select("doc_id", F.struct("file_name", "file_size", "format", "page_count", "sheet_names").alias("source"), "error", here) if files is not None else rows.select("doc_id").distinct().select("doc_id", here)
+    out = together(lists, ones).filter("_here").drop("_here").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    first = ["doc_id", *(c for c in ("source", "error") if c in out.columns)]
+    return out.select(*first, *(c for c in out.columns if c not in first))

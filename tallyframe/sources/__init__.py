@@ -54,6 +54,23 @@ def admit(length: Column, name: Column, limit: int = LIMIT) -> Column:
     return F.when(~kind.isin(*EXTENSIONS), "UNSUPPORTED_FORMAT").when(length > limit, "FILE_TOO_LARGE").when(length == 0, "EMPTY_FILE")
 
 
+def kind_of(content: bytes, name: str) -> str:
+    """sniff() of a single file."""
+    if content.startswith(b"%PDF"):
+        return "pdf"
+    if content.startswith((b"PK\x03\x04", b"PK\x05\x06", bytes.fromhex("D0CF11E0A1B11AE1"))):
+        return "excel"
+    low = name.lower()
+    return "csv" if low.endswith(".csv") else "CORRUPT_PDF" if low.endswith(".pdf") else "UNRECOGNISED_CONTENT"
+
+
+def refusal(length: int, name: str, limit: int = LIMIT) -> str | None:
+    """admit() of a single file."""
+    if name.rpartition(".")[2].lower() not in EXTENSIONS or "." not in name:
+        return "UNSUPPORTED_FORMAT"
+    return "FILE_TOO_LARGE" if length > limit else "EMPTY_FILE" if length == 0 else None
+
+
 def cell_text(value) -> str:
     if value is None:
         return ""
@@ -174,6 +191,18 @@ READERS = {"excel": (lambda c: grid_tokens(workbook(c)), "UNREADABLE_SPREADSHEET
 TOKENS = "doc_id string, page int, token_seq int, text string, x double, y double, width double, height double, is_numeric boolean, page_width double, page_height double, page_name string, code string"
 
 
+def tokens_in(path: str, content: bytes, kind: str) -> list[tuple]:
+    """The tokens of a file of this kind, or a row with an error code: of the kind, if that is a code, or of the reader."""
+    if kind not in READERS:
+        return [(path, *[None] * 11, kind)]
+    reader, code = READERS[kind]
+    try:
+        got = reader(content)
+    except Exception:  # whatever a damaged file sets off is that file's error, never the job's
+        return [(path, *[None] * 11, code)]
+    return [(path, *t, None) for t in got] or [(path, *[None] * 11, "EMPTY_WORKBOOK")]
+
+
 def tokens_of_files(files: DataFrame, limit: int = LIMIT) -> DataFrame:
     """files: path, length, content (as binaryFile yields). Tokens with doc_id = path; a file that can't be read is one row with code instead.
 
@@ -183,20 +212,10 @@ def tokens_of_files(files: DataFrame, limit: int = LIMIT) -> DataFrame:
     refused = admit(F.col("length"), F.col("path"), limit)
     out_ = files.select("path", "length").filter(refused.isNotNull()).select(F.col("path").alias("doc_id"), *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in TOKENS.split(", ")[1:-1]], refused.alias("code"))
 
-    def read(path: str, content: bytes, kind: str) -> list[tuple]:
-        if kind not in READERS:
-            return [(path, *[None] * 11, kind)]
-        reader, code = READERS[kind]
-        try:
-            got = reader(content)
-        except Exception:  # whatever a damaged file sets off is that file's error, never the job's
-            return [(path, *[None] * 11, code)]
-        return [(path, *t, None) for t in got] or [(path, *[None] * 11, "EMPTY_WORKBOOK")]
-
     def run(batches):
         for own in batches:
             for f in own.itertuples():
-                yield pd.DataFrame(read(f.path, bytes(f.content), f.kind), columns=names)
+                yield pd.DataFrame(tokens_in(f.path, bytes(f.content), f.kind), columns=names)
 
     admitted = files.filter(refused.isNull()).select("path", "content", sniff(F.col("content"), F.col("path")).alias("kind"))
     return admitted.mapInPandas(run, TOKENS).unionByName(out_)

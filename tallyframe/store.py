@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,18 @@ def discard(*tables: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Whatever new_folder() and settled() make within it goes at its end, also when it fails: what was read from that must have been written by then."""
+    first = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for spark, path in _WRITTEN[first:]:
+            _remove(spark, path)
+        del _WRITTEN[first:]
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts, captions, headers
 from ..functions.chart import CONCEPTS, SECTION_MARKERS
 from .. import sources
-from ..operators import layout, statement
+from ..operators import layout, quantiles, statement
 from .ledger import views
 
 
@@ -100,25 +100,71 @@ def _sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("l_orderkey", "row_seq", "label", "c.column_index", "c.value", F.col("c.x").alias("x"))
 
 
+#: Letterheads, and what is said of units: the words, the scale, the currency and the unit's name.
+_NAMES = ("Northwind Traders Limited", "Harbour Foods Inc", "Blue Ridge Mills LIMITE1)", "Lotus Textiles", "Acme Exports Limited")
+_SHEETS = (("Balance Sheet (in Rs. thousands)", 1e3, "INR", "Thousand"), ("Balance Sheet (in USD millions)", 1e6, "USD", "Million"), ("Balance Sheet (Rs., in lakhs)", 1e5, "INR", "Lakh"), ("Balance Sheet of the group in EUR", 1.0, "EUR", "Absolute"))
+#: Kinds of filings, by the customer's number: two pages that follow each other; all on one page; pages apart; no years above the columns; two lines alone; no figures.
+_WHOLE, _ONE_PAGE, _APART, _UNDATED, _SHORT, _BARE, _KINDS = (0, 1), 2, 3, 4, 5, 6, 7
+
+
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of three pages for each customer with orders: notes, assets, and equity and liabilities, in the order of presentation, each line a caption and two figures.
+    """Tokens of filings of each customer with orders: notes, assets, and equity and liabilities, in the order of presentation, each line a caption and two figures.
 
-    Figures are sums of order prices by status and part of the year, moved by the line's number. Page 1 holds only a title of notes and a line.
+    Kind, letterhead, unit and years go by the customer's number. Figures are sums of order prices, moved by the line's number. Page 1
+    holds only a title of notes and a line.
     """
     views(spark, sf_dir, "orders")
     sums = spark.sql("SELECT o_custkey, CAST(sum(round(o_totalprice)) AS BIGINT) + 1000000 AS a, CAST(count(*) AS BIGINT) * 1000 + 500000 AS b FROM orders GROUP BY o_custkey")
-    parts = F.array(*[F.struct(F.lit(2 if c["section"] == "assets" else 3).alias("page"), F.lit(c["ord"]).alias("ord"), F.lit(c["label"]).alias("label")) for c in CONCEPTS if not c["is_total"]])
-    each = sums.select("o_custkey", "a", "b", F.explode(parts).alias("p")).select("o_custkey", "p.*", (F.col("a") + F.col("p.ord") * 1000).alias("a"), (F.col("b") + F.col("p.ord") * 1000).alias("b"))
+    sums = sums.withColumn("kind", (F.col("o_custkey") % _KINDS).cast("int"))
+    owned = [c["section"] == "assets" for c in CONCEPTS]
+    parts = F.array(*[F.struct(F.lit(2 if own else 3).alias("page"), F.lit(c["ord"]).alias("ord"), F.lit(c["label"]).alias("label")) for c, own in zip(CONCEPTS, owned, strict=True) if not c["is_total"]])
+    each = sums.select("o_custkey", "kind", "a", "b", F.explode(parts).alias("p")).select("o_custkey", "kind", "p.*", (F.col("a") + F.col("p.ord") * 1000).alias("a"), (F.col("b") + F.col("p.ord") * 1000).alias("b"))
+    page = F.when(F.col("page") == 2, 2).when(F.col("kind") == _ONE_PAGE, 2).when(F.col("kind") == _APART, 4).otherwise(3)
+    gone = (F.col("kind").isin(_SHORT, _BARE) & (F.col("page") == 3)) | ((F.col("kind") == _SHORT) & (F.col("ord") > owned.index(True) + 1))
+    each = each.filter(~gone).withColumn("page", page)
     token = lambda text, x, at: F.struct(F.lit(at).alias("k"), text.alias("text"), x.cast("double").alias("x"), (F.length(text) * 6.0).alias("width"))
     right = lambda text, edge: F.lit(edge) - F.length(text) * 6.0
     a, b = indian(F.col("a")), indian(F.col("b"))
-    body = each.select("o_custkey", "page", (600.0 - 14.0 * F.col("ord")).alias("y"), F.explode(F.array(token(F.col("label"), F.lit(60.0), 0), token(a, right(a, 450.0), 1), token(b, right(b, 540.0), 2))).alias("t"), (F.col("ord") * 10 + 100).alias("seq"))
-    heads = [(1, 700.0, 60.0, "Notes forming part of the accounts"), (1, 600.0, 60.0, "Trade payables"), (1, 600.0, 400.0, "12,34,567"), (2, 720.0, 60.0, "Northwind Traders Limited"), (2, 700.0, 60.0, "Balance Sheet (in Rs. thousands)"), (2, 680.0, 390.0, "March 2O21"), (2, 680.0, 480.0, "March 2020"), (2, 660.0, 60.0, "ASSETS"), (3, 680.0, 60.0, "EQUITY AND LIABILITIES")]
-    top = F.array(*[F.struct(F.lit(p).alias("page"), F.lit(y).alias("y"), F.struct(F.lit(0).alias("k"), F.lit(text).alias("text"), F.lit(x).alias("x"), F.lit(6.0 * len(text)).alias("width")).alias("t"), F.lit(i).alias("seq")) for i, (p, y, x, text) in enumerate(heads)])
-    every = body.unionByName(sums.select("o_custkey", F.explode(top).alias("h")).select("o_custkey", "h.*"))
+    line = F.array(token(F.col("label"), F.lit(60.0), 0), token(a, right(a, 450.0), 1), token(b, right(b, 540.0), 2))
+    body = each.select("o_custkey", "kind", "page", (600.0 - 14.0 * F.col("ord")).alias("y"), F.explode(line).alias("t"), (F.col("ord") * 10 + 100).alias("seq")).filter((F.col("kind") != _BARE) | (F.col("t.k") == 0))
+    year = 2015 + F.col("o_custkey") % 9
+    both = F.col("kind") == _ONE_PAGE
+    heads = [
+        (F.lit(1), 700.0, 60.0, F.lit("Notes forming part of the accounts"), None), (F.lit(1), 600.0, 60.0, F.lit("Trade payables"), None), (F.lit(1), 600.0, 400.0, F.lit("12,34,567"), None),
+        (F.lit(2), 720.0, 60.0, _choice(_NAMES, F.col("o_custkey")), None), (F.lit(2), 700.0, 60.0, _choice(tuple(t for t, *_ in _SHEETS), F.col("o_custkey")), None),
+        (F.lit(2), 680.0, 390.0, F.concat(F.lit("March 2O"), F.right(year.cast("string"), F.lit(2))), F.col("kind") != _UNDATED), (F.lit(2), 680.0, 480.0, F.concat(F.lit("March "), (year - 1).cast("string")), F.col("kind") != _UNDATED),
+        (F.lit(2), 660.0, 60.0, F.when(both, "EQUITY AND LIABILITIES").otherwise("ASSETS"), None), (F.lit(2), 600.0 - 14.0 * (owned.index(True) - 1), 60.0, F.lit("ASSETS"), both),
+        (F.when(F.col("kind") == _APART, 4).otherwise(3), 680.0, 60.0, F.lit("EQUITY AND LIABILITIES"), ~F.col("kind").isin(_ONE_PAGE, _SHORT, _BARE)),
+    ]
+    told = [F.struct(p.alias("page"), F.lit(y).alias("y"), token(text, F.lit(x), 0).alias("t"), F.lit(i).alias("seq"), F.lit(True if when is None else when).alias("there")) for i, (p, y, x, text, when) in enumerate(heads)]
+    top = sums.select("o_custkey", "kind", F.explode(F.filter(F.array(*told), lambda h: h["there"])).alias("h")).select("o_custkey", "kind", "h.page", "h.y", "h.t", "h.seq")
+    every = body.select("o_custkey", "kind", "page", "y", "t", "seq").unionByName(top)
     return every.select(F.col("o_custkey").cast("string").alias("doc_id"), "page", (F.col("seq") + F.col("t.k")).cast("int").alias("token_seq"), "t.text", "t.x", "y", "t.width", F.lit(8.0).alias("height"), F.lit(False).alias("is_numeric"))
 
 
+def _filings_sql() -> dict[str, str]:
+    first = next(c["ord"] for c in CONCEPTS if c["section"] == "assets")
+    who = f"WITH o AS (SELECT o_custkey, o_custkey % {_KINDS} AS kind, CAST(2015 + o_custkey % 9 AS INT) AS y, CAST(sum(round(o_totalprice)) AS BIGINT) + 1000000 AS a, count(*) * 1000 + 500000 AS b, {_list(_NAMES, 'o_custkey')} AS letterhead, [{', '.join(str(x[1]) for x in _SHEETS)}][CAST(o_custkey % 4 AS INT) + 1] AS scale FROM orders GROUP BY o_custkey)"
+    page = "(kind, page, rank, hits, n_columns, score)"
+    seen = [(k, 2, 1, 11, 2, 34) for k in (*_WHOLE, _APART, _UNDATED)] + [(k, 3, 2, 10, 2, 20) for k in (*_WHOLE, _UNDATED)] + [(_ONE_PAGE, 2, 1, 21, 2, 62), (_SHORT, 2, 1, 2, 2, 16), (_BARE, 2, 1, 11, 0, 28)]
+    rows = lambda own: ", ".join(str(r) for r in own)
+    dated = f"kind <> {_BARE}"
+    name = f"CASE WHEN kind = {_UNDATED} THEN 'COL' || (1 + back) ELSE 'FY' || (y - back) END"
+    own = f"kind <> {_BARE} AND (page = 2 OR kind NOT IN ({_APART}, {_SHORT})) AND (kind <> {_SHORT} OR ord <= {first + 1})"
+    codes = [(f"kind = {_SHORT}", "LOW_CONCEPT_MATCH", "warning"), (f"kind = {_BARE}", "NO_VALUE_COLUMNS", "error"), (f"kind = {_BARE}", "NO_LINE_ITEMS", "error"), (f"kind = {_UNDATED}", "PERIOD_LABELS_INFERRED", "info"), ("scale <> 1", "UNIT_SCALED", "info")]
+    return {
+        "filing_pages": f"{who} SELECT o_custkey, CAST(page AS INT) AS page, CAST(rank AS INT) AS rank, CAST(hits AS INT) AS hits FROM o JOIN (VALUES {rows(seen)}) v{page} USING (kind)",
+        "filing_page_scores": f"""{who} SELECT o_custkey AS doc_id, CAST(page AS INT) AS page, CAST(hits AS INT) AS hits, CAST(n_columns AS INT) AS n_columns, FALSE AS notes, CAST(score AS DOUBLE) AS score FROM o JOIN (VALUES {rows([*seen, (_APART, 4, 0, 10, 2, 20)])}) v{page} USING (kind)
+          UNION ALL SELECT o_custkey, 1, 1, 0, TRUE, CAST(2 - 10 - 6 AS DOUBLE) FROM o""",
+        "filing_periods": f"""{who} SELECT o_custkey, {name} AS period_id, CASE WHEN kind = {_UNDATED} THEN 'Period' WHEN back = 0 THEN 'March 2O' || right(CAST(y AS VARCHAR), 2) ELSE 'March ' || (y - 1) END AS label,
+          CASE WHEN kind <> {_UNDATED} THEN (y - back) || '-03-31' END AS end_date, CAST(CASE WHEN kind = {_UNDATED} THEN 2 - back ELSE y - back END AS INT) AS ord FROM o, range(2) t(back) WHERE {dated}""",
+        "filing_company": f"{who} SELECT o_custkey, regexp_replace(regexp_replace(letterhead, 'Limited$', 'LIMITED'), 'LIMITE1\\)$', 'LIMITED') AS name, {_list(tuple(x[2] for x in _SHEETS), 'o_custkey')} AS currency, CAST(scale AS DOUBLE) AS unit_scale, {_list(tuple(x[3] for x in _SHEETS), 'o_custkey')} AS unit_label FROM o",
+        "filing_figures": f"""{who} SELECT o_custkey, concept, {name} AS period_id, CAST(scale * (CASE back WHEN 0 THEN a ELSE b END + ord * 1000) AS DOUBLE) AS value, CAST(CASE WHEN kind = {_ONE_PAGE} THEN 2 ELSE page END AS INT) AS page, label AS source_label
+          FROM o, (VALUES {_leaf_values()}) v(concept, label, ord, page), range(2) t(back) WHERE {own}""",
+        "filing_warnings": who + " " + " UNION ALL ".join(f"SELECT o_custkey, '{c}' AS code, '{x}' AS severity FROM o WHERE {when}" for when, c, x in codes),
+    }
+
+
 def _read(spark: SparkSession, sf_dir: str) -> statement.Statements:
     return statement.statements(filings(spark, sf_dir))
 
@@ -337,7 +383,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filing_figures": lambda s, d: _read(s, d).figures.select(F.col("doc_id").cast("long").alias("o_custkey"), "concept", "period_id", "value", "page", "source_label"),
         "filing_warnings": lambda s, d: _read(s, d).warnings.select(F.col("doc_id").cast("long").alias("o_custkey"), "code", "severity"),
         "header_year_damaged": _damaged_dates,
-        "median_by_group": lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").agg(F.coalesce(F.median("l_quantity"), F.lit(0.0)).alias("median")),
+        "median_by_group": lambda s, d: quantiles.medians(s.read.parquet(f"{d}/lineitem.parquet"), ["l_returnflag", "l_linestatus"], "l_extendedprice"),
         "caption_normalise": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", captions.normalize(F.concat(_choice(_BEFORE, F.col("p_partkey")), F.initcap("p_name"), _choice(_AFTER[:3], F.col("p_size")))).alias("label")),
         "caption_despace": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", captions.despace(F.col("p_name")).alias("bare")),
         "substring_distance": _distance,
@@ -368,7 +414,7 @@ def oracle_sql() -> dict[str, str]:
     words = "p_name"
     grouped = lambda n: f"(substr(CAST({n} AS VARCHAR), 1, 1) || ',' || substr(CAST({n} AS VARCHAR), 2, 2) || ',' || substr(CAST({n} AS VARCHAR), 4, 3))"
     sections = {m: x for m, x in SECTION_MARKERS}
-    return {
+    return _filings_sql() | {
         "amount_parse_roundtrip": f"SELECT l_orderkey, l_linenumber, {value} AS value FROM lineitem",
         "amount_confidence": f"SELECT l_orderkey, l_linenumber, CAST(CASE WHEN round(l_extendedprice) < 1000 THEN 0.85 ELSE 1 END AS DOUBLE) * CAST(CASE WHEN (l_orderkey % 6 = 2 AND position('1' IN substr({s}, 2)) > 0) OR (l_orderkey % 6 = 3 AND position('0' IN substr({s}, 2)) > 0) THEN 0.8 ELSE 1 END AS DOUBLE) AS confidence FROM lineitem",
         "amount_shape_filter": p + f"""SELECT DISTINCT text, {_SHAPE_SQL} AS is_amount FROM (SELECT unnest(list_concat(string_split(p_name, ' '), [{grouped('a')}, {grouped('b')}])) AS text FROM pages
@@ -382,14 +428,8 @@ def oracle_sql() -> dict[str, str]:
         "align_monotonic": p + "SELECT l_orderkey, p_name AS label, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM pages",
         "align_monotonic_tight": p + "SELECT l_orderkey, p_name AS label, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM pages",
         "sheet_cells": p + "SELECT l_orderkey, CAST(k AS INT) AS row_seq, p_name AS label, CAST(0 AS INT) AS column_index, CAST(l_partkey % 9000 + 1000 AS DOUBLE) AS value, CAST(CASE WHEN l_orderkey % 2 = 0 THEN 600 ELSE 120 END AS DOUBLE) AS x FROM pages WHERE n >= 2",
-        "filing_pages": "SELECT DISTINCT o_custkey, CAST(p AS INT) AS page, CAST(p - 1 AS INT) AS rank, CAST(CASE p WHEN 2 THEN 11 ELSE 10 END AS INT) AS hits FROM orders, range(2, 4) t(p)",
-        "filing_page_scores": "SELECT DISTINCT o_custkey AS doc_id, CAST(p AS INT) AS page, CAST([1, 11, 10][p] AS INT) AS hits, CAST([0, 2, 2][p] AS INT) AS n_columns, p = 1 AS notes, CAST([2 - 10 - 6, 22 + 12, 20][p] AS DOUBLE) AS score FROM orders, range(1, 4) t(p)",
-        "filing_periods": "SELECT DISTINCT o_custkey, 'FY' || y AS period_id, CASE y WHEN 2021 THEN 'March 2O21' ELSE 'March 2020' END AS label, y || '-03-31' AS end_date, CAST(y AS INT) AS ord FROM orders, range(2020, 2022) t(y)",
-        "filing_company": "SELECT DISTINCT o_custkey, 'Northwind Traders LIMITED' AS name, 'INR' AS currency, CAST(1000 AS DOUBLE) AS unit_scale, 'Thousand' AS unit_label FROM orders",
-        "filing_figures": f"SELECT o_custkey, concept, 'FY' || y AS period_id, CAST(1000 * (CASE y WHEN 2021 THEN a ELSE b END + ord * 1000) AS DOUBLE) AS value, CAST(page AS INT) AS page, label AS source_label FROM (SELECT o_custkey, CAST(sum(round(o_totalprice)) AS BIGINT) + 1000000 AS a, count(*) * 1000 + 500000 AS b FROM orders GROUP BY o_custkey), (VALUES {_leaf_values()}) v(concept, label, ord, page), range(2020, 2022) t(y)",
-        "filing_warnings": "SELECT DISTINCT o_custkey, 'UNIT_SCALED' AS code, 'info' AS severity FROM orders",
         "header_year_damaged": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS yr, strftime(o_orderdate, '%-d %b %Y') AS label FROM orders",
-        "median_by_group": "SELECT l_returnflag, l_linestatus, median(l_quantity) AS median FROM lineitem GROUP BY 1, 2",
+        "median_by_group": "SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS median FROM lineitem GROUP BY 1, 2",
         "caption_normalise": "SELECT p_partkey, lower(p_name) AS label FROM part",
         "caption_despace": "SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS bare FROM part",
         "substring_distance": _distance_sql(),

@@ -1,27 +1,32 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is read as a string of symbols: each word's classes (insult, harm, agent, target, negator, speech), quotation marks and
-clause marks. Five weighted transducers rewrite the string; each is an object with its own states and arcs, and they are composed:
+A text is read as a string of symbols: each word's classes (insult, harm, agent, target, object, negator, speech), quotation marks
+and clause marks. Weighted transducers rewrite the string; each is an object with its own states and arcs, and they are composed:
 
-* negation: marks an insult or harm within two words after a negator, and weighs it less ("not an idiot");
+* negation: an insult or harm within two words after a negator, or after a word that names words ("the word idiot"), weighs less;
 * target: marks an insult with a second or third person within four words before or after it in its clause, and weighs it more.
   It is two machines, one for each direction of reading: what follows is read from right to left first;
-* threat: an agent, then a verb of harm within three words, is a threat, which emits 1;
-* insult: an insult emits its word's weight, and its pattern's: less without a target;
+* aim: marks a verb of harm with a person as its object within three words after it, or four before ("will dich umbringen", "you
+  will be killed"); also two machines;
+* threat: a verb of harm that is aimed at someone, within four words after an agent, a modal verb or one of intent, is a threat,
+  which emits 1. Without an object it is none ("we burned dinner");
+* insult: an insult emits its word's weight, and its pattern's: less without a target. Labelled toxic texts of the corpus hold bare
+  insults among other words, so a bare one isn't nothing;
 * reported speech: what is in quotation marks, up to the closing one or the line's end, over all of its clauses, and what
   follows a verb of saying in its clause or after its colon, is reported and weighs less.
 
-The machines that read from left to right are composed into one, whose states are the reachable combinations. An emission's weight is
+The machines that read from left to right are composed into one, whose states are the combinations that texts reach. An emission's weight is
 the product of the weights along the path. A clause's score is the sum of what it emits, so clauses that no pattern matches have none. A
 document's score is a logistic function, fitted with the lexicon, of its clause scores: their sum, the highest, their number,
 and their sum relative to the text's length.
 
 Learned, from a bounded sample of labelled rows (labelled_sample, FIT_ROWS): the lexicon, as log-odds of words and stems in toxic
-against other documents, of all that enough toxic documents hold (a fiftieth, so there are at most fifty times the words of a
-document); and five coefficients.
+against other documents, of all whose rows are toxic too often for chance, however few they are (a handful do, of any number of
+rows); and five coefficients.
 
 Cases: null and empty texts have no clause and get the score of none. Texts of any length are read whole. Without any row of
-either label, only the fixed word classes are left and nothing is insulting. Repeated rows are scored each, equal texts alike.
+either label, only the fixed word classes are left and nothing is insulting. Of equal stems and words the heaviest counts, and keys of
+equal counts have equal weights, so ties in learning don't matter. Repeated rows are scored each, equal texts alike.
 An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
@@ -40,21 +45,25 @@ from .common import materialize
 
 #: Labelled rows that are learned from.
 FIT_ROWS = 20_000
+#: How much surer than chance a key must be, in logarithms.
+MARGIN = 3.0
 #: Lengths of the stems that are tried beside whole words.
 STEMS = (4, 5, 6, 7)
 
 # Word classes of the grammar.
 TARGETS = frozenset("you your yours yourself u he she they them him her these those tu te vous toi du dich ihr euch sie usted ustedes ti vosotros".split())
-NEGATORS = frozenset("not never no isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais nunca".split())
+OBJECTS = frozenset("you yourself him himself her herself them themselves dich dir euch ihn ihm ihnen te toi vous usted ustedes ti".split())
+NEGATORS = frozenset("word words term wort mot palabra not never no isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais nunca".split())
 SPEECH_VERBS = frozenset("said says wrote claims claimed quoted called reported sagte dit dijo".split())
 AGENTS = frozenset(
     """i we i'll we'll i'm we're i'd we'd he she they he'll she'll they'll he's she's they're he'd she'd they'd ich wir er sie
-    je nous il elle ils elles yo nosotros nosotras él ella ellos ellas""".split()
+    je nous il elle ils elles yo nosotros nosotras él ella ellos ellas
+    will shall must should would gonna going want wants werde werden wird wirst soll sollst muss musst vais va vont veux voy vamos van quiero""".split()
 )
 HARMS = frozenset(
     """kill kills killed killing hurt hurts hurting destroy destroys destroyed destroying beat beats beaten beating shoot shoots shot
     shooting stab stabs stabbed stabbing burn burns burned burnt burning crush crushes crushed crushing hunt hunts hunted hunting
-    töten töte tötest tötet tötete töteten getötet tuer tue tues tuent tuons tuez tuerai tuera tuerons tueront tué tués tuée tuées
+    umbringen umbringe umgebracht töten töte tötest tötet tötete töteten getötet tuer tue tues tuent tuons tuez tuerai tuera tuerons tueront tué tués tuée tuées
     matar mato matas mata matamos matan mataré matará mataremos matarán mató mataron matado matando""".split()
 )
 
@@ -62,8 +71,8 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]|[.!?;:\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 # Symbols: classes of a word, marks, and what the machines mark.
-INSULT, HARM, AGENT, TARGET, NEGATOR, SPEECH, QUOTE, COLON, STOP, LINE, TARGETED, THREAT = (1 << i for i in range(12))
-_CLASSES = ((AGENTS, AGENT), (HARMS, HARM), (TARGETS, TARGET), (NEGATORS, NEGATOR), (SPEECH_VERBS, SPEECH), ("\"“”«»", QUOTE), (":", COLON), (".!?;", STOP), ("\n", LINE))
+INSULT, HARM, AGENT, TARGET, NEGATOR, SPEECH, OBJECT, QUOTE, COLON, STOP, LINE, TARGETED, THREAT = (1 << i for i in range(13))
+_CLASSES = ((AGENTS, AGENT), (HARMS, HARM), (TARGETS, TARGET), (OBJECTS, OBJECT), (NEGATORS, NEGATOR), (SPEECH_VERBS, SPEECH), ("\"“”«»", QUOTE), (":", COLON), (".!?;", STOP), ("\n", LINE))
 _ENDS = COLON | STOP | LINE
 
 
@@ -83,23 +92,31 @@ class Transducer:
         return out
 
     def then(self, other: Transducer) -> Transducer:
-        """The composition: `other` reads what this one puts out. States are numbered as they are reached."""
-        number, pairs, arcs = {(0, 0): 0}, [(0, 0)], []
-        for s, t in pairs:  # grows as it is read
-            own = {}
-            for x, (s2, y, v) in self.arcs[s].items():
-                t2, z, w = other.arcs[t][y]
-                if (s2, t2) not in number:
-                    number[s2, t2] = len(number)
-                    pairs.append((s2, t2))
-                own[x] = number[s2, t2], z, v * w
-            arcs.append(own)
+        """The composition: `other` reads what this one puts out. States are numbered, and arcs made, as a text reaches them."""
+        number: dict[tuple[int, int], int] = {(0, 0): 0}
+        arcs: list[dict[int, tuple[int, int, float]]] = []
+
+        class Arcs(dict):
+            def __init__(self, s: int, t: int):
+                self.at = s, t
+
+            def __missing__(held, x: int) -> tuple[int, int, float]:
+                s, t = held.at
+                s, y, v = self.arcs[s][x]
+                t, z, w = other.arcs[t][y]
+                if (s, t) not in number:
+                    number[s, t] = len(number)
+                    arcs.append(Arcs(s, t))
+                held[x] = number[s, t], z, v * w
+                return held[x]
+
+        arcs.append(Arcs(0, 0))
         return Transducer(arcs)
 
 
 def _alphabet() -> list[int]:
     """Words of any combination of classes, with and without the marks; and the marks of punctuation."""
-    words = range(1 << 6)
+    words = range(1 << 7)
     return [w | m for w in words for m in (0, TARGETED, THREAT, TARGETED | THREAT)] + [QUOTE, COLON, STOP, LINE]
 
 
@@ -148,11 +165,13 @@ def _reported() -> Transducer:
 def grammar() -> tuple[Transducer, Transducer]:
     """The machine that reads from right to left, and the composed one that then reads from left to right."""
     targeted = lambda x: (x | TARGETED if x & INSULT else x, 1.0)
+    aimed = lambda x: (x | TARGETED if x & HARM else x, 1.0)
     negation = window(NEGATOR, 2, lambda x: (x, NEGATED if x & (INSULT | HARM) else 1.0))
-    threat = window(AGENT, 3, lambda x: (x | THREAT if x & HARM else x, 1.0))
+    threat = window(AGENT, 4, lambda x: (x | THREAT if x & HARM and x & TARGETED else x, 1.0))
     insult = machine(1, lambda _, x: (0, x, BARE if x & INSULT and not x & TARGETED and not x & THREAT else 1.0))
-    after = window(TARGET, 4, targeted)
-    return after, negation.then(window(TARGET, 4, targeted, before=True)).then(threat).then(insult).then(_reported())
+    after = window(TARGET, 4, targeted).then(window(OBJECT, 3, aimed))
+    onward = negation.then(window(TARGET, 4, targeted, before=True)).then(window(OBJECT, 4, aimed)).then(threat).then(insult).then(_reported())
+    return after, onward
 
 
 def words_of(text: str | None) -> set[str]:
@@ -229,8 +248,13 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
         return {}
     counts = rows.select("text", "toxic").mapInArrow(keys, "key string, toxic int").groupBy("key").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     rate = (F.col("bad") + 0.1) / totals[1] / ((F.col("good") + 0.1) / totals[0])
-    # A key in too few toxic rows can't tell; one in many others isn't an insult.
-    best = counts.filter((F.col("bad") >= max(3, totals[1] // 50)) & (rate >= 8)).select("key", "bad", F.log(rate).alias("w"))
+    # A key tells something if its rows are toxic more often than chance among all keys would have it: so many times the divergence
+    # of its share from the sample's is more than the logarithm of the number of keys, and MARGIN. One in many other rows isn't an insult.
+    counts = materialize(counts, "keys")
+    n, base = F.col("bad") + F.col("good"), totals[1] / (totals[0] + totals[1])
+    share = F.col("bad") / n
+    sure = n * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
+    best = counts.filter((F.col("bad") >= 3) & (rate >= 8) & (sure >= float(np.log(max(1, counts.count())) + MARGIN))).select("key", "bad", F.log(rate).alias("w"))
     heavy = {r["key"]: r["w"] for r in best.select("key", "w").collect()}
     top = max(heavy.values(), default=1.0)
     return {k: w / top for k, w in heavy.items()}

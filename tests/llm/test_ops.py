@@ -6,6 +6,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyframe.llm import jaccard, langid, mixing, neargraph, packing, quality, secrets, token_files, topk, toxicity
@@ -507,7 +509,7 @@ def said(grammar, text):
 def test_grammar_scores_clauses():
     g = toxicity.Grammar({"moron": 1.0, "vequ-": 0.5})
     assert said(g, "you are a moron") == said(g, "a moron you are") == 1.0 > said(g, "a moron") > said(g, "they said a moron") > 0
-    assert said(g, "not a moron") < said(g, "a moron") and said(g, "i will kill") == 1.0 > said(g, "i will not kill") and said(g, "to kill time") == 0
+    assert said(g, "not a moron") < said(g, "a moron") and said(g, "i will kill you") == 1.0 > said(g, "i will not kill you") and said(g, "to kill time") == 0
     assert said(g, "vequeur") == pytest.approx(0.4) and said(g, "a plain clause") == 0 and g.clauses(None) == g.clauses("") == []
     assert g.clauses("a moron. you are") == [pytest.approx(0.8)], "a target of another clause doesn't count"
 
@@ -534,11 +536,71 @@ def test_composition_equals_machines_in_turn():
         assert got == read and np.allclose(own, weights)
 
 
-def test_threats_of_third_persons_and_inflected():
+def test_threats_have_an_object():
     g = toxicity.Grammar()
-    for t in ("they will kill", "she was beating", "i'm killing", "he stabbed", "er tötet", "ils tuent", "ellos matan"):
+    for t in ("they will kill you", "she was beating him", "i'm killing you", "he stabbed her", "ich werde dich töten", "Ich will dich umbringen", "you will be killed", "I am going to really kill you", "ils vont vous tuer", "ellos van a matar a usted"):
         assert said(g, t) == 1.0, t
-    assert said(g, "killing time") == 0 and g.features("They killed.")[2] > 0
+    for t in ("we burned dinner", "she shot a film", "they beat us in the final game", "killing time", "they killed", "you kill"):
+        assert said(g, t) == 0, t
+    insulting = toxicity.Grammar({"idiot": 1.0})
+    assert said(insulting, "the word idiot is in the dictionary") < 0.3 < said(insulting, "an idiot") < said(insulting, "you are an idiot")
+
+
+QUOTES, STOPS = "\"“”«»", ".!?;"
+
+
+def is_reported(before):
+    """Whether what follows these tokens of its line is reported: in quotation marks, or after a verb of saying or the colon after one."""
+    marks = [i for i, t in enumerate(before) if t in QUOTES]
+    if len(marks) % 2:
+        return True
+    rest = before[marks[-1] + 1 :] if marks else before
+    parts = [[]]
+    for t in rest:
+        if t in STOPS:
+            parts = [[]]
+        elif t == ":":
+            parts.append([])
+        else:
+            parts[-1].append(t)
+    held = False
+    for own in parts[:-1]:
+        held = not held and any(t in toxicity.SPEECH_VERBS for t in own)
+    return held or any(t in toxicity.SPEECH_VERBS for t in parts[-1])
+
+
+def clauses_by_force(lexicon, text):
+    """The clause scores by looking around each word: no machines."""
+    heavy = lambda w: max([lexicon.get(w, 0.0), *(lexicon.get(f"{w[:n]}-", 0.0) for n in (4, 5, 6, 7) if len(w) > n)])
+    out = []
+    for line in text.lower().split("\n"):
+        tokens = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]|[.!?;:]", line)
+        ends = [-1, *(i for i, t in enumerate(tokens) if t in STOPS + ":"), len(tokens)]
+        for start, end in zip(ends, ends[1:]):
+            places = [i for i in range(start + 1, end) if tokens[i] not in QUOTES]
+            words, score = [tokens[i] for i in places], 0.0
+            for k, (i, t) in enumerate(zip(places, words, strict=True)):
+                before = lambda n, own, k=k: any(w in own for w in words[max(0, k - n) : k])  # noqa: E731, B023
+                after = lambda n, own, k=k: any(w in own for w in words[k + 1 : k + 1 + n])  # noqa: E731, B023
+                weight = heavy(t)
+                threat = t in toxicity.HARMS and before(4, toxicity.AGENTS) and (before(4, toxicity.OBJECTS) or after(3, toxicity.OBJECTS))
+                targeted = before(4, toxicity.TARGETS) or after(4, toxicity.TARGETS) or t in toxicity.TARGETS
+                value = (weight + threat) * (0.3 if before(2, toxicity.NEGATORS) else 1.0) * (0.6 if is_reported(tokens[:i]) else 1.0)
+                score += value * (0.8 if weight and not targeted and not threat else 1.0)
+            out.append(score)
+    return [x for x in out if x > 0]
+
+
+WORDS = ["idiot", "moronic", "you", "him", "kill", "beating", "will", "they", "not", "word", "said", "the", "a", "plain"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(WORDS), st.sampled_from([".", ":", '"', "\n", "!"])), max_size=30))
+def test_grammar_by_force(tokens):
+    lexicon = {"idiot": 1.0, "moro-": 0.5}
+    text = " ".join(tokens)
+    assert toxicity.Grammar(lexicon).clauses(text) == pytest.approx(clauses_by_force(lexicon, text))
+
 
 
 def test_labels_whose_columns_clash(spark, tmp_path):

@@ -8,7 +8,8 @@ b + 1. Two linked sets of an instance differ in at most k elements (their Hammin
 feature domain is cut into first-level partitions, each of them into second-level ones. If linked sets differ in k elements,
 few enough of them fall into some first-level partition that one of the subsets of its second-level partitions is equal in
 both: all subsets are enumerated that leave out `out` of them. A subset's signature hashes its instance, number and elements.
-`scheme` picks the numbers for each size band: the fewest signatures whose subsets hold HELD elements on average.
+`scheme` picks the numbers for each size band: the fewest signatures whose subsets hold HELD elements on average, of the settings
+that leave out one second-level partition or more (or, where disk is scarcer than pairs, of all: whole partitions are the fewest).
 
 A subset that is empty isn't signed, since all sets would meet there. There are `spare` first-level partitions more than needed,
 so that linked sets agree in more than `spare` of them; a set that has empty subsets in more partitions than that is signed once
@@ -113,18 +114,19 @@ def _over(mean: float, bound: int) -> float:
 
 
 @lru_cache(maxsize=None)
-def scheme(i: int, num: int, den: int) -> tuple[int, int, int, int]:
+def scheme(i: int, num: int, den: int, enumerated: bool = True) -> tuple[int, int, int, int]:
     """Of instance i: first-level partitions, second-level ones in each, how many of these a subset leaves out, and spare partitions.
 
-    It's the setting with the fewest signatures among those whose subsets hold HELD elements on average.
+    It's the setting with the fewest signatures among those whose subsets hold HELD elements on average. enumerated: subsets leave
+    out one second-level partition at least, and hold two; else a subset may be a whole partition, with none left out.
     """
     low, high = band(i, num, den)
     k = most_apart(high, high * den // num, num, den)
     if k == 0:
         return 1, 1, 0, 0
     tried = []
-    for out in range(4):
-        for second in range(out + 1, 8):
+    for out in range(int(enumerated), 4):
+        for second in range(out + 1 + enumerated, 8):
             for spare in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256):
                 first = k // (out + 1) + 1 + spare
                 held, ways = low * (second - out) / (first * second), comb(second, out)
@@ -139,14 +141,14 @@ def subsets(second: int, out: int) -> np.ndarray:
     return np.array([[j not in gone for gone in combinations(range(second), out)] for j in range(second)]).astype(np.uint64)
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
+def signatures(s: np.ndarray, num: int, den: int, enumerated: bool = True) -> np.ndarray:
     """The signatures of a set, given as sorted hashes."""
     own = band_of(len(s), num, den)
     found = []
     for i in (own, own - 1):
         if i < 0 or len(s) * num > band(i, num, den)[1] * den:
             continue
-        first, second, out, spare = scheme(i, num, den)
+        first, second, out, spare = scheme(i, num, den, enumerated)
         chosen, cells, h = subsets(second, out), first * second, s
         for tier in range(TIERS):
             at = ((h >> _S32) * np.uint64(cells)) >> _S32
@@ -182,7 +184,7 @@ def most_apart(na, nb, num: int, den: int):
     return (na + nb) * (den - num) // (den + num)
 
 
-def _profile(k: int, num: int, den: int):
+def _profile(k: int, num: int, den: int, enumerated: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
@@ -194,7 +196,7 @@ def _profile(k: int, num: int, den: int):
                     sigs = flips = None
                     if len(s) and doc_id.is_valid and digest not in seen:  # a row without an id is no node: it must not stand for its set
                         seen.add(digest)
-                        sigs, flips = signatures(s, num, den).view(np.int64), sketch(s)
+                        sigs, flips = signatures(s, num, den, enumerated).view(np.int64), sketch(s)
                     rows.append((len(s), *digest, sigs, flips))
                 n, h1, h2, sigs, flips = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(flips, pa.binary())], ["doc_id", "n", "h1", "h2", "sigs", "sk"])
@@ -380,12 +382,16 @@ def _buckets(made: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(members.join(single.select("sig", "top"), "sig"), "buckets")
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, enumerated: bool = True) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    enumerated: signatures are of subsets that leave out a second-level partition or more. Without, there are about two thirds as
+    many, each of fewer elements; links are the same.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     with small_batches(spark):
-        made = materialize(docs.mapInArrow(_profile(k, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>, sk binary"), "profiles")
+        made = materialize(docs.mapInArrow(_profile(k, num, den, enumerated), "doc_id long, n long, h1 long, h2 long, sigs array<long>, sk binary"), "profiles")
         counts = materialize(made.select("doc_id", F.col("n").alias("n_shingles")), "counts")
         rows = made.filter("n > 0 and doc_id is not null")
         classes = materialize(rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.max("sk").alias("sk")), "classes")

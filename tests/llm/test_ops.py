@@ -194,8 +194,8 @@ def test_signatures_miss_no_link():
                 t = np.unique(np.concatenate([rng.permutation(s)[gone:], rng.integers(0, 2**63, int(rng.integers(0, most + 1)), dtype=np.uint64)]))
                 both = len(np.intersect1d(s, t))
                 assert den * both >= num * (len(s) + len(t) - both)
-                assert np.intersect1d(jaccard.signatures(s, num, den), jaccard.signatures(t, num, den)).size
-    assert any(jaccard.scheme(i, 80, 100)[2] for i in range(20))
+                assert all(np.intersect1d(jaccard.signatures(s, num, den, own), jaccard.signatures(t, num, den, own)).size for own in (True, False))
+    assert all(jaccard.scheme(i, num, 100)[2] and jaccard.scheme(i, num, 100)[1] - jaccard.scheme(i, num, 100)[2] >= 2 for num in (80, 85) for i in range(8, 40)), "subsets are enumerated in all usual sizes"
 
 
 def test_jaccard_null_id_before_its_copy(spark):

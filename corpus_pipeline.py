@@ -64,7 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without an id take part too, after all that have one. A row with neither an id nor a word stays.
     """
     rows, key = _keyed(docs)
-    groups = materialize(jaccard.jaccard_groups(rows.select(F.col(key).alias("doc_id"), "text"), k=5, num=80, den=100), "groups")
+    groups = materialize(jaccard.jaccard_groups(rows.select(F.col(key).alias("doc_id"), "text"), k=5, num=80, den=100, enumerated=False), "groups")  # a third fewer signatures: disk is scarcer here than pairs
     gone = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
     many = materialize(groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")).filter("n > 1").select(key), "many")
     left = rows.join(gone, key, "left_anti")

@@ -49,7 +49,7 @@ pages AS (SELECT l.*, p_name, count(*) OVER (PARTITION BY l_orderkey) AS n FROM
 def token_pages(spark: SparkSession, sf_dir: str, skew: float = 0.0, spacing: float = 24.0, split: bool = False, header: bool = False) -> DataFrame:
     """Pages of tokens: a line for each line item, the part's name from x = 60, two amounts with right edges 450 and 540, `skew` lower.
 
-    split: the first amount is in two tokens. header: a line above says which year each column is.
+    split: the first amount is in two tokens. header: a line above says which year each column is, the same for both in every third order.
     """
     views(spark, sf_dir, "lineitem", "part")
     lines = spark.sql(_LINES + "SELECT * FROM pages")
@@ -70,7 +70,7 @@ def token_pages(spark: SparkSession, sf_dir: str, skew: float = 0.0, spacing: fl
     if header:
         top = lines.filter("k = 0").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit(-1).alias("line"), F.explode(F.array(
             token(F.concat(F.lit("March "), (1990 + F.col("l_orderkey") % 50).cast("string")), F.lit(390), F.lit(60), F.lit(740.0), F.lit(-2)),
-            token(F.concat(F.lit("March "), (1989 + F.col("l_orderkey") % 50).cast("string")), F.lit(480), F.lit(60), F.lit(740.0), F.lit(-1)))).alias("t"))
+            token(F.concat(F.lit("March "), (F.when(F.col("l_orderkey") % 3 == 0, 1990).otherwise(1989) + F.col("l_orderkey") % 50).cast("string")), F.lit(480), F.lit(60), F.lit(740.0), F.lit(-1)))).alias("t"))
         out = out.unionByName(top.select("doc_id", "page", "line", "t.*"))
     return out.withColumns({"height": F.lit(8.0), "is_numeric": F.lit(False)})
 
@@ -80,6 +80,28 @@ def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "column_index", "period_id", F.col("end_date").cast("string").alias("end_date"), "ord")
 
 
+def _cell_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of three lines and more, one of which has a third figure, by the order's number: beside the first one in its column, and less sure; surer than that one; as sure; or between the columns, out of reach of both."""
+    views(spark, sf_dir, "lineitem", "part")
+    lines = spark.sql(_LINES + "SELECT * FROM pages WHERE n >= 3").withColumn("case", F.when(F.col("k") == F.col("l_orderkey") % F.col("n"), F.col("l_orderkey") % 4).otherwise(-1))
+    plain = lambda n: F.col(n).cast("string")
+    token = lambda text, right, width, at: F.struct((F.col("k") * 10 + at).cast("int").alias("token_seq"), text.alias("text"), (right - width).cast("double").alias("x"), width.cast("double").alias("width"))
+    name = F.struct((F.col("k") * 10).cast("int").alias("token_seq"), F.col("p_name").alias("text"), F.lit(60.0).alias("x"), F.lit(90.0).alias("width"))
+    first = F.when(F.col("case") == 1, plain("a")).otherwise(indian(F.col("a")))
+    third = F.when(F.col("case") == 0, plain("b")).otherwise(indian(F.col("b")))
+    whole = F.array(name, token(first, F.lit(450.0), F.lit(48.0), 1), token(indian(F.col("b")), F.lit(540.0), F.lit(40.0), 3), token(third, F.when(F.col("case") == 3, 486.0).otherwise(475.0), F.lit(16.0), 2))
+    own = F.when(F.col("case") >= 0, whole).otherwise(F.slice(whole, 1, 3))
+    out = lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), (700.0 - 24.0 * F.col("k")).alias("y"), F.explode(own).alias("t")).select("doc_id", "page", "y", "t.*", F.lit(8.0).alias("height"), F.lit(False).alias("is_numeric"))
+    cells = layout.page_lines(layout.pages(out)).select(F.col("doc_id").cast("long").alias("l_orderkey"), "row_seq", F.explode("cells").alias("c"))
+    return cells.select("l_orderkey", "row_seq", "c.column_index", "c.value", "c.confidence", F.col("c.x").alias("x"))
+
+
+def _cell_choice_sql() -> str:
+    return _LINES + """, c AS (SELECT *, CASE WHEN k = l_orderkey % n THEN l_orderkey % 4 ELSE -1 END AS kind FROM pages WHERE n >= 3)
+      SELECT l_orderkey, CAST(k AS INT) AS row_seq, CAST(0 AS INT) AS column_index, CAST(CASE WHEN kind = 1 THEN b ELSE a END AS DOUBLE) AS value, CAST(1 AS DOUBLE) AS confidence, CAST(CASE WHEN kind = 1 THEN 459 ELSE 402 END AS DOUBLE) AS x FROM c
+      UNION ALL SELECT l_orderkey, CAST(k AS INT), 1, CAST(b AS DOUBLE), 1, 500 FROM c"""
+
+
 def sheet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sheets, 120 units a column: part names, four empty columns where the order's number is even, and the price and the part's number as numbers of few digits.
 
@@ -309,12 +331,15 @@ def _header_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", y.alias("yr"), m.alias("mon"), headers.period_end(y, m).alias("end_date"))
 
 
-_UNITS = [("(Amount in Rs. crores)", 1e7, "INR"), ("Figures in lakhs", 1e5, "INR"), ("in USD millions", 1e6, "USD"), ("All values in EUR thousands", 1e3, "EUR"), ("Amounts in GBP", 1.0, "GBP"), ("Balance sheet", 1.0, "INR")]
+_WORDS = ("(Amount in", "Figures in", "All values are expressed in", "Balance sheet, amounts in")
+_MONEY = (("Rs.", "INR"), ("USD", "USD"), ("EUR", "EUR"), ("GBP", "GBP"), ("\u20b9", "INR"), ("", "INR"))
+_SCALES = (("crores", 1e7), ("lakhs)", 1e5), ("millions", 1e6), ("thousands only", 1e3), ("'000s", 1e3), ("", 1.0), ("Lacs", 1e5), ("mn", 1e6))
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a header says of units, put together by the order's, the customer's and the year's number."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    text = F.element_at(F.array(*[F.lit(t) for t, _, _ in _UNITS]), (F.col("o_orderkey") % len(_UNITS) + 1).cast("int"))
+    text = F.concat_ws(" ", _choice(_WORDS, F.year("o_orderdate")), _choice(tuple(x for x, _ in _MONEY), F.col("o_custkey")), _choice(tuple(x for x, _ in _SCALES), F.col("o_orderkey")))
     scaled = F.round("o_totalprice") * headers.unit_scale(text)
     return o.select("o_orderkey", headers.unit_scale(text).alias("scale"), headers.currency(text).alias("currency"), scaled.alias("scaled"))
 
@@ -339,13 +364,17 @@ def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", captions.is_noise(label).alias("noise"))
 
 
-_HEX = [("255044462D312E37", "a.pdf", "pdf"), ("504B030414000600", "a.xlsx", "excel"), ("D0CF11E0A1B11AE1", "a.xls", "excel"), ("612C620A312C320A", "a.csv", "csv"), ("0000000000000000", "a.pdf", "CORRUPT_PDF"), ("0000000000000000", "a.xlsx", "UNRECOGNISED_CONTENT")]
+#: First bytes (hexadecimal), and what they are, or null where the name tells; and names.
+_HEX = (("255044462D312E37", "pdf"), ("504B030414000600", "excel"), ("", None), ("D0CF11E0A1B11AE1", "excel"), ("0000", None), ("504B0506", "excel"), ("2550444", None), ("504B0708", None))
+_NAMED = (("a.pdf", "CORRUPT_PDF"), ("b.XLSX", "UNRECOGNISED_CONTENT"), ("c.Csv", "csv"), ("csv", "UNRECOGNISED_CONTENT"), ("d.csv.pdf", "CORRUPT_PDF"))
 
 
 def _sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    pick = lambda i: F.element_at(F.array(*[F.lit(h[i]) for h in _HEX]), (F.col("o_orderkey") % len(_HEX) + 1).cast("int"))
-    return o.select("o_orderkey", sources.sniff(F.unhex(pick(0)), pick(1)).alias("format"))
+    """Documents as files: their text after some first bytes, under a name, by their number and length."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = F.unhex(_choice(tuple(x for x, _ in _HEX), F.col("doc_id")))
+    name = _choice(tuple(x for x, _ in _NAMED), F.floor(F.col("doc_id") / 3))
+    return d.select("doc_id", sources.sniff(F.concat(first, F.coalesce(F.col("text"), F.lit("")).cast("binary")), name).alias("format"))
 
 
 def _guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,6 +399,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "row_cluster": lambda s, d: rows(s, d).groupBy(F.col("doc_id").cast("long").alias("l_orderkey")).agg(F.count("*").alias("n_rows"), F.sum(F.size("words")).alias("n_tokens")),
         "value_columns": lambda s, d: layout.page_columns(layout.pages(token_pages(s, d))).select(F.col("doc_id").cast("long").alias("l_orderkey"), "column_index", "right_edge", "support"),
         "cell_assignment": lambda s, d: rows(s, d).select(F.col("doc_id").cast("long").alias("l_orderkey"), "row_seq", F.explode("cells").alias("c")).select("l_orderkey", "row_seq", "c.column_index", "c.value"),
+        "cell_choice": _cell_choice,
         "row_labels": lambda s, d: rows(s, d).select(F.col("doc_id").cast("long").alias("l_orderkey"), "row_seq", "label", "label_start", "label_end"),
         "skew_offset": lambda s, d: layout.aligned(layout.pages(token_pages(s, d, skew=7.0, spacing=14.0))).groupBy(F.col("doc_id").cast("long").alias("l_orderkey")).agg(F.max("offset").alias("offset")),
         "align_monotonic": lambda s, d: pairs(s, d, 12.0),
@@ -411,7 +441,7 @@ def oracle_sql() -> dict[str, str]:
     s = "CAST(CAST(round(l_extendedprice) AS BIGINT) AS VARCHAR)"
     pick = lambda rows, i, key: "CASE " + f"{key} % {len(rows)} " + " ".join(f"WHEN {k} THEN {repr(r[i])}" for k, r in enumerate(rows)) + " END"
     p = _LINES
-    words = "p_name"
+    scale = f"[{', '.join(str(x) for _, x in _SCALES)}][CAST(o_orderkey % {len(_SCALES)} AS INT) + 1]"
     grouped = lambda n: f"(substr(CAST({n} AS VARCHAR), 1, 1) || ',' || substr(CAST({n} AS VARCHAR), 2, 2) || ',' || substr(CAST({n} AS VARCHAR), 4, 3))"
     sections = {m: x for m, x in SECTION_MARKERS}
     return _filings_sql() | {
@@ -423,6 +453,7 @@ def oracle_sql() -> dict[str, str]:
         "row_cluster": p + "SELECT l_orderkey, count(*) AS n_rows, CAST(sum(len(string_split(p_name, ' ')) + 2) AS BIGINT) AS n_tokens FROM pages GROUP BY l_orderkey",
         "value_columns": p + "SELECT l_orderkey, CAST(c AS INT) AS column_index, CAST(450 + 90 * c AS DOUBLE) AS right_edge, CAST(count(*) AS INT) AS support FROM pages, range(2) t(c) GROUP BY l_orderkey, c",
         "cell_assignment": p + "SELECT l_orderkey, CAST(k AS INT) AS row_seq, CAST(c AS INT) AS column_index, CAST(CASE c WHEN 0 THEN a ELSE b END AS DOUBLE) AS value FROM pages, range(2) t(c)",
+        "cell_choice": _cell_choice_sql(),
         "row_labels": p + "SELECT l_orderkey, CAST(k AS INT) AS row_seq, p_name AS label, CAST(60 AS DOUBLE) AS label_start, CAST(60 + 70 * (len(w) - 1) + 6 * length(w[-1]) AS DOUBLE) AS label_end FROM (SELECT *, string_split(p_name, ' ') AS w FROM pages)",
         "skew_offset": p + "SELECT DISTINCT l_orderkey, CAST(7 AS DOUBLE) AS \"offset\" FROM pages",
         "align_monotonic": p + "SELECT l_orderkey, p_name AS label, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM pages",
@@ -439,12 +470,13 @@ def oracle_sql() -> dict[str, str]:
         "section_heading": _headings_sql(),
         "section_carry_forward": p + f", h AS (SELECT l_orderkey, k, CASE WHEN k % 4 = 1 THEN CASE (l_orderkey + k) % 3 WHEN 0 THEN '{sections['currentassets']}' WHEN 1 THEN '{sections['equity']}' ELSE '{sections['currentliabilities']}' END END AS s FROM pages) SELECT l_orderkey, CAST(k AS INT) AS k, last_value(s IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY k ROWS UNBOUNDED PRECEDING) AS section FROM h",
         "header_year_month": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS yr, CAST(month(o_orderdate) AS INT) AS mon, last_day(CAST(o_orderdate AS DATE)) AS end_date FROM orders",
-        "period_ids": p + "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(c AS INT) AS column_index, 'FY' || (1990 + l_orderkey % 50 - c) AS period_id, (1990 + l_orderkey % 50 - c) || '-03-31' AS end_date, CAST(1990 + l_orderkey % 50 - c AS INT) AS ord FROM pages, range(2) t(c) WHERE k = 0",
-        "unit_scale": f"SELECT o_orderkey, CAST({pick(_UNITS, 1, 'o_orderkey')} AS DOUBLE) AS scale, round(o_totalprice) * CAST({pick(_UNITS, 1, 'o_orderkey')} AS DOUBLE) AS scaled FROM orders",
-        "currency_detect": f"SELECT o_orderkey, {pick(_UNITS, 2, 'o_orderkey')} AS currency FROM orders",
+        "period_ids": p + """, y AS (SELECT l_orderkey, c, 1990 + l_orderkey % 50 - CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE c END AS y FROM pages, range(2) t(c) WHERE k = 0)
+          SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(c AS INT) AS column_index, 'FY' || y || CASE WHEN c = 1 AND l_orderkey % 3 = 0 THEN '-2' ELSE '' END AS period_id, y || '-03-31' AS end_date, CAST(y AS INT) AS ord FROM y""",
+        "unit_scale": f"SELECT o_orderkey, CAST({scale} AS DOUBLE) AS scale, round(o_totalprice) * CAST({scale} AS DOUBLE) AS scaled FROM orders",
+        "currency_detect": f"SELECT o_orderkey, {_list(tuple(x for _, x in _MONEY), 'o_custkey')} AS currency FROM orders",
         "page_rank_topk": "SELECT source, lang, doc_id, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY score DESC, doc_id) AS rank FROM (SELECT *, length(text) % 97 + CASE WHEN contains(lower(text), 'license') THEN 50 ELSE 0 END AS score FROM documents)) WHERE rank <= 2",
         "best_row_per_concept": "SELECT DISTINCT l_suppkey, p_size, l_orderkey, l_linenumber, l_partkey, score FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, p_size ORDER BY score DESC, l_orderkey, l_linenumber, l_partkey) AS i FROM (SELECT *, (l_orderkey * 7 + l_linenumber) % 101 AS score FROM lineitem JOIN part ON l_partkey = p_partkey)) WHERE i = 1",
         "noise_filter": "SELECT p_partkey, p_partkey % 5 <> 1 AS noise FROM part",
-        "format_sniff": f"SELECT o_orderkey, {pick(_HEX, 2, 'o_orderkey')} AS format FROM orders",
+        "format_sniff": f"SELECT doc_id, coalesce({_list(tuple(x for _, x in _HEX), 'doc_id')}, {_list(tuple(x for _, x in _NAMED), 'doc_id // 3')}) AS format FROM documents",
         "text_guard": "SELECT p_brand, p_type, CAST(sum(length(trim(p_name))) AS BIGINT) AS n, 'NO_TEXT_LAYER' AS code FROM part GROUP BY p_brand, p_type HAVING sum(length(trim(p_name))) < 120",
     }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chart import COMPOSITION, CONCEPTS, LEAVES
 from ..operators import analysis as A
+from ..store import settled
 
 #: The ledger in SQL that both engines run.
 _LEDGER = """
@@ -142,6 +143,28 @@ def _mix_sql(bands: dict[str, list[str]]) -> str:
     return _wide_sql() + f", bands AS ({each}), s AS (SELECT *, max(value) OVER (PARTITION BY ent, band) AS top, sum(CASE WHEN value > 0 THEN value END) OVER (PARTITION BY ent, yr) AS total FROM bands) SELECT ent AS doc_id, 'FY' || yr AS period_id, band, value, CASE WHEN value > 0 THEN value END / total AS share FROM s WHERE top > 0"
 
 
+def _money_sql(v: str) -> str:
+    """Rupees as text: crores, lakhs, or whole with groups."""
+    n = f"abs({v})"
+    whole = f"CAST(floor({n} + 0.5) AS BIGINT)"
+    return f"(CASE WHEN {v} < 0 THEN '-' ELSE '' END || '\u20b9' || CASE WHEN {n} >= 1e7 THEN format('{{:.2f}}', {n} / 1e7) || ' Cr' WHEN {n} >= 1e5 THEN format('{{:.2f}}', {n} / 1e5) || ' L' WHEN {whole} >= 1000 THEN ({whole} // 1000) || ',' || lpad(CAST({whole} % 1000 AS VARCHAR), 3, '0') ELSE CAST({whole} AS VARCHAR) END)"
+
+
+def _workings_sql() -> str:
+    def text(formula: str) -> str:
+        pieces = [x for part in formula.split("{") for x in part.split("}")]
+        return " || ".join(_money_sql(f"coalesce({'m_totalDebt' if x == 'debt' else A.PARTS[x]}, 0)") if i % 2 else f"'{x}'" for i, x in enumerate(pieces) if x)
+
+    return _wide_sql() + " " + " UNION ALL ".join(f"SELECT {_KEY}, '{m}' AS metric, {text(A.METRIC_TEXTS[m][1])} AS workings FROM chk WHERE m_{m} IS NOT NULL" for m in A.METRICS)
+
+
+def _messages_sql() -> str:
+    off = "format('{:,.3f}', rel * 100) || '%'"
+    return _wide_sql() + f""" SELECT {_KEY}, CASE WHEN status = 'insufficient-data' THEN 'One side of the balance sheet is missing, so it can''t be checked.' WHEN totalAssets = totalEquityAndLiabilities THEN 'Both sides are equal.'
+      WHEN status = 'balanced' THEN 'Both sides agree within ' || {off} || '.' WHEN status = 'minor-variance' THEN 'The sides differ by ' || {off} || '; a line may be missing or misread.' ELSE 'The sides differ by ' || {off} || '; lines are missing, and ratios may mislead.' END AS message,
+      CASE status WHEN 'imbalanced' THEN 'warning' WHEN 'minor-variance' THEN 'info' END AS severity FROM chk"""
+
+
 _KEY = "ent AS doc_id, 'FY' || yr AS period_id"
 _LEAF_ORDER = [c for c in CONCEPTS if c["concept"] in LEAVES]
 _SURE = "(0.5 + (ci % 4) * 0.125)"
@@ -174,6 +197,13 @@ def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.report(figures(spark, sf_dir)).select("doc_id", n("statement"), n("checks"), n("metrics"), n("insights"), n("warnings"))
 
 
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of each period's sides, and how severe the warning is, if any."""
+    checks = A.balance_checks(settled(rolled(spark, sf_dir), "rolled"))
+    told = A.variances(checks).select("doc_id", F.substring_index("message", ": ", 1).alias("period_id"), "severity")
+    return checks.select("doc_id", "period_id", "message").join(told, ["doc_id", "period_id"], "left")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     figure = lambda s, d: A.long(rolled(s, d)).filter(F.col("concept").isin(list(COMPOSITION)))
     found = {
@@ -181,6 +211,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rollup_printed_override": _printed,
         "rollup_confidence": lambda s, d: figure(s, d).select("doc_id", "period_id", "concept", "confidence"),
         "balance_check": lambda s, d: A.balance_checks(rolled(s, d)).select("doc_id", "period_id", "assets", "claims", "difference", "status"),
+        "balance_messages": lambda s, d: _messages(s, d),
+        "metric_workings": lambda s, d: A.workings(rolled(s, d)),
         "metric_yoy_change": lambda s, d: A.metrics(rolled(s, d)).select("doc_id", "period_id", "metric", "change", "change_pct"),
         "metric_presence": lambda s, d: A.metrics(rolled(s, d)).groupBy("doc_id", "metric").agg(F.count("value").alias("n")),
         "insight_hits": lambda s, d: A.insights(rolled(s, d), told=False).withColumn("evidence", F.array_join("evidence", " ")),
@@ -214,6 +246,8 @@ def oracle_sql() -> dict[str, str]:
         f" SELECT {_KEY}, CASE WHEN ok THEN printed ELSE totalEquity END AS value, CASE WHEN ok THEN 'extracted' ELSE 'derived' END AS origin FROM q",
         "rollup_confidence": _confidence_sql(),
         "balance_check": _wide_sql() + f" SELECT {_KEY}, totalAssets AS assets, totalEquityAndLiabilities AS claims, totalAssets - totalEquityAndLiabilities AS difference, status FROM chk",
+        "balance_messages": _messages_sql(),
+        "metric_workings": _workings_sql(),
         "metric_yoy_change": _metrics_sql() + " SELECT doc_id, period_id, metric, change, change_pct FROM metrics",
         "metric_presence": _metrics_sql() + " SELECT doc_id, metric, count(value) AS n FROM metrics GROUP BY doc_id, metric",
         "insight_hits": _insights_sql(),

@@ -9,7 +9,9 @@
 
 Cases: null and empty texts have zeros for statistics and are scored like any other; texts of any length are read whole. Without
 labelled rows of both classes the score is the share of class 1, or 0.5 without any. Repeated rows are scored each, equal texts
-alike. An empty table gives no rows. Other columns are ignored, whatever their names, but for those that are asked for.
+alike. Of cuts with equal gains the first is taken, in the order of the statistics drawn for the tree, then of rising bounds; the
+draws are those of a fixed seed. An empty table gives no rows. Other columns are ignored, whatever their names, but for those that
+are asked for.
 """
 
 from __future__ import annotations

@@ -102,6 +102,27 @@ def _cell_choice_sql() -> str:
       UNION ALL SELECT l_orderkey, CAST(k AS INT), 1, CAST(b AS DOUBLE), 1, 500 FROM c"""
 
 
+#: Orders of a long sheet, so about four times as many lines.
+_SHEET = 5000
+_SHEETS_SQL = f"""
+WITH lines AS (SELECT CAST(floor(l_orderkey / {_SHEET}) AS BIGINT) AS sheet, l_partkey, row_number() OVER (PARTITION BY floor(l_orderkey / {_SHEET}) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS k,
+  CAST(round(l_extendedprice) AS BIGINT) + 100000 AS a, l_partkey + 200000 AS b FROM lineitem),
+sheets AS (SELECT l.*, p_name, k % 10 = 3 AS bare FROM lines l JOIN part ON l_partkey = p_partkey)
+"""
+
+
+def _long_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of some 20,000 lines, 12 units apart, figures 7 below their labels; a line in ten has none."""
+    views(spark, sf_dir, "lineitem", "part")
+    token = lambda text, x, at, lower: F.struct((F.col("k") * 3 + at).cast("int").alias("token_seq"), text.alias("text"), x.cast("double").alias("x"), (-12.0 * F.col("k") - lower).alias("y"), (F.length(text) * 6.0).alias("width"))
+    figure = lambda n, edge, at: token(indian(F.col(n)), F.lit(edge) - F.length(indian(F.col(n))) * 6.0, at, 7.0)
+    name = token(F.col("p_name"), F.lit(60.0), 0, 0.0)
+    own = F.when(F.col("bare"), F.array(name)).otherwise(F.array(name, figure("a", 450.0, 1), figure("b", 540.0, 2)))
+    out = spark.sql(_SHEETS_SQL + "SELECT * FROM sheets").select(F.col("sheet").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.explode(own).alias("t")).select("doc_id", "page", "t.*", F.lit(8.0).alias("height"), F.lit(False).alias("is_numeric"))
+    value = lambda i: F.get(F.filter("cells", lambda c: c["column_index"] == i), F.lit(0))["value"]
+    return layout.aligned(layout.pages(out)).select(F.col("doc_id").cast("long").alias("sheet"), "label", value(0).alias("a"), value(1).alias("b"), F.round("confidence", 9).alias("confidence"))
+
+
 def sheet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sheets, 120 units a column: part names, four empty columns where the order's number is even, and the price and the part's number as numbers of few digits.
 
@@ -405,6 +426,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "align_monotonic": lambda s, d: pairs(s, d, 12.0),
         # Figures merge with the next caption's row here, so rows are means of both.
         "align_monotonic_tight": lambda s, d: pairs(s, d, 10.0),
+        "align_long_sheets": _long_sheets,
         "sheet_cells": _sheet_cells,
         "filing_pages": lambda s, d: _read(s, d).chosen.select(F.col("doc_id").cast("long").alias("o_custkey"), "page", "rank", "hits"),
         "filing_page_scores": _score,
@@ -458,6 +480,7 @@ def oracle_sql() -> dict[str, str]:
         "skew_offset": p + "SELECT DISTINCT l_orderkey, CAST(7 AS DOUBLE) AS \"offset\" FROM pages",
         "align_monotonic": p + "SELECT l_orderkey, p_name AS label, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM pages",
         "align_monotonic_tight": p + "SELECT l_orderkey, p_name AS label, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM pages",
+        "align_long_sheets": _SHEETS_SQL + "SELECT sheet, p_name AS label, CASE WHEN NOT bare THEN CAST(a AS DOUBLE) END AS a, CASE WHEN NOT bare THEN CAST(b AS DOUBLE) END AS b, CAST(CASE WHEN bare THEN 0 ELSE 1 END AS DOUBLE) AS confidence FROM sheets",
         "sheet_cells": p + "SELECT l_orderkey, CAST(k AS INT) AS row_seq, p_name AS label, CAST(0 AS INT) AS column_index, CAST(l_partkey % 9000 + 1000 AS DOUBLE) AS value, CAST(CASE WHEN l_orderkey % 2 = 0 THEN 600 ELSE 120 END AS DOUBLE) AS x FROM pages WHERE n >= 2",
         "header_year_damaged": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS yr, strftime(o_orderdate, '%-d %b %Y') AS label FROM orders",
         "median_by_group": "SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS median FROM lineitem GROUP BY 1, 2",

@@ -158,6 +158,37 @@ def _workings_sql() -> str:
     return _wide_sql() + " " + " UNION ALL ".join(f"SELECT {_KEY}, '{m}' AS metric, {text(A.METRIC_TEXTS[m][1])} AS workings FROM chk WHERE m_{m} IS NOT NULL" for m in A.METRICS)
 
 
+def _said_sql() -> dict[str, str]:
+    """The texts that findings use, by name, of a row of `two`."""
+    share = lambda a, b: f"(({a}) / nullif({b}, 0))"
+    moved = lambda n: share(f"{n} - p_{n}", f"abs(p_{n})")
+    times = lambda v: f"(format('{{:.2f}}', {v}) || '\u00d7')"
+    percent = lambda v: f"(format('{{:.1f}}', {v} * 100) || '%')"
+    signed = lambda v: f"(CASE WHEN {v} > 0 THEN '+' ELSE '' END || {percent(v)})"
+    names = {"assets": "totalAssets", "inv": "inventories", "rec": "tradeReceivables", "cash": "cashAndCashEquivalents", "pay": "tradePayables", "res": "reservesAndSurplus"}
+    out = {k: _money_sql(n) for k, n in names.items()} | {f"p_{k}": _money_sql(f"p_{n}") for k, n in names.items()} | {f"d_{k}": signed(moved(n)) for k, n in names.items()}
+    out |= {k: times(v) for k, v in {"cr": "m_currentRatio", "p_cr": "p_m_currentRatio", "qr": "m_quickRatio", "de": "m_debtToEquity", "p_de": "p_m_debtToEquity", "al": "m_assetToLiability"}.items()}
+    out |= {k: _money_sql(v) for k, v in {"wc": "m_workingCapital", "eq": "m_netWorth", "debt": "m_totalDebt", "p_debt": "p_m_totalDebt", "ca": "totalCurrentAssets", "cl": "totalCurrentLiabilities", "stb": "shortTermBorrowings", "claims": "totalEquityAndLiabilities", "moved": "(reservesAndSurplus - p_reservesAndSurplus)"}.items()}
+    return out | {"share": percent("m_inventoryShareOfCurrentAssets"), "funding": percent(share("shortTermBorrowings", "totalCurrentLiabilities")), "d_debt": signed(moved("m_totalDebt"))}
+
+
+def _insight_texts_sql() -> str:
+    said = _said_sql()
+
+    def filled(text: str) -> str:
+        """Bracketed parts, and parts between brackets, are left out where a text is missing."""
+        parts = []
+        for piece in text.replace("]", "[").split("["):
+            own = [x for y in piece.split("{") for x in y.split("}")]
+            words = [f"said.{x}" if i % 2 else "'" + x.replace("'", "''") + "'" for i, x in enumerate(own)]
+            parts.append(f"coalesce({' || '.join(words)}, '')")
+        return " || ".join(parts)
+
+    case = lambda i: "CASE insight " + " ".join(f"WHEN '{k}' THEN {filled(v[i])}" for k, v in A.INSIGHT_TEXTS.items()) + " END"
+    hits = _insights_sql().rsplit(" SELECT ent AS doc_id", 1)[0]
+    return hits + f", said AS (SELECT ent, {', '.join(f'{v} AS {k}' for k, v in said.items())} FROM two) SELECT hits.ent AS doc_id, insight, {case(0)} AS title, {case(1)} AS detail FROM hits JOIN said ON hits.ent = said.ent"
+
+
 def _messages_sql() -> str:
     off = "format('{:,.3f}', rel * 100) || '%'"
     return _wide_sql() + f""" SELECT {_KEY}, CASE WHEN status = 'insufficient-data' THEN 'One side of the balance sheet is missing, so it can''t be checked.' WHEN totalAssets = totalEquityAndLiabilities THEN 'Both sides are equal.'
@@ -212,6 +243,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rollup_printed_override": _printed,
         "rollup_confidence": lambda s, d: figure(s, d).select("doc_id", "period_id", "concept", "confidence"),
         "balance_check": lambda s, d: A.balance_checks(rolled(s, d)).select("doc_id", "period_id", "assets", "claims", "difference", "status"),
+        "insight_texts": lambda s, d: A.insights(settled(rolled(s, d), "rolled")).select("doc_id", "insight", "title", "detail"),
         "balance_messages": lambda s, d: _messages(s, d),
         "metric_workings": lambda s, d: A.workings(rolled(s, d)),
         "metric_yoy_change": lambda s, d: A.metrics(rolled(s, d)).select("doc_id", "period_id", "metric", "change", "change_pct"),
@@ -247,6 +279,7 @@ def oracle_sql() -> dict[str, str]:
         f" SELECT {_KEY}, CASE WHEN ok THEN printed ELSE totalEquity END AS value, CASE WHEN ok THEN 'extracted' ELSE 'derived' END AS origin FROM q",
         "rollup_confidence": _confidence_sql(),
         "balance_check": _wide_sql() + f" SELECT {_KEY}, totalAssets AS assets, totalEquityAndLiabilities AS claims, totalAssets - totalEquityAndLiabilities AS difference, status FROM chk",
+        "insight_texts": _insight_texts_sql(),
         "balance_messages": _messages_sql(),
         "metric_workings": _workings_sql(),
         "metric_yoy_change": _metrics_sql() + " SELECT doc_id, period_id, metric, change, change_pct FROM metrics",

@@ -189,6 +189,17 @@ def _insight_texts_sql() -> str:
     return hits + f", said AS (SELECT ent, {', '.join(f'{v} AS {k}' for k, v in said.items())} FROM two) SELECT hits.ent AS doc_id, insight, {case(0)} AS title, {case(1)} AS detail FROM hits JOIN said ON hits.ent = said.ent"
 
 
+def _summary_sql() -> str:
+    head, texts = _insight_texts_sql().rsplit(" SELECT hits.ent", 1)
+    first = lambda k: f"arg_min(CASE WHEN regexp_matches(title, '^[A-Za-z]') AND NOT regexp_matches(title, '^[A-Z][A-Z]') THEN lower(title[1]) || title[2:] ELSE title END, position) FILTER (kind = '{k}')"
+    order = lambda c, xs: f"CASE {c} " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(xs)) + " END"
+    told = " SELECT hits.ent" + texts.replace(" AS detail FROM hits", f" AS detail, kind, row_number() OVER (PARTITION BY hits.ent ORDER BY {order('severity', A.SEVERITY)}, {order('kind', A.KIND)}, seq) AS position FROM hits")
+    return head + f""", told AS ({told}), firsts AS (SELECT doc_id AS ent, {first('strength')} AS strength, {first('concern')} AS concern FROM told GROUP BY doc_id)
+      SELECT two.ent AS doc_id, concat_ws(' ', 'The company has total assets of ' || CASE WHEN totalAssets IS NOT NULL THEN assets END || ' at FY' || yr || CASE WHEN totalEquity IS NOT NULL THEN ', of which ' || eq || ' is equity' ELSE '' END || '.',
+        CASE WHEN m_currentRatio IS NOT NULL AND m_debtToEquity IS NOT NULL THEN 'The current ratio is ' || cr || ', and debt is ' || de || ' of equity.' END, 'First strength: ' || strength || '.', 'First concern: ' || concern || '.') AS summary
+      FROM two JOIN said ON two.ent = said.ent LEFT JOIN firsts ON firsts.ent = two.ent"""
+
+
 def _messages_sql() -> str:
     off = "format('{:,.3f}', rel * 100) || '%'"
     return _wide_sql() + f""" SELECT {_KEY}, CASE WHEN status = 'insufficient-data' THEN 'One side of the balance sheet is missing, so it can''t be checked.' WHEN totalAssets = totalEquityAndLiabilities THEN 'Both sides are equal.'
@@ -244,6 +255,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rollup_confidence": lambda s, d: figure(s, d).select("doc_id", "period_id", "concept", "confidence"),
         "balance_check": lambda s, d: A.balance_checks(rolled(s, d)).select("doc_id", "period_id", "assets", "claims", "difference", "status"),
         "insight_texts": lambda s, d: A.insights(settled(rolled(s, d), "rolled")).select("doc_id", "insight", "title", "detail"),
+        "summary_texts": lambda s, d: A.summary(settled(rolled(s, d), "rolled")),
         "balance_messages": lambda s, d: _messages(s, d),
         "metric_workings": lambda s, d: A.workings(rolled(s, d)),
         "metric_yoy_change": lambda s, d: A.metrics(rolled(s, d)).select("doc_id", "period_id", "metric", "change", "change_pct"),
@@ -280,6 +292,7 @@ def oracle_sql() -> dict[str, str]:
         "rollup_confidence": _confidence_sql(),
         "balance_check": _wide_sql() + f" SELECT {_KEY}, totalAssets AS assets, totalEquityAndLiabilities AS claims, totalAssets - totalEquityAndLiabilities AS difference, status FROM chk",
         "insight_texts": _insight_texts_sql(),
+        "summary_texts": _summary_sql(),
         "balance_messages": _messages_sql(),
         "metric_workings": _workings_sql(),
         "metric_yoy_change": _metrics_sql() + " SELECT doc_id, period_id, metric, change, change_pct FROM metrics",

@@ -8,7 +8,8 @@ surviving candidates are compacted before the next dimensions are read. Componen
 
 Bounds start high: each query first meets a sample of at most SEEDS candidates (a broadcast of that many vectors), whose k-th
 score it takes along; the sample only sets bounds, results come from the candidates themselves. Blocks come in falling order of
-their longest vector, and a block that is too short for a query is skipped whole.
+their longest vector, and a block that is too short for a query is skipped whole. A block that is too short for all queries of a
+group isn't sent to that group: the driver gets a number for each group of QUERIES queries for that.
 
 Work is dealt over a grid of query groups and candidate groups, of about CELLS cells at most unless the queries are many. A task
 streams its candidate blocks past one query group, so it holds one block of each and k results for each query, whatever the
@@ -53,16 +54,30 @@ def _vertical(vectors: list) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate blocks of one task's rows: ids and the matrix, as bytes, and the longest vector's length."""
-    part, seq = task_ids()[0], 0
-    for batch in batches:
-        for i in range(0, batch.num_rows, BLOCK):
-            own = batch.slice(i, BLOCK)
-            m = _vertical(own.column("v").to_pylist())
-            top = float(np.sqrt((m.astype(np.float64) ** 2).sum(0).max()))
-            yield pa.RecordBatch.from_pydict({"block": [part * (1 << 32) + seq], "ids": pa.array([own.column("id").to_numpy().tobytes()], pa.binary()), "m": pa.array([_packed(m)], pa.binary()), "dims": [m.shape[0]], "top": [top]})
-            seq += 1
+def _blocks(needs: np.ndarray):
+    """Candidate blocks of a task's rows: ids and the matrix, as bytes, the longest vector's length, and the query groups that the block can give anything: those whose need (see _need) isn't above that length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = task_ids()[0], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                own = batch.slice(i, BLOCK)
+                m = _vertical(own.column("v").to_pylist())
+                top = float(np.sqrt((m.astype(np.float64) ** 2).sum(0).max()))
+                groups = np.flatnonzero(needs <= top * (1 + 1e-9))
+                if len(groups):
+                    yield pa.RecordBatch.from_pydict({"groups": pa.array([groups.tolist()], pa.list_(pa.int64())), "block": [part * (1 << 32) + seq], "ids": pa.array([own.column("id").to_numpy().tobytes()], pa.binary()), "m": pa.array([_packed(m)], pa.binary()), "dims": [m.shape[0]], "top": [top]})
+                seq += 1
+
+    return run
+
+
+def _need(m: np.ndarray, floors: np.ndarray) -> float:
+    """The length that a candidate must have to reach some query's floor, rounded down: shorter ones can't be among the k of any query of the group."""
+    length = np.sqrt((m.astype(np.float64) ** 2).sum(0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = (floors - 1e-6) / (length * (1 + 2e-9))
+    return float(np.where(length > 0, need, np.where(floors <= 1e-6, -np.inf, np.inf)).min())
 
 
 def _packed(m: np.ndarray) -> bytes:
@@ -164,16 +179,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     def group(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("id", kind="stable")
         m, ids = _vertical(own["v"].tolist()), own["id"].to_numpy(np.int64)
-        return pd.DataFrame({"g": [key[0]], "ids": [ids.tobytes()], "m": [_packed(m)], "dims": [m.shape[0]], "floors": [_floors(ids, m, seeds.value, k).tobytes()]})
+        floors = _floors(ids, m, seeds.value, k)
+        return pd.DataFrame({"g": [key[0]], "ids": [ids.tobytes()], "m": [_packed(m)], "dims": [m.shape[0]], "floors": [floors.tobytes()], "need": [_need(m, floors)]})
 
     # The salt keeps a repeated id from filling one group.
     dealt = rows.filter("q").withColumn("g", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(across)))
-    queries = dealt.groupBy("g").applyInPandas(group, "g long, ids binary, m binary, dims long, floors binary")
+    queries = materialize(dealt.groupBy("g").applyInPandas(group, "g long, ids binary, m binary, dims long, floors binary, need double"), "queries")
+    needs = np.full(across, np.inf)  # a number for each query group
+    for r in queries.select("g", "need").collect():
+        needs[r["g"]] = r["need"]
     cells = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long")))
     queries = queries.select("g", cells.alias("s"), F.lit(-1).cast("long").alias("block"), F.lit(float("inf")).alias("top"), "ids", "m", "dims", "floors")
-    packed = rows.select("id", "v").mapInArrow(_blocks, "block long, ids binary, m binary, dims long, top double")
-    groups = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long")))
-    packed = packed.select(groups.alias("g"), F.pmod(F.xxhash64("block"), F.lit(down)).alias("s"), "block", "top", "ids", "m", "dims", F.lit(None).cast("binary").alias("floors"))
+    packed = rows.select("id", "v").mapInArrow(_blocks(needs), "groups array<long>, block long, ids binary, m binary, dims long, top double")
+    packed = packed.select(F.explode("groups").alias("g"), F.pmod(F.xxhash64("block"), F.lit(down)).alias("s"), "block", "top", "ids", "m", "dims", F.lit(None).cast("binary").alias("floors"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, state = None, None

@@ -122,6 +122,23 @@ def test_linear_program_is_near_its_optimum():
         assert worth == pytest.approx(table[2048]) and (rows @ np.array(sizes) <= 2048).all() and (worth <= 1 or (rows @ prices).max() == pytest.approx(worth))
 
 
+def test_top_k_sends_no_block_in_vain(spark, monkeypatch):
+    """Vectors of very different lengths: short blocks go nowhere, and results are those of all pairs."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    x = rng.integers(-20, 20, (2000, 8)) * np.where(np.arange(2000) < 1600, 1, 40)[:, None]
+    frame = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, k=5).collect()}
+    scores = x @ x.T
+    for q in range(0, 2000, 20):
+        best = sorted((-int(scores[q, j]), j) for j in range(2000) if j != q)[:5]
+        assert [got[q, n] for n in range(1, 6)] == [(j, -s) for s, j in best]
+    floors = np.sort(scores[::20] - np.eye(2000, dtype=int)[::20] * 10**9, axis=1)[:, -5].astype(float)
+    need = topk._need(x[::20].T, floors)
+    assert need > np.sqrt((x[:1600].astype(float) ** 2).sum(1)).max() / 4 and (np.sqrt((x.astype(float) ** 2).sum(1)) >= need).sum() >= 5
+    assert topk._need(np.zeros((3, 2)), np.array([-np.inf, 5.0])) == -np.inf and topk._need(np.zeros((3, 1)), np.array([5.0])) == np.inf
+
+
 def groups_by_force(rows, k, num, den):
     sets = {}
     for i, t in rows:

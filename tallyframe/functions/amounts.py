@@ -104,8 +104,12 @@ def _stripped(s: Column) -> Column:
     return F.regexp_replace(s, f"^{_SPACE}+|{_SPACE}+$", "")
 
 
+# Amounts that need no repair: bare digits, groups of three, or Indian groups; in brackets, or with a dash before or after.
+_CLEAN = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,2}(?:,[0-9]{2})*,[0-9]{3}|[0-9]+)"
+
+
 def parse_amount_column(text: Column) -> Column:
-    """parse_amount over a column, in built-in functions.
+    """parse_amount over a column, in built-in functions. Clean amounts, the most frequent, are read by a shorter way.
 
     Repair goes from left to right, and a repaired digit vouches for the look-alike that follows it; so a run of look-alikes is
     repaired whole after a digit or a separator, and at the start only if it's a single one before such.
@@ -148,7 +152,11 @@ def parse_amount_column(text: Column) -> Column:
         out = F.struct(F.when(x["negative"], -value).otherwise(value).alias("value"), F.greatest(F.lit(0.2), F.least(F.lit(1.0), sure)).alias("confidence"), x["repaired"].alias("repaired"), text.alias("raw"))
         return F.when(F.length(digits) <= 18, out)
 
-    return step(s, signed)
+    bare = F.regexp_replace(text, "[^0-9]", "")
+    clean = text.rlike(rf"^(?:{_CLEAN}|\({_CLEAN}\)|-{_CLEAN}|{_CLEAN}-)$") & (F.length(bare) <= 18)
+    sign = F.when(text.rlike("[(-]"), F.lit(-1.0)).otherwise(1.0)
+    plain = F.struct((bare.try_cast("double") * sign).alias("value"), F.when(F.contains(text, F.lit(",")), 1.0).otherwise(0.85).alias("confidence"), F.lit(False).alias("repaired"), text.alias("raw"))
+    return F.when(clean, plain).otherwise(step(s, signed))
 
 
 def fixed(value: float, places: int) -> str:

@@ -96,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op1_exact_top_k": topk.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op8_source_mixing": mixing.oracle_sql(4.0), "op12_ball_k_means": balls.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_exact_top_k": topk.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op8_source_mixing": mixing.oracle_sql(4.0), "op12_ball_k_means": balls.oracle_sql(), "op13_conversation_trie": turntrie.ORACLE_SQL}

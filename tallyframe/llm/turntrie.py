@@ -221,3 +221,22 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
     if state is not None:
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*at, state.hexdigest(), own), kinds, strict=True)], names)
+
+
+#: DuckDB SQL of the same nodes: prefixes as joined digests, and each node met with all below it.
+ORACLE_SQL = """
+WITH c AS (SELECT conv_id, xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda acc, b: list_reduce(list_transform(range(8), lambda i: CAST(i AS BIGINT)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(acc, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS k FROM conversations),
+b AS (SELECT c.conv_id, 0 AS side, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 WHERE k <= h
+  UNION ALL SELECT t.conv_id, 1, k, role, text FROM t JOIN c ON t.conv_id = c.conv_id WHERE k > h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY side, k) AS d, sha256(length(role) || ':' || role || text) AS x, strlen(text) AS bytes FROM b),
+p AS (SELECT conv_id, d, bytes, string_agg(x, ',') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS (SELECT d, path, min(conv_id) AS owner, count(*) AS n, max(bytes) AS bytes, CASE d WHEN 0 THEN NULL WHEN 1 THEN '' ELSE regexp_replace(path, ',[^,]*$', '') END AS above FROM p GROUP BY d, path),
+k AS (SELECT above AS path, count(*) AS kids FROM m WHERE d > 0 GROUP BY above),
+s AS (SELECT m.*, coalesce(kids, 0) AS kids FROM m LEFT JOIN k ON m.path = k.path),
+e AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS top FROM p) WHERE d = top GROUP BY path),
+u AS (SELECT a.path, count(*) FILTER (b.kids = 0) AS leaves, sum((b.n - 1) * b.bytes) AS saved FROM s a JOIN s b ON a.d = 0 OR b.path = a.path OR starts_with(b.path, a.path || ',') GROUP BY a.path)
+SELECT s.owner AS conv_id, s.d AS depth, up.owner AS parent_conv_id, s.n AS n_convs, s.kids AS n_children, u.leaves AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM s JOIN u ON s.path = u.path LEFT JOIN e ON s.path = e.path LEFT JOIN m up ON s.above = up.path"""

@@ -8,6 +8,7 @@ from collections import defaultdict
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,11 +33,11 @@ def plain(df):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name]).df()
     got = QUERIES[name](spark, SF).toPandas()
-    own = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df[sorted(want.columns)].itertuples(index=False, name=None)), key=repr)
+    own = lambda df: sorted((tuple(None if v is None or v is pd.NA or v != v else round(v, 9) if isinstance(v, float) else v for v in r) for r in df[sorted(want.columns)].itertuples(index=False, name=None)), key=lambda r: [(v is not None, v if isinstance(v, (int, float)) else str(v)) for v in r])
     assert sorted(got.columns) == sorted(want.columns) and own(got) == own(want)
 
 

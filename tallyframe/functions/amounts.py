@@ -105,7 +105,7 @@ def _stripped(s: Column) -> Column:
 
 
 # Amounts that need no repair: bare digits, groups of three, or Indian groups; in brackets, or with a dash before or after.
-_CLEAN = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,2}(?:,[0-9]{2})*,[0-9]{3}|[0-9]+)"
+CLEAN = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,2}(?:,[0-9]{2})*,[0-9]{3}|[0-9]+)"
 
 
 def parse_amount_column(text: Column) -> Column:
@@ -153,7 +153,7 @@ def parse_amount_column(text: Column) -> Column:
         return F.when(F.length(digits) <= 18, out)
 
     bare = F.regexp_replace(text, "[^0-9]", "")
-    clean = text.rlike(rf"^(?:{_CLEAN}|\({_CLEAN}\)|-{_CLEAN}|{_CLEAN}-)$") & (F.length(bare) <= 18)
+    clean = text.rlike(rf"^(?:{CLEAN}|\({CLEAN}\)|-{CLEAN}|{CLEAN}-)$") & (F.length(bare) <= 18)
     sign = F.when(text.rlike("[(-]"), F.lit(-1.0)).otherwise(1.0)
     plain = F.struct((bare.try_cast("double") * sign).alias("value"), F.when(F.contains(text, F.lit(",")), 1.0).otherwise(0.85).alias("confidence"), F.lit(False).alias("repaired"), text.alias("raw"))
     return F.when(clean, plain).otherwise(step(s, signed))

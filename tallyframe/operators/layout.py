@@ -1,7 +1,7 @@
 """Page geometry: rows from baselines, value columns from right edges, cells, and labels matched with figures.
 
-These steps depend on order (running means, a dynamic program), so pages are streamed through Arrow batches, one at a time:
-`pages` makes one row of each page, with its rows and value columns as arrays. All that doesn't depend on order is left to
+These steps depend on order (running means, a dynamic program), so pages are streamed through Arrow batches, a batch's pages at a
+time (columnar): `pages` makes one row of each page, with its rows and value columns as arrays. All that doesn't depend on order is left to
 built-in operators over those. A page is bounded in size; a document isn't needed in one place. Distances scale with the page's width.
 """
 
@@ -11,7 +11,6 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
 from math import exp
 from operator import itemgetter
 from statistics import fmean, median
@@ -104,18 +103,24 @@ def amounts_in(tokens: list[tuple], width: float) -> Iterator[tuple[float, float
 def value_columns(rows: list[Row], width: float) -> list[dict]:
     """Value columns of a page: right_edge (median), left, right, support. Right edges are gathered, from left to right, while they stay near the running mean."""
     edges = sorted((right, left) for r in rows for left, right, _ in amounts_in(r.tokens, width))
+    return [{"column_index": i, "right_edge": e, "left": left, "right": right, "support": n} for i, (e, left, right, n) in enumerate(gathered([r for r, _ in edges], [x for _, x in edges], width))]
+
+
+def gathered(edges: list[float], lefts: list[float], width: float) -> list[tuple[float, float, float, int]]:
+    """right_edge, left, right, support of the columns that amounts in order of their right edges make."""
     if len(edges) < 2:
         return []
-    near, groups, total = max(8.0, 0.035 * width), [[edges[0]]], edges[0][0]
-    for edge in edges[1:]:
-        if edge[0] - total / len(groups[-1]) > near:
-            groups.append([])
-            total = 0.0
-        groups[-1].append(edge)
-        total += edge[0]
-    supported = [g for g in groups if len(g) >= (3 if len(edges) >= 8 else 2)] or groups
-    made = [{"right_edge": median(r for r, _ in g), "left": min(x for _, x in g), "right": g[-1][0], "support": len(g)} for g in supported]
-    return [{"column_index": i, **c} for i, c in enumerate(sorted(made, key=itemgetter("right_edge")))]
+    near, cuts, total, n = max(8.0, 0.035 * width), [0], edges[0], 1
+    for i in range(1, len(edges)):
+        if edges[i] - total / n > near:
+            cuts.append(i)
+            total, n = 0.0, 0
+        total += edges[i]
+        n += 1
+    groups = list(zip(cuts, [*cuts[1:], len(edges)]))
+    supported = [(i, j) for i, j in groups if j - i >= (3 if len(edges) >= 8 else 2)] or groups
+    middle = lambda i, j: edges[(i + j) // 2] if (j - i) % 2 else (edges[(i + j) // 2 - 1] + edges[(i + j) // 2]) / 2
+    return sorted(((middle(i, j), min(lefts[i:j]), edges[j - 1], j - i) for i, j in supported), key=itemgetter(0))
 
 
 def assign_cells(rows: list[Row], columns: list[dict], width: float) -> None:
@@ -247,30 +252,24 @@ def sized(tokens: DataFrame) -> DataFrame:
     return tokens.withColumns({k: F.coalesce(k, v) if k in tokens.columns else v for k, v in usual.items()})
 
 
-def by_page(tokens: DataFrame, schema: str, rows_of: Callable[[list[tuple], int, float], list[tuple]]) -> DataFrame:
-    """Runs a function over each page's tokens, page and width. Pages are sorted within partitions and streamed: a task holds one page at a time.
+def by_page(tokens: DataFrame, schema: str, rows_of: Callable) -> DataFrame:
+    """Runs a function over whole pages in columns. Pages are sorted within partitions and streamed: a task holds an Arrow batch of them at a time, or one long page.
 
-    The result has doc_id, page, page_name, page_width and page_height before what the function returns.
+    rows_of: of columnar.Pages and the types of its columns, the page of each row, by place, and the columns. The result has doc_id,
+    page, page_name, page_width and page_height before these.
     """
     names = [x.split()[0] for x in _split(schema)]
     kinds = _arrow(schema, tokens)
     key = ("doc_id", "page", "page_name", "page_width", "page_height")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def stream() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in (*key, *FIELDS)), strict=True)
+        from . import columnar
 
-        for _, own in groupby(stream(), key=itemgetter(0, 1)):
-            own = list(own)
-            held += [(*own[0][:5], *r) for r in rows_of([t[5:] for t in own], own[0][1], own[0][3])]
-            if len(held) >= 500:
-                yield _batch(held, names, kinds)
-                held = []
-        if held:
-            yield _batch(held, names, kinds)
+        for batch in columnar.whole_pages(batches):
+            own = columnar.Pages(batch)
+            whose, made = rows_of(own, kinds[len(key) :])
+            at = pa.array(own.first[whose])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in key), *made], names)
 
     dealt = sized(tokens).select(*key, *FIELDS).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "token_seq")
     return dealt.mapInArrow(run, schema)
@@ -294,28 +293,11 @@ def _arrow(schema: str, some: DataFrame) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in some.sparkSession.createDataFrame([], schema).schema]
 
 
-def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-
 def pages(tokens: DataFrame) -> DataFrame:
     """tokens to a row for each page: its lines (labels, words, cells, and the line whose figures are theirs) in reading order, its value columns, and by how much figures stand below labels. Blank tokens are left out."""
+    from .columnar import page_rows
 
-    def cell(c: Cell) -> dict:
-        return {"column_index": c.column, "value": c.value, "confidence": c.confidence, "repaired": c.repaired, "raw": c.raw, "x": c.x, "width": c.width}
-
-    def line(i: int, r: Row, value_seq: int | None, sure: float) -> dict:
-        words = [{"text": t[0], "x": t[1], "width": t[2]} for t in r.tokens]
-        text = " ".join(t[0] for t in r.tokens)
-        return {"row_seq": i, "y": r.y, "label": r.label, "label_start": r.start, "label_end": r.end, "text": text, "words": words, "cells": [cell(c) for c in r.cells], "value_seq": value_seq, "sure": sure}
-
-    def rows_of(own: list[tuple], page: int, width: float) -> list[tuple]:
-        rows, columns = read_page(own, page, width)
-        at, offset = {id(r): i for i, r in enumerate(rows)}, vertical_offset(rows)
-        figures = {at[id(a)]: (at[id(b)] if b else None, sure) for a, b, sure in align(rows, offset)}
-        return [([line(i, r, *figures.get(i, (None, 0.0))) for i, r in enumerate(rows)], columns, offset)]
-
-    return by_page(tokens, PAGE, rows_of)
+    return by_page(tokens, PAGE, page_rows)
 
 
 def page_lines(read: DataFrame) -> DataFrame:
@@ -330,12 +312,10 @@ def page_columns(read: DataFrame) -> DataFrame:
 
 def runs(tokens: DataFrame) -> DataFrame:
     """doc_id, page, row_seq, text, x, width: the runs of number-like tokens of each line."""
-
-    def rows_of(own: list[tuple], page: int, width: float) -> list[tuple]:
-        return [(i, text, x, w) for i, r in enumerate(build_rows(own, page)) for text, x, w, _ in stitch(r.tokens, stitch_gap(width))]
+    from .columnar import run_rows
 
     key = "doc_id string, page int, page_name string, page_width double, page_height double"
-    return by_page(tokens, f"{key}, row_seq int, text string, x double, width double", rows_of).drop("page_name", "page_width", "page_height")
+    return by_page(tokens, f"{key}, row_seq int, text string, x double, width double", run_rows).drop("page_name", "page_width", "page_height")
 
 
 def aligned(read: DataFrame) -> DataFrame:

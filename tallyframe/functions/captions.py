@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import frequent, look_up
+from ..operators.joins import frequent, told
 from ..store import settled
 from .chart import CONCEPTS, SECTION_MARKERS
 
@@ -196,7 +196,7 @@ def classify(captions: DataFrame, label: str = "label", section: str = "section"
     # A caption has as many candidates as there are concepts, at most.
     known = found.groupBy("_b", "_s").agg(F.array_sort(F.collect_list(F.struct("at", "score", "specificity", "distance", "n", "concept"))).alias("found"))
     known = known.withColumn("top", F.get("found", first("found"))).select("_b", "_s", F.col("top.concept").alias("concept"), F.col("top.score").alias("label_score"))
-    return look_up(keyed, settled(known, "known"), ["_b", "_s"], frequent(keys, ["_b", "_s"])).drop("_b", "_s")
+    return told(keyed, settled(known, "known"), ["_b", "_s"], frequent(keys, ["_b", "_s"])).drop("_b", "_s")
 
 
 def despaced(normal: Column) -> Column:

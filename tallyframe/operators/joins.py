@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key is frequent if more than one in so many rows has it; there are fewer frequent keys than that.
 SHARE = 1000
+#: A table of up to so many rows is broadcast whole.
+FEW = 20_000
 
 
 def frequent(counts: DataFrame, keys: list[str], n: str = "count", share: int = SHARE) -> DataFrame:
@@ -34,3 +36,10 @@ def look_up(rows: DataFrame, table: DataFrame, keys: list[str], often: DataFrame
     place = F.when(done, F.xxhash64(*(F.col(c) for c in rows.columns))).otherwise(F.xxhash64(*keys))
     out = met.withColumn("_place", place).join(table.withColumn("_place", F.xxhash64(*keys)), [*keys, "_place"], "left")
     return out.select(*rows.columns, *(F.when(F.col("_few"), F.col(f"_few_{c}")).otherwise(F.col(c)).alias(c) for c in values))
+
+
+def told(rows: DataFrame, table: DataFrame, keys: list[str], often: DataFrame) -> DataFrame:
+    """look_up(); a table of up to FEW rows is broadcast whole, so that no row is shuffled."""
+    if table.limit(FEW + 1).count() > FEW:
+        return look_up(rows, table, keys, often)
+    return rows.join(F.broadcast(table), keys, "left").select(*rows.columns, *(c for c in table.columns if c not in keys))

@@ -324,3 +324,17 @@ def test_assist_tables(spark):
     c = lambda **k: {n: F.lit(v) for n, v in k.items()}
     want = lambda sure, rows, there, no: spark.range(1).select(assist.wanted(*c(a=sure, b=rows, c=there, d=no).values()).alias("x")).first()["x"]
     assert want(0.5, 0, True, False) and want(0.9, 1, True, False) and not want(0.9, 0, True, False) and not want(0.5, 1, False, False) and not want(0.5, 1, True, True)
+
+
+def test_labels_are_read_once_for_each_distinct_one(spark, monkeypatch):
+    """A page's captions are the same whether what is known of labels is broadcast or met in a shuffle, and a query makes no tables that it doesn't ask for."""
+    from tallyframe.operators import joins
+
+    texts = ("EQUITY AND LIABILITIES", "Trade payables", "Current assets", "Cash and cash equivalents", "Cash and cash equivalents", "")
+    tokens = spark.createDataFrame([(str(d), 1, 10 * i + j, t, x, 700.0 - 24 * i, 6.0 * len(t), 8.0, False) for d in range(3) for i, text in enumerate(texts) for j, (t, x) in enumerate(((text, 60.0), (f"1,{i}{d}0", 402.0), (f"2,{i}{d}0", 492.0)))], "doc_id string, page int, token_seq int, text string, x double, y double, width double, height double, is_numeric boolean")
+    read = statement.statements(tokens)
+    assert read.companies.count() == 3 and not {"periods", "_rows"} & set(vars(read))
+    few = {tuple(r) for r in read.captions.collect()}
+    monkeypatch.setattr(joins, "FEW", 0)
+    assert few == {tuple(r) for r in statement.captioned(read.pages).collect()} and len(few) == 18
+    assert {r[6] for r in few if r[3] == "Cash and cash equivalents"} == {"assets"}

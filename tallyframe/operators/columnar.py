@@ -40,6 +40,19 @@ def key_at(batch: pa.RecordBatch, i: int) -> tuple:
     return batch.column("doc_id")[i].as_py(), batch.column("page")[i].as_py()
 
 
+def unbundled(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """A row for each token, of batches whose rows hold an array of them. Fields that tokens don't have are their bundle's."""
+    for batch in batches:
+        if "tokens" in batch.schema.names:
+            bundles = batch.column("tokens")
+            each, whose = bundles.flatten(), pc.list_parent_indices(bundles)
+            own = dict(zip((f.name for f in each.type), each.flatten(), strict=True))
+            common = [c for c in batch.schema.names if c != "tokens" and c not in own]
+            own |= {c: batch.column(c).take(whose) for c in common}
+            batch = pa.RecordBatch.from_pydict({c: own[c] for c in (*(c for c in common if c not in fields), *fields)})
+        yield batch
+
+
 def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches cut where pages begin, so that each has whole pages: a batch's, or one long page."""
     held: list[pa.RecordBatch] = []

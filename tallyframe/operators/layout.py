@@ -252,9 +252,12 @@ def sized(tokens: DataFrame) -> DataFrame:
     return tokens.withColumns({k: F.coalesce(k, v) if k in tokens.columns else v for k, v in usual.items()})
 
 
-def by_page(tokens: DataFrame, schema: str, rows_of: Callable) -> DataFrame:
+def by_page(tokens: DataFrame, schema: str, rows_of: Callable, dealt: bool = False) -> DataFrame:
     """Runs a function over whole pages in columns. Pages are sorted within partitions and streamed: a task holds an Arrow batch of them at a time, or one long page.
 
+    tokens: a row for each, or for each bundle of a page's tokens that follow each other: an array `tokens`, in order of token_seq. What
+    a bundle's tokens have in common may stand beside the array. A bundle is dealt and sorted as one row. dealt: each page's rows are
+    in one partition already.
     rows_of: of columnar.Pages and the types of its columns, the page of each row, by place, and the columns. The result has doc_id,
     page, page_name, page_width and page_height before these.
     """
@@ -265,14 +268,16 @@ def by_page(tokens: DataFrame, schema: str, rows_of: Callable) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from . import columnar
 
-        for batch in columnar.whole_pages(batches):
+        for batch in columnar.whole_pages(columnar.unbundled(batches, FIELDS)):
             own = columnar.Pages(batch)
             whose, made = rows_of(own, kinds[len(key) :])
             at = pa.array(own.first[whose])
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in key), *made], names)
 
-    dealt = sized(tokens).select(*key, *FIELDS).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "token_seq")
-    return dealt.mapInArrow(run, schema)
+    first = F.col("tokens")[0]["token_seq"] if "tokens" in tokens.columns else F.col("token_seq")
+    rows = sized(tokens).select(*key, *(c for c in ("tokens", *FIELDS) if c in tokens.columns))
+    rows = rows if dealt else rows.repartition("doc_id", "page")
+    return rows.sortWithinPartitions("doc_id", "page", first).mapInArrow(run, schema)
 
 
 def _split(schema: str) -> list[str]:
@@ -293,11 +298,14 @@ def _arrow(schema: str, some: DataFrame) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in some.sparkSession.createDataFrame([], schema).schema]
 
 
-def pages(tokens: DataFrame) -> DataFrame:
-    """tokens to a row for each page: its lines (labels, words, cells, and the line whose figures are theirs) in reading order, its value columns, and by how much figures stand below labels. Blank tokens are left out."""
+def pages(tokens: DataFrame, dealt: bool = False) -> DataFrame:
+    """tokens to a row for each page: its lines (labels, words, cells, and the line whose figures are theirs) in reading order, its value columns, and by how much figures stand below labels. Blank tokens are left out.
+
+    tokens: one by one or in bundles; dealt: each page's are in one partition already (by_page).
+    """
     from .columnar import page_rows
 
-    return by_page(tokens, PAGE, page_rows)
+    return by_page(tokens, PAGE, page_rows, dealt)
 
 
 def page_lines(read: DataFrame) -> DataFrame:
@@ -310,12 +318,12 @@ def page_columns(read: DataFrame) -> DataFrame:
     return read.select("doc_id", "page", F.explode("columns").alias("c")).select("doc_id", "page", "c.*")
 
 
-def runs(tokens: DataFrame) -> DataFrame:
+def runs(tokens: DataFrame, dealt: bool = False) -> DataFrame:
     """doc_id, page, row_seq, text, x, width: the runs of number-like tokens of each line."""
     from .columnar import run_rows
 
     key = "doc_id string, page int, page_name string, page_width double, page_height double"
-    return by_page(tokens, f"{key}, row_seq int, text string, x double, width double", run_rows).drop("page_name", "page_width", "page_height")
+    return by_page(tokens, f"{key}, row_seq int, text string, x double, width double", run_rows, dealt).drop("page_name", "page_width", "page_height")
 
 
 def aligned(read: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyframe.operators import columnar, layout
+from tallyframe.plans import texts
 
 _FIELDS = ("doc_id", "page", "page_name", "page_width", "page_height", *layout.FIELDS)
 _TYPES = [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
@@ -119,3 +120,19 @@ def test_runs_as_page_by_page():
     whose, (row, text, x, width) = columnar.run_rows(columnar.Pages(batch(tokens)), [pa.int32()])
     want = layout.stitch([(t[6], t[7], t[9], False) for t in tokens], layout.stitch_gap(595.0))
     assert whose.tolist() == [0, 0, 0] and list(zip(text.to_pylist(), x.to_pylist(), width.to_pylist())) == [t[:3] for t in want]
+
+
+def test_bundles_as_tokens(spark):
+    """Tokens in bundles, of which some tell the size and the baseline for all of theirs, make the pages that single tokens make."""
+    lines = [(d, 1, 400.0, [(10 * k + i, t, 60.0 + 170 * i, 8.0 * len(t)) for i, t in enumerate(own)], 700.0 - 24 * k) for d, pages in (("a", ["Cash 1,234 5,678", "Stock 12,34,567 9,876", "x"]), (None, ["", "Equity 4,321"])) for k, own in enumerate(p.split(" ") for p in pages)]
+    bundles = spark.createDataFrame(lines[::-1], "doc_id string, page int, page_width double, tokens array<struct<token_seq:int,text:string,x:double,width:double>>, y double").selectExpr("*", "8D AS height", "false AS is_numeric")
+    single = bundles.selectExpr("doc_id", "page", "page_width", "y", "height", "is_numeric", "inline(tokens)")
+    made = [sorted(layout.pages(t, **k).collect(), key=repr) for t, k in ((single, {}), (bundles, {}), (bundles.repartition("doc_id"), {"dealt": True}))]
+    assert len(made[0]) == 2 and made[0] == made[1] == made[2]
+
+
+@pytest.mark.parametrize("name", ["sheet_cells", "align_monotonic_tight", "align_monotonic", "skew_offset", "row_cluster", "period_ids", "row_labels", "value_columns", "cell_assignment", "cell_choice", "numeric_stitch"])
+def test_tokens_are_not_dealt(spark, name):
+    """Line items are dealt by part and by order; what is made of them isn't dealt a third time before pages are laid out."""
+    below = texts.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]
+    assert "Repartition" not in below and "explode" not in below

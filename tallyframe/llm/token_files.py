@@ -82,8 +82,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, root: str, end_id: int = 1, l
                 writer = _RowWriter(streams[0], words.dtype, length, batch_rows)
                 index = ipc.new_stream(streams[1], pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
             counts = []
-            for text in batch.column("text"):
-                ids = words.encode(text.as_py() or "") + end
+            for text in batch.column("text").to_pylist():
+                ids = words.encode(text or "") + end
                 writer.add(ids)
                 counts.append(len(ids) // words.dtype.itemsize)
             starts = done + np.cumsum([0, *counts[:-1]])
@@ -95,7 +95,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, root: str, end_id: int = 1, l
             for x in streams:
                 x.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "ids_path": [where[0]], "index_path": [where[1]], "n_docs": [n_docs], "n_ids": [n_ids]})
-        release()
+        release(encoders=False)  # the worker's next range of documents needs it
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = rows.repartitionByRange(parts or scan_parts(rows), F.col("doc_id").asc_nulls_first())

@@ -113,7 +113,12 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def release() -> None:
-    """At the end of a task: lets go of encoders and buffers, since a Python worker lives on and shares its executor's memory. Another task reads the file again."""
-    _ENCODERS.clear()
+def release(encoders: bool = True) -> None:
+    """At the end of a task: lets go of buffers and, if told, of encoders, since a Python worker lives on and shares its executor's memory.
+
+    A worker without its encoder reads the file again for the next task, and encodes frequent words anew; one that keeps it has both,
+    within the encoder's bound.
+    """
+    if encoders:
+        _ENCODERS.clear()
     pa.default_memory_pool().release_unused()

@@ -632,3 +632,15 @@ def test_labels_whose_columns_clash(spark, tmp_path):
         got = QUERIES[name](spark, str(tmp_path)).collect()
         assert len(got) == 60 and np.mean([r["predicted"] == want(r["doc_id"]) for r in got]) > 0.95
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % (5 if "quality" in name else 3) == (0 if "quality" in name else 1)) for r in got)
+
+
+def test_a_worker_keeps_its_encoder():
+    """Between ranges of documents only buffers go, so a file's words are read and encoded once for each worker."""
+    from tallyframe.llm import tokens
+
+    one = tokens.encoder(vocabulary("word_bpe_49k.json"))
+    tokens.release(encoders=False)
+    assert tokens.encoder(vocabulary("word_bpe_49k.json")) is one
+    tokens.release()
+    assert tokens.encoder(vocabulary("word_bpe_49k.json")) is not one
+    tokens.release()

@@ -17,7 +17,7 @@ from tallyframe.llm.queries import vocabulary
 
 
 #: Settings of the session while the pipeline runs: whole texts pass through Python workers, in batches that are small beside an executor's memory.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
 
 
 def _small(spark: SparkSession) -> None:

@@ -48,3 +48,11 @@ def test_entry_registers_everything():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert pytest.approx(len(corpus_pipeline.STAGES)) == 5
+
+
+def test_batches_are_small():
+    """Three tasks of an executor hold whole texts in the JVM and in Python at once: 2 MB each at most, beside 3,000 MB for all."""
+    import corpus_pipeline
+
+    assert int(corpus_pipeline.BATCHES["spark.sql.execution.arrow.maxRecordsPerBatch"]) <= 500
+    assert corpus_pipeline.BATCHES["spark.sql.execution.arrow.maxBytesPerBatch"] == "2m"

@@ -80,6 +80,21 @@ def medians(values: np.ndarray, owner: np.ndarray, n: int, none: float) -> np.nd
     return out
 
 
+def segments(values: np.ndarray, owner: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where an owner's values, in ascending order, are cut by gaps wider than its `near`, and which segments may fall apart further.
+
+    A running mean lies between its first and last value: a wider gap ends it for sure, and a segment that is no wider than `near` is one
+    for sure. `tiny` covers rounding; where it isn't finite, all is left to a look at the means.
+    """
+    tiny = 1e-6 + 1e-9 * np.abs(values).max(initial=0.0)
+    new = np.ones(len(values), bool)
+    with np.errstate(invalid="ignore"):
+        new[1:] = (owner[1:] != owner[:-1]) | (np.diff(values) > near[owner[1:]] + tiny)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(values))[: len(first)] - 1
+        return first, ~(values[last] - values[first] <= near[owner[first]] - tiny)
+
+
 def offsets(counts: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
 
@@ -119,7 +134,7 @@ class Pages:
         row = np.cumsum(row) - 1
         across = np.lexsort((x[order], row))
         order = order[across]
-        self.row, self.begins = row, np.array(begins, np.int64)
+        self.row, self.begins = row, begins
         self.size = np.diff(np.append(self.begins, len(order)))
         self.x, self.width, self.y = x[order], width[order], y[order]
         self.text = text.take(pa.array(kept[order]))
@@ -129,17 +144,20 @@ class Pages:
         self.row_seq = np.arange(len(self.begins)) - (np.cumsum(self.page_rows) - self.page_rows)[self.row_page]
 
     @staticmethod
-    def _rows(page: np.ndarray, y: np.ndarray, near: np.ndarray) -> list[int]:
+    def _rows(page: np.ndarray, y: np.ndarray, near: np.ndarray) -> np.ndarray:
         """Where rows begin, as layout.build_rows has them."""
-        out, last, mean, n = [], -1, 0.0, 0
-        for i, (p, own, far) in enumerate(zip(page.tolist(), y.tolist(), near[page].tolist())):
-            if p == last and abs(mean - own) <= far:
-                n += 1
-                mean += (own - mean) / n
-            else:
-                out.append(i)
-                last, mean, n = p, own, 1
-        return out
+        first, loose = segments(-y, page, near)
+        more, ends = [], np.append(first[1:], len(y))
+        for i, end, far in zip(first[loose].tolist(), ends[loose].tolist(), near[page[first[loose]]].tolist()):
+            mean, n = 0.0, 0
+            for at, own in enumerate(y[i:end].tolist(), i):
+                if n and abs(mean - own) <= far:
+                    n += 1
+                    mean += (own - mean) / n
+                else:
+                    more.append(at)
+                    mean, n = own, 1
+        return np.sort(np.concatenate((first[~loose], np.array(more, np.int64))))
 
     @cached_property
     def row_y(self) -> np.ndarray:
@@ -213,22 +231,41 @@ class Pages:
         return self._amounts(self.runs)
 
     @cached_property
-    def columns(self) -> list[list[tuple]]:
-        """Each page's value columns: right_edge, left, right, support."""
+    def columns(self) -> dict:
+        """Value columns, from left to right on each page: page, right_edge, left, right, support."""
         a = self.amounts
         page = self.row_page[a["row"]]
         order = np.lexsort((a["left"], a["right"], page))
-        left, right, ends = a["left"][order].tolist(), a["right"][order].tolist(), np.cumsum(np.bincount(page, minlength=self.n)).tolist()
-        out, at = [], 0
-        for end, width in zip(ends, self.page_width.tolist()):
-            out.append(layout.gathered(right[at:end], left[at:end], width))
-            at = end
-        return out
+        page, left, right = page[order], a["left"][order], a["right"][order]
+        edges = np.bincount(page, minlength=self.n)
+        first, loose = segments(right, page, np.maximum(8.0, 0.035 * self.page_width))
+        size, own = np.diff(np.append(first, len(right))), page[first]
+        enough, some, hard = size >= np.where(edges >= 8, 3, 2)[own], np.zeros(self.n, bool), np.zeros(self.n, bool)
+        some[own[enough]] = True
+        hard[own[loose]] = True
+        hard &= edges > 1
+        keep = (enough | ~some[own]) & (edges[own] > 1) & ~hard[own]
+        low = np.minimum.reduceat(left, first) if len(first) else left
+        middle = (right[first + (size - 1) // 2] + right[first + size // 2]) / 2
+        out = {"page": own[keep], "right_edge": middle[keep], "left": low[keep], "right": right[first + size - 1][keep], "support": size[keep]}
+        if not hard.any():
+            return out
+        ends = np.cumsum(edges)
+        more = [(p, *c) for p in np.flatnonzero(hard).tolist() for c in layout.gathered(*(v[ends[p] - edges[p] : ends[p]].tolist() for v in (right, left)), float(self.page_width[p]))]
+        both = {k: np.concatenate((v, np.array(m, v.dtype))) for (k, v), m in zip(out.items(), zip(*more, strict=True), strict=True)}
+        order = np.argsort(both["page"], kind="stable")
+        return {k: v[order] for k, v in both.items()}
 
     @cached_property
     def edge(self) -> np.ndarray:
         """Where labels end, by page."""
-        return np.array([min((c[1] for c in own), default=w + 4) - 4 for own, w in zip(self.columns, self.page_width.tolist())])
+        out = np.full(self.n, np.inf)
+        np.minimum.at(out, self.columns["page"], self.columns["left"])
+        return np.where(self.column_counts > 0, out, self.page_width + 4) - 4
+
+    @cached_property
+    def column_counts(self) -> np.ndarray:
+        return np.bincount(self.columns["page"], minlength=self.n)
 
     @cached_property
     def labels(self) -> tuple[np.ndarray, pa.Array]:
@@ -254,7 +291,7 @@ class Pages:
             keep = np.flatnonzero(~np.isin(runs["row"], redone))
             kept = {k: v.take(pa.array(keep)) if k == "text" else v[keep] for k, v in runs.items()}
             a = self._amounts(self._with(kept, [(r, [t for t in self.tokens(r) if t[1] >= edge[r]]) for r in redone], gap))
-        count = np.array([len(c) for c in self.columns])
+        count = self.column_counts
         page = self.row_page[a["row"]]
         use = np.flatnonzero((a["left"] >= edge[a["row"]]) & (count[page] > 0))
         page, right = page[use], a["right"][use]
@@ -277,7 +314,7 @@ class Pages:
         if not most:
             return far, at
         edges = np.full((self.n, most), np.inf)
-        edges[np.arange(most) < count[:, None]] = [c[0] for own in self.columns for c in own]
+        edges[np.arange(most) < count[:, None]] = self.columns["right_edge"]
         step = max(1, _TABLE // most)
         for i in range(0, len(page), step):
             own = slice(i, i + step)
@@ -386,18 +423,38 @@ def listed(kind: pa.ListType, counts: np.ndarray, values: pa.Array) -> pa.ListAr
 
 
 def page_rows(own: Pages, kinds: list[pa.DataType]) -> tuple[np.ndarray, list]:
-    """A row for each page: lines, columns, offset, as layout.PAGE has them."""
-    line, (named, label), cells, (match, sure) = kinds[0].value_type, own.labels, own.cells, own.matches
-    of = {f.name: f.type for f in line}
-    first = own.x[own.begins] if len(own.begins) else own.x
-    end = own.begins + np.maximum(named - 1, 0)
-    words = listed(of["words"], own.size, struct(of["words"].value_type, own.text, own.x, own.width))
-    figures = struct(of["cells"].value_type, cells["column"], cells["value"], cells["sure"], cells["repaired"], cells["raw"], cells["left"], cells["right"] - cells["left"])
-    value_seq = pa.array(own.row_seq[match] if len(match) else match, pa.int32(), mask=match < 0)
-    lines = struct(line, own.row_seq, own.row_y, label, first, np.where(named > 0, own.x[end] + own.width[end], first), joined(own.text, own.size), words, listed(of["cells"], np.bincount(cells["row"], minlength=len(named)), figures), value_seq, sure)
-    columns = [(i, *c) for page in own.columns for i, c in enumerate(page)]
-    told = struct(kinds[1].value_type, *(zip(*columns, strict=True) if columns else [()] * 5))
-    return np.arange(own.n), [listed(kinds[0], own.page_rows, lines), listed(kinds[1], np.array([len(c) for c in own.columns]), told), pa.array(own.offset)]
+    """A row for each page: lines, columns, offset, as layout.PAGE has them, or those of them that kinds has; of lines, the fields that kinds has. Nothing else is worked out."""
+    return np.arange(own.n), [pa.array(own.offset) if not pa.types.is_list(k) else page_lines(own, k) if "support" not in [f.name for f in k.value_type] else page_columns(own, k) for k in kinds]
+
+
+def page_columns(own: Pages, kind: pa.ListType) -> pa.ListArray:
+    made, counts = own.columns, own.column_counts
+    index = np.arange(len(made["page"])) - (np.cumsum(counts) - counts)[made["page"]]
+    return listed(kind, counts, struct(kind.value_type, index, *(made[k] for k in ("right_edge", "left", "right", "support"))))
+
+
+def page_lines(own: Pages, kind: pa.ListType) -> pa.ListArray:
+    of = {f.name: f.type for f in kind.value_type}
+
+    def end() -> np.ndarray:
+        named = own.labels[0]
+        at = own.begins + np.maximum(named - 1, 0)
+        return np.where(named > 0, own.x[at] + own.width[at], own.x[own.begins])
+
+    def cells() -> pa.ListArray:
+        c = own.cells
+        figures = struct(of["cells"].value_type, c["column"], c["value"], c["sure"], c["repaired"], c["raw"], c["left"], c["right"] - c["left"])
+        return listed(of["cells"], np.bincount(c["row"], minlength=len(own.begins)), figures)
+
+    def value_seq() -> pa.Array:
+        match = own.matches[0]
+        return pa.array(own.row_seq[match] if len(match) else match, pa.int32(), mask=match < 0)
+
+    makers = {
+        "row_seq": lambda: own.row_seq, "y": lambda: own.row_y, "label": lambda: own.labels[1], "label_start": lambda: own.x[own.begins], "label_end": end, "text": lambda: joined(own.text, own.size),
+        "words": lambda: listed(of["words"], own.size, struct(of["words"].value_type, own.text, own.x, own.width)), "cells": cells, "value_seq": value_seq, "sure": lambda: own.matches[1],
+    }
+    return listed(kind, own.page_rows, struct(kind.value_type, *(makers[name]() for name in of)))
 
 
 def run_rows(own: Pages, kinds: list[pa.DataType]) -> tuple[np.ndarray, list]:

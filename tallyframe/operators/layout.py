@@ -252,12 +252,12 @@ def sized(tokens: DataFrame) -> DataFrame:
     return tokens.withColumns({k: F.coalesce(k, v) if k in tokens.columns else v for k, v in usual.items()})
 
 
-def by_page(tokens: DataFrame, schema: str, rows_of: Callable, dealt: bool = False) -> DataFrame:
+def by_page(tokens: DataFrame, schema: str, rows_of: Callable, dealt: bool = False, ordered: bool = False) -> DataFrame:
     """Runs a function over whole pages in columns. Pages are sorted within partitions and streamed: a task holds an Arrow batch of them at a time, or one long page.
 
     tokens: a row for each, or for each bundle of a page's tokens that follow each other: an array `tokens`, in order of token_seq. What
     a bundle's tokens have in common may stand beside the array. A bundle is dealt and sorted as one row. dealt: each page's rows are
-    in one partition already.
+    in one partition already. ordered: they are, one page after another and in order of token_seq, so they aren't sorted either.
     rows_of: of columnar.Pages and the types of its columns, the page of each row, by place, and the columns. The result has doc_id,
     page, page_name, page_width and page_height before these.
     """
@@ -276,8 +276,8 @@ def by_page(tokens: DataFrame, schema: str, rows_of: Callable, dealt: bool = Fal
 
     first = F.col("tokens")[0]["token_seq"] if "tokens" in tokens.columns else F.col("token_seq")
     rows = sized(tokens).select(*key, *(c for c in ("tokens", *FIELDS) if c in tokens.columns))
-    rows = rows if dealt else rows.repartition("doc_id", "page")
-    return rows.sortWithinPartitions("doc_id", "page", first).mapInArrow(run, schema)
+    rows = rows if dealt or ordered else rows.repartition("doc_id", "page")
+    return (rows if ordered else rows.sortWithinPartitions("doc_id", "page", first)).mapInArrow(run, schema)
 
 
 def _split(schema: str) -> list[str]:
@@ -298,14 +298,25 @@ def _arrow(schema: str, some: DataFrame) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in some.sparkSession.createDataFrame([], schema).schema]
 
 
-def pages(tokens: DataFrame, dealt: bool = False) -> DataFrame:
+def pages(tokens: DataFrame, dealt: bool = False, ordered: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
     """tokens to a row for each page: its lines (labels, words, cells, and the line whose figures are theirs) in reading order, its value columns, and by how much figures stand below labels. Blank tokens are left out.
 
-    tokens: one by one or in bundles; dealt: each page's are in one partition already (by_page).
+    tokens: one by one or in bundles; dealt, ordered: each page's are in one partition already, or in order there as well (by_page).
+    only: what is wanted of a page: fields of lines, "columns", "offset"; the rest is neither worked out nor brought back.
     """
     from .columnar import page_rows
 
-    return by_page(tokens, PAGE, page_rows, dealt)
+    return by_page(tokens, PAGE if only is None else _pruned(only), page_rows, dealt, ordered)
+
+
+def _pruned(only: tuple[str, ...]) -> str:
+    """PAGE with those of its columns and of its lines' fields that are told."""
+    key, (lines, *rest) = _split(PAGE)[:5], _split(PAGE)[5:]
+    fields = _split(lines[len("lines array<struct<") : -2])
+    own = [f for f in fields if f.split(":")[0] in only]
+    if unknown := set(only) - {f.split(":")[0] for f in fields} - {c.split()[0] for c in rest}:
+        raise ValueError(f"pages have no {', '.join(sorted(unknown))}")
+    return ", ".join([*key, *([f"lines array<struct<{','.join(own)}>>"] if own else []), *(c for c in rest if c.split()[0] in only)])
 
 
 def page_lines(read: DataFrame) -> DataFrame:
@@ -318,16 +329,25 @@ def page_columns(read: DataFrame) -> DataFrame:
     return read.select("doc_id", "page", F.explode("columns").alias("c")).select("doc_id", "page", "c.*")
 
 
-def runs(tokens: DataFrame, dealt: bool = False) -> DataFrame:
+def page_offsets(read: DataFrame) -> DataFrame:
+    """read: as pages() makes it. doc_id, page, offset, of pages with a labelled line."""
+    return read.filter(F.exists("lines", lambda x: x["label"] != "")).select("doc_id", "page", "offset")
+
+
+def runs(tokens: DataFrame, dealt: bool = False, ordered: bool = False) -> DataFrame:
     """doc_id, page, row_seq, text, x, width: the runs of number-like tokens of each line."""
     from .columnar import run_rows
 
     key = "doc_id string, page int, page_name string, page_width double, page_height double"
-    return by_page(tokens, f"{key}, row_seq int, text string, x double, width double", run_rows, dealt).drop("page_name", "page_width", "page_height")
+    return by_page(tokens, f"{key}, row_seq int, text string, x double, width double", run_rows, dealt, ordered).drop("page_name", "page_width", "page_height")
+
+
+#: What aligned() needs of pages.
+ALIGNED = ("row_seq", "y", "label", "cells", "value_seq", "sure", "offset")
 
 
 def aligned(read: DataFrame) -> DataFrame:
-    """read: as pages() makes it. A row for each labelled line: doc_id, page, row_seq, label, y, value_seq, value_y, cells, confidence, offset."""
+    """read: as pages() makes it, or of ALIGNED alone. A row for each labelled line: doc_id, page, row_seq, label, y, value_seq, value_y, cells, confidence, offset."""
     own = lambda x: F.get("lines", x["value_seq"])
     # Figures are fetched within the array, so a line doesn't carry its page through the explosion.
     pairs = F.transform("lines", lambda x: F.struct(x["row_seq"].alias("row_seq"), x["label"].alias("label"), x["y"].alias("y"), x["value_seq"].alias("value_seq"), own(x)["y"].alias("value_y"), own(x)["cells"].alias("cells"), x["sure"].alias("confidence")))
@@ -335,4 +355,4 @@ def aligned(read: DataFrame) -> DataFrame:
     return each.select("doc_id", "page", "p.row_seq", "p.label", "p.y", "p.value_seq", "p.value_y", F.coalesce("p.cells", F.array().cast(f"array<{CELL}>")).alias("cells"), "p.confidence", "offset")
 
 
-__all__ = ["Cell", "Row", "align", "aligned", "build_rows", "page_columns", "page_lines", "pages", "read_page", "runs", "stitch", "value_columns", "vertical_offset"]
+__all__ = ["Cell", "Row", "align", "aligned", "build_rows", "page_columns", "page_lines", "page_offsets", "pages", "read_page", "runs", "stitch", "value_columns", "vertical_offset"]

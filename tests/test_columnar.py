@@ -142,3 +142,38 @@ def test_filings_in_lines(spark):
     """A filing's line is dealt as one row, with its caption and both figures."""
     lines = texts.filing_lines(spark, "/root/testdata/sf0.001").selectExpr("size(tokens) AS n").groupBy("n").count().collect()
     assert {r["n"] for r in lines} == {1, 3} and sum(r["n"] * r["count"] for r in lines) == texts.filings(spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize("only", [("words",), ("columns",), ("offset",), ("row_seq", "label", "cells"), layout.ALIGNED])
+def test_what_is_wanted_of_pages(spark, only):
+    """Pages hold what is asked for alone, as whole pages have it; nothing else is worked out."""
+    tokens = texts.token_lines(spark, "/root/testdata/sf0.001", skew=7.0, spacing=12.0).filter("doc_id < '2'")
+    made, whole = (sorted(layout.pages(tokens, **k).collect(), key=lambda r: r["doc_id"]) for k in ({"only": only}, {}))
+    fields = [f for f in only if f not in ("columns", "offset")]
+    assert made and len(made) == len(whole) and set(made[0].asDict()) == {"doc_id", "page", "page_name", "page_width", "page_height", *({"lines"} if fields else ()), *(set(only) - set(fields))}
+    for a, b in zip(made, whole, strict=True):
+        assert all(a[c] == b[c] for c in ("columns", "offset") if c in only)
+        assert not fields or [{f: x[f] for f in fields} for x in b["lines"]] == [x.asDict() for x in a["lines"]]
+
+
+def test_unwanted_parts_are_not_worked_out(spark):
+    own = columnar.Pages(batch([("a", 1, None, 595.0, 842.0, 0, "Cash", 60.0, 700.0, 24.0, 8.0, False)]))
+    columnar.page_rows(own, layout._arrow(layout._pruned(("words",)), spark.range(1))[5:])
+    assert not {"runs", "columns", "labels", "cells", "matches"} & set(vars(own))
+    with pytest.raises(ValueError, match="pages have no word$"):
+        layout.pages(spark.createDataFrame([], layout.TOKENS), only=("word", "y"))
+
+
+@pytest.mark.parametrize("name", ["sheet_cells", "align_monotonic_tight", "align_monotonic", "skew_offset", "row_cluster", "period_ids", "row_labels", "value_columns", "cell_assignment", "cell_choice", "numeric_stitch"])
+def test_lines_in_order_are_not_sorted_again(spark, name):
+    """Line items are sorted as they are numbered; pages take them in that order."""
+    below = texts.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]
+    assert "Window" in below and "Sort" not in below
+
+
+@pytest.mark.parametrize("n", [0, 7, 999, 1000, 99_999, 100_000, 9_999_999, 10_000_000, 999_999_999, 10**9, 12**15, -1, -1234, -1234567, None])
+def test_indian_groups(spark, n):
+    from tallyframe.functions import amounts
+
+    got = spark.createDataFrame([(n,)], "n long").select(texts.indian(texts.F.col("n"))).first()[0]
+    assert got == (None if n is None else ("-" if n < 0 else "") + amounts.indian_groups(abs(n)))

@@ -94,8 +94,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The places of all pieces in sequences of 2048 tokens; a document that mixing repeats is packed as often.
 
     Null and empty texts are the end id alone; an empty table gives no rows; columns but doc_id and text are ignored.
+    Workers let go of their encoders, since other stages may run on the executors next.
     """
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), keep_encoder=False)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -70,14 +70,15 @@ def vector(text: str | None) -> np.ndarray | None:
 
 def svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, steps: int = 300, least: float = 1e-4) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss, by accelerated gradient descent, until a step changes less than `least` of them. y: -1 or 1; classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    # The bias stands apart, so the sample isn't copied to put ones beside it.
     y = y.astype(np.float32)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = v = np.zeros(x.shape[1], np.float32)
+    w = v = np.zeros(x.shape[1] + 1, np.float32)
     rate = np.float32(1 / (4 + strength))  # rows have squared length 2, and the loss a second derivative of 2 at most
     for t in range(steps):
-        gap = np.maximum(np.float32(0), 1 - y * (x @ v))
-        nxt = v - rate * (np.float32(strength) * v - 2 * ((share * y * gap) @ x))
+        gap = np.maximum(np.float32(0), 1 - y * (x @ v[:-1] + v[-1]))
+        pull = share * y * gap
+        nxt = v - rate * (np.float32(strength) * v - 2 * np.append(pull @ x, pull.sum()))
         moved, size = np.abs(nxt - w).max(), np.abs(nxt).max()
         v = nxt + np.float32(t / (t + 3)) * (nxt - w)
         w = nxt
@@ -177,6 +178,7 @@ def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Mo
         todo = spark.createDataFrame([(n, *x) for n, x in enumerate(plan)], "at long, f string, i int, j int")
         todo = todo.repartitionByRange(min(len(plan), shuffle_parts(spark)), "at")
         weights = {r["at"]: np.frombuffer(bytes(r["w"]), np.float32) for r in todo.mapInArrow(machines, "at long, w binary").collect()}
+    held.destroy()  # executors and their workers would keep the sample while later stages run
     own = [weights[n] for n in range(len(first))]
     pairs: dict[str, list[tuple[int, int, np.ndarray]]] = {f: [] for f in families}
     for n, (f, i, j) in enumerate(plan[len(first) :], len(first)):

@@ -50,8 +50,11 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, min(first, n)), *((s, size) for s in range(first, n, size))]
 
 
-def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, and part and seq, which tell repeated rows apart; with keep_ids the ids too, as 32-bit little-endian."""
+def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int = 0, keep_ids: bool = False, keep_encoder: bool = True) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, and part and seq, which tell repeated rows apart; with keep_ids the ids too, as 32-bit little-endian.
+
+    keep_encoder: whether a worker keeps its encoder for the next task, beside whatever else then runs on the executor.
+    """
     schema = PIECES + IDS * keep_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -71,6 +74,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int = 0, keep_id
                 columns = zip(*rows[i : i + 4096], strict=True)
                 kinds = {"piece": pa.int32(), "part": pa.int32(), "ids": pa.binary()}
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(x, pa.int64())) for x, c in zip(names, columns, strict=True)], names)
+        release(encoders=not keep_encoder)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, schema)
 
@@ -209,10 +213,10 @@ def _last_anew(lengths: np.ndarray, held: list[list[int]], size: int, share: flo
     return [held[k] for k in order[:-last]] + anew if len(anew) < min(last, len(held)) else held
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, block_pieces: int = 6000, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, block_pieces: int = 6000, keep_ids: bool = False, keep_encoder: bool = True) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids). docs: doc_id, text."""
     with small_batches(docs.sparkSession):
-        made = materialize(pieces(docs, vocabulary, size, end_id, keep_ids), "pieces")
+        made = materialize(pieces(docs, vocabulary, size, end_id, keep_ids, keep_encoder), "pieces")
     tails = made.filter(F.col("length") < size)
     blocks = max(1, -(-tails.count() // block_pieces))
     ids = ["ids"] * keep_ids

@@ -56,3 +56,29 @@ def test_batches_are_small():
 
     assert int(corpus_pipeline.BATCHES["spark.sql.execution.arrow.maxRecordsPerBatch"]) <= 500
     assert corpus_pipeline.BATCHES["spark.sql.execution.arrow.maxBytesPerBatch"] == "2m"
+
+
+def test_workers_keep_nothing_large(spark):
+    """Python workers live on beside the next stage: they hold no encoder after packing, and the sample of a fit goes with it."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from tallyframe.llm import langid
+
+    docs = spark.createDataFrame([(i, ("the cat sat on a mat" if i % 2 else "der hund lag auf dem dach") + f" {'abcdefgh'[i % 8]}", "en" if i % 2 else "de", "a", 1) for i in range(90)], DOCS).repartition(3)
+
+    def held(batches):
+        from tallyframe.llm import tokens
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(tokens._ENCODERS)], pa.int64())})
+
+    assert len(corpus_pipeline.best_fit_packing(spark, docs, "").collect()) == 90
+    assert spark.range(0, 300, 1, 3).mapInArrow(held, "n long").groupBy().sum("n").first()[0] == 0
+
+    gone, made = [], spark.sparkContext.broadcast
+    spark.sparkContext.broadcast = lambda value: gone.append(made(value)) or gone[-1]
+    try:
+        langid.fit(docs, F.lit(True))
+    finally:
+        del spark.sparkContext.broadcast
+    assert len(gone) == 1 and not gone[0]._jbroadcast.isValid()

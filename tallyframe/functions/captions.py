@@ -177,8 +177,9 @@ def candidates(keys: DataFrame, near: DataFrame, least: float = LEAST) -> DataFr
 def classify(captions: DataFrame, label: str = "label", section: str = "section", bare: str | None = None) -> DataFrame:
     """captions with concept and label_score. bare: the column that has normal forms without spaces already, null for short ones.
 
-    Distinct normal forms are classified once for each section, against those synonyms that share a piece with them, and looked up
-    by all captions; those that are too short name nothing and meet nothing.
+    Distinct texts, as they stand, are brought into their normal form once for each section. Distinct normal forms are classified
+    against those synonyms that share a piece with them. What was found is looked up by all captions; those that are too short
+    name nothing and meet nothing.
     """
 
     @F.pandas_udf("int")
@@ -186,17 +187,17 @@ def classify(captions: DataFrame, label: str = "label", section: str = "section"
         order = functools.cmp_to_key(lambda i, j: _first(i[0], j[0]))
         return pd.Series([sorted((((c["score"], c["specificity"], c["distance"], c["n"]), i) for i, c in enumerate(own)), key=order)[0][1] for own in found], dtype="int32")
 
-    if bare is None:
-        captions = captions.withColumn("_n", normalize(F.col(label))).withColumn("_b", despaced(F.col("_n"))).drop("_n")
-    else:
-        captions = captions.withColumn("_b", F.col(bare))
-    keyed = captions.withColumn("_b", F.when(F.length("_b") >= 3, F.col("_b"))).withColumn("_s", F.coalesce(section, F.lit("")))
-    keys = settled(keyed.filter("_b is not null").groupBy("_b", "_s").agg(F.count("*").alias("count")), "keys")
+    keyed = captions.withColumn("_t", F.col(bare or label)).withColumn("_s", F.coalesce(section, F.lit("")))
+    # Normal forms are a chain of replacements, which a filter above them would repeat: they are made of distinct texts, and written.
+    forms = keyed.filter("_t is not null").groupBy("_t", "_s").agg(F.count("*").alias("count"))
+    forms = settled(forms.withColumn("_n", F.col("_t") if bare else normalize(F.col("_t"))).withColumn("_b", F.col("_n") if bare else despaced(F.col("_n"))).drop("_n"), "forms")
+    keys = forms.filter(F.length("_b") >= 3).select("_b", "_s").distinct()
     found = candidates(keys, near_synonyms(keys.select("_b").distinct()))
     # A caption has as many candidates as there are concepts, at most.
     known = found.groupBy("_b", "_s").agg(F.array_sort(F.collect_list(F.struct("at", "score", "specificity", "distance", "n", "concept"))).alias("found"))
     known = known.withColumn("top", F.get("found", first("found"))).select("_b", "_s", F.col("top.concept").alias("concept"), F.col("top.score").alias("label_score"))
-    return told(keyed, settled(known, "known"), ["_b", "_s"], frequent(keys, ["_b", "_s"])).drop("_b", "_s")
+    texts = settled(forms.join(known, ["_b", "_s"]).select("_t", "_s", "concept", "label_score"), "known")
+    return told(keyed, texts, ["_t", "_s"], frequent(forms, ["_t", "_s"])).drop("_t", "_s")
 
 
 def despaced(normal: Column) -> Column:

@@ -154,6 +154,23 @@ def test_classify_equals_comparison_with_all_synonyms(spark, rows):
     assert sorted(key(*r) for r in got) == sorted(key(*r, *w) for r, w in zip(rows, want, strict=True))
 
 
+def test_normal_forms_are_made_of_distinct_texts(spark):
+    """No caption is normalised in the pass over all captions, nor twice among the distinct ones; missing labels and sections, and those that mean the same, keep their rows."""
+    rows = [("a) Trade Payables", "liabilities"), ("Trade  payables", "liabilities"), ("Trade payables", None), ("Trade payables", ""), ("x", None), ("", "assets"), (None, "assets"), (None, None)]
+    made, settled = [], captions.settled
+    captions.settled = lambda df, name: made.append(df) or settled(df, name)
+    try:
+        got = captions.classify(spark.createDataFrame(rows * 40, "label string, section string"))
+    finally:
+        captions.settled = settled
+    times = [df._jdf.queryExecution().optimizedPlan().toString().count(captions.MARKER) for df in (got, *made)]
+    assert times[0] == 0 and max(times) <= 2
+    by = {tuple(r)[:2]: (r["count"], r["concept"], r["label_score"]) for r in got.groupBy("label", "section", "concept", "label_score").count().collect()}
+    assert set(by) == set(rows) and {n for n, _, _ in by.values()} == {40}
+    want = captions.classified(["tradepayables"] * 4 + ["x", "", "", ""], [s or None for _, s in rows])
+    assert [by[r][1] for r in rows] == [c for c, _ in want] and all(abs((by[r][2] or 0) - (p or 0)) < 1e-9 for r, (_, p) in zip(rows, want, strict=True))
+
+
 @given(st.lists(WORN, min_size=1, max_size=20))
 def test_a_piece_is_left_whole(found):
     """Every synonym within its tolerance of a part of a text shares a piece with it."""

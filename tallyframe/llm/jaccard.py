@@ -32,6 +32,7 @@ smallest). An empty table gives no rows. Other columns are ignored, whatever the
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -215,17 +216,24 @@ def released() -> None:
 FILTER_BITS = 1 << 26
 
 
-def _bits(places: DataFrame) -> bytes:
-    """places: h, below FILTER_BITS. A bit for each. The driver gets FILTER_BITS bits at most, in pieces of 2^19."""
+def _bits(places: DataFrame) -> dict[int, bytes]:
+    """places: h, below FILTER_BITS. A bit for each, for _words(). The driver gets FILTER_BITS bits at most, in deflated pieces of 2^19: those that are empty aren't there, and those of few bits are small."""
     words = places.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
 
     def piece(at: tuple, own: pa.Table) -> pa.Table:
         out = np.zeros(1 << 13, np.int64)
         out[own.column("w").to_numpy() & 0x1FFF] = own.column("bits").to_numpy()
-        return pa.table({"at": pa.array([at[0].as_py()], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
+        return pa.table({"at": pa.array([at[0].as_py()], pa.int64()), "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
-    held = {r["at"]: bytes(r["bits"]) for r in words.groupBy(F.shiftright("w", 13).alias("at")).applyInArrow(piece, "at long, bits binary").collect()}
-    return b"".join(held.get(i, bytes(1 << 16)) for i in range(FILTER_BITS >> 19))
+    return {r["at"]: bytes(r["bits"]) for r in words.groupBy(F.shiftright("w", 13).alias("at")).applyInArrow(piece, "at long, bits binary").collect()}
+
+
+def _words(bits: dict[int, bytes]) -> np.ndarray:
+    """The bits of _bits(), 64 in a number."""
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    for at, piece in bits.items():
+        out[at << 13 : (at + 1) << 13] = np.frombuffer(zlib.decompress(piece), np.int64)
+    return out
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -234,7 +242,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(_bits(ids.select(place("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(held.value, np.int64)
+        words = _words(held.value)
         for batch in batches:
             h = batch.column("h").to_numpy()
             some = batch.filter(pa.array(((words[h >> 6] >> (h & 63)) & 1) > 0))
@@ -352,7 +360,7 @@ def _among(shared: DataFrame, made: DataFrame) -> DataFrame:
     held = made.sparkSession.sparkContext.broadcast(_bits(shared.select(F.col("sig").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(held.value, np.int64)
+        words = _words(held.value)
         for batch in batches:
             sigs = batch.column("sigs")
             doc, sig = batch.column("doc_id").to_numpy()[pc.list_parent_indices(sigs).to_numpy()], sigs.flatten().to_numpy()
@@ -409,6 +417,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, e
         left = buckets.filter("doc <> top").join(named, "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("g"))
         found = _linked(_across(materialize(left, "left"), sketches, num, den), docs, k, num, den)
         if not found.isEmpty():
-            groups = materialize(components(links.unionByName(found)), "groups")
+            # Links of the first step are held by its groups, which are stars already.
+            groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)), "groups")
     placed = nodes.join(groups, nodes.rep == groups.node, "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     return counts.join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))

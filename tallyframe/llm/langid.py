@@ -68,6 +68,20 @@ def vector(text: str | None) -> np.ndarray | None:
     return (out / np.linalg.norm(out)).astype(np.float32)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A vector's numbers that aren't 0, and before them a bit for each place: most of a text's are 0, and the driver passes the sample on."""
+    at = x != 0
+    return np.packbits(at).tobytes() + x[at].tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """The vectors of packed(), a row each."""
+    out = np.zeros((len(rows), DIMS), np.float32)
+    for own, b in zip(out, rows, strict=True):
+        own[np.unpackbits(np.frombuffer(b, np.uint8, DIMS // 8)).astype(bool)] = np.frombuffer(b, np.float32, offset=DIMS // 8)
+    return out
+
+
 def svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, steps: int = 300, least: float = 1e-4) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss, by accelerated gradient descent, until a step changes less than `least` of them. y: -1 or 1; classes weigh alike."""
     # The bias stands apart, so the sample isn't copied to put ones beside it.
@@ -142,12 +156,12 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 128):
             own = batch.slice(at, 128)
             found = [(k, vector(t.as_py())) for k, t in zip(own.column("lang").to_pylist(), own.column("text"), strict=True)]
-            found = [(k, x.tobytes()) for k, x in found if x is not None]
+            found = [(k, packed(x)) for k, x in found if x is not None]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([x for _, x in found], pa.binary())], ["lang", "x"])
 
 
 def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Model:
-    """Learns from text and non-null lang of the rows for which `usable` holds. The driver gets a vector for each sampled row, and the weights."""
+    """Learns from text and non-null lang of the rows for which `usable` holds. The driver gets a packed vector for each sampled row, and the weights."""
     spark = docs.sparkSession
     got = sorted((r["lang"], bytes(r["x"])) for r in sample(docs, usable, per_language).mapInArrow(_vectors, "lang string, x binary").collect())
     if not got:
@@ -160,10 +174,12 @@ def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Mo
     # A family's machine tells it from all others, a pair's one language from another; of two families one machine tells both.
     first = [(f, -1, -1) for f in (families if len(families) > 2 else families[: len(families) - 1])]
     plan = first + [(f, i, j) for f in families for i in range(len(members[f])) for j in range(i + 1, len(members[f]))]
-    held = spark.sparkContext.broadcast((names, np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(-1, DIMS), members))
+    held = spark.sparkContext.broadcast((names, [v for _, v in got], members))
+    del got
 
     def machines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, x, members = held.value
+        names, rows, members = held.value
+        x = unpacked(rows)
         for batch in batches:
             for at, f, i, j in zip(*(batch.column(c).to_pylist() for c in ("at", "f", "i", "j")), strict=True):
                 if i < 0:

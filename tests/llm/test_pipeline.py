@@ -1,5 +1,6 @@
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -82,3 +83,33 @@ def test_workers_keep_nothing_large(spark):
     finally:
         del spark.sparkContext.broadcast
     assert len(gone) == 1 and not gone[0]._jbroadcast.isValid()
+
+
+def test_driver_gets_small_samples_and_filters(spark):
+    """What passes through the driver is as large as what it tells: no zeros of vectors, and no empty part of a filter. Nothing is lost by it."""
+    import pickle
+
+    import numpy as np
+    from tallyframe.llm import jaccard, langid
+
+    texts = ["the cat sat on a mat", "der hund lag auf dem dach", "x"]
+    rows = np.array([langid.vector(t) for t in texts])
+    packed = [langid.packed(x) for x in rows]
+    assert np.array_equal(langid.unpacked(packed), rows) and max(map(len, packed)) < rows.nbytes / len(rows) / 10
+    assert langid.unpacked([]).shape == (0, langid.DIMS)
+
+    places = [0, 5, 63, 64, (1 << 19) - 1, 1 << 19, jaccard.FILTER_BITS - 1]
+    bits = jaccard._bits(spark.createDataFrame([(p,) for p in places * 2], "h long").repartition(3))
+    assert len(pickle.dumps(bits)) < 10_000
+    words = jaccard._words(bits)
+    assert len(words) == jaccard.FILTER_BITS // 64 and np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little")).tolist() == places
+    assert not jaccard._words({}).any()
+
+    made, broadcast = [], spark.sparkContext.broadcast
+    spark.sparkContext.broadcast = lambda value: made.append(len(pickle.dumps(value))) or broadcast(value)
+    try:
+        docs = spark.createDataFrame([(i, f"{texts[i % 2]} {'abcdefgh'[i % 8]}", "en" if i % 2 else "de", "a", 1) for i in range(90)], DOCS)
+        langid.fit(docs, F.lit(True))
+        assert len(made) == 1 and made[0] < 90 * langid.DIMS * 4 / 8
+    finally:
+        del spark.sparkContext.broadcast
